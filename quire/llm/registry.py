@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from quire.llm import chat_format, license_scan, mixing, url_filter
+from quire.llm import chat_format, decontaminate, license_scan, mixing, simhash_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op5_source_mixing": mixing.op5_source_mixing,
+    "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_license_scan": license_scan.op10_license_scan,
 }
 
 ORACLE_SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
+    "op3_decontamination": decontaminate.OP3_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
     "op10_license_scan": license_scan.OP10_SQL,
 }
