@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
@@ -304,7 +305,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     sent = [spark.sparkContext.broadcast(x) for x in load_indexes(benchmark, window, max_words=max_words)]
     rows = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(f"`{k}`") for k in keep], F.col(text).alias("__text"))
     schema = rows.drop("__text").schema
-    for name, kind in (("n_words", "bigint"), ("n_hit", "bigint"), ("items", "array<string>"), ("clean", "string")):
+    for name, kind in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("clean", T.StringType())):
         schema = schema.add(name, kind)
 
     def judge(texts: list[bytes]) -> list[Hits]:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from quire.llm import chat_format, decontaminate, license_scan, mixing, simhash_dedup, url_filter
+from quire.llm import chat_format, decontaminate, html_extract, license_scan, media, mixing, quality, sharding, simhash_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_media_columns": media.op2_media_columns,
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_simhash_dedup": simhash_dedup.op6_simhash_dedup,
+    "op7_html_extraction": html_extract.op7_html_extraction,
+    "op8_sharding": sharding.op8_sharding,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_license_scan": license_scan.op10_license_scan,
 }
