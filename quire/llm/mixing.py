@@ -1,6 +1,6 @@
 """Mixing sources to target weights by soft membership.
 
-1. A naive Bayes classifier learns domains from a labelled table: log-likelihood ratios of hashed words and word endings.
+1. A softmax regression on the presence of hashed words and word endings learns domains from a labelled table.
 2. Every document gets domain posteriors p and its number of tokens n.
 3. Nonnegative document rates r solve  min |A r - T|^2  from the base rate 1, where (A r)_k = sum of r n p_k over all documents is
    the expected number of tokens of domain k and T the target. The iteration is projected gradient with a preconditioner, in
@@ -23,10 +23,14 @@ from quire.llm.common import settle, unit_hash
 BUCKETS = 8192
 #: Bound of the labelled sample on which the classifier is fitted.
 FIT_ROWS = 4000
-#: Ratios are fixed-point numbers of 1/SCALE, cut at +-CLIP, so that sums do not depend on order.
+#: Weights are fixed-point numbers of 1/SCALE, cut at +-CLIP, so that sums do not depend on order.
 SCALE, CLIP = 64, 8
-#: Two sums share one 64-bit number up to this many words; longer texts are summed one domain at a time.
-PACKED_WORDS = 1_000_000
+#: A feature counts if a domain's share of its documents is so many standard deviations from the domain's share of all.
+MIN_Z = 4.0
+#: At most so many features have a weight, those farthest from chance.
+MAX_FEATURES = 512
+#: Sums of weights are cut at +-CERTAIN: no membership is nearer to 0 or 1.
+CERTAIN = 6.0
 
 
 def tokens_of(text: Column) -> Column:
@@ -37,67 +41,89 @@ def _bucket(w: Column, salt: int) -> Column:
     return F.pmod(F.xxhash64(w, F.lit(salt)), F.lit(BUCKETS)).cast("int")
 
 
-def _features(w: Column) -> list[Column]:
-    """A word and its last three characters."""
-    return [_bucket(w, 1), _bucket(F.right(w, F.lit(3)), 2) + BUCKETS]
+def features_of(words: Column) -> Column:
+    """The distinct features of a text: its words and their last three characters, hashed."""
+    return F.array_distinct(F.concat(F.transform(words, lambda w: _bucket(w, 1)), F.transform(words, lambda w: _bucket(F.right(w, F.lit(3)), 2) + BUCKETS)))
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], fit_rows: int = FIT_ROWS) -> np.ndarray:
-    """Log-likelihood ratios against the first domain: array of (2 * BUCKETS + 1, len(domains) - 1); the last row has the priors.
+    """Weights of features against the first domain: array of (2 * BUCKETS + 1, len(domains) - 1); the last row has the intercepts.
 
-    labelled: doc_id, domain. The fit_rows rows of smallest hash are used (a documented bound), so the broadcast is bounded.
+    labelled: doc_id, domain. The fit_rows rows of smallest hash are used (a documented bound), so the broadcast and what reaches the
+    driver are bounded. Features are chosen by how far their documents' domains are from chance; softmax regression on their presence
+    gives calibrated posteriors.
     """
     sample = labelled.filter(F.col("domain").isin(list(domains)) & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(fit_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    words = rows.select("domain", F.explode(F.concat(F.lit([""]), tokens_of(F.col("text")))).alias("w"))
-    feats = words.select("domain", F.explode(F.when(F.col("w") == "", F.array(F.lit(2 * BUCKETS))).otherwise(F.array(*_features(F.col("w"))))).alias("f"))
-    counts = np.zeros((2 * BUCKETS + 1, len(domains)))
-    for r in feats.groupBy("domain", "f").count().collect():  # at most (2 * BUCKETS + 1) * domains rows
+    rows = settle(rows.select("doc_id", "domain", features_of(tokens_of(F.col("text"))).alias("f")))
+    counts = np.zeros((2 * BUCKETS, len(domains)))
+    for r in rows.select("domain", F.explode("f").alias("f")).groupBy("domain", "f").count().collect():  # at most 2 * BUCKETS * domains rows
         counts[r["f"], domains.index(r["domain"])] = r["count"]
-    docs_per = counts[-1] + 1
-    out = np.empty((2 * BUCKETS + 1, len(domains)))
-    for a, b in ((0, BUCKETS), (BUCKETS, 2 * BUCKETS)):
-        c = counts[a:b] + 0.5
-        out[a:b] = np.log(c / c.sum(axis=0))
-    out[-1] = np.log(docs_per / docs_per.sum())
-    return np.clip(out[:, 1:] - out[:, :1], -CLIP, CLIP)
-
-
-def posteriors(docs: DataFrame, model: np.ndarray, id_cols: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """id_cols, n_tokens and p (array of double, one per domain). Ratios are averaged with weight n^-1/2: soft membership.
+    per = np.zeros(len(domains))
+    for r in rows.groupBy("domain").count().collect():
+        per[domains.index(r["domain"])] = r["count"]
+    out = np.zeros((2 * BUCKETS + 1, len(domains) - 1))
+    total = per.sum()
+    if not total:
+        return out
+    both, p = counts.sum(axis=1, keepdims=True), per / total
+    z = np.abs((counts - both * p) / np.sqrt(np.maximum(both * p * (1 - p), 1e-9))).max(axis=1)
+    chosen = np.sort(np.argsort(-z, kind="stable")[:MAX_FEATURES])
+    chosen = chosen[z[chosen] >= MIN_Z]
+    place = {int(f): i for i, f in enumerate(chosen)}
+    got = rows.select("doc_id", "domain", F.array_intersect("f", F.array(*[F.lit(int(f)) for f in chosen]).cast("array<int>")).alias("f")).collect()
+    got.sort(key=lambda r: (r["doc_id"], r["domain"], sorted(r["f"])))
+    x, y = np.zeros((len(got), len(chosen) + 1)), np.zeros((len(got), len(domains)))
+    x[:, -1] = 1
+    for i, r in enumerate(got):
+        x[i, [place[f] for f in r["f"]]] = 1
+        y[i, domains.index(r["domain"])] = 1
+    w = _softmax_regression(x, y)
+    w = np.clip(w[:, 1:] - w[:, :1], -CLIP, CLIP)
+    out[chosen], out[-1] = w[:-1], w[-1]
+    return out
+
+
+def _softmax_regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 400) -> np.ndarray:
+    """Weights by accelerated gradient descent on the penalised log loss; the last column of x, the intercept, is not penalised."""
+    w = z = np.zeros((x.shape[1], y.shape[1]))
+    rate = 1 / (0.5 * np.linalg.norm(x, 2) ** 2 + ridge)
+    penalty = np.full((x.shape[1], 1), ridge)
+    penalty[-1] = 0
+    for t in range(steps):
+        e = x @ z
+        e = np.exp(e - e.max(axis=1, keepdims=True))
+        new = z - rate * (x.T @ (e / e.sum(axis=1, keepdims=True) - y) + penalty * z)
+        w, z = new, new + t / (t + 3) * (new - w)
+    return w
+
+
+def posteriors(docs: DataFrame, model: np.ndarray, id_cols: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+    """id_cols, n_tokens and p (array of double, one per domain). Sums of weights are cut at +-CERTAIN: soft membership.
 
     Null and empty texts have no tokens; their posterior is the prior.
     """
     k = model.shape[1]
     fixed = np.rint(model[:-1] * SCALE).astype(np.int64)
     shift = CLIP * SCALE
-    words = F.col("__words")
-    n = F.size(words)
-
-    def literal(values: np.ndarray) -> Column:
-        return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
-
-    def total(table: Column) -> Column:
-        feats = lambda w: F.get(table, _features(w)[0]) + F.get(table, _features(w)[1])
-        return F.aggregate(words, F.lit(0).cast("bigint"), lambda acc, w: acc + feats(w))
-
-    sums: list[Column] = []
-    steps: list[tuple[str, Column]] = []
-    for i in range(0, k, 2):
-        if i + 1 < k:
-            both = literal((fixed[:, i] + shift) * (1 << 32) + fixed[:, i + 1] + shift)
-            steps.append((f"__s{i}", F.when(n <= PACKED_WORDS, total(both))))
-            packed = F.col(f"__s{i}")
-            base = 2 * shift * n
-            sums.append(F.when(packed.isNull(), total(literal(fixed[:, i]))).otherwise(F.shiftright(packed, 32) - base))
-            sums.append(F.when(packed.isNull(), total(literal(fixed[:, i + 1]))).otherwise(packed.bitwiseAND(F.lit((1 << 32) - 1)) - base))
-        else:
-            sums.append(total(literal(fixed[:, i])))
-    rows = docs.select(*id_cols, tokens_of(F.col("text")).alias("__words"))
-    for name, c in steps:
-        rows = rows.withColumn(name, c)
-    soft = [F.lit(0.0)] + [s / float(SCALE) / F.sqrt(F.greatest(n, F.lit(1)).cast("double")) + float(model[-1, i]) for i, s in enumerate(sums)]
-    rows = rows.select(*id_cols, n.cast("bigint").alias("n_tokens"), F.array(*soft).alias("__z"))
+    feats = F.col("__f")
+
+    def total(values: np.ndarray) -> Column:
+        table = F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
+        return F.aggregate(feats, F.lit(0).cast("bigint"), lambda acc, f: acc + F.get(table, f))
+
+    rows = docs.select(*id_cols, tokens_of(F.col(text)).alias("__words"))
+    rows = rows.select(*id_cols, F.size("__words").cast("bigint").alias("n_tokens"), features_of(F.col("__words")).alias("__f"))
+    # Two sums share one 64-bit number: at most 2 * BUCKETS distinct features of at most 2 * CLIP * SCALE each fit in 32 bits.
+    packed = [total((fixed[:, i] + shift) * (1 << 32) + (fixed[:, i + 1] + shift if i + 1 < k else shift)) for i in range(0, k, 2)]
+    rows = rows.select(*id_cols, "n_tokens", F.size("__f").alias("__m"), *[c.alias(f"__s{i}") for i, c in enumerate(packed)])
+    sums = []
+    for i in range(k):
+        both = F.col(f"__s{i // 2}")
+        one = F.shiftright(both, 32) if i % 2 == 0 else both.bitwiseAND(F.lit((1 << 32) - 1))
+        sums.append((one - F.col("__m") * shift) / float(SCALE) + float(model[-1, i]))
+    soft = [F.lit(0.0)] + [F.greatest(F.lit(-CERTAIN), F.least(F.lit(CERTAIN), x)) for x in sums]
+    rows = rows.select(*id_cols, "n_tokens", F.array(*soft).alias("__z"))
     rows = rows.select(*id_cols, "n_tokens", F.transform("__z", lambda z: F.exp(z - F.array_max("__z"))).alias("__e"))
     norm = F.aggregate("__e", F.lit(0.0), lambda a, x: a + x)
     return rows.select(*id_cols, "n_tokens", norm.alias("__n"), "__e").select(*id_cols, "n_tokens", F.transform("__e", lambda x: x / F.col("__n")).alias("p"))
@@ -110,8 +136,9 @@ def rate_of(p: Column, v: Sequence[float]) -> Column:
     return F.greatest(F.lit(0.0), dot)
 
 
-def fit_rates(members: DataFrame, targets: Sequence[float], max_steps: int = 40, tolerance: float = 1e-9) -> tuple[list[float], dict]:
-    """members: n_tokens, p. targets: expected tokens by domain as shares of all tokens. Returns v and what was reached.
+def fit_rates(members: DataFrame, targets: Sequence[float], anchor: int | None = None, max_steps: int = 40, tolerance: float = 1e-9) -> tuple[list[float], dict]:
+    """members: n_tokens, p. targets: expected tokens by domain as shares. They are shares of all tokens, or with an anchor scaled so
+    that this domain keeps its tokens. Returns v and what was reached.
 
     Each step projects (rates below 0 are 0), measures the residual over all documents, and moves v along the gradient, with the
     Gram matrix of the rows at positive rates as preconditioner; a step that does not lower the residual is halved.
@@ -137,6 +164,9 @@ def fit_rates(members: DataFrame, targets: Sequence[float], max_steps: int = 40,
 
     v = np.zeros(k)
     residual, gram = measure(v)
+    if anchor is not None:  # at rate 1 the domain has residual + t of all tokens
+        scaled = t * (residual[anchor] + t[anchor]) / max(t[anchor], 1e-12)
+        residual, t = residual + t - scaled, scaled
     step, done = 1.0, 0
     for done in range(1, max_steps + 1):
         if np.abs(residual).max() < tolerance or step < 1e-3:
@@ -156,16 +186,34 @@ def copies_of(rate: Column, *key: Column) -> Column:
     return F.floor(rate + unit_hash(*key, F.lit("copies"))).cast("int")
 
 
+def mix_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], fit_rows: int = FIT_ROWS, anchor: str | None = None) -> tuple[np.ndarray, list[float], DataFrame]:
+    """The classifier, v, and the posteriors of all documents (doc_id, n_tokens, p)."""
+    domains = list(targets)
+    model = fit_domains(docs, labelled, domains, fit_rows)
+    members = settle(posteriors(docs, model))
+    v, _ = fit_rates(members.select("n_tokens", "p"), [targets[d] for d in domains], domains.index(anchor) if anchor else None)
+    return model, v, members
+
+
+def resample(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], fit_rows: int = FIT_ROWS, anchor: str | None = None,
+             doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with each row as often as its rate says: the whole part always, one more with the rest's probability, by id. All columns
+    stay; posteriors are computed once more in place, so that texts are never shuffled."""
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names))
+    model, v, _ = mix_rates(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labelled, targets, fit_rows, anchor)
+    rows = posteriors(docs.toDF(*names), model, names, at[text])
+    copies = copies_of(F.round(rate_of(F.col("p"), v), 9), F.col(at[doc_id]))
+    return rows.select(*names, F.explode(F.array_repeat(F.lit(0), copies)).alias("__copy")).select(*[F.col(n).alias(c) for c, n in at.items()])
+
+
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], fit_rows: int = FIT_ROWS) -> DataFrame:
     """docs: doc_id, text. labelled: doc_id, domain. targets: share of all tokens by domain; the first is the classifier's base.
 
     Returns one row per input row: doc_id, n_tokens, p, rate, copies. Repeated rows have equal values; a null doc_id counts as a
     key of its own; other columns are ignored. Without labelled rows all posteriors are the prior and rates tend to 1.
     """
-    domains = list(targets)
-    model = fit_domains(docs, labelled, domains, fit_rows)
-    members = settle(posteriors(docs, model))
-    v, _ = fit_rates(members.select("n_tokens", "p"), [targets[d] for d in domains])
+    _, v, members = mix_rates(docs, labelled, targets, fit_rows)
     rate = F.round(rate_of(F.col("p"), v), 9)
     return members.select("doc_id", "n_tokens", "p", rate.alias("rate")).withColumn("copies", copies_of(F.col("rate"), F.col("doc_id")))
 

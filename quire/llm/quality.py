@@ -3,7 +3,8 @@
 Terms are hashed byte trigrams of the text, byte pairs of its words' shapes, and coarse marks of repetition and layout. A truncated SVD of
 the weighted term matrix of a bounded labelled sample gives the latent space; the sample's unit vectors and labels are broadcast.
 Every document is projected, exact cosines with all labelled vectors come from blocked matrix products, and the labels of the
-nearest neighbours vote with weights that grow with similarity.
+nearest neighbours vote with weights that grow with similarity; the rarer label's votes are lifted to balance, and all labelled vectors
+together have a small share, which orders documents whose neighbours agree.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Terms of each kind, latent dimensions, labelled vectors (the documented bound of the sample), neighbours, sharpness of the vote.
+#: Terms of each kind; latent dimensions, labelled vectors (the documented bound of the sample), neighbours, sharpness of the vote
+#: and the share of the vote that all labelled vectors have together. Chosen by splits of the learnable rows.
 TRIGRAMS, SHAPES, MARKS = 1536, 256, 64
 TERMS = TRIGRAMS + SHAPES + MARKS
-DIMENSIONS, FIT_ROWS, NEIGHBOURS, SHARPNESS = 48, 3000, 25, 12.0
+DIMENSIONS, FIT_ROWS, NEIGHBOURS, SHARPNESS, EVERYONE = 32, 3000, 9, 6.0, 0.1
 THRESHOLD = 0.3
 #: Bytes of text whose terms are counted at a time.
 BLOCK_BYTES = 1 << 20
@@ -75,17 +77,22 @@ def count_terms(texts: list[bytes]) -> np.ndarray:
 
 
 def _count_block(texts: list[bytes], out: np.ndarray, words: np.ndarray) -> None:
-    data = np.frombuffer(b"\n".join(texts) + b"\n\n\n", np.uint8)
+    # Three line ends after each text: no trigram that counts reaches into the next text.
+    data = np.frombuffer(b"".join(t + b"\n\n\n" for t in texts), np.uint8)
     lengths = np.array([len(t) + 1 for t in texts])
-    owner = np.repeat(np.arange(len(texts), dtype=np.int64), lengths)
-    n = len(owner)
+    own = np.ones(len(data), bool)
+    stop = np.cumsum(lengths + 2)
+    own[stop - 1] = own[stop - 2] = False
+    owner = np.repeat(np.arange(len(texts), dtype=np.int64), lengths + 2)
+    n = len(owner) - 2
+    own, owner = own[:n], owner[:n]
     d = data.astype(np.uint32)
     tri = _mixed((d[:n] << np.uint32(16)) | (d[1 : n + 1] << np.uint32(8)) | d[2 : n + 2], TRIGRAMS)
     c = _CLASS[data].astype(np.uint32)
     shape = TRIGRAMS + _mixed((c[:n] << np.uint32(8)) | (c[1 : n + 1] << np.uint32(4)) | c[2 : n + 2], SHAPES)
     rows = len(texts)
     for term in (tri, shape):
-        out += np.bincount(owner * TERMS + term, minlength=rows * TERMS).reshape(rows, TERMS).astype(np.float32)
+        out += np.bincount((owner * TERMS + term)[own], minlength=rows * TERMS).reshape(rows, TERMS).astype(np.float32)
     # Words and how many of them repeat, by a small hash.
     blank = _CLASS[data[:n]] <= 2
     blank &= _CLASS[data[:n]] > 0
@@ -103,7 +110,7 @@ def _count_block(texts: list[bytes], out: np.ndarray, words: np.ndarray) -> None
         fresh = np.concatenate(([True], (ho[1:] != ho[:-1]) | (oo[1:] != oo[:-1])))
         words[:, 0] += np.bincount(of, minlength=rows)
         words[:, 1] += np.bincount(oo[fresh], minlength=rows)
-    words[:, 2] += np.bincount(owner[data[:n] == 10], minlength=rows)
+    words[:, 2] += np.bincount(owner[own & (data[:n] == 10)], minlength=rows)
     words[:, 3] += lengths - 1
 
 
@@ -118,7 +125,10 @@ class Model:
     projection: np.ndarray  # terms x dimensions
     vectors: np.ndarray  # unit vectors of the labelled documents
     labels: np.ndarray
-    prior: float
+
+    def __post_init__(self) -> None:
+        ones, zeros = (self.labels == 1).sum(), (self.labels == 0).sum()
+        self.lift = np.where(self.labels == 0, ones / zeros, 1.0) if ones and zeros else np.ones(len(self.labels))
 
     def project(self, counts: np.ndarray) -> np.ndarray:
         z = weighted(counts, self.idf) @ self.projection
@@ -130,9 +140,10 @@ class Model:
         for a in range(0, len(counts), block):
             cosine = self.project(counts[a : a + block]) @ self.vectors.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            s = np.take_along_axis(cosine, near, axis=1).astype(np.float64)
-            w = np.exp(SHARPNESS * (s - 1))
-            out[a : a + block] = ((w * self.labels[near]).sum(axis=1) + 0.02 * self.prior) / (w.sum(axis=1) + 0.02)
+            w = np.exp(SHARPNESS * (cosine - cosine.max(axis=1, keepdims=True)).astype(np.float64)) * self.lift
+            whole = (w @ self.labels) / w.sum(axis=1)
+            w = np.take_along_axis(w, near, axis=1)
+            out[a : a + block] = (1 - EVERYONE) * (w * self.labels[near]).sum(axis=1) / w.sum(axis=1) + EVERYONE * whole
         return np.clip(out, 0, 1)
 
 
@@ -167,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id").select("__id", "label", "__text")
     got = sorted(((r["__id"], r["label"], bytes(r["counts"])) for r in _counted(rows).collect()))
     if not got:
-        return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.ones((1, 1), np.float32), np.array([0.5]), 0.5)
+        return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.ones((1, 1), np.float32), np.array([0.5]))
     counts = np.frombuffer(b"".join(c for _, _, c in got), np.float32).reshape(len(got), TERMS)
     y = np.array([label for _, label, _ in got], float)
     idf = (np.log((1 + len(got)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
@@ -183,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     projection = (q @ vt.T)[:, :k].astype(np.float32)
     z = x @ projection
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-    return Model(idf, projection, z.astype(np.float32), y, float(y.mean()))
+    return Model(idf, projection, z.astype(np.float32), y)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

@@ -11,14 +11,13 @@ Only thin rows (id, size, checksum, key) are shuffled, once; the texts are not.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from itertools import accumulate
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quire.llm.common import settle, unit_hash
 
@@ -31,13 +30,13 @@ def utf8(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 
 
-def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, k1 and k2: a record's key is (k1, k2), k1 from the text alone."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return rows.select(
-        "doc_id", (F.octet_length("t") + 1).cast("bigint").alias("size"), F.crc32(F.encode("t", "UTF-8")).alias("text_crc32"),
-        F.xxhash64("t").alias("k1"), F.xxhash64("doc_id", F.lit("id"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).alias("k2"),
-    )  # rows without an id are told apart by their place
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, __k1, __k2 and kept columns: a record's key is (k1, k2), k1 from the text alone, k2 from the id."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(
+        F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 1).cast("bigint").alias("size"), F.crc32(F.encode(t, "UTF-8")).alias("text_crc32"),
+        F.xxhash64(t).alias("__k1"), F.xxhash64(F.col(doc_id), F.lit("id")).alias("__k2"), *[F.col(f"`{c}`") for c in keep],
+    )
 
 
 def _join_key(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
@@ -53,8 +52,8 @@ def sample(keys: DataFrame, total: int, count: int, where: Column | None = None)
     the same; the expected number is bounded by count whatever the input."""
     rate = F.col("size") * (count / max(total, 1))
     rows = keys if where is None else keys.filter(where)
-    got = rows.filter(unit_hash(F.col("k1"), F.col("k2"), F.lit("sample")) < rate).select("k1", "k2", F.greatest(F.col("size").cast("double"), F.lit(total / count)).alias("w")).toPandas()
-    k = _join_key(got.k1.to_numpy(), got.k2.to_numpy())
+    got = rows.filter(unit_hash(F.col("__k1"), F.col("__k2"), F.lit("sample")) < rate).select("__k1", "__k2", F.greatest(F.col("size").cast("double"), F.lit(total / count)).alias("w")).toPandas()
+    k = _join_key(got["__k1"].to_numpy(), got["__k2"].to_numpy())
     order = np.argsort(k)
     return k[order], got.w.to_numpy(dtype=float)[order]
 
@@ -70,16 +69,12 @@ def quantiles(keys: np.ndarray, weights: np.ndarray, parts: int) -> np.ndarray:
 
 def ranged(keys: DataFrame, splitters: np.ndarray) -> DataFrame:
     """keys and rng: the number of splitters at or below the key."""
-    schema = T.StructType([*keys.schema.fields, T.StructField("rng", T.IntegerType())])
-    at = keys.columns.index("k1"), keys.columns.index("k2")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = _join_key(*(batch.column(i).to_numpy(zero_copy_only=False) for i in at))
-            rng = np.searchsorted(splitters, k, side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rng, pa.int32())], schema.names)
+    @F.pandas_udf("int")
+    def place(k1: pd.Series, k2: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(splitters, _join_key(k1.to_numpy(), k2.to_numpy()), side="right").astype(np.int32))
 
-    return keys.mapInArrow(run, schema)
+    return keys.withColumn("__rng", place("__k1", "__k2"))
 
 
 def find_splitters(keys: DataFrame, shards: int = SHARDS, max_rounds: int = 8) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
@@ -90,15 +85,15 @@ def find_splitters(keys: DataFrame, shards: int = SHARDS, max_rounds: int = 8) -
     splitters = quantiles(*sample(keys, total, parts * KEYS_PER_RANGE), parts)
     mean = total / parts
     for _ in range(max_rounds):
-        counts = ranged(keys, splitters).groupBy("rng").agg(F.count("*").alias("n"), F.sum("size").alias("s")).collect()
-        sizes = {r.rng: (r.n, int(r.s)) for r in counts}
+        counts = ranged(keys, splitters).groupBy("__rng").agg(F.count("*").alias("n"), F.sum("size").alias("s")).collect()
+        sizes = {r["__rng"]: (r.n, int(r.s)) for r in counts}
         full = sorted(i for i, (n, s) in sizes.items() if n > 1 and s > OVERFULL * mean + largest)
         if not full:
             break
         inner = ranged(keys, splitters)
         more = [splitters]
         in_full = sum(sizes[i][1] for i in full)
-        k, w = sample(inner, in_full, len(full) * 4 * KEYS_PER_RANGE + int(in_full / mean) * KEYS_PER_RANGE, F.col("rng").isin(full))
+        k, w = sample(inner, in_full, len(full) * 4 * KEYS_PER_RANGE + int(in_full / mean) * KEYS_PER_RANGE, F.col("__rng").isin(full))
         owner = np.searchsorted(splitters, k, side="right")
         for i in full:
             more.append(quantiles(k[owner == i], w[owner == i], int(sizes[i][1] / mean) + 1))
@@ -106,54 +101,55 @@ def find_splitters(keys: DataFrame, shards: int = SHARDS, max_rounds: int = 8) -
     return splitters, sizes
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot, one row per input row. Shards have equal bytes up to one record; slots count from 0.
+def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, kept columns, shard and slot, one row per input row. Shards have equal bytes up to one record; slots
+    count from 0 in each shard.
 
-    Null texts have size 1; null ids and repeated rows are records like others; a text that many rows share is divided by id.
-    Other columns are ignored. Fewer records than shards leave shards empty; an empty table gives no rows.
+    Null texts have size 1; null ids and repeated rows are records like others; a text that many rows share is divided by id (rows
+    that also share the id stay in one range, which may still cross shards). Columns of docs that are not kept are ignored. Fewer
+    records than shards leave shards empty; an empty table gives no rows. keep names none of the result's own columns. Kept columns are shuffled along, once.
     """
     keys = settle(keyed(docs, doc_id, text))
     splitters, sizes = find_splitters(keys, shards)
     if not sizes:
-        return keys.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("slot"))
+        return keyed(docs, doc_id, text, keep).drop("__k1", "__k2").select("*", F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("slot"))
     total = sum(s for _, s in sizes.values())
-    ranges = sorted(sizes)
-    offset = dict(zip(ranges, accumulate((sizes[r][1] for r in ranges), initial=0)))
+    ranges = range(max(sizes) + 1)
+    offset = list(accumulate((sizes.get(r, (0, 0))[1] for r in ranges), initial=0))
 
     def literal(values: Sequence[int]) -> Column:
         return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
-    # Before and within the range: the exact bytes in front of each record. Its middle decides the shard.
-    order = Window.partitionBy("rng").orderBy("k1", "k2", "doc_id")
-    base = F.get(literal([offset.get(i, 0) for i in range(ranges[-1] + 1)]), F.col("rng"))
-    placed = ranged(keys, splitters).select(
-        "doc_id", "size", "text_crc32", "rng",
-        (base + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("before"),
-        F.row_number().over(order).alias("k"),
-    )
-    middle = (F.col("before") * 2 + F.col("size")).cast("decimal(38,0)") * shards
-    shard = F.least(F.lit(shards - 1), F.floor(middle / (2 * total)).cast("int"))
-    placed = settle(placed.withColumn("shard", shard))
+    def placed(rows: DataFrame) -> DataFrame:
+        """Before and within the range: the exact bytes in front of each record. Its middle decides the shard."""
+        order = Window.partitionBy("__rng").orderBy("__k1", "__k2")
+        rows = ranged(rows, splitters)
+        before = F.get(literal(offset), F.col("__rng")) + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+        middle = (before * 2 + F.col("size")).cast("decimal(38,0)") * shards
+        return rows.select("*", F.row_number().over(order).alias("__k"), F.least(F.lit(shards - 1), F.floor(middle / (2 * total)).cast("int")).alias("shard"))
+
     # A shard's part of a range is contiguous: slots need, for each part, its first number and the records of the shard before it.
-    parts = sorted((r.rng, r.shard, r.n, r.k) for r in placed.groupBy("rng", "shard").agg(F.count("*").alias("n"), F.min("k").alias("k")).collect())
+    # Rows that tie in the order have equal texts, so the parts are the same however ties fall.
+    thin = settle(placed(keys).select("doc_id", "size", "text_crc32", "__rng", "__k", "shard"))
+    parts = sorted((r["__rng"], r.shard, r.n, r.k) for r in thin.groupBy("__rng", "shard").agg(F.count("*").alias("n"), F.min("__k").alias("k")).collect())
     seen: dict[int, int] = {}
-    start = {}
+    start: dict[tuple[int, int], int] = {}
+    low: dict[int, int] = {}
     for rng, s, n, k in parts:
         start[rng, s] = seen.get(s, 0) - k
         seen[s] = seen.get(s, 0) + n
-    low: dict[int, int] = {}
-    for rng, s in start:
         low[rng] = min(s, low.get(rng, s))
     width = max(s - low[rng] for rng, s in start) + 1
-    flat = [start.get((rng, low.get(rng, 0) + j), 0) for rng in range(ranges[-1] + 1) for j in range(width)]
-    lows = literal([low.get(rng, 0) for rng in range(ranges[-1] + 1)])
-    at = F.col("rng") * width + F.col("shard") - F.get(lows, F.col("rng")).cast("int")
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("k") + F.get(literal(flat), at)).cast("bigint").alias("slot"))
+    flat = literal([start.get((rng, low.get(rng, 0) + j), 0) for rng in ranges for j in range(width)])
+    at = F.col("__rng") * width + F.col("shard") - F.get(literal([low.get(rng, 0) for rng in ranges]), F.col("__rng")).cast("int")
+    rows = placed(keyed(docs, doc_id, text, keep)) if keep else thin
+    return rows.select("doc_id", "size", "text_crc32", *[F.col(f"`{c}`") for c in keep], "shard", (F.col("__k") + F.get(flat, at)).cast("bigint").alias("slot"))
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, doc_id: str = "doc_id") -> None:
-    """Writes the documents as one folder per shard (doc_id must be unique and not null)."""
-    rows = docs.join(assigned.select(F.col("doc_id").alias(doc_id), "shard", "slot"), doc_id)
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> None:
+    """Writes the documents as one folder per shard, ordered by slot within its files."""
+    columns = [c for c in docs.columns if c not in (doc_id, "shard", "slot", "size", "text_crc32")]
+    rows = shard_by_bytes(docs, shards, doc_id, text, keep=columns).withColumnRenamed("doc_id", doc_id)
     rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
