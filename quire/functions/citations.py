@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import WS, squeeze, strip
+from quire.functions.text import WS, let, squeeze, strip
 
 # Fixed values.
 YEAR = r"(?:18|19|20|21)\d{2}"
@@ -55,23 +55,31 @@ def separate_numbers(c: Column) -> Column:
 
 def parse_numbers(c: Column) -> Column:
     """The parts of a citation's numbers as NUMBERS_TYPE; '' where absent. Groups in parentheses join with a blank."""
-    text = F.regexp_replace(squeeze(c), "[‐-‒–—−]", "-")
-    text = F.regexp_replace(text, r"^[ .;:]+|[ .;:]+\z", "")
-    year = F.regexp_extract(text, rf"\b({YEAR})\b", 1)
-    rest = F.regexp_replace(F.regexp_extract(text, rf"\b{YEAR}\b(.*)\z", 1), r"^[ ;,.]+", "")
-    volume = F.regexp_extract(rest, r"^(\d+[A-Za-z]*)", 1)
     group = r"(?:\((?:[^()]|\([^()]*\))*\))"
-    after = F.regexp_extract(rest, r"^\d+[A-Za-z]*\s*(.*)\z", 1)
-    groups = F.regexp_extract(after, rf"^((?:{group}\s*)*)", 1)
-    parts = F.transform(F.regexp_extract_all(groups, F.lit(group), F.lit(0)), lambda g: strip(F.substr(g, F.lit(2), F.length(g) - 2)))
-    issue = F.array_join(F.filter(parts, lambda p: p != ""), " ")
-    where = F.regexp_replace(F.substr(after, F.length(groups) + 1), r"^[ :;,.]+|[ .;,]+\z", "")
-    start, end = F.regexp_extract(where, r"^([A-Za-z]?\d+)\s*-\s*([A-Za-z]?\d+)\z", 1), F.regexp_extract(where, r"^([A-Za-z]?\d+)\s*-\s*([A-Za-z]?\d+)\z", 2)
-    pages = F.when(start != "", F.concat(start, F.lit("-"), end)).when(where.rlike(r"^\d+\z"), where).otherwise("")
-    ok, has_volume = year != "", (year != "") & (volume != "")
-    out = (year, F.when(ok, volume).otherwise(""), F.when(has_volume, issue).otherwise(""), F.when(has_volume, pages).otherwise(""), F.when(has_volume & (pages == ""), where).otherwise(""))
-    empty = F.coalesce(c, F.lit("")) == ""
-    return F.struct(*[F.when(empty, "").otherwise(F.coalesce(v, F.lit(""))).alias(n) for n, v in zip(("year", "volume", "issue", "pages", "article_number"), out)])
+    names = ("year", "volume", "issue", "pages", "article_number")
+    result = lambda *v: F.struct(*[(F.lit(x) if isinstance(x, str) else x).alias(n) for x, n in zip(v, names)])
+
+    def located(x: Column) -> Column:
+        """x: year, volume, issue and where."""
+        where = x["where"]
+        pages = F.when(where.rlike(r"^[A-Za-z]?\d+\s*-\s*[A-Za-z]?\d+\z"), F.regexp_replace(where, r"\s*-\s*", "-")).when(where.rlike(r"^\d+\z"), where).otherwise("")
+        return let(pages, lambda p: result(x["year"], x["volume"], x["issue"], p, F.when(p == "", where).otherwise("")))
+
+    def grouped(x: Column) -> Column:
+        """x: year, volume and after."""
+        groups = F.regexp_extract(x["after"], rf"^((?:{group}\s*)*)", 1)
+        parts = F.transform(F.regexp_extract_all(groups, F.lit(group), F.lit(0)), lambda g: strip(F.substr(g, F.lit(2), F.length(g) - 2)))
+        where = F.regexp_replace(F.substr(x["after"], F.length(groups) + 1), r"^[ :;,.]+|[ .;,]+\z", "")
+        return let(F.struct(x["year"].alias("year"), x["volume"].alias("volume"), F.array_join(F.filter(parts, lambda p: p != ""), " ").alias("issue"), where.alias("where")), located)
+
+    def dated(text: Column) -> Column:
+        rest = F.regexp_replace(F.regexp_extract(text, rf"\b{YEAR}\b(.*)\z", 1), r"^[ ;,.]+", "")
+        year = F.regexp_extract(text, rf"\b({YEAR})\b", 1)
+        parts = let(F.struct(year.alias("year"), rest.alias("rest")), lambda x: F.struct(x["year"].alias("year"), F.regexp_extract(x["rest"], r"^(\d+[A-Za-z]*)", 1).alias("volume"), F.regexp_extract(x["rest"], r"^\d+[A-Za-z]*\s*(.*)\z", 1).alias("after")))
+        return let(parts, lambda x: F.when((x["year"] == "") | (x["volume"] == ""), result(x["year"], "", "", "", "")).otherwise(grouped(x)))
+
+    text = F.regexp_replace(F.regexp_replace(squeeze(F.coalesce(c, F.lit(""))), "[‐-‒–—−]", "-"), r"^[ .;:]+|[ .;:]+\z", "")
+    return let(text, dated)
 
 
 def parse_reference(c: Column, compat: bool = True) -> Column:
@@ -79,25 +87,34 @@ def parse_reference(c: Column, compat: bool = True) -> Column:
 
     With compat a citation that ends in numbers has everything before the DOI in ``numbers``; without, numbers start after the
     last sentence before the journal."""
-    text = F.regexp_replace(squeeze(c), "[‐‒–—−]", "-")
-    text = F.regexp_replace(text, r"^\s*(?:\[\d+\]|\(\d+\)|\d+[.)])\s*", "")
-    doi = F.regexp_replace(F.regexp_extract(text, DOI, 1), r"[.,;)\]}]+\z", "")
-    place = F.instr(text, F.regexp_extract(text, DOI, 0))
-    text = F.when(text.rlike(DOI), F.regexp_replace(F.substr(text, F.lit(1), place - 1), r"[ .,;]+\z", "")).otherwise(text)
-    if compat:
-        numbered = text.rlike(rf"(?i)^.+?{NUMBERS}")
-        numbers, rest = F.when(numbered, strip(text)).otherwise(""), F.when(numbered, "").otherwise(text)
-    else:
-        split = rf"(?i)^(.*[.?!]\s+)?([^.]+{NUMBERS})"
-        numbered = text.rlike(split)
-        numbers = F.when(numbered, strip(F.regexp_extract(text, split, 2))).otherwise("")
-        rest = F.when(numbered, strip(F.regexp_extract(text, split, 1))).otherwise(text)
     et_al, plain = r"(?i)^(.+?\bet al\.?)\s+(.+)\z", r"^([^.]+?)\.\s+(.+)\z"
-    author = F.when(rest.rlike(et_al), F.regexp_extract(rest, et_al, 1)).when(rest.rlike(plain), F.regexp_extract(rest, plain, 1)).otherwise("")
-    title = F.when(rest.rlike(et_al), F.regexp_extract(rest, et_al, 2)).when(rest.rlike(plain), F.regexp_extract(rest, plain, 2)).otherwise(rest)
-    blank = ~F.coalesce(c, F.lit("")).rlike(f"[^{WS}]")
-    values = (("author", strip(author)), ("title", F.when(rest.rlike(et_al) | rest.rlike(plain), strip(title)).otherwise(title)), ("numbers", numbers), ("doi", doi))
-    return F.struct(*[F.when(blank, "").otherwise(v).alias(n) for n, v in values], c.alias("actual_ref"))
+
+    def cut(text: Column) -> Column:
+        """The DOI, and the text before it."""
+        return let(F.regexp_extract(text, DOI, 0), lambda found: F.struct(
+            F.regexp_replace(F.regexp_extract(text, DOI, 1), r"[.,;)\]}]+\z", "").alias("doi"),
+            F.when(found != "", F.regexp_replace(F.substr(text, F.lit(1), F.instr(text, found) - 1), r"[ .,;]+\z", "")).otherwise(text).alias("text")))
+
+    def numbered(x: Column) -> Column:
+        text = x["text"]
+        if compat:
+            numbers = F.when(text.rlike(rf"(?i)^.+?{NUMBERS}"), strip(text)).otherwise("")
+            rest = lambda n: F.when(n != "", "").otherwise(text)
+        else:
+            split = rf"(?i)^(?:.*[.?!]\s+)?([^.]+{NUMBERS})"
+            numbers = strip(F.regexp_extract(text, split, 1))
+            rest = lambda n: F.when(n != "", strip(F.substr(text, F.lit(1), F.length(text) - F.length(n)))).otherwise(text)
+        return let(numbers, lambda n: F.struct(x["doi"].alias("doi"), n.alias("numbers"), rest(n).alias("rest")))
+
+    def divided(x: Column) -> Column:
+        rest = x["rest"]
+        pick = lambda rx: F.struct(strip(F.regexp_extract(rest, rx, 1)).alias("author"), strip(F.regexp_extract(rest, rx, 2)).alias("title"), x["numbers"].alias("numbers"), x["doi"].alias("doi"))
+        none = F.struct(F.lit("").alias("author"), rest.alias("title"), x["numbers"].alias("numbers"), x["doi"].alias("doi"))
+        return F.when(rest.rlike(et_al), pick(et_al)).when(rest.rlike(plain), pick(plain)).otherwise(none)
+
+    text = F.regexp_replace(F.regexp_replace(squeeze(F.coalesce(c, F.lit(""))), "[‐‒–—−]", "-"), r"^\s*(?:\[\d+\]|\(\d+\)|\d+[.)])\s*", "")
+    out = let(let(let(text, cut), numbered), divided)
+    return let(out, lambda x: F.struct(x["author"].alias("author"), x["title"].alias("title"), x["numbers"].alias("numbers"), x["doi"].alias("doi"), c.alias("actual_ref")))
 
 
 def format_numbers(numbers: Column, compat: bool = True) -> Column:

@@ -6,6 +6,7 @@ White space is what Python's str.strip() and str.split() remove: Java's Unicode
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -19,6 +20,11 @@ ODD_SPACES = "\u00a0\u200b\u200c\u200d\ufeff\u2007\u202f"
 STOP_WORDS = "a an and the of in on for to with by at or vs via from as its".split()
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), with c computed once however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+\\z", "")
 
@@ -137,7 +143,7 @@ def sentence_case(c: Column) -> Column:
     """Lower case, but for ASCII letters at the start and after . ! ? and white space."""
     low = F.lower(c)
     parts = F.regexp_extract_all(low, F.lit(rf"(?s)(?:\A|(?<=[.!?])[{WS}]+)[a-z]|(?:(?!(?<=[.!?])[{WS}]+[a-z]).)"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(rf"(?s)^[{WS}]*[a-z]\z") & (F.length(p) > 1), F.upper(p)).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p, i: F.when(p.rlike(rf"(?s)^[{WS}]*[a-z]\z") & ((F.length(p) > 1) | (i == 0)), F.upper(p)).otherwise(p)), "")
 
 
 #: Characters after which sheet names are cut and the pattern of entities that journal names have.
