@@ -44,9 +44,11 @@ def doi_key(c: Column) -> Column:
 
 
 def page_info(c: Column) -> Column:
-    """year, volume, issue and pages of the first place with ; and : ; null where absent."""
+    """year, volume, issue and pages of the first place with ; and : ; null where absent.
+
+    The text is searched once; the groups come from the match, which matches itself in the same way."""
     names = ("year", "volume", "issue", "pages")
-    return F.struct(*[_none(strip(F.regexp_extract(c, PAGE_INFO, i + 1))).alias(n) for i, n in enumerate(names)])
+    return let(F.regexp_extract(c, PAGE_INFO, 0), lambda m: F.struct(*[_none(strip(F.regexp_extract(m, PAGE_INFO, i + 1))).alias(n) for i, n in enumerate(names)]))
 
 
 def separate_numbers(c: Column) -> Column:

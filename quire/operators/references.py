@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.citations import clean, doi_key, first_doi, format_authors, format_numbers, normalize_doi, page_info
-from quire.functions.text import lines, normalize_journal_name, sentence_case, strip
+from quire.functions.text import let, lines, normalize_journal_name, sentence_case, strip
 
 # Fixed values.
 OPENALEX = "title string, authorships array<struct<author:struct<display_name:string>>>, locations array<struct<raw_source_name:string>>"
@@ -150,8 +150,8 @@ def rebuild(refs: DataFrame, metadata: DataFrame, journals: DataFrame, with_edit
     authors, title = format_authors(F.col("author_names")), clean(F.col("title"))
     authors = F.when(F.size("author_names") > 0, authors).otherwise("")
     journal = F.coalesce(F.nullif(clean(F.col("med_abbr")), F.lit("")), F.get("journal_names", F.lit(0)), F.lit(""))
-    numbers = F.coalesce(format_numbers(F.struct(page_info(F.col("original"))["year"].alias("year"), page_info(F.col("original"))["volume"].alias("volume"), page_info(F.col("original"))["issue"].alias("issue"),
-                                                 page_info(F.col("original"))["pages"].alias("pages"), F.lit(None).cast("string").alias("article_number"))), F.lit(""))
+    five = lambda x: F.struct(*[x[n].alias(n) for n in ("year", "volume", "issue", "pages")], F.lit(None).cast("string").alias("article_number"))
+    numbers = F.coalesce(let(page_info(F.col("original")), lambda x: format_numbers(five(x))), F.lit(""))
     r = r.select("doc_id", "ord", "original", "doi", F.col("metadata").isNotNull().alias("known"), authors.alias("a"), title.alias("t"), journal.alias("j"), numbers.alias("n"))
     part = lambda c, text: F.when(c != "", text)
     parts = F.array_compact(F.array(part(F.col("a"), F.col("a")), part(F.col("t"), F.concat(sentence_case(F.col("t")), F.lit("."))), part(F.col("j"), F.concat("j", F.lit("."))),

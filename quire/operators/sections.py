@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quire.functions.lexicon import BODY
+from quire.functions.text import let
 from quire.operators.headings import screened
-from quire.operators.marks import add_marks, norm_for_similarity, ratio
+from quire.operators.marks import norm_for_similarity, ratio, with_marks
 from quire.sources.text_reader import read_blocks
 
 # Fixed values.
@@ -43,12 +41,6 @@ def standard_element(section_type: Column) -> Column:
     return F.when(section_type.startswith("abstract_"), "Abstract").otherwise(out)
 
 
-def full_texts(blocks: DataFrame) -> DataFrame:
-    """doc_id, full_text, n_blocks, starts and ends of blocks."""
-    g = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text", "start", "end"))).alias("b"))
-    return g.select("doc_id", F.array_join("b.text", "\n").alias("full_text"), F.size("b").alias("n_blocks"), F.col("b.start").alias("starts"), F.col("b.end").alias("ends"))
-
-
 def tree(marks: DataFrame) -> DataFrame:
     """Adds id, parent_id and next_block (the block of the next mark of the same or a higher level, null at the end).
 
@@ -75,18 +67,43 @@ def sequence_bonus() -> Column:
     return F.when(order.isNotNull() & steady, 0.05).otherwise(0.0)
 
 
-def sections_of(marks: DataFrame, texts: DataFrame) -> DataFrame:
-    """Sections with spans and texts; confidence has the bonus but no duplicate penalty yet."""
-    s = tree(marks).withColumn("bonus", sequence_bonus()).join(texts, "doc_id")
-    end_block = F.greatest(F.col("idx"), F.coalesce(F.col("next_block"), F.col("n_blocks")) - 1)
-    s = s.select("*", end_block.alias("end_block"), F.get("starts", F.col("idx")).alias("start"))
-    s = s.withColumn("end", F.get("ends", F.col("end_block")))
-    base = F.greatest(F.lit(0.15), F.least(F.lit(0.97), F.col("conf")))
-    return s.select(
-        "doc_id", "id", "parent_id", "section_type", "name", "level", F.col("idx").alias("start_block"), "end_block", F.col("start").alias("start_position"), F.col("end").alias("end_position"),
-        F.substr("full_text", F.col("start") + 1, F.col("end") - F.col("start")).alias("extracted_text"),
-        F.when(F.col("bonus") > 0, F.least(F.lit(0.97), base + F.col("bonus"))).otherwise(base).alias("confidence"), "evidence", "flags",
-    )
+def _tree_in_row(m: Column) -> Column:
+    """The tree of an array of marks in (idx, level) order: adds id, parent_id and next_block, as tree() does over rows."""
+    def place(x: Column, i: Column) -> Column:
+        above = F.array_max(F.transform(F.slice(m, F.lit(1), i), lambda y, j: F.when(y["level"] < x["level"], j + 1)))
+        after = F.array_min(F.transform(F.slice(m, i + 2, F.size(m)), lambda y: F.when(y["level"] <= x["level"], y["idx"])))
+        return F.struct(x.alias("m"), (i + 1).alias("id"), above.alias("parent_id"), after.alias("next_block"))
+
+    return F.transform(m, place)
+
+
+def _order(section_type: Column, level: Column) -> Column:
+    out = F.lit(None).cast("double")
+    for t, v in IMRAD_ORDER.items():
+        out = F.when((section_type == t) & (level == 1), v).otherwise(out)
+    return out
+
+
+def section_arrays(marked: DataFrame) -> DataFrame:
+    """marked: with_marks() with text, start and end kept. doc_id and sections (an array, in order)."""
+    by_place = F.array_sort("marks", lambda a, b: F.when((a["idx"] < b["idx"]) | ((a["idx"] == b["idx"]) & (a["level"] < b["level"])), -1).when((a["idx"] == b["idx"]) & (a["level"] == b["level"]), 0).otherwise(1))
+    orders = lambda marks: F.filter(F.transform(marks, lambda m: _order(m["section_type"], m["level"])), lambda o: o.isNotNull())
+    steady = lambda seen: (F.size(seen) >= 3) & (seen == F.array_sort(seen))
+    # let(): what the lambdas below use must be computed once per document, not once per section.
+    doc = let(by_place, lambda m: F.struct(
+        F.array_join("blocks.text", "\n").alias("full_text"), F.col("blocks.start").alias("starts"), F.col("blocks.end").alias("ends"), _tree_in_row(m).alias("tree"), let(orders(m), steady).alias("steady")))
+
+    def section(d: Column, x: Column) -> Column:
+        m = x["m"]
+        end_block = F.greatest(m["idx"], F.coalesce(x["next_block"], F.size(d["starts"])) - 1)
+        start, end = F.get(d["starts"], m["idx"]), F.get(d["ends"], end_block)
+        base = F.greatest(F.lit(0.15), F.least(F.lit(0.97), m["conf"]))
+        sure = F.when(_order(m["section_type"], m["level"]).isNotNull() & d["steady"], F.least(F.lit(0.97), base + 0.05)).otherwise(base)
+        return F.struct(x["id"].alias("id"), x["parent_id"].alias("parent_id"), m["section_type"].alias("section_type"), m["name"].alias("name"), m["level"].alias("level"), m["idx"].alias("start_block"), end_block.alias("end_block"),
+                        start.alias("start_position"), end.alias("end_position"), F.substr(d["full_text"], start + 1, end - start).alias("extracted_text"), sure.alias("confidence"), m["evidence"].alias("evidence"), m["flags"].alias("flags"))
+
+    made = let(doc, lambda d: F.transform(d["tree"], lambda x: section(d, x)))
+    return marked.select("doc_id", made.alias("sections"))
 
 
 def find_duplicates(sections: list[dict]) -> dict[int, dict]:
@@ -137,25 +154,49 @@ def find_duplicates(sections: list[dict]) -> dict[int, dict]:
     return out
 
 
-def add_duplicates(sections: DataFrame) -> DataFrame:
-    """Adds duplicate_of; lowers the confidence of duplicates and settles it and uncertain.
+DUPLICATES = "array<struct<id:int,duplicate_of:int,penalty:double,evidence:array<string>>>"
+COMPARED_FIELDS = ("id", "parent_id", "section_type", "start_position", "end_position", "extracted_text")
+
+
+def _duplicates_udf():
+    kind = pa.list_(pa.struct([("id", pa.int32()), ("duplicate_of", pa.int32()), ("penalty", pa.float64()), ("evidence", pa.list_(pa.string()))]))
+
+    @F.arrow_udf(DUPLICATES)
+    def duplicates(sections: pa.Array) -> pa.Array:
+        return pa.array([[{"id": i, **x} for i, x in find_duplicates(s or []).items()] for s in sections.to_pylist()], kind)
+
+    return duplicates.asNondeterministic()  # so that the plan evaluates it once, where it stands
+
 
-    Only sections whose type occurs again in their document are compared; the others never leave the JVM."""
-    typed = sections.withColumn("__again", F.count("*").over(Window.partitionBy("doc_id", "section_type")) > 1)
-    compared = typed.filter(F.col("__again") & F.col("section_type").isin(sorted(DUPLICATE_TYPES | SINGLETON_TYPES)))
-    groups = compared.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "parent_id", "section_type", "start_position", "end_position", "extracted_text"))).alias("s"))
-    schema = T.StructType([groups.schema["doc_id"], T.StructField("id", T.IntegerType()), T.StructField("duplicate_of", T.IntegerType()), T.StructField("__penalty", T.DoubleType()), T.StructField("__more", T.ArrayType(T.StringType()))])
+def settle_duplicates(docs: DataFrame) -> DataFrame:
+    """docs: section_arrays(). Sections get duplicate_of; duplicates lose confidence; uncertain follows from it.
+
+    Only documents in which a type occurs again are compared; the others never leave the JVM."""
+    kinds = F.filter(F.transform("sections", lambda s: s["section_type"]), lambda t: t.isin(sorted(DUPLICATE_TYPES | SINGLETON_TYPES)))
+    compared = F.when(F.size(kinds) > F.size(F.array_distinct(kinds)), F.transform("sections", lambda s: F.struct(*[s[c].alias(c) for c in COMPARED_FIELDS])))
+    found = F.coalesce(_duplicates_udf()(compared), F.array().cast(DUPLICATES))
+    names = ("id", "parent_id", "section_type", "name", "level", "start_block", "end_block", "start_position", "end_position", "extracted_text", "confidence", "evidence", "flags")
+
+    def settled(s: Column, all_: Column) -> Column:
+        mine = F.get(F.filter(all_, lambda x: x["id"] == s["id"]), F.lit(0))
+        sure = F.greatest(F.lit(0.15), F.least(F.lit(0.97), s["confidence"] - F.coalesce(mine["penalty"], F.lit(0.0))))
+        changed = {"confidence": sure, "evidence": F.concat(s["evidence"], F.coalesce(mine["evidence"], F.array().cast("array<string>")))}
+        return F.struct(*[changed.get(n, s[n]).alias(n) for n in names], mine["duplicate_of"].alias("duplicate_of"), (sure < 0.7).alias("uncertain"))
+
+    both = F.struct(F.col("sections").alias("s"), found.alias("d"))
+    return docs.select("doc_id", let(both, lambda x: F.transform(x["s"], lambda s: settled(s, x["d"]))).alias("sections"))
+
+
+def add_duplicates(sections: DataFrame) -> DataFrame:
+    """The same for sections in rows (doc_id and a section's columns)."""
+    names = ("id", "parent_id", "section_type", "name", "level", "start_block", "end_block", "start_position", "end_position", "extracted_text", "confidence", "evidence", "flags")
+    docs = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*names[:-1]))).alias("s"), F.map_from_entries(F.collect_list(F.struct("id", "flags"))).alias("f"))
+    with_flags = F.transform("s", lambda x: F.struct(*[x[n].alias(n) for n in names[:-1]], F.try_element_at("f", x["id"]).alias("flags")))
+    return in_rows(settle_duplicates(docs.select("doc_id", with_flags.alias("sections"))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(d, i, x["duplicate_of"], x["penalty"], x["evidence"]) for d, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, x in find_duplicates(s).items()]
-            types = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], schema.names)
 
-    out = sections.join(groups.mapInArrow(run, schema), ["doc_id", "id"], "left")
-    out = out.withColumn("confidence", F.greatest(F.lit(0.15), F.least(F.lit(0.97), F.col("confidence") - F.coalesce(F.col("__penalty"), F.lit(0.0)))))
-    more = F.coalesce(F.col("__more"), F.array().cast("array<string>"))
-    return out.withColumn("uncertain", F.col("confidence") < 0.7).withColumn("evidence", F.concat("evidence", more)).drop("__penalty", "__more")
+def in_rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.explode("sections").alias("s")).select("doc_id", "s.*")
 
 
 def extract_sections(docs: DataFrame, doc_id: str = "doc_id", raw: str = "raw") -> DataFrame:
@@ -165,7 +206,9 @@ def extract_sections(docs: DataFrame, doc_id: str = "doc_id", raw: str = "raw")
 
 
 def sections_of_blocks(blocks: DataFrame, text_mode: bool) -> DataFrame:
-    return add_duplicates(sections_of(add_marks(screened(blocks, text_mode), text_mode), full_texts(blocks)))
+    """Blocks to sections. Blocks meet once by document; the tree, its texts and its duplicates are made within that row."""
+    marked = with_marks(screened(blocks, text_mode), text_mode, keep=("text", "start", "end"))
+    return in_rows(settle_duplicates(section_arrays(marked)))
 
 
 def section_records(sections: DataFrame) -> DataFrame:

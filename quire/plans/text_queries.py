@@ -326,7 +326,7 @@ DUPES = DUPES.replace("FROM {nation}, {region} WHERE 1 = 1", "FROM {nation} CROS
 @derived("rule_14_near_duplicates", DUPES, "SELECT doc_id, id, CASE id WHEN 1 THEN 3 WHEN 2 THEN 3 END::INT AS duplicate_of, CASE id WHEN 3 THEN 0.9 ELSE 0.75 END::DOUBLE AS confidence FROM i")
 def near_duplicates(i):
     # 1 and 2 have one text, so 2 is flagged with 1 as its primary; 3 contains 1 and is longer, so 1 is flagged and 2 follows.
-    s = i.withColumn("evidence", F.array().cast("array<string>"))
+    s = i.withColumns({"evidence": F.array().cast("array<string>"), "name": F.lit(""), "start_block": F.lit(0), "end_block": F.lit(0), "flags": F.lit(None).cast("map<string,string>")})
     return sections.add_duplicates(s).select("doc_id", "id", "duplicate_of", F.round("confidence", 6).alias("confidence"))
 
 
