@@ -26,7 +26,7 @@ def format_of(path: Column) -> Column:
 def read_texts(spark, path: str) -> DataFrame:
     """Whole files: path, raw. Invalid UTF-8 is replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.filter(format_of(F.col("path")) == "text").select("path", F.decode("content", "UTF-8").alias("raw"))
+    return files.filter(format_of(F.col("path")) == "text").select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("raw"))
 
 
 def text_lines(docs: DataFrame, doc_id: str = "doc_id", raw: str = "raw") -> DataFrame:
