@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from quire.llm.common import settle, unit_hash
 
 SHARDS = 16
-#: Ranges per shard before subdivision, sampled keys per range, and the size (in mean ranges) over which a range is overfull.
-RANGES_PER_SHARD, KEYS_PER_RANGE, OVERFULL = 16, 16, 2.0
+#: Ranges per shard at least, bytes of a range beyond that, ranges at most (splitters and counts of ranges are on the driver), sampled
+#: keys per range, and the size (in mean ranges) over which a range is overfull and divided.
+RANGES_PER_SHARD, RANGE_BYTES, MAX_RANGES, KEYS_PER_RANGE, OVERFULL = 16, 64 << 20, 1 << 16, 16, 2.0
 
 
 def utf8(text: Column) -> Column:
@@ -79,9 +80,9 @@ def ranged(keys: DataFrame, splitters: np.ndarray) -> DataFrame:
 
 def find_splitters(keys: DataFrame, shards: int = SHARDS, max_rounds: int = 8) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
     """Splitters whose ranges are not overfull, and rows and bytes by range. One record larger than a range stays whole."""
-    parts = shards * RANGES_PER_SHARD
     first = keys.agg(F.sum("size").alias("s"), F.max("size").alias("m")).first()
     total, largest = int(first.s or 0), int(first.m or 0)
+    parts = max(shards * RANGES_PER_SHARD, min(MAX_RANGES, total // RANGE_BYTES))
     splitters = quantiles(*sample(keys, total, parts * KEYS_PER_RANGE), parts)
     mean = total / parts
     for _ in range(max_rounds):
