@@ -321,6 +321,42 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 5, 8]
 
 
+def jaccard(a, b):
+    x, y = (set(simhash_dedup.shingle_hashes(t).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 0.0
+
+
+def near_copy(rng, text, edits):
+    w = text.split()
+    for i in rng.sample(range(len(w)), edits):
+        w[i] = f"new{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("max_posting", [3, 64])
+def test_similar_links(spark, max_posting):
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(500)]
+    texts = []
+    for _ in range(25):
+        base = random_text(rng, words, 150)
+        texts += [base, *(near_copy(rng, base, e) for e in (1, 2, 3, 8, 20))]
+    texts += ["", "a b", "short text of few words here"]
+    keyed = {i: t for i, t in enumerate(texts)}
+    got = {(r.a, r.b) for r in simhash_dedup.similar_links(spark.createDataFrame(list(keyed.items()), "h bigint, text string"), max_posting).collect()}
+    want = {(i, j) for i in keyed for j in keyed if i < j and jaccard(keyed[i], keyed[j]) >= 0.8}
+    assert got <= want and len(got) >= 0.97 * len(want) > 40
+
+
+def test_keep_one_of_similar_texts(spark):
+    rng = random.Random(14)
+    base = random_text(rng, [f"w{i}" for i in range(300)], 200)
+    texts = [near_copy(rng, base, 2), base, near_copy(rng, base, 3), random_text(rng, ["x", "y", "z"], 50), near_copy(rng, base, 60)]
+    kept = sorted(r.doc_id for r in simhash_dedup.keep_one(docs_of(spark, texts, [9, 4, 6, 7, 8])).collect())
+    assert kept == [4, 7, 8]
+    assert simhash_dedup.keep_one(docs_of(spark, texts).limit(0)).count() == 0
+
+
 # 7: HTML
 
 

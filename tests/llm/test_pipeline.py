@@ -4,7 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from quire.llm import decontaminate, mixing, quality
+from quire.llm import decontaminate, mixing, quality, simhash_dedup
 from tests.llm.test_operators import brute_components, brute_print
 
 SF = "/root/testdata/sf0.001"
@@ -37,6 +37,26 @@ def cut(text, items, window=10):
     return out + text[at:]
 
 
+def without_similar(texts, least=0.8):
+    """Of each component of texts with that Jaccard similarity over five-word shingles, the smallest id."""
+    sets = {d: set(simhash_dedup.shingle_hashes(t).tolist()) for d, t in texts.items()}
+    ids = sorted(texts)
+    first = {d: d for d in ids}
+
+    def find(d):
+        while first[d] != d:
+            d = first[d]
+        return d
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            common = len(sets[a] & sets[b])
+            if common and common >= least * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((find(a), find(b)))
+                first[y] = x
+    return {d: t for d, t in texts.items() if find(d) == d}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -44,6 +64,7 @@ def test_pipeline(spark):
     texts = {d: t for d, t in texts.items() if model.score(quality.count_terms([(t or "").encode()]))[0] >= quality.THRESHOLD}
     groups = brute_components({d: brute_print(t) for d, t in texts.items()})
     texts = {d: t for d, t in texts.items() if groups[d] == d}
+    texts = without_similar(texts)
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     texts = {d: c for d, t in texts.items() if (c := cut(t, items)) is not None}
     left = spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string")
