@@ -40,10 +40,10 @@ FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u s
 
 #: Words of class, id and role values that mark what is no main text.
 BOILERPLATE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promoted promotion "
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside widget widgets footer header masthead topbar "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search "
-    "share sharing social related recommended recommendations comment comments reply replies discussion disqus respond pagination pager toolbar skip "
+    "ad ads adv advert adverts advertisement advertisements advertising adbox adslot adunit adsbygoogle adsense banner banners sponsor sponsored promo promos promoted promotion "
+    "nav navbar navigation subnav topnav menu menus menubar breadcrumb breadcrumbs sidebar sidebars side aside widget widgets footer header masthead topbar "
+    "cookie cookies cookiebar consent gdpr privacy notice notices announcement alert alerts popup popups modal overlay newsletter subscribe subscription paywall signup login search "
+    "share sharing social related recommended recommendations comment comments commentlist usercomments feedback reply replies discussion disqus respond pagination pager toolbar skip "
     "complementary contentinfo".split()
 )
 #: Names that say what a wrapper has or lacks, not what it is.

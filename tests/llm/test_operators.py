@@ -376,6 +376,9 @@ def test_html_templates(spark):
     ("<article><h1>A</h1><p>b <b>c</b>d<p>e<br>f<ul><li>1<li>2</ul></article><footer>x</footer>", "A b cd e f 1 2"),
     ("<nav>n</nav><header>h</header><main>m<aside>a</aside><form>f</form><script>if (a<b) '</p>'</script><style>s</style></main>", "m"),
     ("<article>t<div class=comments><article>c</article></div><div id='cookie-notice'>k</div><section class='has-sidebar'>s</section></article>", "t s"),
+    ("<body><div role='navigation'>r</div><div class='Cookie-Notice'>c</div><article>t<div class='adsbygoogle'>a</div><p>u</p><section id='comments'><p>x</p></section></article><div class='sidebar'>s</div></body>", "t u"),
+    ("<div hidden>h</div><div style='display: none'>d</div><noscript>n</noscript><template>t</template><p>p</p><select><option>o</select><button>b</button>", "p"),
+    ("<article><table><tr><td>a<td>b<tr><td>c</table><pre>x\n  y</pre><blockquote>q</blockquote><h2>h</h2></article>", "a b c x y q h"),
     ("<article>a &lt;b&gt; &#233;&eacute; &am &amp", "a <b> éé &am &"),
     ("plain\n\n text &nbsp; x", "plain text x"), ("", ""), ("<p", ""), ("<!-- <p>x</p> -->y", "y"), ("<div>a<div>b</div>c", "a b c"),
     ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>", "deep"),
