@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
@@ -177,11 +176,3 @@ def json_rows() -> UserDefinedTableFunction:
                 yield i, o
 
     return F.udtf(JsonRows, returnType="pos int, object string")
-
-
-def is_json(text: str) -> bool:
-    try:
-        json.loads(text)
-    except ValueError:
-        return False
-    return True

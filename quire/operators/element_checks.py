@@ -6,8 +6,6 @@ model has to judge (names, wording) comes from a table of responses instead; see
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +92,3 @@ def highlight_first(text: Column, target: Column, color: str = "FFFF0000") -> Co
     none = F.array().cast("array<struct<start:int,end:int>>")
     found = F.array(F.struct((at - 1).cast("int").alias("start"), (at - 1 + F.length(target)).cast("int").alias("end")))
     return rich_spans(text, F.when((at > 0) & (target != ""), found).otherwise(none), color)
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
