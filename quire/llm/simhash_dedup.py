@@ -18,7 +18,7 @@ exact verification.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -165,19 +165,27 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     prints = settle(fingerprints(docs, doc_id, text, keep=(f"xxhash64(`{text}`) AS h", f"`{doc_id}` IS NULL AS no_id")))
     groups = linked(prints.select("fp", F.struct("no_id", "doc_id", "h").alias("first")))
     kept = settle(groups.groupBy("root").agg(F.first("component_first").alias("k")).select("k.*"))
-    texts = docs.select(h.alias("h"), F.col(text).alias("text")).join(kept.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
-    comp = settle(components(similar_links(texts)))
+    # Rows are met by id and text hash: a text that many rows share is no hot key, and bands are made before the shuffle.
+    rows = docs.select(F.col(doc_id).alias("doc_id"), h.alias("h"), F.col(text).alias("__text"))
+
+    def of(left: DataFrame, right: DataFrame) -> DataFrame:
+        right = right.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+        return left.join(right, left["doc_id"].eqNullSafe(right["__id"]) & (left["h"] == right["__h"]), "left_semi")
+
+    bands = settle(of(text_bands(rows), kept).select("h", "bands").dropDuplicates(["h"]))
+    sets_of = lambda wanted: text_sets(of(rows, kept.join(wanted, "h"))).select("h", "s").dropDuplicates(["h"])
+    comp = settle(components(similar_links(bands, sets_of)))
     linked_rows = comp.join(kept.withColumnRenamed("h", "node"), "node")
     firsts = linked_rows.groupBy("root").agg(F.min(F.struct("no_id", "doc_id", "node")).alias("first"))
     losers = linked_rows.join(firsts, "root").filter(F.col("node") != F.col("first.node")).select(F.col("node").alias("h"))
     chosen = settle(kept.join(losers, "h", "left_anti")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
-    rows = docs.join(chosen, docs[doc_id].eqNullSafe(chosen["__id"]) & (F.xxhash64(docs[text]) == chosen["__h"]), "left_semi")
+    stay = docs.join(chosen, docs[doc_id].eqNullSafe(chosen["__id"]) & (F.xxhash64(docs[text]) == chosen["__h"]), "left_semi")
     repeated = prints.groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     if not repeated:
-        return rows
+        return stay
     # Rows with the same id and text: one of each stays.
     columns = docs.columns
-    return rows.withColumn("__h", F.xxhash64(text)).dropDuplicates([doc_id, "__h"]).select(*[F.col(f"`{c}`") for c in columns])
+    return stay.withColumn("__h", F.xxhash64(text)).dropDuplicates([doc_id, "__h"]).select(*[F.col(f"`{c}`") for c in columns])
 
 
 #: Similar texts: words of a shingle, least similarity, bands of min-hashes and their rows, and bands that a pair must share. A pair at
@@ -228,12 +236,21 @@ def _mapped(rows: DataFrame, name: str, of) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def similar_links(texts: DataFrame, max_posting: int = MAX_POSTING, similarity: float = SIMILARITY) -> DataFrame:
-    """texts: h (one row per text) and text. Links a < b between texts of at least the similarity.
+def text_bands(rows: DataFrame) -> DataFrame:
+    """rows with a column __text: their other columns and bands."""
+    return _mapped(rows, "bands", lambda t: band_keys(shingle_hashes(t)))
+
+
+def text_sets(rows: DataFrame) -> DataFrame:
+    """rows with a column __text: their other columns and s, the hashes of the shingles."""
+    return _mapped(rows, "s", lambda t: shingle_hashes(t).view(np.int64))
+
+
+def similar_links(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], max_posting: int = MAX_POSTING, similarity: float = SIMILARITY) -> DataFrame:
+    """bands: h (one row per text) and bands. sets_of: from distinct h to h and s. Links a < b between texts of at least the similarity.
 
     Postings of the bands are paired; longer postings are first divided by the next band and the band after it, and what is still long
     is linked to its first member only. Pairs that share SHARED bands (all pairs of divided postings) are verified exactly."""
-    bands = settle(_mapped(texts.select("h", F.col("text").alias("__text")), "bands", lambda t: band_keys(shingle_hashes(t))))
     entry = lambda i: F.struct(F.lit(i).alias("c"), F.get("bands", F.lit(i)).alias("key"), F.xxhash64(F.get("bands", F.lit((i + 1) % BANDS))).alias("k1"), F.xxhash64(F.get("bands", F.lit((i + 2) % BANDS))).alias("k2"))
     index = bands.filter(F.size("bands") > 0).select("h", F.explode(F.array(*[entry(i) for i in range(BANDS)])).alias("e")).select("h", "e.*")
 
@@ -254,7 +271,7 @@ def similar_links(texts: DataFrame, max_posting: int = MAX_POSTING, similarity:
         pairs = pairs.unionByName(paired(divided, "c", "key", other)).unionByName(star)
     pairs = settle(pairs.distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    sets = settle(_mapped(texts.join(wanted, "h", "left_semi").select("h", F.col("text").alias("__text")), "s", lambda t: shingle_hashes(t).view(np.int64)))
+    sets = settle(sets_of(wanted))
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")

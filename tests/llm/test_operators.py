@@ -343,7 +343,9 @@ def test_similar_links(spark, max_posting):
         texts += [base, *(near_copy(rng, base, e) for e in (1, 2, 3, 8, 20))]
     texts += ["", "a b", "short text of few words here"]
     keyed = {i: t for i, t in enumerate(texts)}
-    got = {(r.a, r.b) for r in simhash_dedup.similar_links(spark.createDataFrame(list(keyed.items()), "h bigint, text string"), max_posting).collect()}
+    rows = spark.createDataFrame(list(keyed.items()), "h bigint, __text string")
+    links = simhash_dedup.similar_links(simhash_dedup.text_bands(rows), lambda wanted: simhash_dedup.text_sets(rows.join(wanted, "h")), max_posting)
+    got = {(r.a, r.b) for r in links.collect()}
     want = {(i, j) for i in keyed for j in keyed if i < j and jaccard(keyed[i], keyed[j]) >= 0.8}
     assert got <= want and len(got) >= 0.97 * len(want) > 40
 
