@@ -11,7 +11,7 @@ posting and loses no link's connection. Equal fingerprints are one node, so copi
 alternating large-star and small-star steps on the links.
 
 SimHash within 2 bits finds close copies only: of 48 pairs of sf0.1 with a Jaccard similarity of 0.8 or more over five-word shingles, 1
-is within 2 bits, and no guaranteed number of shared bytes holds at the 14 bits that would be needed. So keep_one(), which the
+is within 2 bits, and no guaranteed number of shared bytes holds at the 11 bits that would be needed. So keep_one(), which the
 pipeline uses, also links texts of that similarity: the same index with count filtering over bands of min-hashes instead of bytes, and
 exact verification.
 """
