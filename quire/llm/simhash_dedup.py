@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -191,6 +192,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 #: Similar texts: words of a shingle, least similarity, bands of min-hashes and their rows, and bands that a pair must share. A pair at
 #: the least similarity shares so many bands with probability 0.997.
 WIDE_SHINGLE, SIMILARITY, BANDS, ROWS, SHARED = 5, 0.8, 16, 4, 2
+#: Postings of bands up to this length are compared within one task; also the texts of a block of longer ones. Texts that are compared
+#: with all others of such a posting before the blocks are.
+MAX_WHOLE, PIVOTS = 256, 2
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -246,35 +250,133 @@ def text_sets(rows: DataFrame) -> DataFrame:
     return _mapped(rows, "s", lambda t: shingle_hashes(t).view(np.int64))
 
 
-def similar_links(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], max_posting: int = MAX_POSTING, similarity: float = SIMILARITY) -> DataFrame:
-    """bands: h (one row per text) and bands. sets_of: from distinct h to h and s. Links a < b between texts of at least the similarity.
-
-    Postings of the bands are paired; longer postings are first divided by the next band and the band after it, and what is still long
-    is linked to its first member only. Pairs that share SHARED bands (all pairs of divided postings) are verified exactly."""
-    entry = lambda i: F.struct(F.lit(i).alias("c"), F.get("bands", F.lit(i)).alias("key"), F.xxhash64(F.get("bands", F.lit((i + 1) % BANDS))).alias("k1"), F.xxhash64(F.get("bands", F.lit((i + 2) % BANDS))).alias("k2"))
-    index = bands.filter(F.size("bands") > 0).select("h", F.explode(F.array(*[entry(i) for i in range(BANDS)])).alias("e")).select("h", "e.*")
-
-    def sized(rows: DataFrame, *keys: str) -> DataFrame:
-        sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("h").alias("first")).filter("n > 1")
-        return settle(rows.join(sizes, list(keys)))
-
-    def paired(posting: DataFrame, *keys: str) -> DataFrame:
-        short = posting.filter(F.col("n") <= max_posting)
-        return short.select(*keys, F.col("h").alias("a")).join(short.select(*keys, F.col("h").alias("b")), list(keys)).filter("a < b").select("a", "b")
-
-    whole = sized(index, "c", "key")
-    pairs = paired(whole, "c", "key").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED).select("a", "b")
-    long = whole.filter(F.col("n") > max_posting).select("h", "c", "key", "k1", "k2")
-    for other in ("k1", "k2"):
-        divided = sized(long, "c", "key", other)
-        star = divided.filter((F.col("n") > max_posting) & (F.col("first") < F.col("h"))).select(F.col("first").alias("a"), F.col("h").alias("b"))
-        pairs = pairs.unionByName(paired(divided, "c", "key", other)).unionByName(star)
-    pairs = settle(pairs.distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    sets = settle(sets_of(wanted))
-    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+def _near(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Links between the texts of one task (side 0), or of its side 1 with its side 2. rows: h, lab, s, cs and ks (the text's long
+    postings), c, side and whole. Only pairs of different lab are compared; if not whole, linked labs become one, so that the links
+    are a forest. A pair is compared under the first of its common long postings only, and must have SHARED of them."""
+    rows = rows.sort_values("h")
+    h, lab, side = (rows[x].to_numpy(copy=True) for x in ("h", "lab", "side"))
+    c, whole = int(rows.c.iloc[0]), bool(rows.whole.iloc[0])
+    keys, has = np.zeros((len(h), BANDS), np.int64), np.zeros((len(h), BANDS), bool)
+    for i, (cs, ks) in enumerate(zip(rows.cs, rows.ks)):
+        keys[i, cs], has[i, cs] = ks, True
+    sizes = np.fromiter(map(len, rows.s), np.int64, len(h))
+    ids = np.unique(np.concatenate(list(rows.s)), return_inverse=True)[1].ravel()
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    present = np.zeros(int(ids.max()) + 1, bool)
+    right = side != 1
+    out: list[tuple[int, int]] = []
+    for i in np.flatnonzero(side != 2):
+        same = (keys == keys[i]) & has & has[i]
+        fit = right & (lab != lab[i]) & same[:, c] & ~same[:, :c].any(axis=1) & (same.sum(axis=1) >= SHARED)
+        fit &= np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i])
+        if side[i] == 0:
+            fit[: i + 1] = False
+        if not fit.any():
+            continue
+        own = ids[starts[i] : starts[i] + sizes[i]]
+        present[own] = True
+        common = np.add.reduceat(present[ids], starts, dtype=np.int64)
+        present[own] = False
+        for j in np.flatnonzero(fit & (common >= similarity * (sizes + sizes[i] - common))):
+            if lab[i] != lab[j]:
+                out.append((min(h[i], h[j]), max(h[i], h[j])))
+                if not whole:
+                    lab[lab == lab[j]] = lab[i]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def similar_links(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], max_posting: int = MAX_POSTING, similarity: float = SIMILARITY,
+                  max_whole: int = MAX_WHOLE) -> DataFrame:
+    """bands: h (one row per text), bands, and, if known, root (the smallest h of the texts that it is linked to anyway). sets_of: from
+    distinct h to h and s. Links a < b between texts of at least the similarity. With the links to the roots, their components are those of
+    all such pairs that share SHARED bands, whatever the lengths of the postings.
+
+    Postings up to max_posting are paired by a join and verified, with the bands counted that a pair shares in longer ones. Postings up to
+    max_whole are compared within one task each. In those beyond, the texts that have most band mates are compared with all others,
+    and what is in different components then is compared pair by pair, in blocks; a posting of one component is finished."""
+    if "root" not in bands.columns:
+        bands = bands.withColumn("root", F.col("h"))
+    index = bands.filter(F.size("bands") > 0).select("h", "root", F.posexplode("bands").alias("c", "key"))
+    sizes = index.groupBy("c", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    posting = settle(index.join(sizes, ["c", "key"]))
+    own = F.array_sort(F.collect_list(F.struct("c", "key")))
+    long = posting.filter(F.col("n") > max_posting)
+    long = settle(long.groupBy("h", "root").agg(own.alias("o"), F.sum("n").alias("mates")).select("h", "root", "mates", F.col("o.c").alias("cs"), F.col("o.key").alias("ks")))
+    any_long = bool(long.limit(1).count())
+
+    short = posting.filter(F.col("n") <= max_posting).select("h", "root", "c", "key")
+    shared = F.lit(0)
+    if any_long:
+        short = short.join(long.select("h", F.arrays_zip("cs", "ks").alias("o")), "h", "left")
+        shared = F.coalesce(F.size(F.array_intersect("oa", "ob")), F.lit(0))
+        shared = F.when(F.col("oa").isNull() | F.col("ob").isNull(), F.lit(0)).otherwise(shared)
+    side = lambda x: short.select("c", "key", *[F.col(k).alias(v) for k, v in {"h": x, "root": f"r{x}", "o": f"o{x}"}.items() if k in short.columns])
+    met = side("a").join(side("b"), ["c", "key"]).filter("a < b AND ra <> rb").select("a", "b", shared.alias("m"))
+    pairs = settle(met.groupBy("a", "b").agg((F.count("*") + F.first("m")).alias("n")).filter(F.col("n") >= SHARED).select("a", "b"))
+    # A text with one long posting shares at most one with any other: its pairs have met in short ones, or have too few.
+    long = long.filter(F.size("cs") >= SHARED)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h"))
+    sets = settle(sets_of((wanted.unionByName(long.select("h")) if any_long else wanted).distinct()))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+    if not any_long:
+        return verified(pairs)
+    compared = lambda tasks: tasks.groupBy("task").applyInPandas(lambda rows: _near(rows, similarity), "a bigint, b bigint")
+    parts = ["h", "lab", "cs", "ks", "c", "key"]
+    entries = settle(long.select("*", F.explode(F.arrays_zip("cs", "ks")).alias("e")).select("h", "root", "mates", "cs", "ks", F.col("e.cs").alias("c"), F.col("e.ks").alias("key")))
+    lengths = entries.groupBy("c", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    middle = entries.join(lengths.filter(F.col("n") <= max_whole).select("c", "key"), ["c", "key"]).withColumn("lab", F.col("root"))
+    middle = middle.select(*parts).join(sets, "h").withColumns({"side": F.lit(0), "whole": F.lit(True), "task": F.struct("c", "key")})
+    edges = settle(verified(pairs).unionByName(compared(middle)).distinct())
+    huge = entries.join(lengths.filter(F.col("n") > max_whole).select("c", "key"), ["c", "key"])
+    if not huge.limit(1).count():
+        return edges
+    huge = settle(huge)
+    rooted = bands.filter("root <> h").select(F.col("root").alias("a"), F.col("h").alias("b"))
+
+    def unfinished() -> DataFrame:
+        """The entries of the huge postings that have several components, with the component as lab."""
+        comp = components(edges.unionByName(rooted)).select(F.col("node").alias("h"), F.col("root").alias("lab"))
+        rows = huge.join(comp, "h", "left").withColumn("lab", F.coalesce("lab", "h"))
+        several = rows.groupBy("c", "key").agg(F.min("lab").alias("x"), F.max("lab").alias("y")).filter("x < y").select("c", "key")
+        return settle(rows.join(several, ["c", "key"]))
+
+    rows = unfinished()
+    used = None
+    for _ in range(PIVOTS):
+        if not rows.limit(1).count():
+            return edges
+        free = rows.groupBy("c", "key", "lab").agg(F.max(F.struct("mates", "h")).alias("top"))
+        if used is not None:  # not the component of an earlier pivot
+            free = free.join(rows.join(used, ["c", "key", "h"]).select("c", "key", "lab"), ["c", "key", "lab"], "left_anti")
+        pivots = settle(free.groupBy("c", "key").agg(F.max(F.struct("top", "lab")).alias("p")).select("c", "key", F.col("p.top.h").alias("p"), F.col("p.lab").alias("plab")))
+        star = rows.join(pivots, ["c", "key"]).filter("lab <> plab").select(F.least("h", "p").alias("a"), F.greatest("h", "p").alias("b")).distinct()
+        edges = settle(edges.unionByName(verified(star)).distinct())
+        chosen = pivots.select("c", "key", F.col("p").alias("h"))
+        used = chosen if used is None else used.unionByName(chosen)
+        rows = unfinished()
+    if not rows.limit(1).count():
+        return edges
+    # What is left: blocks of large components and blocks of all others. Two blocks of one component need no comparison.
+    counts = rows.groupBy("c", "key", "lab").agg(F.count("*").alias("m"))
+    pool = counts.filter(F.col("m") < max_whole).groupBy("c", "key").agg(F.sum("m").alias("pool"))
+    big = F.col("m") >= max_whole
+    blocked = rows.join(counts, ["c", "key", "lab"]).join(pool, ["c", "key"], "left")
+    blocked = blocked.withColumn("one", F.when(big, F.col("lab"))).withColumn("blk", F.xxhash64("one", F.pmod(F.xxhash64("h", F.lit("block")), F.ceil(F.when(big, F.col("m")).otherwise(F.col("pool")) / max_whole))))
+    blocked = settle(blocked.select(*parts, "one", "blk"))
+    blocks = blocked.select("c", "key", "one", "blk").distinct()
+    other = blocks.select("c", "key", F.col("one").alias("one2"), F.col("blk").alias("blk2"))
+    tasks = blocks.join(other, ["c", "key"]).filter("blk <= blk2 AND NOT coalesce(one = one2, false)").select("c", "key", "blk", "blk2")
+    sides = F.when(F.col("blk") == F.col("blk2"), F.array(F.struct(F.col("blk").alias("at"), F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct(F.col("blk").alias("at"), F.lit(1).alias("side")), F.struct(F.col("blk2").alias("at"), F.lit(2).alias("side"))))
+    tasks = tasks.select("c", "key", F.struct("c", "key", "blk", "blk2").alias("task"), F.explode(sides).alias("e")).select("c", "key", "task", F.col("e.at").alias("blk"), "e.side")
+    left = blocked.join(sets, "h").join(tasks, ["c", "key", "blk"]).withColumn("whole", F.lit(False))
+    return edges.unionByName(compared(left)).distinct()
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -350,6 +350,50 @@ def test_similar_links(spark, max_posting):
     assert got <= want and len(got) >= 0.97 * len(want) > 40
 
 
+def similar_groups(spark, texts, **sizes):
+    """The components of similar_links, as sorted lists of places; and those of all pairs at 0.8."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "h bigint, __text string")
+    found = simhash_dedup.similar_links(simhash_dedup.text_bands(rows), lambda wanted: simhash_dedup.text_sets(rows.join(wanted, "h")), **sizes)
+    sets = [set(simhash_dedup.shingle_hashes(t).tolist()) for t in texts]
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    every = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if near(sets[i], sets[j])]
+    out = []
+    for edges in ([(r.a, r.b) for r in found.collect()], every):
+        lab = list(range(len(texts)))
+        for a, b in edges:
+            x, y = lab[a], lab[b]
+            lab = [x if v == y else v for v in lab] if x != y else lab
+        groups = defaultdict(list)
+        for i, v in enumerate(lab):
+            groups[v].append(i)
+        out.append(sorted(groups.values()))
+    return out
+
+
+def test_large_hub_group_is_one_component(spark):
+    rng = random.Random(21)
+    base = random_text(rng, [f"w{i}" for i in range(5000)], 200)
+    texts = [near_copy(rng, base, 3) for _ in range(1100)]
+    texts.insert(700, base)
+    got, want = similar_groups(spark, texts)
+    assert got == want == [list(range(1101))]
+
+
+def test_long_postings_keep_components(spark):
+    rng = random.Random(22)
+    words = [f"w{i}" for i in range(5000)]
+    base = random_text(rng, words, 200)
+    texts = []
+    for _ in range(12):  # chains and hubs around relatives of one text: several components in the same long postings
+        hub = near_copy(rng, base, 5)
+        texts += [hub, *(near_copy(rng, hub, 3) for _ in range(12))]
+        for _ in range(6):
+            texts.append(near_copy(rng, texts[-1], 3))
+    for sizes in ({"max_posting": 3, "max_whole": 8}, {"max_posting": 3}, {}):
+        got, want = similar_groups(spark, texts, **sizes)
+        assert got == want and len(want) > 1, sizes
+
+
 def test_keep_one_of_similar_texts(spark):
     rng = random.Random(14)
     base = random_text(rng, [f"w{i}" for i in range(300)], 200)
