@@ -161,11 +161,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """docs without near-duplicates: of each component the row of smallest doc_id (nulls last; ties: smallest text hash) stays,
     with all its columns. Rows that are repeated in every column count once.
 
-    First SimHash components, then, among the rows that stay, components of texts with a similarity of SIMILARITY or more."""
+    Components are those of one graph over the distinct texts: its links are fingerprints within MAX_BITS, and similarities of
+    SIMILARITY or more."""
     h = F.xxhash64(F.col(text))
     prints = settle(fingerprints(docs, doc_id, text, keep=(f"xxhash64(`{text}`) AS h", f"`{doc_id}` IS NULL AS no_id")))
-    groups = linked(prints.select("fp", F.struct("no_id", "doc_id", "h").alias("first")))
-    kept = settle(groups.groupBy("root").agg(F.first("component_first").alias("k")).select("k.*"))
+    # One row per distinct text; root is the smallest text hash of its SimHash component.
+    texts = settle(prints.groupBy("h").agg(F.first("fp").alias("fp"), F.min(F.struct("no_id", "doc_id")).alias("f")).select("h", "fp", "f.*"))
+    groups = linked(texts.select("fp", F.col("h").alias("first"))).select("fp", F.col("component_first").alias("root"))
+    roots = settle(texts.join(groups, "fp").select("h", "root"))
     # Rows are met by id and text hash: a text that many rows share is no hot key, and bands are made before the shuffle.
     rows = docs.select(F.col(doc_id).alias("doc_id"), h.alias("h"), F.col(text).alias("__text"))
 
@@ -173,13 +176,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         right = right.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
         return left.join(right, left["doc_id"].eqNullSafe(right["__id"]) & (left["h"] == right["__h"]), "left_semi")
 
-    bands = settle(of(text_bands(rows), kept).select("h", "bands").dropDuplicates(["h"]))
-    sets_of = lambda wanted: text_sets(of(rows, kept.join(wanted, "h"))).select("h", "s").dropDuplicates(["h"])
-    comp = settle(components(similar_links(bands, sets_of)))
-    linked_rows = comp.join(kept.withColumnRenamed("h", "node"), "node")
+    bands = settle(of(text_bands(rows), texts).select("h", "bands").dropDuplicates(["h"]).join(roots, "h"))
+    sets_of = lambda wanted: text_sets(of(rows, texts.join(wanted, "h"))).select("h", "s").dropDuplicates(["h"])
+    edges = similar_links(bands, sets_of).unionByName(roots.filter("root <> h").select(F.col("root").alias("a"), F.col("h").alias("b")))
+    comp = settle(components(edges))
+    linked_rows = comp.join(texts.withColumnRenamed("h", "node"), "node")
     firsts = linked_rows.groupBy("root").agg(F.min(F.struct("no_id", "doc_id", "node")).alias("first"))
     losers = linked_rows.join(firsts, "root").filter(F.col("node") != F.col("first.node")).select(F.col("node").alias("h"))
-    chosen = settle(kept.join(losers, "h", "left_anti")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+    chosen = settle(texts.join(losers, "h", "left_anti")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
     stay = docs.join(chosen, docs[doc_id].eqNullSafe(chosen["__id"]) & (F.xxhash64(docs[text]) == chosen["__h"]), "left_semi")
     repeated = prints.groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     if not repeated:

@@ -403,6 +403,17 @@ def test_keep_one_of_similar_texts(spark):
     assert simhash_dedup.keep_one(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_links_of_a_removed_text_count(spark):
+    rng = random.Random(31)
+    base = random_text(rng, [f"w{i}" for i in range(5000)], 400)
+    fp = simhash_dedup.fingerprint
+    near = next(c for c in (near_copy(rng, base, 1) for _ in range(20_000)) if (fp(c) ^ fp(base)).bit_count() <= 2)
+    far = (near_copy(rng, base, 8) for _ in range(1000))
+    texts = [x for x in far if jaccard(x, base) >= 0.8 > jaccard(x, near) and (fp(x) ^ fp(near)).bit_count() > 2][:5]
+    docs = docs_of(spark, [base, near, *texts], [10, 5, *range(20, 20 + len(texts))])
+    assert len(texts) == 5 and [r.doc_id for r in simhash_dedup.keep_one(docs).collect()] == [5]
+
+
 # 7: HTML
 
 
