@@ -1,8 +1,8 @@
 """HTML extraction with site template removal.
 
 Each page becomes a tree of elements. A subtree's hash covers its tags, attributes that show and text. The hashes of a page are
-counted once per page and host in Spark; a subtree that recurs on many pages of its host is template and is deleted, unless it is a
-text block of the article. Elements that are no main text by kind (navigation, forms, scripts ...) or by role and class names go
+counted once per host and distinct main text in Spark, so that copies of a page count as one; a subtree that recurs on many pages of
+its host is template and is deleted, unless it is a text block of the article or holds most of its text. Elements that are no main text by kind (navigation, forms, scripts ...) or by role and class names go
 too. What remains are the article's blocks.
 """
 
@@ -52,7 +52,7 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Recurring text blocks of these kinds inside the article are text, not template.
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td th figcaption article main body html section".split())
 
-#: A subtree that is on at least so many pages of a host, and on at least this share of them, is template.
+#: A subtree that is on at least so many distinct pages of a host, and on at least this share of them, is template.
 MIN_PAGES, MIN_SHARE = 3, 0.02
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -247,10 +247,35 @@ def text_blocks(article: Node, template: frozenset[int] | set[int]) -> Iterator[
         yield text
 
 
-def page_hashes(page: str | None) -> set[int]:
+def kept_text(root: Node, article: Node, template: frozenset[int]) -> set[int]:
+    """Hashes of recurring subtrees that are no template, since they hold most of the article's text: all of them together in an article
+    or main element (the article itself recurs), each on its own on a page without one. Their parts are kept, too."""
+    total, found, todo = _text_size(article), [], [article]
+    while todo:
+        node = todo.pop()
+        if node is not article and node.hash in template:
+            n = _text_size(node)
+            if article is not root or 2 * n > total:
+                found.append((node, n))
+                continue
+        todo += [c for c in node.children if isinstance(c, Node) and not dropped(c)]
+    if 2 * sum(n for _, n in found) <= total:
+        return set()
+    kept, todo = set(), [node for node, _ in found]
+    while todo:
+        node = todo.pop()
+        kept.add(node.hash)
+        todo += [c for c in node.children if isinstance(c, Node)]
+    return kept
+
+
+def page_hashes(page: str | None) -> tuple[set[int], int]:
+    """The hashes that could be template, and the hash of the page's main text."""
     root = parse(page or "")
     hash_tree(root)
-    return candidates(root, article_of(root))
+    article = article_of(root)
+    text = " ".join(text_blocks(article, frozenset()))
+    return candidates(root, article), xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
 def main_text(page: str | None, template: Iterable[int] = ()) -> str:
@@ -258,6 +283,8 @@ def main_text(page: str | None, template: Iterable[int] = ()) -> str:
     hash_tree(root)
     article = article_of(root)
     template = frozenset(template) & candidates(root, article)  # so that no text block of the article can go
+    if template:
+        template -= kept_text(root, article, template)
     return " ".join(text_blocks(article, template))
 
 
@@ -266,19 +293,20 @@ def _signed(h: int) -> int:
 
 
 def host_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, url: str = "url", html: str = "html") -> DataFrame:
-    """host, h: hashes of subtrees that recur on many pages of a host."""
+    """host, h: hashes of subtrees that recur on many pages of a host. Pages with the same main text are one."""
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            host, h = [], []
+            host, h, d = [], [], []
             for name, page in zip(batch.column(0), batch.column(1)):
-                found = [_signed(x) for x in page_hashes(page.as_py())]
-                host += [name.as_py()] * (len(found) + 1)
-                h += [*found, None]  # the null counts the page itself
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(h, pa.int64())], ["host", "h"])
+                hashes, digest = page_hashes(page.as_py())
+                host += [name.as_py()] * (len(hashes) + 1)
+                h += [*map(_signed, hashes), None]  # the null counts the page itself
+                d += [_signed(digest)] * (len(hashes) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(h, pa.int64()), pa.array(d, pa.int64())], ["host", "h", "d"])
 
-    counts = rows.mapInArrow(run, "host string, h bigint").groupBy("host", "h").agg(F.count("*").alias("n"))
+    counts = rows.mapInArrow(run, "host string, h bigint, d bigint").distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
     counts = settle(counts.filter((F.col("n") >= min_pages) | F.col("h").isNull()))
     totals = counts.filter("h is null").select("host", F.col("n").alias("pages"))
     return counts.filter("h is not null").join(totals, "host").filter(F.col("n") >= F.col("pages") * min_share).select("host", "h")
@@ -292,8 +320,8 @@ def extract(pages: DataFrame, id_cols: tuple[str, ...] = ("page_id",), url: str
             min_share: float = MIN_SHARE, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """One row per page: id_cols, url, text.
 
-    Null html is empty and has an empty text. Null urls and urls without a host share the host ''. Repeated pages count as often as
-    they occur; other columns are ignored; an empty table gives no rows."""
+    Null html is empty and has an empty text. Null urls and urls without a host share the host ''. Pages of a host with the
+    same main text count once; other columns are ignored; an empty table gives no rows."""
     templates = settle(host_templates(pages, min_pages, min_share, url, html))
     rows = pages.select(*id_cols, F.col(url).alias("url"), host_of(F.col(url)).alias("__host"), F.col(html).alias("__html"))
     schema = rows.drop("__host", "__html").withColumn("text", F.lit("")).schema
@@ -330,7 +358,7 @@ def _own_hashes(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(host, d, _signed(h)) for host, page, d in zip(*(c.to_pylist() for c in batch.columns)) for h in page_hashes(page)]
+            out = [(host, d, _signed(h)) for host, page, d in zip(*(c.to_pylist() for c in batch.columns)) for h in page_hashes(page)[0]]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], schema.names)
 
     return rows.mapInArrow(run, schema).distinct()

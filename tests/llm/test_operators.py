@@ -450,6 +450,25 @@ def test_repeated_article_paragraphs_stay(spark):
     assert {r.text for r in html_extract.extract(df).collect()} == {"T Same paragraph"}
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><div><p>text</p></div><ul><li>a</ul></article>", "text a"),
+    ("<div><p>Long body of the page</p></div><p>more</p>", "Long body of the page more"),
+])
+def test_copies_of_a_page_are_no_template(spark, page, text):
+    others = [f"<div><p>Other page {i}</p></div>" for i in range(5)]
+    rows = [(i, f"http://h.com/?q={i}", page if i < 20 else others[i - 20]) for i in range(25)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for most in (0, 1000):
+        out = {r.page_id: r.text for r in html_extract.extract(df, max_broadcast=most).collect()}
+        assert out == {i: text if i < 20 else f"Other page {i - 20}" for i in range(25)}
+
+
+@pytest.mark.parametrize("page", ["<article><div><p>First part</p></div><div><p>Second part</p></div><i>{i}</i></article>", "<div><p>First part</p><p>Second part</p></div><p>{i}</p>"])
+def test_most_of_an_article_is_no_template(spark, page):
+    df = spark.createDataFrame([(i, "http://h.com/", page.replace("{i}", str(i))) for i in range(8)], "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == {i: f"First part Second part {i}" for i in range(8)}
+
+
 # 8: sharding
 
 
