@@ -38,7 +38,7 @@ CLOSES = {
 SCOPE = frozenset("html body table td th ul ol dl article section div main aside nav header footer form blockquote figure details fieldset".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u span sub sup mark".split())
 
-#: Words of class, id and role values that mark what is no main text.
+#: Class, id and role values that mark what is no main text, as whole values or as their last word.
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adbox adslot adunit adsbygoogle adsense banner banners sponsor sponsored promo promos promoted promotion "
     "nav navbar navigation subnav topnav menu menus menubar breadcrumb breadcrumbs sidebar sidebars side aside widget widgets footer header masthead topbar "
@@ -46,6 +46,12 @@ BOILERPLATE = frozenset(
     "share sharing social related recommended recommendations comment comments commentlist usercomments feedback reply replies discussion disqus respond pagination pager toolbar skip "
     "complementary contentinfo".split()
 )
+#: The same, as whole values (without digits, words joined by -) whose last word says nothing.
+BOILERPLATE_NAMES = frozenset(
+    "ad-box ad-container ad-slot ad-unit ad-wrapper banner-ad-container comment-list comments-area comments-list comments-section cookie-bar cookie-banner-container "
+    "footer-bottom footer-links footer-widgets nav-bar nav-links nav-list menu-items newsletter-form related-articles related-content related-links related-posts "
+    "share-bar share-buttons share-links sidebar-left sidebar-right sidebar-primary sidebar-secondary social-links social-media-links sponsored-content widget-area".split()
+)
 #: Names that say what a wrapper has or lacks, not what it is.
 LAYOUT = re.compile(r"(?:has|with|without|no|is|hide|show)[-_]")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -139,15 +145,18 @@ def _close(stack: list[Node], tag: str) -> None:
             return
 
 
-def named_boilerplate(attributes: str) -> bool:
+def named_boilerplate(attributes: str, names: bool = True) -> bool:
+    """Whether an element is hidden, or (with names) its class, id or role says that it is no main text."""
     if not attributes or attributes.isspace():
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name in ("class", "id", "role"):
-            tokens = [t for t in "".join(values).lower().split() if not LAYOUT.match(t)]
-            if not BOILERPLATE.isdisjoint(WORDS.findall(" ".join(tokens))):
-                return True
+            for token in "".join(values).lower().split() if names else ():
+                if LAYOUT.match(token) or not (words := WORDS.findall(token)):
+                    continue
+                if words[-1] in BOILERPLATE or "-".join(words) in BOILERPLATE_NAMES:
+                    return True
         elif name == "hidden" or name == "aria-hidden" and "".join(values).lower() == "true" or name == "style" and HIDDEN.search("".join(values)):
             return True
     return False
@@ -171,17 +180,27 @@ def hash_tree(root: Node) -> None:
         node.hash = h.intdigest()
 
 
-def dropped(node: Node) -> bool:
-    return node.tag in DROP or node.tag not in ("html", "body", "article", "main") and named_boilerplate(node.attributes)
+def dropped(node: Node, names: bool = True) -> bool:
+    return node.tag in DROP or node.tag not in ("html", "body", "article", "main") and named_boilerplate(node.attributes, names)
 
 
 def article_of(root: Node) -> Node:
-    """The main or article element with most text, else the whole page."""
+    """The main or article element with most text, else the whole page. One inside an element that its name would drop counts if there
+    is no other and it holds most of the page's text: then the name is that of a wrapper."""
+    best, _ = _longest_article(root, True)
+    if best is root:
+        wrapped, size = _longest_article(root, False)
+        if wrapped is not root and 2 * size > _text_size(root, False):
+            return wrapped
+    return best
+
+
+def _longest_article(root: Node, names: bool) -> tuple[Node, int]:
     best, size = root, 0
     todo = [root]
     while todo:
         node = todo.pop()
-        if node is not root and dropped(node):
+        if node is not root and dropped(node, names):
             continue
         if node.tag in ("article", "main"):
             n = _text_size(node)
@@ -190,17 +209,17 @@ def article_of(root: Node) -> Node:
             if node.tag == "article":
                 continue  # an article inside an article is a comment or a teaser of it
         todo += [c for c in node.children if isinstance(c, Node)]
-    return best
+    return best, size
 
 
-def _text_size(node: Node) -> int:
+def _text_size(node: Node, names: bool = True) -> int:
     n, todo = 0, [node]
     while todo:
         x = todo.pop()
         for c in x.children:
             if isinstance(c, str):
                 n += len(c)
-            elif not dropped(c):
+            elif not dropped(c, names):
                 todo.append(c)
     return n
 
@@ -209,12 +228,15 @@ def candidates(root: Node, article: Node) -> set[int]:
     """Hashes of the block elements that could be template: those outside the article, and the article's own that are no text."""
     found: set[int] = set()
     todo: list[tuple[Node, bool]] = [(root, article is root)]
+    seen = article is root
     while todo:
         node, inside = todo.pop()
-        inside = inside or node is article
+        inside, seen = inside or node is article, seen or node is article
         if node.tag in BLOCK and node is not root and node is not article and not (inside and node.tag in TEXT_BLOCKS and article is not root):
             found.add(node.hash)
         todo += [(c, inside) for c in node.children if isinstance(c, Node) and not dropped(c)]
+        if not todo and not seen:  # a wrapper with a name of boilerplate holds the article
+            todo.append((article, True))
     return found
 
 

@@ -469,6 +469,23 @@ def test_most_of_an_article_is_no_template(spark, page):
     assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == {i: f"First part Second part {i}" for i in range(8)}
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div class='content-sidebar-wrap'><article><p>main text</p></article></div>", "main text"),
+    ("<div id='layout-sidebar-right'><main>m<div class='sidebar'>s</div></main></div>", "m"),
+    ("<div class='sidebar'><article>whole text of the page</article></div><p>x</p>", "whole text of the page"),
+    ("<div class='sidebar'><article>teaser</article></div><p>the longer text of the page</p>", "the longer text of the page"),
+    ("<article>t<div class='ad-hoc'>a</div><p class='search-results'>r</p><div class='ad-container'>c</div><div class='top-ad'>d</div><ul class='share-links'>l</ul></article>", "t a r"),
+])
+def test_names_of_wrappers(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_template_inside_a_named_wrapper(spark):
+    page = "<div class='sidebar'><article><div>Share this</div><p>Text number {i} of the site</p></article></div>"
+    df = spark.createDataFrame([(i, "http://h.com/", page.replace("{i}", str(i))) for i in range(8)], "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == {i: f"Text number {i} of the site" for i in range(8)}
+
+
 # 8: sharding
 
 
