@@ -167,7 +167,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
 
     def passing(level: Level) -> DataFrame:
         kept = F.filter(keys, lambda k: level.contains(k))
-        return rows.filter(F.col("host") != "").select(F.explode(kept).alias("key"))
+        return rows.select(F.explode(kept).alias("key"))
 
     is_listed = build_cascade(list_.select("key"), passing)
     # Verdicts: among the listed keys, which are allowed. That universe is the list itself.

@@ -63,6 +63,13 @@ def test_cascade_is_exact_with_many_keys(spark):
     assert wrong.count() == 0
 
 
+def test_urls_without_a_host_have_no_rule(spark):
+    rules = spark.createDataFrame([(f"h{i}.com", "/" + "x" * (i % 5), "block") for i in range(1000)], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(i, f"file:///{i}/page") for i in range(3000)], "page_id bigint, url string")
+    got = url_filter.url_filter(pages, rules)
+    assert {(r.rule, r.verdict) for r in got.collect()} == {(None, "allow")}
+
+
 # 2: media columns
 
 
