@@ -58,8 +58,10 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Recurring text blocks of these kinds inside the article are text, not template.
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td th figcaption article main body html section".split())
 
-#: A subtree that is on at least so many distinct pages of a host, and on at least this share of them, is template.
+#: A subtree that is on at least so many distinct pages of a host, and on at least this share of them, is template;
+#: on MANY_PAGES it is whatever the share, so that large hosts need no more.
 MIN_PAGES, MIN_SHARE = 3, 0.02
+MANY_PAGES = 100
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -331,7 +333,7 @@ def host_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     counts = rows.mapInArrow(run, "host string, h bigint, d bigint").distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
     counts = settle(counts.filter((F.col("n") >= min_pages) | F.col("h").isNull()))
     totals = counts.filter("h is null").select("host", F.col("n").alias("pages"))
-    return counts.filter("h is not null").join(totals, "host").filter(F.col("n") >= F.col("pages") * min_share).select("host", "h")
+    return counts.filter("h is not null").join(totals, "host").filter((F.col("n") >= F.col("pages") * min_share) | (F.col("n") >= MANY_PAGES)).select("host", "h")
 
 
 #: Templates up to this many rows are sent to every executor; more are joined by host and hash.

@@ -493,6 +493,12 @@ def test_template_inside_a_named_wrapper(spark):
     assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == {i: f"Text number {i} of the site" for i in range(8)}
 
 
+def test_template_of_a_part_of_a_large_host(spark):
+    rows = [(i, f"http://h.com/{i}", f"<div>Section notice</div><p>Body {i} of a page</p>" if i < 110 else f"<p>Text {i}</p>") for i in range(6000)]
+    out = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert {out[i] for i in range(110)} == {f"Body {i} of a page" for i in range(110)}
+
+
 # 8: sharding
 
 
