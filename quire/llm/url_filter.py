@@ -144,8 +144,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     The longest rule whose host is the url's host or a parent domain and whose path starts the url's path decides. A url that
     no rule fits is a key outside the list: the cascade says so exactly, and it gets ``default``.
 
-    Null urls and urls without ``://`` have empty host and path and no rule. Repeated pages are judged each. A rule listed
-    twice counts once; if its verdicts differ, block wins. Null rule hosts or paths are dropped. Without rules or pages the
+    Null urls and urls without ``://`` have empty host and path and no rule; urls with ``://`` and no host (``file:///x``) are judged
+    like others. Of two rules of one length that fit (``a.com/`` and ``com/ab``) the smaller key decides, on either path. Repeated
+    pages are judged each. A rule listed twice counts once; if its verdicts differ, block wins. Null rule hosts or paths are dropped. Without rules or pages the
     result has default verdicts or no rows. Other columns of pages are ignored.
     """
     spark = pages.sparkSession
@@ -181,7 +182,7 @@ def _by_join(rows: DataFrame, list_: DataFrame, default: str, id_cols: tuple[str
     """For lists over the size bound: judge each distinct (host, path) once by an equi-join on keys, then attach the verdicts."""
     urls = rows.select("host", "path", "__keys").distinct()
     found = urls.select("host", "path", F.explode("__keys").alias("key")).join(list_.select("key", "allow"), "key")
-    best = found.groupBy("host", "path").agg(F.max_by(F.struct("key", "allow"), F.struct(F.length("key"), F.col("key"))).alias("r"))
+    best = found.groupBy("host", "path").agg(F.min_by(F.struct("key", "allow"), F.struct(-F.length("key"), F.col("key"))).alias("r"))
     out = rows.select(*id_cols, "host", "path").join(best, ["host", "path"], "left")
     return out.select(*id_cols, "host", "path", F.col("r.key").alias("rule"),
                       F.when(F.col("r.key").isNull(), F.lit(default)).when(F.col("r.allow") == 1, F.lit("allow")).otherwise(F.lit("block")).alias("verdict"))
