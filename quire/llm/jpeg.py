@@ -216,32 +216,51 @@ def parse(data: bytes) -> File:
         if marker == 0xDB:
             while body:
                 wide, k = body[0] >> 4, body[0] & 15
+                if wide > 1 or len(body) < 1 + 64 * (1 + wide):
+                    raise JpegError("a quantisation table is cut short")
                 f.quants[k] = np.frombuffer(body[1 : 1 + 64 * (1 + wide)], ">u2" if wide else np.uint8).astype(np.int64)
                 body = body[1 + 64 * (1 + wide) :]
         elif marker in (0xC0, 0xC1):
+            if f.components or len(body) < 6 or len(body) < 6 + 3 * body[5]:
+                raise JpegError("the frame header is cut short or repeated")
             _, f.height, f.width, n = struct.unpack(">BHHB", body[:6])
             for k in range(n):
                 c, hv, q = body[6 + 3 * k : 9 + 3 * k]
+                if not (1 <= hv >> 4 <= 4 and 1 <= hv & 15 <= 4) or c in f.ids:
+                    raise JpegError("sampling factors or numbers of components are wrong")
                 f.ids.append(c)
                 f.components.append(Component(hv >> 4, hv & 15, q))
+            if not 1 <= n <= 4:
+                raise JpegError("one to four components are expected")
         elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             raise JpegError(f"not baseline: marker {marker:x}")
         elif marker == 0xC4:
             while body:
                 n = sum(body[1:17])
+                if len(body) < 17 + n or n > 256:
+                    raise JpegError("a code table is cut short")
                 f.tables[body[0]] = body[1 : 17 + n]
                 body = body[17 + n :]
         elif marker == 0xDD:
+            if len(body) < 2:
+                raise JpegError("the restart interval is cut short")
             f.interval = int.from_bytes(body[:2], "big")
         elif marker == 0xFE:
             f.comments.append(body)
         elif marker == 0xDA:
-            if not f.width or not f.height or body[0] != len(f.components):
+            if not f.width or not f.height or not body or body[0] != len(f.components) or len(body) < 1 + 2 * body[0]:
                 raise JpegError("one scan of all components is expected")
             for k in range(body[0]):
+                if body[1 + 2 * k] not in f.ids:
+                    raise JpegError("the scan names an unknown component")
                 c = f.components[f.ids.index(body[1 + 2 * k])]
                 c.dc, c.ac = body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15
+                if c.dc not in f.tables or 16 + c.ac not in f.tables or c.quant not in f.quants:
+                    raise JpegError("a table is missing")
             f.scan = (i, len(data))
+            # A block has two codes of a bit each at least.
+            if f.mcus[0] * f.mcus[1] * len(f.pattern) * 2 > 8 * (len(data) - i):
+                raise JpegError("the scan is too short for the image")
             return f
 
 
@@ -255,6 +274,8 @@ def _lut(table: bytes) -> np.ndarray:
         for length in range(1, 17):
             for _ in range(table[length - 1]):
                 a = code << (16 - length)
+                if a >= 65536:
+                    raise JpegError("a code table has too many codes")
                 out[a : a + (1 << (16 - length))] = length * 256 + table[at]
                 at += 1
                 code += 1
@@ -419,7 +440,8 @@ def thumbnail_hashes(thumb: np.ndarray) -> tuple[int, int]:
 
 def payload_of(f: File, coefficients: np.ndarray) -> bytes:
     """The bytes that encode_payloads() stored."""
-    n = next((int(c[len(PAYLOAD) :]) for c in f.comments if c.startswith(PAYLOAD)), None)
-    if n is None:
+    n = next((c[len(PAYLOAD) :] for c in f.comments if c.startswith(PAYLOAD)), b"")
+    if not n.isdigit() or int(n) > coefficients.size or len(f.components) != 1:
         raise JpegError("the file has no payload")
+    n = int(n)
     return coefficients.astype(np.int8).tobytes()[:n]

@@ -6,6 +6,7 @@ import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,31 +61,32 @@ def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def media_features(df: DataFrame, media: str = "media", with_payload: bool = False) -> DataFrame:
-    """df and a column ``features`` (FEATURES; null if the media value is null or no baseline file) and, on demand, ``payload``.
+    """df, a column ``features`` (FEATURES; null if the media value is null or no baseline file), ``features_error`` (why) and, on
+    demand, ``payload``.
 
     Decodes the stored bytes: markers, Huffman codes, DC thumbnail, hashes. Files of a chunk are decoded together; if one is
-    damaged, they are decoded one by one. The media column itself is not repeated in the result."""
+    damaged, they are decoded one by one. A header whose image needs more codes than the file has bits is refused before anything
+    is allocated for it. The media column itself is not repeated in the result."""
     at = df.columns.index(media)
     schema = df.drop(media).schema.add("features", FEATURES).add("features_error", T.StringType())
     if with_payload:
         schema = schema.add("payload", T.BinaryType())
 
     def decode(part: list[bytes]) -> list[tuple[dict | None, str | None, bytes | None]]:
-        files: list[tuple[jpeg.File, bytes]] = []
         try:
             files = [(jpeg.parse(p), p) for p in part]
             coefficients = jpeg.decode(files)
-        except (jpeg.JpegError, ValueError, KeyError, IndexError) as e:
+            return [described(f, c) for (f, _), c in zip(files, coefficients)]
+        except (jpeg.JpegError, IndexError) as e:  # an interval that runs past its end
             if len(part) > 1:
                 return [x for p in part for x in decode([p])]
-            return [(None, f"{type(e).__name__}: {e}", None)]
-        out = []
-        for (f, _), c in zip(files, coefficients):
-            thumb = jpeg.thumbnail(f, c)
-            a, d = jpeg.thumbnail_hashes(thumb)
-            values = (f.width, f.height, thumb.shape[1], thumb.shape[0], f"{a:016x}", f"{d:016x}")
-            out.append((dict(zip(FEATURES.names, values)), None, jpeg.payload_of(f, c) if with_payload and any(x.startswith(jpeg.PAYLOAD) for x in f.comments) else None))
-        return out
+            return [(None, str(e), None)]
+
+    def described(f: jpeg.File, c: np.ndarray) -> tuple[dict, None, bytes | None]:
+        thumb = jpeg.thumbnail(f, c)
+        a, d = jpeg.thumbnail_hashes(thumb)
+        values = (f.width, f.height, thumb.shape[1], thumb.shape[0], f"{a:016x}", f"{d:016x}")
+        return dict(zip(FEATURES.names, values)), None, jpeg.payload_of(f, c) if with_payload and any(x.startswith(jpeg.PAYLOAD) for x in f.comments) else None
 
     feature_type = pa.struct([(f.name, pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string()) for f in FEATURES])
 
