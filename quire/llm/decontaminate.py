@@ -18,14 +18,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm.common import settle
+
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
-#: The automaton is sent to the executors; a benchmark of more words is split into several, each taking a pass over the texts.
-MAX_ITEM_WORDS = 2_000_000
+#: Words of the items of one automaton. It is sent to the executors (about 400 bytes a word); a benchmark of more words is split into
+#: several, one sent at a time, each taking a pass over the texts.
+MAX_ITEM_WORDS = 500_000
 #: Bytes of text that are numbered at a time. A longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -299,22 +303,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     strings) and clean (the text without hit spans; null if over max_share of the words are hit, or if the text is null).
 
     Null and empty texts have no words and no hits. A null item id can hit but is in no list. Ties and repeated rows are judged
-    alike. Without benchmark rows nothing is hit. One pass over the texts per automaton; no shuffle.
+    alike. Without benchmark rows nothing is hit. One pass over the texts per automaton, no shuffle; a benchmark over max_words words
+    has several, and what each has found is settled before the next is sent, so that executors hold one at a time.
     """
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(x) for x in load_indexes(benchmark, window, max_words=max_words)]
+    indexes = load_indexes(benchmark, window, max_words=max_words)
     rows = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(f"`{k}`") for k in keep], F.col(text).alias("__text"))
-    schema = rows.drop("__text").schema
-    for name, kind in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("clean", T.StringType())):
-        schema = schema.add(name, kind)
-
-    def judge(texts: list[bytes]) -> list[Hits]:
-        hits = scan_block(texts, sent[0].value)
-        for other in sent[1:]:
-            for h, more in zip(hits, scan_block(texts, other.value)):
-                h.items |= more.items
-                h.spans = merge(h.spans + more.spans)
-        return hits
+    for index in indexes[:-1]:
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+        rows = settle(_one_pass(rows, sent, None, False))
+        sent.unpersist()
+    return _one_pass(rows, docs.sparkSession.sparkContext.broadcast(indexes[-1]), max_share, want_text)
+
+
+def _one_pass(rows: DataFrame, sent: Broadcast, max_share: float | None, want_text: bool) -> DataFrame:
+    """rows with __text and, from earlier passes, __spans (merged, as a flat array of starts and ends) and __items. Returns them with
+    what the sent index adds; with max_share, as the result of decontaminate()."""
+    own = [c for c in rows.columns if c not in ("__text", "__spans", "__items")]
+    schema = T.StructType([rows.schema[c] for c in own])
+    if max_share is None:
+        schema = schema.add("__text", T.StringType()).add("__spans", T.ArrayType(T.IntegerType())).add("__items", T.ArrayType(T.StringType()))
+    else:
+        schema = schema.add("n_words", T.LongType()).add("n_hit", T.LongType()).add("items", T.ArrayType(T.StringType())).add("clean", T.StringType())
 
     def cleaned(text: bytes, hits: Hits) -> str | None:
         left = without(text, hits, max_share)
@@ -322,18 +331,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
-            column = batch.column(at)
-            columns = [batch.column(i) for i in range(batch.num_columns) if i != at]
-            valid = column.is_valid().to_pylist()
+            texts = batch.column("__text")
+            before = zip(batch.column("__spans").to_pylist(), batch.column("__items").to_pylist()) if "__spans" in batch.schema.names else None
+            columns = [batch.column(c) for c in own]
+            valid = texts.is_valid().to_pylist()
             done = 0
-            for block in blocks((t or "").encode() for t in column.to_pylist()):
-                hits = judge(block)
-                clean = [cleaned(t, h) if want_text and ok else None for t, h, ok in zip(block, hits, valid[done:])]
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(done, len(block)) for c in columns), pa.array([h.n_words for h in hits], pa.int64()), pa.array([h.n_hit for h in hits], pa.int64()),
-                     pa.array([sorted(h.items) for h in hits], pa.list_(pa.string())), pa.array(clean, pa.string())],
-                    [f.name for f in schema])
+            for block in blocks((t or "").encode() for t in texts.to_pylist()):
+                hits = scan_block(block, sent.value)
+                for h, (spans, items) in zip(hits, before or ()):
+                    h.items |= set(items)
+                    h.spans = merge(h.spans + list(zip(spans[::2], spans[1::2])))
+                kept = [c.slice(done, len(block)) for c in columns]
+                items = pa.array([sorted(h.items) for h in hits], pa.list_(pa.string()))
+                if max_share is None:
+                    added = [texts.slice(done, len(block)), pa.array([[x for s in h.spans for x in s] for h in hits], pa.list_(pa.int32())), items]
+                else:
+                    clean = [cleaned(t, h) if want_text and ok else None for t, h, ok in zip(block, hits, valid[done:])]
+                    added = [pa.array([h.n_words for h in hits], pa.int64()), pa.array([h.n_hit for h in hits], pa.int64()), items, pa.array(clean, pa.string())]
+                yield pa.RecordBatch.from_arrays([*kept, *added], schema.names)
                 done += len(block)
 
     return rows.mapInArrow(run, schema)
