@@ -46,19 +46,18 @@ def _bin(x: np.ndarray, edges: tuple[float, ...]) -> np.ndarray:
     return np.searchsorted(np.asarray(edges), x, side="right")
 
 
-def count_terms(texts: list[bytes]) -> np.ndarray:
-    """Term counts, one row per text. Texts are counted whole, a block at a time."""
+def count_terms(texts: list[bytes], block_bytes: int = BLOCK_BYTES) -> np.ndarray:
+    """Term counts, one row per text. Texts are counted whole, a block at a time; the size of the blocks changes nothing."""
     out = np.zeros((len(texts), TERMS), np.float32)
     words = np.zeros((len(texts), 4))  # words, distinct-word estimate, lines, bytes
     i = 0
     while i < len(texts):
         j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j]) <= BLOCK_BYTES):
+        while j < len(texts) and (j == i or n + len(texts[j]) <= block_bytes):
             n += len(texts[j])
             j += 1
-        if j == i + 1 and len(texts[i]) > BLOCK_BYTES:
-            for a in range(0, len(texts[i]), BLOCK_BYTES):
-                _count_block([texts[i][a : a + BLOCK_BYTES + 2]], out[i:j], words[i:j])
+        if len(texts[i]) > block_bytes:
+            _count_long(texts[i], out[i], words[i], block_bytes)
         else:
             _count_block(texts[i:j], out[i:j], words[i:j])
         i = j
@@ -76,6 +75,52 @@ def count_terms(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def _terms(data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The trigram and shape terms that start at the first n bytes; two more bytes follow."""
+    d, c = data.astype(np.uint32), _CLASS[data].astype(np.uint32)
+    tri = _mixed((d[:n] << np.uint32(16)) | (d[1 : n + 1] << np.uint32(8)) | d[2 : n + 2], TRIGRAMS)
+    return tri, TRIGRAMS + _mixed((c[:n] << np.uint32(8)) | (c[1 : n + 1] << np.uint32(4)) | c[2 : n + 2], SHAPES)
+
+
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words that end before the data's end."""
+    n = len(data)
+    blank = (_CLASS[data] <= 2) & (_CLASS[data] > 0)
+    end = np.flatnonzero(blank & ~np.concatenate(([True], blank[:-1])))
+    start = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))[: len(end)]
+    d = data.astype(np.uint64)
+    sums, plain = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+    np.cumsum(d * (np.arange(n, dtype=np.uint64) + np.uint64(7)), out=sums[1:])
+    np.cumsum(d, out=plain[1:])
+    s = plain[end] - plain[start]
+    return start, (sums[end] - sums[start]) - s * start.astype(np.uint64) + (s << np.uint64(32)) + (end - start).astype(np.uint64) * np.uint64(1 << 50)
+
+
+def _count_long(text: bytes, out: np.ndarray, words: np.ndarray, block_bytes: int) -> None:
+    """Counts one text in stretches that end after a blank, so that no word is divided; trigrams look two bytes beyond."""
+    data = np.frombuffer(text + b"\n\n\n", np.uint8)
+    stop, a = len(text) + 1, 0
+    distinct = np.empty(0, np.uint64)
+    while a < stop:
+        b = a + block_bytes
+        while b < stop:  # to the next blank; the line ends are one
+            part = _CLASS[data[b - 1 : b - 1 + block_bytes]]
+            at = np.flatnonzero((part > 0) & (part <= 2))
+            b += int(at[0]) if len(at) else len(part)
+            if len(at):
+                break
+        b = min(b, stop)
+        for term in _terms(data[a : b + 2], b - a):
+            out += np.bincount(term, minlength=TERMS).astype(np.float32)
+        start, h = _word_hashes(data[a:b])
+        words[0] += len(start)
+        distinct = np.union1d(distinct, h)
+        words[2] += np.count_nonzero(data[a:b] == 10)
+        a = b
+    words[1] += len(distinct)
+    words[3] += len(text)
+
+
 def _count_block(texts: list[bytes], out: np.ndarray, words: np.ndarray) -> None:
     # Three line ends after each text: no trigram that counts reaches into the next text.
     data = np.frombuffer(b"".join(t + b"\n\n\n" for t in texts), np.uint8)
@@ -86,24 +131,12 @@ def _count_block(texts: list[bytes], out: np.ndarray, words: np.ndarray) -> None
     owner = np.repeat(np.arange(len(texts), dtype=np.int64), lengths + 2)
     n = len(owner) - 2
     own, owner = own[:n], owner[:n]
-    d = data.astype(np.uint32)
-    tri = _mixed((d[:n] << np.uint32(16)) | (d[1 : n + 1] << np.uint32(8)) | d[2 : n + 2], TRIGRAMS)
-    c = _CLASS[data].astype(np.uint32)
-    shape = TRIGRAMS + _mixed((c[:n] << np.uint32(8)) | (c[1 : n + 1] << np.uint32(4)) | c[2 : n + 2], SHAPES)
     rows = len(texts)
-    for term in (tri, shape):
+    for term in _terms(data, n):
         out += np.bincount((owner * TERMS + term)[own], minlength=rows * TERMS).reshape(rows, TERMS).astype(np.float32)
     # Words and how many of them repeat, by a small hash.
-    blank = _CLASS[data[:n]] <= 2
-    blank &= _CLASS[data[:n]] > 0
-    end = np.flatnonzero(blank & ~np.concatenate(([True], blank[:-1])))
-    if len(end):
-        start = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))[: len(end)]
-        sums, plain = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
-        np.cumsum(d[:n].astype(np.uint64) * (np.arange(n, dtype=np.uint64) + np.uint64(7)), out=sums[1:])
-        np.cumsum(d[:n], out=plain[1:], dtype=np.uint64)
-        s = plain[end] - plain[start]
-        h = (sums[end] - sums[start]) - s * start.astype(np.uint64) + (s << np.uint64(32)) + (end - start).astype(np.uint64) * np.uint64(1 << 50)
+    start, h = _word_hashes(data[:n])
+    if len(start):
         of = owner[start]
         order = np.lexsort((h, of))
         ho, oo = h[order], of[order]
@@ -170,12 +203,15 @@ def learnable(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, seed: int = 7) -> Model:
     """Learns from at most fit_rows labelled documents (those of smallest id hash among the rows that may be learnt).
 
-    Rows with null ids, null labels or without a document are left out. Without any the model scores every text 0.5.
+    Rows with null ids, null labels or without a document are left out. Without any the model scores every text 0.5. An id counts
+    once: of several labels the lesser, of several documents the least text; so at most fit_rows rows reach the driver, however often
+    rows repeat. A hot id is reduced before its rows meet.
     """
     chosen = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("label"))
-    chosen = chosen.filter(F.col("__id").isNotNull() & F.col("label").isin(0, 1) & learnable(F.col("__id")))
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "label").limit(fit_rows)
-    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id").select("__id", "label", "__text")
+    chosen = chosen.filter(F.col("__id").isNotNull() & F.col("label").isin(0, 1) & learnable(F.col("__id"))).groupBy("__id").agg(F.min("label").alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
+    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id")
+    rows = rows.groupBy("__id", "label").agg(F.min("__text").alias("__text"))
     got = sorted(((r["__id"], r["label"], bytes(r["counts"])) for r in _counted(rows).collect()))
     if not got:
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.ones((1, 1), np.float32), np.array([0.5]))
