@@ -5,13 +5,13 @@
 3. Nonnegative document rates r solve  min |A r - T|^2  from the base rate 1, where (A r)_k = sum of r n p_k over all documents is
    the expected number of tokens of domain k and T the target. The iteration is projected gradient with a preconditioner, in
    lazy form: steps add up in a vector v of one number per domain, and the rate of a document is the projection
-   max(0, 1 + p . v). So the state is v alone, each step is one distributed sum of K + K (K + 1) / 2 numbers, and nothing per
+   min(MAX_RATE, max(0, 1 + p . v)). So the state is v alone, each step is one distributed sum of K + K (K + 1) / 2 numbers, and nothing per
    document is stored or lost with an executor. Among all exact rates it ends at those nearest to 1 in the token-weighted norm.
 """
 
 from __future__ import annotations
 
-import math
+import logging
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import settle, unit_hash
 
+LOG = logging.getLogger(__name__)
+
 BUCKETS = 8192
 #: Bound of the labelled sample on which the classifier is fitted.
 FIT_ROWS = 4000
@@ -29,6 +31,10 @@ SCALE, CLIP = 64, 8
 MIN_Z = 4.0
 #: At most so many features have a weight, those farthest from chance.
 MAX_FEATURES = 512
+#: No document is taken more often than this, so that a target that cannot be reached does not repeat rows without bound.
+MAX_RATE = 16.0
+#: A mix whose greatest error of a domain's share is above this counts as not reached.
+REACHED = 1e-3
 #: Sums of weights are cut at +-CERTAIN: no membership is nearer to 0 or 1.
 CERTAIN = 6.0
 
@@ -50,11 +56,12 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], fi
     """Weights of features against the first domain: array of (2 * BUCKETS + 1, len(domains) - 1); the last row has the intercepts.
 
     labelled: doc_id, domain. The fit_rows rows of smallest hash are used (a documented bound), so the broadcast and what reaches the
-    driver are bounded. Features are chosen by how far their documents' domains are from chance; softmax regression on their presence
+    driver are bounded. An id counts once: of several domains the first by name, of several documents the least text. Features are chosen by how far their documents' domains are from chance; softmax regression on their presence
     gives calibrated posteriors.
     """
-    sample = labelled.filter(F.col("domain").isin(list(domains)) & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(fit_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    sample = labelled.filter(F.col("domain").isin(list(domains)) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
     rows = settle(rows.select("doc_id", "domain", features_of(tokens_of(F.col("text"))).alias("f")))
     counts = np.zeros((2 * BUCKETS, len(domains)))
     for r in rows.select("domain", F.explode("f").alias("f")).groupBy("domain", "f").count().collect():  # at most 2 * BUCKETS * domains rows
@@ -133,7 +140,7 @@ def rate_of(p: Column, v: Sequence[float]) -> Column:
     dot = F.lit(1.0)
     for k, x in enumerate(v):
         dot = dot + F.get(p, F.lit(k)) * F.lit(float(x))
-    return F.greatest(F.lit(0.0), dot)
+    return F.least(F.lit(MAX_RATE), F.greatest(F.lit(0.0), dot))
 
 
 def fit_rates(members: DataFrame, targets: Sequence[float], anchor: int | None = None, max_steps: int = 40, tolerance: float = 1e-9) -> tuple[list[float], dict]:
@@ -155,7 +162,7 @@ def fit_rates(members: DataFrame, targets: Sequence[float], anchor: int | None =
 
     def measure(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         r = rate_of(F.col("p"), v)
-        sums = [F.sum(r * n * p(i)) for i in range(k)] + [F.sum(F.when(r > 0, n * p(i) * p(j))) for i, j in pairs]
+        sums = [F.sum(r * n * p(i)) for i in range(k)] + [F.sum(F.when((r > 0) & (r < MAX_RATE), n * p(i) * p(j))) for i, j in pairs]
         got = [x or 0.0 for x in members.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
         gram = np.zeros((k, k))
         for (i, j), x in zip(pairs, got[k:]):
@@ -186,12 +193,21 @@ def copies_of(rate: Column, *key: Column) -> Column:
     return F.floor(rate + unit_hash(*key, F.lit("copies"))).cast("int")
 
 
-def mix_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], fit_rows: int = FIT_ROWS, anchor: str | None = None) -> tuple[np.ndarray, list[float], DataFrame]:
-    """The classifier, v, and the posteriors of all documents (doc_id, n_tokens, p)."""
+def mix_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], fit_rows: int = FIT_ROWS, anchor: str | None = None, strict: bool = False) -> tuple[np.ndarray, list[float], DataFrame]:
+    """The classifier, v, and the posteriors of all documents (doc_id, n_tokens, p).
+
+    A mix that rates from 0 to MAX_RATE cannot reach (a domain without labelled rows, or with too few tokens) ends at the nearest
+    found; the shares that it has are logged, or with strict an error tells them."""
     domains = list(targets)
     model = fit_domains(docs, labelled, domains, fit_rows)
     members = settle(posteriors(docs, model))
-    v, _ = fit_rates(members.select("n_tokens", "p"), [targets[d] for d in domains], domains.index(anchor) if anchor else None)
+    v, found = fit_rates(members.select("n_tokens", "p"), [targets[d] for d in domains], domains.index(anchor) if anchor else None)
+    if found["residual"] > REACHED:
+        total = sum(found["reached"]) or 1.0
+        said = "the mix is not reached: " + ", ".join(f"{d} {x / total:.4f} of {targets[d] / sum(targets.values()):.4f}" for d, x in zip(domains, found["reached"]))
+        if strict:
+            raise ValueError(said)
+        LOG.warning(said)
     return model, v, members
 
 
@@ -207,13 +223,14 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float],
     return rows.select(*names, F.explode(F.array_repeat(F.lit(0), copies)).alias("__copy")).select(*[F.col(n).alias(c) for c, n in at.items()])
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], fit_rows: int = FIT_ROWS) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], fit_rows: int = FIT_ROWS, strict: bool = False) -> DataFrame:
     """docs: doc_id, text. labelled: doc_id, domain. targets: share of all tokens by domain; the first is the classifier's base.
 
     Returns one row per input row: doc_id, n_tokens, p, rate, copies. Repeated rows have equal values; a null doc_id counts as a
-    key of its own; other columns are ignored. Without labelled rows all posteriors are the prior and rates tend to 1.
+    key of its own; other columns are ignored. Without labelled rows all posteriors are equal, so no target but equal shares can be
+    reached. Targets out of reach: see mix_rates().
     """
-    _, v, members = mix_rates(docs, labelled, targets, fit_rows)
+    _, v, members = mix_rates(docs, labelled, targets, fit_rows, strict=strict)
     rate = F.round(rate_of(F.col("p"), v), 9)
     return members.select("doc_id", "n_tokens", "p", rate.alias("rate")).withColumn("copies", copies_of(F.col("rate"), F.col("doc_id")))
 
