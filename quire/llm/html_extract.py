@@ -1,9 +1,12 @@
 """HTML extraction with site template removal.
 
-Each page becomes a tree of elements. A subtree's hash covers its tags, attributes that show and text. The hashes of a page are
-counted once per host and distinct main text in Spark, so that copies of a page count as one; a subtree that recurs on many pages of
-its host is template and is deleted, unless it is a text block of the article or holds most of its text. Elements that are no main text by kind (navigation, forms, scripts ...) or by role and class names go
-too. What remains are the article's blocks.
+Each page becomes a tree of elements. A subtree's hash covers its tags and text, but no attributes, so that numbers in ids and classes
+do not hide that it recurs. The hashes of all blocks of a page, whatever their kind and names, are counted once per host and distinct
+main text in Spark, so that copies of a page count as one; a subtree that recurs on many pages of its host is template and is deleted
+before anything else is judged, unless it is a text block of the article or holds most of its text. Then what recurs too seldom to be
+known as template goes by kind (navigation, forms, scripts ...) or by role and class names. What remains are the article's blocks.
+
+Parsing is one pass forward: time grows with a page's length whatever its markup.
 """
 
 from __future__ import annotations
@@ -63,7 +66,13 @@ TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td th figca
 MIN_PAGES, MIN_SHARE = 3, 0.02
 MANY_PAGES = 100
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Elements that never show, so that their recurrence says nothing.
+UNSEEN = frozenset("head script style noscript template".split())
+#: Elements inside more open ones than this are not opened, so that closing one costs a bounded number of steps.
+MAX_DEPTH = 512
+
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r">|=\s*([\"'])")
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
@@ -77,23 +86,55 @@ class Node:
     hash: int = 0
 
 
+class _Tags:
+    """Finds the ends of tags. A quote that is never closed ends with its tag; that there is none is remembered, not looked for again."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.none = {'"': False, "'": False}
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends the tag whose attributes start here; -1 if the page ends first."""
+        while (m := STOP.search(self.page, at)) is not None:
+            if m[1] is None:
+                return m.start()
+            close = -1 if self.none[m[1]] else self.page.find(m[1], m.end())
+            if close < 0:
+                self.none[m[1]] = True
+                return self.page.find(">", m.end())
+            at = close + 1
+        return -1
+
+
 def parse(page: str) -> Node:
-    """A tree from any markup: unclosed and stray tags never fail, and elements close as HTML closes them."""
+    """A tree from any markup: unclosed and stray tags never fail, and elements close as HTML closes them. A tag that the page's end cuts
+    off is dropped."""
     root = Node("html")
     stack = [root]
-    at = 0
-    while at < len(page):
-        m = TOKEN.search(page, at)
-        if m is None:
-            break
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+    tags = _Tags(page)
+    at = shown = 0
+    while (at := page.find("<", at)) >= 0:
+        opens = page[at + 1 : at + 2]
+        closing = opens == "/"
+        name = NAME.match(page, at + 1 + closing)
+        if opens in ("!", "?"):
+            stop = page.find("-->", at + 4) + 2 if page.startswith("<!--", at) else page.find(">", at)
+            stop = -1 if stop < at + 2 else stop
+        elif name is None:
+            at += 1
             continue
-        tag = tag.lower()
-        if m[1]:
+        else:
+            stop = tags.end(name.end())
+        if at > shown:
+            stack[-1].children.append(page[shown:at])
+        at = stop + 1
+        if stop < 0:
+            return root
+        shown = at
+        if name is None or opens in ("!", "?"):
+            continue
+        tag, attributes = name[0].lower(), page[name.end() : stop]
+        if closing:
             _close(stack, tag)
             continue
         if tag == "html" or tag == "body" and any(n.tag == "body" for n in stack):
@@ -102,21 +143,20 @@ def parse(page: str) -> Node:
             _close(stack, "head")
         if (ends := CLOSES.get(tag)) is not None:
             _imply(stack, ends)
-        node = Node(tag, m[3])
+        node = Node(tag, attributes)
         stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in FORMATTING and tag not in RAW:
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCK and tag not in FORMATTING and tag not in RAW:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             stop = end.start() if end else len(page)
             node.children.append(page[at:stop])
-            at = end.end() if end else len(page)
+            at = shown = end.end() if end else len(page)
             continue
-        stack.append(node)
-    if at < len(page):
-        rest = page[at:]
-        cut = re.search(r"<[a-zA-Z/!?][^>]*\Z", rest)  # a tag that the page's end cuts off
-        stack[-1].children.append(rest[: cut.start()] if cut else rest)
+        if len(stack) < MAX_DEPTH:
+            stack.append(node)
+    if shown < len(page):
+        stack[-1].children.append(page[shown:])
     return root
 
 
@@ -165,7 +205,7 @@ def named_boilerplate(attributes: str, names: bool = True) -> bool:
 
 
 def hash_tree(root: Node) -> None:
-    """Sets the hash of every element: its tag, class and id, and its children; white space is one space. No recursion."""
+    """Sets the hash of every element: its tag and its children; white space is one space. No recursion."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -173,7 +213,6 @@ def hash_tree(root: Node) -> None:
         todo += [c for c in node.children if isinstance(c, Node)]
     for node in reversed(order):
         h = xxhash.xxh64(node.tag.encode())
-        h.update(node.attributes.strip().encode("utf-8", "surrogatepass"))
         for c in node.children:
             if isinstance(c, Node):
                 h.update(c.hash.to_bytes(8, "little"))
@@ -227,18 +266,15 @@ def _text_size(node: Node, names: bool = True) -> int:
 
 
 def candidates(root: Node, article: Node) -> set[int]:
-    """Hashes of the block elements that could be template: those outside the article, and the article's own that are no text."""
+    """Hashes of the block elements that could be template: all outside the article, and the article's own that are no text."""
     found: set[int] = set()
-    todo: list[tuple[Node, bool]] = [(root, article is root)]
-    seen = article is root
+    todo: list[tuple[Node, bool]] = [(root, False)]
     while todo:
         node, inside = todo.pop()
-        inside, seen = inside or node is article, seen or node is article
+        inside = inside or node is article
         if node.tag in BLOCK and node is not root and node is not article and not (inside and node.tag in TEXT_BLOCKS and article is not root):
             found.add(node.hash)
-        todo += [(c, inside) for c in node.children if isinstance(c, Node) and not dropped(c)]
-        if not todo and not seen:  # a wrapper with a name of boilerplate holds the article
-            todo.append((article, True))
+        todo += [(c, inside) for c in node.children if isinstance(c, Node) and c.tag not in UNSEEN]
     return found
 
 
@@ -252,7 +288,7 @@ def text_blocks(article: Node, template: frozenset[int] | set[int]) -> Iterator[
         if isinstance(x, str):
             parts.append(x)
             continue
-        if x is not None and x is not article and (dropped(x) or x.hash in template):
+        if x is not None and x is not article and (x.hash in template or dropped(x)):
             if x.tag in BLOCK:
                 x = None
             else:
@@ -312,6 +348,24 @@ def main_text(page: str | None, template: Iterable[int] = ()) -> str:
     return " ".join(text_blocks(article, template))
 
 
+def template_share(page: str | None, template: Iterable[int] = ()) -> tuple[int, int]:
+    """Of a page's elements that are no main text by kind, by name or as template, outermost ones with text: how many there are, and how
+    many of them are template. It tells how far counting alone goes."""
+    root = parse(page or "")
+    hash_tree(root)
+    article = article_of(root)
+    template = frozenset(template) & candidates(root, article)
+    every = known = 0
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node is not root and node is not article and node.tag not in UNSEEN and (node.hash in template or dropped(node)) and _text_size(node, False):
+            every, known = every + 1, known + (node.hash in template)
+            continue
+        todo += [c for c in node.children if isinstance(c, Node) and c.tag not in UNSEEN]
+    return every, known
+
+
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
