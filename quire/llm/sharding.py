@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from quire.llm.common import settle, unit_hash
 
 SHARDS = 16
-#: Ranges per shard at least, bytes of a range beyond that, ranges at most (splitters and counts of ranges are on the driver), sampled
-#: keys per range, and the size (in mean ranges) over which a range is overfull and divided.
-RANGES_PER_SHARD, RANGE_BYTES, MAX_RANGES, KEYS_PER_RANGE, OVERFULL = 16, 64 << 20, 1 << 16, 16, 2.0
+#: Ranges per shard at least, bytes of a range beyond that, sampled keys per range, and the size (in mean ranges) over which a range is
+#: overfull and divided. Splitters and counts of ranges are on the driver: at 100 TB about 400,000.
+RANGES_PER_SHARD, RANGE_BYTES, KEYS_PER_RANGE, OVERFULL = 16, 256 << 20, 16, 2.0
 
 
 def utf8(text: Column) -> Column:
@@ -50,10 +50,12 @@ def _join_key(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
 
 def sample(keys: DataFrame, total: int, count: int, where: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
     """About count keys, drawn with probability in proportion to size, in order, with weights. The hash decides, so a rerun draws
-    the same; the expected number is bounded by count whatever the input."""
+    the same. Rows with one key are drawn together and come as one row, so that the expected number is bounded by count whatever the
+    input."""
     rate = F.col("size") * (count / max(total, 1))
     rows = keys if where is None else keys.filter(where)
-    got = rows.filter(unit_hash(F.col("__k1"), F.col("__k2"), F.lit("sample")) < rate).select("__k1", "__k2", F.greatest(F.col("size").cast("double"), F.lit(total / count)).alias("w")).toPandas()
+    drawn = rows.filter(unit_hash(F.col("__k1"), F.col("__k2"), F.lit("sample")) < rate)
+    got = drawn.groupBy("__k1", "__k2").agg(F.sum(F.greatest(F.col("size").cast("double"), F.lit(total / count))).alias("w")).toPandas()
     k = _join_key(got["__k1"].to_numpy(), got["__k2"].to_numpy())
     order = np.argsort(k)
     return k[order], got.w.to_numpy(dtype=float)[order]
@@ -78,19 +80,20 @@ def ranged(keys: DataFrame, splitters: np.ndarray) -> DataFrame:
     return keys.withColumn("__rng", place("__k1", "__k2"))
 
 
-def find_splitters(keys: DataFrame, shards: int = SHARDS, max_rounds: int = 8) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
-    """Splitters whose ranges are not overfull, and rows and bytes by range. One record larger than a range stays whole."""
+def find_splitters(keys: DataFrame, shards: int = SHARDS) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
+    """Splitters whose ranges are not overfull, and rows and bytes by range. One record larger than a range stays whole, and so do
+    rows that share their key (text and id): a range that no sampled key divides any more is left."""
     first = keys.agg(F.sum("size").alias("s"), F.max("size").alias("m")).first()
     total, largest = int(first.s or 0), int(first.m or 0)
-    parts = max(shards * RANGES_PER_SHARD, min(MAX_RANGES, total // RANGE_BYTES))
+    parts = max(shards * RANGES_PER_SHARD, total // RANGE_BYTES)
     splitters = quantiles(*sample(keys, total, parts * KEYS_PER_RANGE), parts)
     mean = total / parts
-    for _ in range(max_rounds):
+    while True:
         counts = ranged(keys, splitters).groupBy("__rng").agg(F.count("*").alias("n"), F.sum("size").alias("s")).collect()
         sizes = {r["__rng"]: (r.n, int(r.s)) for r in counts}
         full = sorted(i for i, (n, s) in sizes.items() if n > 1 and s > OVERFULL * mean + largest)
         if not full:
-            break
+            return splitters, sizes
         inner = ranged(keys, splitters)
         more = [splitters]
         in_full = sum(sizes[i][1] for i in full)
@@ -98,8 +101,10 @@ def find_splitters(keys: DataFrame, shards: int = SHARDS, max_rounds: int = 8) -
         owner = np.searchsorted(splitters, k, side="right")
         for i in full:
             more.append(quantiles(k[owner == i], w[owner == i], int(sizes[i][1] / mean) + 1))
-        splitters = np.unique(np.concatenate(more))
-    return splitters, sizes
+        more = np.unique(np.concatenate(more))
+        if len(more) == len(splitters):
+            return splitters, sizes
+        splitters = more
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
