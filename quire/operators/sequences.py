@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.lineage import settle
+
 
 def upsert_marks(marks: DataFrame) -> DataFrame:
     """doc_id, idx, level, seq, section_type, conf: of each place the surest mark; of equals the earliest."""
@@ -54,14 +56,48 @@ def stronger_later(rows: DataFrame) -> DataFrame:
     return rows.withColumn("later", F.coalesce(F.max("strength").over(w) > F.col("strength"), F.lit(False)))
 
 
-def chain_ends(rows: DataFrame, max_depth: int = 50) -> DataFrame:
-    """doc_id, id, duplicate_of: each pointer followed to the end of its chain. Loops end at the depth bound."""
-    rows.createOrReplaceTempView("quire_chains")
-    return rows.sparkSession.sql(f"""
-      WITH RECURSIVE chain(doc_id, id, at, depth) AS (
-        SELECT doc_id, id, duplicate_of, 1 FROM quire_chains WHERE duplicate_of IS NOT NULL
-        UNION ALL SELECT c.doc_id, c.id, r.duplicate_of, c.depth + 1 FROM chain c JOIN quire_chains r ON r.doc_id = c.doc_id AND r.id = c.at WHERE r.duplicate_of IS NOT NULL AND c.depth < {int(max_depth)})
-      SELECT doc_id, id, max_by(at, depth) AS duplicate_of FROM chain GROUP BY doc_id, id""")
+def _rounds(rows: DataFrame) -> int:
+    """Doublings after which a pointer has passed every row of its document."""
+    return int(rows.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1).bit_length()
+
+
+def _leapt(pointers: DataFrame, rounds: int) -> DataFrame:
+    """doc_id, id, at, open: pointers followed by doubling, at most 2 ** rounds steps; open where there is a further step."""
+    p = pointers.withColumn("open", F.lit(True))
+    for _ in range(rounds):
+        far = p.select("doc_id", F.col("id").alias("at"), F.col("at").alias("far"))
+        p = settle(p.join(far, ["doc_id", "at"], "left").select("doc_id", "id", F.coalesce("far", "at").alias("at"), F.col("far").isNotNull().alias("open")))
+        if not p.filter("open").limit(1).count():
+            break
+    return p
+
+
+def chain_ends(rows: DataFrame) -> DataFrame:
+    """doc_id, id, duplicate_of: each pointer followed to the end of its chain, however long. A chain that runs into a loop ends at the
+    first row of the loop that it meets, and a row of a loop at itself. Ids are unique within a document.
+
+    Pointers double: the number of rounds is the logarithm of the longest chain; rounds with loops are bounded by the rows of a document."""
+    pointers = settle(rows.filter("duplicate_of IS NOT NULL").select("doc_id", "id", F.col("duplicate_of").alias("at")))
+    rounds = _rounds(pointers)
+    ends = _leapt(pointers, rounds)
+    if ends.filter("open").limit(1).count():
+        loop = settle(ends.filter("open").select("doc_id", F.col("at").alias("id")).distinct())
+        outside = _leapt(settle(pointers.join(loop, ["doc_id", "id"], "left_anti")), rounds)
+        ends = outside.unionByName(loop.select("doc_id", "id", F.col("id").alias("at"), F.lit(False).alias("open")))
+    return ends.select("doc_id", "id", F.col("at").alias("duplicate_of"))
+
+
+def inherited(rows: DataFrame, id_: str, based_on: str, value: str) -> DataFrame:
+    """doc_id, id and value: the first value that is not null up the chain of based_on, by doubling as in chain_ends(). Chains that end in
+    a loop or at an unknown id without a value have none."""
+    names = [F.col(id_).alias("id"), F.col(based_on).alias("at"), F.col(value).alias("v")]
+    p = settle(rows.select("doc_id", *names))
+    for _ in range(_rounds(p)):
+        if not p.filter("v IS NULL AND at IS NOT NULL").limit(1).count():
+            break
+        up = p.select("doc_id", F.col("id").alias("at"), F.col("at").alias("far"), F.col("v").alias("w"))
+        p = settle(p.join(up, ["doc_id", "at"], "left").select("doc_id", "id", F.when(F.col("v").isNull(), F.col("far")).alias("at"), F.coalesce("v", "w").alias("v")))
+    return p.select("doc_id", F.col("id").alias(id_), F.col("v").alias(value))
 
 
 def soft_lines(rows: DataFrame) -> DataFrame:

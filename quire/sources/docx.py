@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.operators.sequences import inherited
 from quire.sources.text_reader import RUN, features
 
 # The namespaces of the format and its transparent elements.
@@ -360,17 +361,9 @@ def docx_blocks(documents: DataFrame) -> DataFrame:
     return features(rows)
 
 
-def resolve_inheritance(styles: DataFrame, value_column: str, max_depth: int = 50) -> DataFrame:
-    """styles: doc_id, style_id, based_on and a value. doc_id, style_id and the first value up the chain of based_on.
-
-    A recursive query; the depth bound ends chains that loop."""
-    styles.createOrReplaceTempView("quire_styles")
-    return styles.sparkSession.sql(f"""
-      WITH RECURSIVE chain(doc_id, style_id, at, depth) AS (
-        SELECT doc_id, style_id, style_id, 0 FROM quire_styles
-        UNION ALL SELECT c.doc_id, c.style_id, s.based_on, c.depth + 1 FROM chain c JOIN quire_styles s ON s.doc_id = c.doc_id AND s.style_id = c.at WHERE s.based_on IS NOT NULL AND c.depth < {int(max_depth)})
-      SELECT c.doc_id, c.style_id, min_by(s.`{value_column}`, c.depth) FILTER (WHERE s.`{value_column}` IS NOT NULL) AS `{value_column}`
-      FROM chain c JOIN quire_styles s ON s.doc_id = c.doc_id AND s.style_id = c.at GROUP BY c.doc_id, c.style_id""")
+def resolve_inheritance(styles: DataFrame, value_column: str) -> DataFrame:
+    """styles: doc_id, style_id, based_on and a value. doc_id, style_id and the first value up the chain of based_on."""
+    return inherited(styles, "style_id", "based_on", value_column)
 
 
 def make_docx(paragraphs: list[tuple[str, dict]], extra: dict[str, str] | None = None) -> bytes:
