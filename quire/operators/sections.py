@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.lexicon import BODY
 from quire.functions.text import let
+from quire.operators.duplicates import settle_duplicates
 from quire.operators.headings import screened
-from quire.operators.marks import norm_for_similarity, ratio, with_marks
+from quire.operators.marks import with_marks
 from quire.sources.text_reader import read_blocks
 
 # Fixed values.
@@ -25,13 +24,6 @@ ELEMENT_OF = {
     "Figure legends": "figure_legends", "Tables": "tables_section", "Appendixes": "appendix supplementary",
 }
 IMRAD_ORDER = {"introduction": 0.0, "objectives": 1.0, "methods": 2.0, "results": 3.0, "results_and_discussion": 3.5, "discussion": 4.0, "limitations": 5.0, "conclusions": 6.0}
-DUPLICATE_TYPES = BODY | set(
-    "abstract keywords highlights credit_statement funding declaration_of_interest front_metadata affiliations correspondence orcid running_head authors title_page_marker title disclaimer "
-    "data_availability acknowledgments".split()
-)
-SINGLETON_TYPES = set("declaration_of_interest credit_statement acknowledgments funding data_availability ethics".split())
-CHECKBOXES = "☐☑☒"
-COMPARED = 2500
 
 
 def standard_element(section_type: Column) -> Column:
@@ -106,87 +98,6 @@ def section_arrays(marked: DataFrame) -> DataFrame:
     return marked.select("doc_id", made.alias("sections"))
 
 
-def find_duplicates(sections: list[dict]) -> dict[int, dict]:
-    """What changes in a document's sections: duplicate_of, penalty and evidence by id. Greedy in document order."""
-    out: dict[int, dict] = {s["id"]: {"duplicate_of": None, "penalty": 0.0, "evidence": []} for s in sections}
-    text = {s["id"]: norm_for_similarity(s["extracted_text"]) for s in sections}
-
-    def flag(dup: int, primary: int, why: str, back: str) -> None:
-        out[dup]["duplicate_of"] = primary
-        out[dup]["penalty"] += 0.15
-        out[dup]["evidence"].append(why)
-        out[primary]["evidence"].append(back)
-
-    for kind in dict.fromkeys(s["section_type"] for s in sections if s["section_type"] in DUPLICATE_TYPES):
-        group = [s["id"] for s in sections if s["section_type"] == kind]
-        for i, a in enumerate(group):
-            for b in group[i + 1 :]:
-                if out[a]["duplicate_of"] or out[b]["duplicate_of"]:
-                    continue
-                ta, tb = text[a][:COMPARED], text[b][:COMPARED]
-                if min(len(ta), len(tb)) < 12:
-                    continue
-                r = ratio(ta, tb)
-                inside = ta in tb or tb in ta
-                if r >= 0.9 if min(len(ta), len(tb)) < 25 else r >= 0.65 or inside:
-                    primary, dup = (b, a) if len(tb) >= 1.3 * len(ta) else (a, b)
-                    flag(dup, primary, f"near-duplicate-of:{primary} similarity={r:.2f}" + " contained" * inside, f"has-near-duplicate:{dup} similarity={r:.2f}")
-    by_id = {s["id"]: s for s in sections}
-    boxes = {s["id"]: sum(s["extracted_text"].count(c) for c in CHECKBOXES) for s in sections}
-    for kind in sorted(SINGLETON_TYPES):
-        group = [s for s in sections if s["section_type"] == kind and not out[s["id"]]["duplicate_of"]]
-        if len(group) < 2:
-            continue
-        primary = min(group, key=lambda s: (boxes[s["id"]], s["parent_id"] is None, -len(s["extracted_text"]), s["start_position"]))
-        for dup in group:
-            i = dup["id"]
-            gap = max(dup["start_position"] - primary["end_position"], primary["start_position"] - dup["end_position"], 0)
-            why = [w for w, on in ((f"gap({gap})", gap >= 2000), (f"checkboxes({boxes[i]})", boxes[i]), ("stub", len(text[i]) < 40)) if on]
-            if i != primary["id"] and why:
-                r = ratio(text[primary["id"]][:COMPARED], text[i][:COMPARED])
-                flag(i, primary["id"], f"restates:{primary['id']} similarity={r:.2f} " + " ".join(why), f"restated-by:{i} similarity={r:.2f}")
-    for i, x in out.items():  # chains lead to their end
-        seen, at = {i}, x["duplicate_of"]
-        while at in by_id and out[at]["duplicate_of"] and at not in seen:
-            seen.add(at)
-            at = out[at]["duplicate_of"]
-        x["duplicate_of"] = at
-    return out
-
-
-DUPLICATES = "array<struct<id:int,duplicate_of:int,penalty:double,evidence:array<string>>>"
-COMPARED_FIELDS = ("id", "parent_id", "section_type", "start_position", "end_position", "extracted_text")
-
-
-def _duplicates_udf():
-    kind = pa.list_(pa.struct([("id", pa.int32()), ("duplicate_of", pa.int32()), ("penalty", pa.float64()), ("evidence", pa.list_(pa.string()))]))
-
-    @F.arrow_udf(DUPLICATES)
-    def duplicates(sections: pa.Array) -> pa.Array:
-        return pa.array([[{"id": i, **x} for i, x in find_duplicates(s or []).items()] for s in sections.to_pylist()], kind)
-
-    return duplicates.asNondeterministic()  # so that the plan evaluates it once, where it stands
-
-
-def settle_duplicates(docs: DataFrame) -> DataFrame:
-    """docs: section_arrays(). Sections get duplicate_of; duplicates lose confidence; uncertain follows from it.
-
-    Only documents in which a type occurs again are compared; the others never leave the JVM."""
-    kinds = F.filter(F.transform("sections", lambda s: s["section_type"]), lambda t: t.isin(sorted(DUPLICATE_TYPES | SINGLETON_TYPES)))
-    compared = F.when(F.size(kinds) > F.size(F.array_distinct(kinds)), F.transform("sections", lambda s: F.struct(*[s[c].alias(c) for c in COMPARED_FIELDS])))
-    found = F.coalesce(_duplicates_udf()(compared), F.array().cast(DUPLICATES))
-    names = ("id", "parent_id", "section_type", "name", "level", "start_block", "end_block", "start_position", "end_position", "extracted_text", "confidence", "evidence", "flags")
-
-    def settled(s: Column, all_: Column) -> Column:
-        mine = F.get(F.filter(all_, lambda x: x["id"] == s["id"]), F.lit(0))
-        sure = F.greatest(F.lit(0.15), F.least(F.lit(0.97), s["confidence"] - F.coalesce(mine["penalty"], F.lit(0.0))))
-        changed = {"confidence": sure, "evidence": F.concat(s["evidence"], F.coalesce(mine["evidence"], F.array().cast("array<string>")))}
-        return F.struct(*[changed.get(n, s[n]).alias(n) for n in names], mine["duplicate_of"].alias("duplicate_of"), (sure < 0.7).alias("uncertain"))
-
-    both = F.struct(F.col("sections").alias("s"), found.alias("d"))
-    return docs.select("doc_id", let(both, lambda x: F.transform(x["s"], lambda s: settled(s, x["d"]))).alias("sections"))
-
-
 def add_duplicates(sections: DataFrame) -> DataFrame:
     """The same for sections in rows (doc_id and a section's columns)."""
     names = ("id", "parent_id", "section_type", "name", "level", "start_block", "end_block", "start_position", "end_position", "extracted_text", "confidence", "evidence", "flags")
@@ -205,10 +116,14 @@ def extract_sections(docs: DataFrame, doc_id: str = "doc_id", raw: str = "raw")
     return sections_of_blocks(blocks, text_mode=True)
 
 
-def sections_of_blocks(blocks: DataFrame, text_mode: bool) -> DataFrame:
-    """Blocks to sections. Blocks meet once by document; the tree, its texts and its duplicates are made within that row."""
+def sections_in_documents(blocks: DataFrame, text_mode: bool) -> DataFrame:
+    """Blocks to doc_id and sections. Blocks meet once by document; the tree, its texts and its duplicates are made within that row."""
     marked = with_marks(screened(blocks, text_mode), text_mode, keep=("text", "start", "end"))
-    return in_rows(settle_duplicates(section_arrays(marked)))
+    return settle_duplicates(section_arrays(marked))
+
+
+def sections_of_blocks(blocks: DataFrame, text_mode: bool) -> DataFrame:
+    return in_rows(sections_in_documents(blocks, text_mode))
 
 
 def section_records(sections: DataFrame) -> DataFrame:
@@ -216,13 +131,26 @@ def section_records(sections: DataFrame) -> DataFrame:
     return sections.select("*", standard_element(F.col("section_type")).alias("standard_element")).withColumn("confidence", F.bround("confidence", 3))
 
 
+ROLLED = ("start_position", "id", "level", "section_type", "end_position", "extracted_text", "duplicate_of")
+
+
 def standard_documents(sections: DataFrame) -> DataFrame:
-    """One row per document with every standard element: texts of its top-level sections that are no duplicates, in order, with a
-    blank line between; '' if there are none. Also the spans of each element and the list of duplicates."""
-    s = sections.withColumn("element", standard_element(F.col("section_type")))
-    kept = F.when((F.col("level") == 1) & F.col("duplicate_of").isNull(), F.struct("start_position", "id", "element", "end_position", "extracted_text"))
-    dup = F.when(F.col("duplicate_of").isNotNull(), F.struct("id", "element", "section_type", "start_position", "end_position", "duplicate_of"))
-    g = s.groupBy("doc_id").agg(F.array_sort(F.collect_list(kept)).alias("k"), F.array_sort(F.collect_list(dup)).alias("duplicates"))
+    """document_elements() of sections in rows."""
+    return document_elements(sections.groupBy("doc_id").agg(F.collect_list(F.struct(*ROLLED)).alias("sections")))
+
+
+def extract_documents(docs: DataFrame, doc_id: str = "doc_id", raw: str = "raw") -> DataFrame:
+    """Text documents to document_elements(). Sections stay within their document's row, so there is no second shuffle."""
+    return document_elements(sections_in_documents(read_blocks(docs, doc_id, raw), text_mode=True))
+
+
+def document_elements(docs: DataFrame) -> DataFrame:
+    """docs: doc_id and sections. One row per document with every standard element: texts of its top-level sections that are no
+    duplicates, in order, with a blank line between; '' if there are none. Also the spans of each element and the list of duplicates."""
+    picked = lambda on, names: F.array_sort(F.transform(F.filter("sections", on), lambda s: F.struct(*[(standard_element(s["section_type"]) if n == "element" else s[n]).alias(n) for n in names])))
+    kept = picked(lambda s: (s["level"] == 1) & s["duplicate_of"].isNull(), ("start_position", "id", "element", "end_position", "extracted_text"))
+    dup = picked(lambda s: s["duplicate_of"].isNotNull(), ("id", "element", "section_type", "start_position", "end_position", "duplicate_of"))
+    g = docs.select("doc_id", kept.alias("k"), dup.alias("duplicates"))
     parts = lambda e: F.filter("k", lambda x: x["element"] == e)
     texts = [F.array_join(F.transform(parts(e), lambda x: x["extracted_text"]), "\n\n").alias(e) for e in ELEMENTS]
     spans = F.map_from_arrays(F.array(*[F.lit(e) for e in ELEMENTS]), F.array(*[F.transform(parts(e), lambda x: F.array(x["start_position"], x["end_position"])) for e in ELEMENTS]))
