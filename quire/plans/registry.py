@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def source(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Runs SQL over the driver's tables; a table's name stands in braces."""
-    def view(m: re.Match) -> str:
-        name = f"quire_{m[1]}"
-        table(spark, sf_dir, m[1]).createOrReplaceTempView(name)
-        return name
-
-    return spark.sql(re.sub(NAME, view, sql))
+    """Runs SQL over the driver's tables; a table's name stands in braces. Views have names of their own and are dropped once the plan is
+    made, so that callers do not get into each other's way."""
+    views = {name: f"quire_{name}_{uuid.uuid4().hex}" for name in dict.fromkeys(re.findall(NAME, sql))}
+    for name, view in views.items():
+        table(spark, sf_dir, name).createOrReplaceTempView(view)
+    try:
+        return spark.sql(re.sub(NAME, lambda m: views[m[1]], sql))
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
 
 
 def plain(sql: str) -> str:

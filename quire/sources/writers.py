@@ -31,11 +31,16 @@ def create_cache(spark: SparkSession, table: str) -> None:
 
 
 def upsert_cache(spark: SparkSession, table: str, changes: DataFrame) -> None:
-    """Replaces or adds the rows of changes (latest of each doi). The merged rows are written beside the table, then swapped in, so
-    that a failed write leaves the table as it was."""
+    """Replaces or adds the rows of changes (latest of each doi). The merged rows are written beside the table; then the old table gets
+    another name and the new one its name. A failed write leaves the table as it was; if the driver is lost between the two renamings,
+    the next call finds the old table by its other name and puts it back first."""
+    staged, old = f"{table}__staged", f"{table}__old"
+    if not spark.catalog.tableExists(table) and spark.catalog.tableExists(old):
+        spark.sql(f"ALTER TABLE {old} RENAME TO {table}")
     merged = merge_metadata(spark.table(table), changes)
-    staged = f"{table}__staged"
     spark.sql(f"DROP TABLE IF EXISTS {staged}")
     merged.write.saveAsTable(staged)
-    spark.sql(f"DROP TABLE {table}")
+    spark.sql(f"DROP TABLE IF EXISTS {old}")
+    spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
     spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
+    spark.sql(f"DROP TABLE {old}")
