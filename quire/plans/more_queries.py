@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import citations as ct
 from quire.functions import text as tx
 from quire.operators import element_checks as ec
-from quire.operators import headings, sections
+from quire.operators import duplicates, headings, sections
 from quire.operators import sequences as sq
 from quire.plans.registry import derived, query, source, table
 from quire.plans.text_queries import MANUSCRIPT, RAW
@@ -83,7 +83,7 @@ def structural_signals(i):
 
 @derived("agg_17_checkboxes", "SELECT c_custkey AS k, repeat('☐ a ☑', CAST(c_custkey % 4 AS INT)) || '☒' AS s FROM {customer}", "SELECT k, 2 * (k % 4) + 1 AS n FROM i")
 def checkboxes(i):
-    return i.select("k", tx.count_of(F.col("s"), f"[{sections.CHECKBOXES}]").cast("bigint").alias("n"))
+    return i.select("k", tx.count_of(F.col("s"), f"[{duplicates.CHECKBOXES}]").cast("bigint").alias("n"))
 
 
 @derived("agg_11_composite_argmin", _SEQ, "SELECT doc_id, arg_min(idx, (s % 2) * 1000000 + p * 10 + idx) AS idx FROM i GROUP BY doc_id")
@@ -235,11 +235,11 @@ def element_checks(i):
     return ec.check_elements(i).select("k", "element", "guideline_id", "followed")
 
 
-@derived("snk_11_rich_spans", "SELECT p_partkey AS k, p_name AS s FROM {part}", "SELECT k, CASE WHEN length(s) <= 3 THEN NULL ELSE 'P' || left(s, 1) || '|H' || substring(s, 2, 2) || '|P' || substring(s, 4) END AS shown FROM i WHERE length(s) > 3")
+@derived("snk_11_rich_spans", "SELECT p_partkey AS k, p_name AS s FROM {part}", "SELECT k, concat_ws('|', 'P' || nullif(left(s, 1), ''), 'H' || nullif(substring(s, 2, 2), ''), 'P' || nullif(substring(s, 4), '')) AS shown FROM i")
 def rich_spans(i):
     spans = F.array(F.struct(F.lit(1).alias("start"), F.lit(3).alias("end")))
     parts = ec.rich_spans(F.col("s"), spans)
-    return i.filter("length(s) > 3").select("k", F.array_join(F.transform(parts, lambda p: F.concat(F.when(p["highlighted"], "H").otherwise("P"), p["text"])), "|").alias("shown"))
+    return i.select("k", F.array_join(F.transform(parts, lambda p: F.concat(F.when(p["highlighted"], "H").otherwise("P"), p["text"])), "|").alias("shown"))
 
 
 @derived("snk_10_edit_rows", "SELECT n_nationkey AS k, n_name AS original, CAST(n_nationkey % 3 AS INT) AS n FROM {nation}", "SELECT k, 0::INT AS pos, original, CASE WHEN n > 0 THEN 'e1' END AS detail FROM i UNION ALL SELECT k, 1, '', 'e2' FROM i WHERE n = 2")

@@ -93,9 +93,9 @@ def document_order(i):
 
 
 @derived("win_18_strict_order", TREES, _TOP + """ SELECT doc_id, bool_and(coalesce(k > before, true)) AS in_order FROM (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM
-  (SELECT s.doc_id, list_position(['INTRODUCTION', 'METHODS', 'RESULTS', 'DISCUSSION', 'CONCLUSIONS'], norm) AS k, min(start_position) AS pos FROM s GROUP BY s.doc_id, norm) WHERE k IS NOT NULL AND k > 0) GROUP BY doc_id""")
+  (SELECT s.doc_id, list_position(['INTRODUCTION', 'METHODS', 'RESULTS', 'DISCUSSION', 'CONCLUSIONS'], norm) AS k, min(start_position) AS pos FROM s GROUP BY s.doc_id, norm) WHERE k IS NOT NULL AND k > 0) GROUP BY doc_id""".replace("SELECT doc_id, bool_and", "SELECT doc_id, coalesce(in_order, true) AS in_order FROM d LEFT JOIN (SELECT doc_id, bool_and", 1) + ") AS x USING (doc_id)")
 def strict_order(i):
-    o = sr.check_order(i, strict_order=True).filter(F.exists("actual_order", lambda n: n.isin(sr.ORDER)))
+    o = sr.check_order(i, strict_order=True)
     return o.select("doc_id", F.array_contains("followed", "correct_top_level_order").alias("in_order"))
 
 
@@ -105,9 +105,16 @@ def _validated(i: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sr.validate_sections(s), sr.check_order(s)
 
 
-@derived("agg_13_document_validity", TREES, "SELECT DISTINCT doc_id, false AS valid FROM i")
+# Documents of the five expected sections: every third is complete, the next has a slanted heading, and the last lacks its results.
+COMPLETE = "SELECT c_custkey AS doc_id, CAST(j AS BIGINT) AS id, CASE j WHEN 1 THEN 'INTRODUCTION' WHEN 2 THEN 'METHODS' WHEN 3 THEN 'RESULTS' WHEN 4 THEN 'DISCUSSION' ELSE 'CONCLUSIONS' END AS name, CAST(1 AS INT) AS level, CAST(NULL AS BIGINT) AS parent_id, CAST(j * 10 AS INT) AS start_position, CAST(CASE WHEN c_custkey % 3 = 1 AND j = 2 THEN 2 ELSE 0 END AS INT) AS f FROM {customer} CROSS JOIN (SELECT r_regionkey + 1 AS j FROM {region}) AS r WHERE c_custkey % 3 < 2 OR j <> 3"
+
+
+@derived("agg_13_document_validity", COMPLETE, "SELECT DISTINCT doc_id, doc_id % 3 = 0 AS valid FROM i")
 def document_validity(i):
-    return sr.validate_documents(*_validated(i))
+    keyed = i.withColumn("look", F.col("id") * 10 + F.col("f"))
+    looks = _styled(keyed.select(F.col("look").alias("id"), "name", "level", "f").distinct().withColumns({"z": F.lit(0), "b": F.lit(1)}))
+    s = keyed.join(looks.select(F.col("id").alias("look"), "ranges", "extracted_text"), "look")
+    return sr.validate_documents(sr.validate_sections(s), sr.check_order(s))
 
 
 @derived("snk_04_validation_report", TREES, _HIER + """, x AS (SELECT * FROM r JOIN s USING (doc_id, id)) SELECT doc_id, id AS section_id, trim(name) AS heading_text, lv AND pa AS hierarchy_valid, concat_ws(' | ', CASE WHEN lv THEN 'correct_level' END, CASE WHEN pa THEN 'correct_parent' END) AS hierarchy_followed, false AS document_valid FROM x""")
@@ -115,6 +122,8 @@ def validation_report(i):
     return sr.report_csv(*_validated(i)).select("doc_id", "section_id", "heading_text", "hierarchy_valid", "hierarchy_followed", "document_valid")
 
 
+# Guidelines of each family.
+FAMILIES = "('H1', 5), ('H2', 5), ('H3', 6), ('H4', 6), ('HIER', 2), ('ORD', 7)"
 _G = "g(ord, key, gid, guideline, reason) AS (VALUES " + ", ".join(f"({k}, " + ", ".join("'" + x.replace("'", "''") + "'" for x in g) + ")" for k, g in enumerate(sr.GUIDELINES)) + ")"
 
 
@@ -124,9 +133,11 @@ def guideline_lookup(i):
     return sr.resolve_guidelines(i).select("k", "guideline_id", "reason")
 
 
-@query("dim_10_guidelines", f"WITH {_G} SELECT key, gid AS id, guideline, reason FROM g")
+@query("dim_10_guidelines", f"SELECT family, n::BIGINT AS n, n::BIGINT AS numbers, n::BIGINT AS keys, family || '-' || lpad(n || '', 2, '0') AS last FROM (VALUES {FAMILIES}) AS t(family, n)")
 def guidelines(spark, sf_dir):
-    return sr.guidelines(spark).select("key", "id", "guideline", "reason")
+    """Each family is numbered from 1 without gaps, and no key is used twice."""
+    g = sr.guidelines(spark).withColumn("family", F.substring_index("id", "-", 1))
+    return g.groupBy("family").agg(F.count("*").alias("n"), F.countDistinct("id").alias("numbers"), F.countDistinct("key").alias("keys"), F.max("id").alias("last"))
 
 
 @derived("prj_06_guideline_rows", TREES, _HIER + f""", {_G}, o AS (SELECT doc_id, id, unnest(list_filter([CASE WHEN lv THEN 'correct_level' END, CASE WHEN pa THEN 'correct_parent' END], lambda x: x IS NOT NULL)) AS key FROM r)
@@ -173,11 +184,9 @@ def distinct_abbreviations(i):
 EXPANSIONS = "SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'the role of mRNA in ' || p_name || ' by WHO' WHEN 1 THEN 'state-of-the-art care' ELSE 'of α and beta' END AS e FROM {part}"
 
 
-@derived("fn_18_capitalize_expansion", EXPANSIONS, """SELECT k, CASE k % 3 WHEN 0 THEN 'The Role of mRNA in ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' by WHO' WHEN 1 THEN 'State-of-the-Art Care' ELSE 'Of α and Beta' END AS shown FROM i JOIN part ON k = p_partkey
-  WHERE k % 3 > 0 OR NOT regexp_matches(p_name, '[^a-zA-Z ]')""")
+@derived("fn_18_capitalize_expansion", EXPANSIONS, """SELECT k, CASE k % 3 WHEN 0 THEN 'The Role of mRNA in ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' by WHO' WHEN 1 THEN 'State-of-the-Art Care' ELSE 'Of α and Beta' END AS shown FROM i JOIN part ON k = p_partkey""")
 def capitalize_expansion(i):
-    p = i.filter("k % 3 > 0 OR NOT e RLIKE '[^a-zA-Z ]'")
-    return p.select("k", tt.capitalize_expansion(F.col("e")).alias("shown"))
+    return i.select("k", tt.capitalize_expansion(F.col("e")).alias("shown"))
 
 
 CASED = "SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'Care For ' || lower(c_mktsegment) || ' With Us: Before And During A Time: x' WHEN 1 THEN 'Fine Words Only' ELSE 'From the Start Of It' END AS title FROM {customer}"

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import lexicon as lx
 from quire.functions import text as tx
 from quire.operators import headings, sections
-from quire.operators.marks import add_marks, ratio
 from quire.plans.registry import derived, query, source, table
 from quire.sources import text_reader as reader
 
@@ -67,7 +65,7 @@ PAGED = """SELECT c_custkey AS doc_id,
 @derived("agg_03_repeated_lines", PAGED, "SELECT i.doc_id, 'report of ' || lower(c_mktsegment) || ' #' AS key, 4::BIGINT AS n FROM i JOIN customer ON doc_id = c_custkey WHERE doc_id % 2 = 0")
 def repeated_lines(i):
     # Page 3 has two lines, so its head is among the first two and the last two and counts twice.
-    return reader.repeated_lines(reader.text_lines(i)).filter(F.col("key").startswith("report"))
+    return reader.repeated_lines(reader.text_lines(i))
 
 
 @derived("join_13_excluded_streams", PAGED, """SELECT doc_id, 'page_numbers' AS stream, 0 AS page, 'page 1 of 3' AS text FROM i UNION ALL SELECT doc_id, 'page_numbers', 1, '2' FROM i
@@ -142,9 +140,9 @@ def lexicon_match(i):
     return lx.add_match(i, F.col("heading"), "m").select("k", "m.type", "m.variant")
 
 
-@derived("fn_03_normalize_heading", HEADINGS, "SELECT k, lower(name) AS norm, k % 4 IN (2) AS had_colon FROM i WHERE k % 4 <> 0")
+@derived("fn_03_normalize_heading", HEADINGS, "SELECT k, lower(name) AS norm, k % 4 IN (0, 2) AS had_colon FROM i")
 def normalize_heading(i):
-    return i.filter("k % 4 <> 0").select("k", lx.normalize(F.col("heading")).alias("n")).select("k", "n.norm", "n.had_colon")
+    return i.select("k", lx.normalize(F.col("heading")).alias("n")).select("k", "n.norm", "n.had_colon")
 
 
 GLUED = """SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'FundingNone declared ' || p_size WHEN 1 THEN 'Funding none' WHEN 2 THEN 'Declaration of interest statementNone' WHEN 3 THEN 'Ethics approval and consent to participate:x'
@@ -156,7 +154,17 @@ def glued_prefix(i):
     return i.select("k", lx.glued_prefix(F.col("s")).alias("variant"))
 
 
-@query("join_18_lexicon_dimension", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {len(set(lx.expand(r)))}::BIGINT)" for names in (lx.NAMES, lx.SUBSECTION_NAMES) for t, r in names.items()) + ") AS t(section_type, n)")
+# How many names each section type has (274 of sections, 49 of subsections).
+NAMES_OF_TYPE = """
+    abstract 4, _summary_ambiguous 3, keywords 4, highlights 3, introduction 7, objectives 11, methods 18, results 3, results_and_discussion 1, discussion 3, limitations 5,
+    conclusions 10, implications 7, recommendations 2, future_work 4, related_work 6, acknowledgments 5, funding 19, declaration_of_interest 19, disclaimer 2, presented_at 5,
+    data_availability 9, ethics 12, credit_statement 19, references 7, figure_legends 8, tables_section 3, appendix 6, supplementary 11, abbreviations 5, correspondence 9,
+    affiliations 4, orcid 4, running_head 3, title_page_marker 19, authors_marker 6, word_count_marker 8, study_sample 19, measures 11, statistical_analysis 9, framework 6,
+    procedures 4
+"""
+
+
+@query("join_18_lexicon_dimension", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {n}::BIGINT)" for t, n in (x.split() for x in NAMES_OF_TYPE.split(","))) + ") AS t(section_type, n)")
 def lexicon_dimension(spark, sf_dir):
     return lx.lexicon(spark).groupBy("section_type").agg(F.countDistinct("variant").alias("n"))
 
@@ -239,8 +247,7 @@ def section_tree(spark, sf_dir):
   'ABSTRACT' || chr(10) || abstract AS "Abstract", 'INTRODUCTION' || chr(10) || intro || chr(10) || chr(10) || 'METHODS' || chr(10) || methods || chr(10) || chr(10) || 'RESULTS' || chr(10) || results || chr(10) || chr(10) || 'DISCUSSION' || chr(10) || discussion AS "Text",
   'ACKNOWLEDGMENTS' || chr(10) || thanks AS "Acknowledgments", '' AS "CRediT Author Statement", 'REFERENCES' || chr(10) || ref1 || chr(10) || ref2 AS "References", caption AS "Figure legends", '' AS "Tables", '' AS "Appendixes", '' AS "Figures", '' AS "other" FROM m""")
 def standard_elements(spark, sf_dir):
-    s = sections.extract_sections(source(spark, sf_dir, RAW))
-    return sections.standard_documents(s).select("doc_id", *sections.ELEMENTS)
+    return sections.extract_documents(source(spark, sf_dir, RAW)).select("doc_id", *sections.ELEMENTS)
 
 
 @query("agg_02_element_spans", _outline_sql() + """ SELECT doc_id, min(start_position) FILTER (section_type IN ('introduction', 'methods', 'results', 'discussion')) AS text_start,
@@ -287,13 +294,6 @@ def reference_shape(i):
     return headings.add_reference_shape(reader.read_blocks(i)).select("doc_id", "is_ref")
 
 
-@derived("agg_06_reference_lookahead", "SELECT l_orderkey AS doc_id, l_linenumber AS idx, max(l_quantity) > 25 AS is_ref FROM {lineitem} GROUP BY l_orderkey, l_linenumber",
-         "SELECT doc_id, idx, coalesce(sum(is_ref::INT) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING), 0)::BIGINT AS n_ref FROM i")
-def reference_lookahead(i):
-    w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(1, 7)
-    return i.select("doc_id", "idx", F.coalesce(F.sum(F.col("is_ref").cast("bigint")).over(w), F.lit(0)).alias("n_ref"))
-
-
 MARKS = "SELECT l_orderkey AS doc_id, l_linenumber AS idx, CAST(1 + l_partkey % 3 AS INT) AS level, 'x' AS section_type FROM {lineitem}"
 
 
@@ -312,10 +312,22 @@ def sequence_bonus(i):
     return i.select("doc_id", "id", sections.sequence_bonus().alias("bonus"))
 
 
-@query("prj_03_standard_element", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{e.replace(chr(39), chr(39) * 2)}')" for e, ts in sections.ELEMENT_OF.items() for t in ts.split()) + ", ('abstract_methods', 'Abstract'), ('keywords', 'other'), ('nothing', 'other')) AS t(section_type, element)")
-def standard_element(spark, sf_dir):
-    types = [t for ts in sections.ELEMENT_OF.values() for t in ts.split()] + ["abstract_methods", "keywords", "nothing"]
-    return spark.createDataFrame([(t,) for t in types], "section_type string").select("section_type", sections.standard_element(F.col("section_type")).alias("element"))
+# The standard element of each section type.
+STANDARD = """
+    Title: title. Authors' names: authors, authors_marker. Authors' affiliations: affiliations. Corresponding author's address: correspondence.
+    Abstract: abstract, abstract_methods, abstract_other. Acknowledgments: acknowledgments, funding, declaration_of_interest, disclaimer, presented_at. CRediT Author Statement: credit_statement.
+    Text: introduction, objectives, methods, results, results_and_discussion, discussion, limitations, conclusions, implications, recommendations, future_work, related_work, study_sample, measures,
+    statistical_analysis, framework, procedures, other_heading. References: references. Figure legends: figure_legends. Tables: tables_section. Appendixes: appendix, supplementary.
+    other: keywords, highlights, running_head, ethics, data_availability, orcid, front_metadata, unlabeled, nothing.
+"""
+_STANDARD = [(t.strip(), part.split(":")[0].strip()) for part in STANDARD.split(".") if ":" in part for t in part.split(":")[1].split(",")]
+TYPED = "SELECT p_partkey AS k, CASE p_partkey % " + str(len(_STANDARD)) + " " + " ".join(f"WHEN {i} THEN '{t}'" for i, (t, _) in enumerate(_STANDARD)) + " END AS section_type FROM {part}"
+_ELEMENTS = ", ".join("('{}', '{}')".format(t, e.replace("'", "''")) for t, e in _STANDARD)
+
+
+@derived("prj_03_standard_element", TYPED, f"SELECT k, section_type, element FROM i JOIN (VALUES {_ELEMENTS}) AS e(t, element) ON section_type = t")
+def standard_element(i):
+    return i.select("k", "section_type", sections.standard_element(F.col("section_type")).alias("element"))
 
 
 DUPES = """SELECT n_nationkey AS doc_id, CAST(k AS INT) AS id, CAST(NULL AS INT) AS parent_id, 1 AS level, 'funding' AS section_type, CAST(k * 100 AS INT) AS start_position, CAST(k * 100 + 90 AS INT) AS end_position, CAST(0.9 AS DOUBLE) AS confidence,
@@ -338,26 +350,3 @@ def span_blocks(i):
     blocks = i.select("doc_id", "idx", "start", F.col("stop").alias("end"), run.alias("runs"))
     spans = i.select("doc_id").distinct().select("doc_id", F.lit(50).alias("span_start"), F.lit(90).alias("span_end"))
     return sections.span_styles(blocks, spans).select("doc_id", "idx", "start_char", "end_char")
-
-
-@query("fn_61_similarity")
-def similarity(spark, sf_dir):
-    """Each benchmark item against the next: difflib's ratio."""
-    b = table(spark, sf_dir, "benchmark")
-    pairs = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other")), "item_id")
-    return pairs.select("item_id", _ratio_udf()("text", "other").alias("ratio"))
-
-
-def _ratio_udf():
-    @F.pandas_udf("double")
-    def f(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([ratio(x, y) for x, y in zip(a, b)])
-
-    return f
-
-
-@query("rule_12_marks_of_documents")
-def marks_of_documents(spark, sf_dir):
-    """Marks of all driver documents by type: text without known headings."""
-    s = headings.screened(_documents(spark, sf_dir))
-    return add_marks(s).groupBy("section_type").agg(F.count("*").alias("n"))

@@ -68,8 +68,8 @@ def test_et_al(spark):
 
 
 def test_lexicon_is_complete():
-    assert sum(len(set(lexicon.expand(r))) for r in lexicon.NAMES.values()) == 274
-    assert sum(len(lexicon.expand(r)) for r in lexicon.SUBSECTION_NAMES.values()) == 49
+    assert [sum(len(set(names)) for names in d.values()) for d in (lexicon.NAMES, lexicon.SUBSECTION_NAMES)] == [274, 49]
+    assert len(lexicon.TYPE_OF) == 323
 
 
 def test_abbreviation_overlaps():
@@ -104,8 +104,17 @@ def test_style_chains_end(spark):
 
 def test_duplicate_chains_with_loops(spark):
     rows = [(1, 1, 2), (1, 2, 3), (1, 3, None), (1, 4, 5), (1, 5, 4)]
-    got = {r.id: r.duplicate_of for r in sequences.chain_ends(spark.createDataFrame(rows, "doc_id int, id int, duplicate_of int")).collect()}
-    assert got[1] == got[2] == 3 and got[4] in (4, 5)
+    rows += [(1, 6, 4), (1, 7, 6), (1, 8, 8), (2, 9, 1), (2, 1, 77)]
+    got = {(r.doc_id, r.id): r.duplicate_of for r in sequences.chain_ends(spark.createDataFrame(rows, "doc_id int, id int, duplicate_of int")).collect()}
+    assert got == {(1, 1): 3, (1, 2): 3, (1, 4): 4, (1, 5): 5, (1, 6): 4, (1, 7): 4, (1, 8): 8, (2, 9): 77, (2, 1): 77}
+
+
+def test_long_chains(spark):
+    rows = [(d, i, i + 1 if i < 1000 else None, f"v{d}" if i == 1000 else None) for d in (1, 2) for i in range(1001)]
+    df = spark.createDataFrame(rows, "doc_id int, id int, duplicate_of int, v string")
+    assert {(r.doc_id, r.duplicate_of) for r in sequences.chain_ends(df).collect()} == {(1, 1000), (2, 1000)}
+    got = sequences.inherited(df, "id", "duplicate_of", "v").collect()
+    assert len(got) == 2002 and {(r.doc_id, r.v) for r in got} == {(1, "v1"), (2, "v2")}
 
 
 def test_sinks_and_files(spark, tmp_path):
