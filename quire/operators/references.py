@@ -36,14 +36,15 @@ def reference_lines(docs: DataFrame, doc_id: str, text: str, max_refs: int | Non
     return rows if max_refs is None else rows.filter(F.col("ord") <= max_refs)
 
 
-def parse_journals(files: DataFrame, content: str = "content") -> DataFrame:
-    """ord and record (a map): records between lines of dashes, "key: value" lines; the last of equal keys counts."""
-    records = files.select(F.posexplode(F.split(content, r"\n-{20,}\n")).alias("ord", "r")).filter(strip(F.col("r")) != "")
+def parse_journals(files: DataFrame, content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The kept columns, ord (the place in the file) and record (a map): records between lines of dashes, "key: value" lines; the last of
+    equal keys counts. A list in many files, or a file per record, is parsed in parallel."""
+    records = files.select(*keep, F.posexplode(F.split(content, r"\n-{20,}\n")).alias("ord", "r")).filter(strip(F.col("r")) != "")
     pairs = F.transform(F.filter(F.transform(lines(F.col("r")), strip), lambda x: x.contains(":")), lambda x: F.struct(
         strip(F.substring_index(x, ":", 1)).alias("key"), strip(F.regexp_replace(strip(F.substr(x, F.instr(x, ":") + 1)), r"\s*\([^)]*\)", "")).alias("value")))
     pairs = F.filter(pairs, lambda e: e["value"] != "")
     last = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.map_from_arrays(F.array(e["key"]), F.array(e["value"]))))
-    return records.select("ord", last.alias("record")).filter(F.size("record") > 0)
+    return records.select(*keep, "ord", last.alias("record")).filter(F.size("record") > 0)
 
 
 def journal_dimension(records: DataFrame) -> DataFrame:
@@ -78,6 +79,17 @@ def merge_metadata(cache: DataFrame, changes: DataFrame) -> DataFrame:
     return cache.join(new.select("doi"), "doi", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def with_metadata(refs: DataFrame, cache: DataFrame, doi: str = "doi") -> DataFrame:
+    """refs with metadata and source of the cache's row of the same DOI (case does not count); nulls where there is none or it failed."""
+    known = cache.filter("success and metadata is not null and source is not null").select(doi_key(F.col("doi")).alias("__k"), "metadata", "source")
+    return refs.withColumn("__k", doi_key(F.col(doi))).join(known, "__k", "left").drop("__k")
+
+
+def numbered(refs: DataFrame) -> DataFrame:
+    """Adds shown: the reference with its number in the document in front."""
+    return refs.withColumn("shown", F.concat(F.col("ord").cast("string"), F.lit(". "), F.col("actual_ref")))
+
+
 def http_outcome(status: Column, retry_after: Column, attempt: Column, valid_json: Column, max_attempts: int = 3, cap: float = 30.0) -> Column:
     """outcome (success, invalid_json, not_found, retry or failed) and delay in seconds of a metadata request."""
     retry = status.isin(*RETRIED)
@@ -143,8 +155,7 @@ def rebuild(refs: DataFrame, metadata: DataFrame, journals: DataFrame, with_edit
     journal list and their own numbers. Joins are on keys: the DOI, and journal titles."""
     r = refs.select("doc_id", "ord", clean(F.col("actual_ref")).alias("original"))
     r = r.withColumn("doi", normalize_doi(first_doi(F.col("original"))))
-    known = metadata.filter("success and metadata is not null and source is not null").select(doi_key(F.col("doi")).alias("__k"), "metadata", "source")
-    r = with_metadata_fields(r.withColumn("__k", F.lower("doi")).join(known, "__k", "left").drop("__k"))
+    r = with_metadata_fields(with_metadata(r, metadata))
     names = r.select("doc_id", "ord", F.posexplode("journal_names").alias("pos", "name"))
     r = r.join(find_journals(names, journals, ["doc_id", "ord"]), ["doc_id", "ord"], "left")
     authors, title = format_authors(F.col("author_names")), clean(F.col("title"))
@@ -173,3 +184,16 @@ def report_rows(results: DataFrame) -> DataFrame:
     none = base.filter((F.size("text_edits") == 0) & (F.size("missing_components") == 0) & (F.size("warnings") == 0))
     none = none.select("doc_id", "ord", F.lit(3).alias("kind_ord"), F.lit(0).alias("pos"), F.lit("No Edits").alias("detail"), "original", "edited", F.lit("No Edits").alias("kind"))
     return edits.unionByName(rows("warnings", 1, "Warning")).unionByName(rows("missing_components", 2, "Incomplete Component")).unionByName(none)
+
+
+LAST = 2147483647
+
+
+def edit_rows(results: DataFrame) -> DataFrame:
+    """The earlier workbook: doc_id, ord, pos, original, edited and detail. A row per text edit, or one without; original and edited stand
+    in the first row only, and an empty row ends each reference."""
+    rows = results.select("doc_id", "ord", "original", "edited", F.posexplode_outer("text_edits").alias("pos", "e")).withColumn("pos", F.coalesce("pos", F.lit(0)))
+    first = lambda c: F.when(F.col("pos") == 0, F.col(c)).otherwise("").alias(c)
+    shown = rows.select("doc_id", "ord", "pos", first("original"), first("edited"), F.coalesce(F.concat_ws(" to ", "e.original_text", "e.edited_text"), F.lit("")).alias("detail"))
+    empty = results.select("doc_id", "ord", F.lit(LAST).alias("pos"), *[F.lit("").alias(c) for c in ("original", "edited", "detail")])
+    return shown.unionByName(empty)

@@ -157,6 +157,14 @@ def document_elements(docs: DataFrame) -> DataFrame:
     return g.select("doc_id", *texts, "duplicates", spans.alias("element_spans"))
 
 
+def document_records(docs: DataFrame, streams: DataFrame) -> DataFrame:
+    """docs: doc_id and sections (an array). streams: doc_id, stream, text. One row per document with both: excluded_streams is a map from
+    stream to its texts, in order of text, without streams that have none."""
+    per = streams.groupBy("doc_id", "stream").agg(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.col("text")))).alias("texts")).filter(F.size("texts") > 0)
+    maps = per.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("stream", "texts"))).alias("excluded_streams"))
+    return docs.join(maps, "doc_id", "left").withColumn("excluded_streams", F.coalesce("excluded_streams", F.create_map().cast("map<string,array<string>>")))
+
+
 def span_styles(blocks: DataFrame, spans: DataFrame) -> DataFrame:
     """blocks x spans (doc_id, span_start, span_end): each block a span touches, with its runs clipped to the span."""
     b = blocks.join(spans, "doc_id").filter((F.col("end") > F.col("span_start")) & (F.col("start") < F.col("span_end")))

@@ -9,8 +9,9 @@ from quire.functions import text as tx
 from quire.operators import element_checks as ec
 from quire.operators import duplicates, headings, sections
 from quire.operators import sequences as sq
-from quire.plans.registry import derived, query, source, table
-from quire.plans.text_queries import MANUSCRIPT, RAW
+from quire.operators import style_rules as sr
+from quire.plans.registry import derived, query, source
+from quire.plans.text_queries import MANUSCRIPT, PAGED, RAW
 from quire.sources import text_reader as reader
 
 _SEQ = "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS idx, min(l_partkey) AS p, min(l_suppkey) AS s FROM {lineitem} GROUP BY l_orderkey, l_linenumber"
@@ -56,12 +57,6 @@ def duplicate_chains(i):
     return sq.chain_ends(i)
 
 
-@derived("join_14_eligible_blocks", _SEQ, "SELECT doc_id, idx FROM i WHERE p % 5 <> 0 AND idx < 4")
-def eligible_blocks(i):
-    protected = i.filter("p % 5 = 0").select("doc_id", "idx")
-    return i.filter("idx < 4").join(protected, ["doc_id", "idx"], "left_anti").select("doc_id", "idx")
-
-
 @derived("win_22_soft_lines", "SELECT n_nationkey AS doc_id, n_name AS name FROM {nation}", "SELECT doc_id, CAST(l AS BIGINT) AS line, CASE l WHEN 0 THEN 'A' || name ELSE 'b end' END AS text FROM i, range(2) AS t(l)")
 def soft_lines(i):
     rows = i.select("doc_id", F.posexplode(F.array(F.lit("A"), F.concat("name", F.lit("\nb")), F.lit(" end"))).alias("run", "text"))
@@ -86,107 +81,9 @@ def checkboxes(i):
     return i.select("k", tx.count_of(F.col("s"), f"[{duplicates.CHECKBOXES}]").cast("bigint").alias("n"))
 
 
-@derived("agg_11_composite_argmin", _SEQ, "SELECT doc_id, arg_min(idx, (s % 2) * 1000000 + p * 10 + idx) AS idx FROM i GROUP BY doc_id")
-def composite_argmin(i):
-    return i.groupBy("doc_id").agg(F.min_by("idx", F.struct(F.col("s") % 2, F.col("p"), F.col("idx"))).alias("idx"))
-
-
-@derived("agg_07_distinct_families", _SEQ, "SELECT doc_id, count(DISTINCT p % 4) >= 3 AS many FROM i GROUP BY doc_id")
-def distinct_families(i):
-    return i.groupBy("doc_id").agg((F.size(F.collect_set(F.col("p") % 4)) >= 3).alias("many"))
-
-
-@derived("agg_08_strongest_core", _SEQ, "SELECT doc_id, coalesce(max(CASE WHEN p % 3 = 0 THEN s % 4 END), 0) AS strongest FROM i GROUP BY doc_id")
-def strongest_core(i):
-    return i.groupBy("doc_id").agg(F.coalesce(F.max(F.when(F.col("p") % 3 == 0, F.col("s") % 4)), F.lit(0)).alias("strongest"))
-
-
-@derived("agg_10_repeated_types", _SEQ, "SELECT doc_id, p % 5 AS type, count(*) AS n FROM i GROUP BY doc_id, p % 5 HAVING count(*) > 1")
-def repeated_types(i):
-    return i.groupBy("doc_id", (F.col("p") % 5).alias("type")).agg(F.count("*").alias("n")).filter("n > 1")
-
-
 _ORDERED = "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS id, CAST(NULL AS INT) AS parent_id, CASE l_linenumber % 4 WHEN 0 THEN 'Methods' WHEN 1 THEN 'introduction' WHEN 2 THEN 'Odd One' ELSE 'RESULTS' END AS name, CAST(l_linenumber * 10 AS INT) AS start_position FROM {lineitem} GROUP BY l_orderkey, l_linenumber"
 
 
-@derived("set_05_present_sections", _ORDERED, "SELECT doc_id, array_to_string(list_sort(list(DISTINCT upper(name)) FILTER (name <> 'Odd One')), '|') AS present, coalesce(bool_or(name = 'Odd One'), false) AS odd FROM i GROUP BY doc_id HAVING count(*) FILTER (name <> 'Odd One') > 0")
-def present_sections(i):
-    names = i.groupBy("doc_id").agg(F.collect_set(tx.normalize_name(F.col("name"))).alias("n"))
-    expected = F.array(*[F.lit(x) for x in ("INTRODUCTION", "METHODS", "RESULTS", "DISCUSSION", "CONCLUSIONS")])
-    out = names.select("doc_id", F.array_sort(F.array_intersect("n", expected)).alias("p"), F.size(F.array_except("n", expected)).alias("o"))
-    return out.filter(F.size("p") > 0).select("doc_id", F.array_join("p", "|").alias("present"), (F.col("o") > 0).alias("odd"))
-
-
-# Manuscripts that try the order-dependent rules: each has one feature in an otherwise plain outline.
-_HEAD = "'The Long Study of Nation ' || n_name"
-_PROSE = "'We asked ' || n_nationkey || ' people about it, and they told us what they knew in some detail.'"
-_REFS = "'1. Doe J. First part. J Test. 2019;5(2):11-19.{g}2. Roe K. Second part. J Test. 2020;6(1):21-29.'"
-
-
-def _doc(*blocks: str) -> str:
-    return "SELECT n_nationkey AS doc_id, " + " || chr(10) || chr(10) || ".join(b if b.startswith("'") else f"'{b}'" for b in blocks).replace("{g}", "' || chr(10) || chr(10) || '") + " AS raw FROM {nation}"
-
-
-def _of(i, *types: str):
-    s = sections.extract_sections(i)
-    return s.filter(F.col("section_type").isin(*types))
-
-
-@derived("rule_06_unheaded_references", _doc(_HEAD, "INTRODUCTION", _PROSE, "METHODS", _PROSE, *[f"{k}. Doe J. Part {k}. J Test. 2019;5(2):11-19." for k in range(1, 6)]), "SELECT doc_id, 5::INT AS start_block, 9::INT AS end_block, 0.6::DOUBLE AS confidence, true AS uncertain FROM i")
-def unheaded_references(i):
-    return _of(i, "references").select("doc_id", "start_block", "end_block", "confidence", "uncertain")
-
-
-@derived("rule_08_structured_abstract", _doc(_HEAD, "ABSTRACT", "Introduction: we looked at many things in many lands for long.", "Methods: we asked very many people about these many things.", "Results: they knew some of it but by far not all of these.", "INTRODUCTION", _PROSE, "METHODS", _PROSE, "RESULTS", _PROSE),
-         "SELECT doc_id, t AS section_type, b::INT AS start_block, 2::INT AS parent_id, 2::INT AS level FROM i, (VALUES ('abstract_introduction', 2), ('abstract_methods', 3), ('abstract_results', 4)) AS r(t, b)")
-def structured_abstract(i):
-    return _of(i, "abstract_introduction", "abstract_methods", "abstract_results").select("doc_id", "section_type", "start_block", "parent_id", "level")
-
-
-@derived("rule_09_keywords", _doc(_HEAD, "ABSTRACT", _PROSE, "Keywords: size; brand; type of part", "INTRODUCTION", _PROSE, "METHODS", _PROSE), "SELECT doc_id, 'Keywords:' AS name, 3::INT AS start_block, 3::INT AS end_block, 0.85::DOUBLE AS confidence FROM i")
-def keywords(i):
-    return _of(i, "keywords").select("doc_id", "name", "start_block", "end_block", "confidence")
-
-
-@derived("rule_10_repeated_body_type", _doc(_HEAD, "INTRODUCTION", _PROSE, "RESULTS", _PROSE, "METHODS", _PROSE, "RESULTS", "'Some other words that are not at all like those above: a list of ' || n_nationkey || ' items follows, with no more.'", "REFERENCES", _REFS),
-         "SELECT doc_id, b::INT AS start_block, c::DOUBLE AS confidence, f AS repeated FROM i, (VALUES (3, 0.9, NULL), (7, 0.75, 'true')) AS r(b, c, f)")
-def repeated_body_type(i):
-    return _of(i, "results").select("doc_id", "start_block", F.round("confidence", 6).alias("confidence"), F.col("flags")["repeated_type"].alias("repeated"))
-
-
-@derived("rule_11_tail_groups", _doc(_HEAD, "INTRODUCTION", _PROSE, "METHODS", _PROSE, "REFERENCES", _REFS, "Figure 1. The people", "Figure 2. The lands", "Table 1. The sizes", "Appendix Table 1. More"),
-         "SELECT doc_id, t AS section_type, a::INT AS start_block, z::INT AS end_block FROM i, (VALUES ('figure_legends', 8, 9), ('tables_section', 10, 10), ('appendix', 11, 11)) AS r(t, a, z)")
-def tail_groups(i):
-    return _of(i, "figure_legends", "tables_section", "appendix").select("doc_id", "section_type", "start_block", "end_block")
-
-
-@derived("join_16_fuzzy_tail_heading", _doc(_HEAD, "INTRODUCTION", _PROSE, "METHODS", _PROSE, "REFERENCES", _REFS, "IST OF FIGURES", "Figure 1. The people"), "SELECT doc_id, 'IST OF FIGURES' AS name, 0.65::DOUBLE AS confidence FROM i")
-def fuzzy_tail_heading(i):
-    return _of(i, "figure_legends").select("doc_id", "name", "confidence")
-
-
-@derived("rule_12_front_matter", _doc(_HEAD, "Jane Q. Doe, MD, PhD, John Roe, MPH, Ann Poe, PhD", "From the Department of Things, University of Nation", "Corresponding to: Jane Doe", "Phone: 12345", "INTRODUCTION", _PROSE, "METHODS", _PROSE),
-         "SELECT doc_id, t AS section_type, a::INT AS start_block, z::INT AS end_block FROM i, (VALUES ('title', 0, 0), ('authors', 1, 1), ('affiliations', 2, 2), ('correspondence', 3, 4)) AS r(t, a, z)")
-def front_matter(i):
-    return _of(i, "title", "authors", "affiliations", "correspondence").select("doc_id", "section_type", "start_block", "end_block")
-
-
-@derived("join_17_repeated_title", _doc(_HEAD, "Jane Q. Doe, MD, PhD, John Roe, MPH, Ann Poe, PhD", _HEAD, "INTRODUCTION", _PROSE, "METHODS", _PROSE), "SELECT doc_id, b::INT AS start_block, d::INT AS duplicate_of FROM i, (VALUES (0, NULL), (2, 1)) AS r(b, d)")
-def repeated_title(i):
-    return _of(i, "title").select("doc_id", "start_block", "duplicate_of")
-
-
-@derived("rule_15_singleton_restatement", _doc(_HEAD, "INTRODUCTION", _PROSE, "FUNDING", "The study was paid for by the nation of which we speak here.", "METHODS", "'" + "We asked people about it in many ways. ' || repeat('We asked and asked. ', 120)", "DISCUSSION", _PROSE, "FUNDING", "Zebra quartz jumps vex the lazy dogs of it.", "REFERENCES", _REFS),
-         "SELECT doc_id, b::INT AS start_block, d::INT AS duplicate_of FROM i, (VALUES (3, NULL), (9, 3)) AS r(b, d)")
-def singleton_restatement(i):
-    return _of(i, "funding").select("doc_id", "start_block", "duplicate_of")
-
-
-@derived("win_11_contributor_lines", _doc(_HEAD, "INTRODUCTION", _PROSE, "METHODS", _PROSE, "Jane Doe: Writing, Software", "John Roe: Supervision", "Ann Poe: Validation, Resources", "REFERENCES", _REFS), "SELECT doc_id, 5::INT AS start_block, 7::INT AS end_block, 0.7::DOUBLE AS confidence FROM i")
-def contributor_lines(i):
-    return _of(i, "credit_statement").select("doc_id", "start_block", "end_block", "confidence")
-
-
 @derived("rule_03_trailing_parenthetical", "SELECT p_partkey AS doc_id, 'Abstract (' || p_size || '/300 words)' AS raw FROM {part}", "SELECT doc_id, 'abstract' AS section_type, true AS noted FROM i")
 def trailing_parenthetical(i):
     s = headings.screened(reader.read_blocks(i))
@@ -217,12 +114,6 @@ def section_json(spark, sf_dir):
     return j.select("doc_id", F.get_json_object("j", "$.section_type").alias("section_type"), F.get_json_object("j", "$.standard_element").alias("element"), F.get_json_object("j", "$.confidence").cast("double").alias("confidence"))
 
 
-@query("agg_09_unlabeled_spans", f"{_M} SELECT doc_id, 0::BIGINT AS n FROM m")
-def unlabeled_spans(spark, sf_dir):
-    s = sections.extract_sections(source(spark, sf_dir, RAW))
-    return s.groupBy("doc_id").agg(F.count_if(F.col("section_type").isin("unlabeled", "front_other")).alias("n"))
-
-
 # Element checks
 
 ELEMENTS = """SELECT c_custkey AS k, 'correspondence' AS element, CASE c_custkey % 3 WHEN 0 THEN 'Address correspondence to: Jane Doe, MD, 1 Main Street, Town CO. E-mail: j@x.edu.' WHEN 1 THEN 'Write to Dr. Jane Doe, 1 Main St., phone 123, fax 9' ELSE '' END AS text FROM {customer}
@@ -242,13 +133,6 @@ def rich_spans(i):
     return i.select("k", F.array_join(F.transform(parts, lambda p: F.concat(F.when(p["highlighted"], "H").otherwise("P"), p["text"])), "|").alias("shown"))
 
 
-@derived("snk_10_edit_rows", "SELECT n_nationkey AS k, n_name AS original, CAST(n_nationkey % 3 AS INT) AS n FROM {nation}", "SELECT k, 0::INT AS pos, original, CASE WHEN n > 0 THEN 'e1' END AS detail FROM i UNION ALL SELECT k, 1, '', 'e2' FROM i WHERE n = 2")
-def edit_rows(i):
-    edits = F.slice(F.array(F.lit("e1"), F.lit("e2")), F.lit(1), F.col("n"))
-    rows = i.select("k", "original", F.posexplode_outer(edits).alias("pos", "detail"))
-    return rows.select("k", F.coalesce("pos", F.lit(0)).alias("pos"), F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("original")).otherwise("").alias("original"), "detail")
-
-
 # Small functions
 
 @derived("fn_52_clean", "SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE '  ' || c_name || ' ' || chr(9) END AS s, c_acctbal AS b FROM {customer}", "SELECT k, CASE WHEN k % 3 = 0 THEN '' ELSE c_name END AS s FROM i JOIN customer ON k = c_custkey")
@@ -256,26 +140,34 @@ def clean(i):
     return i.select("k", ct.clean(F.col("s")).alias("s"))
 
 
-@derived("fn_63_half_even_rounding", "SELECT p_partkey AS k, CAST(p_size AS DOUBLE) / 8 AS x FROM {part}", "SELECT k, round_even(x, 2) AS r, greatest(0.15, least(0.97, x))::DOUBLE AS c FROM i")
-def rounding(i):
-    return i.select("k", F.bround("x", 2).alias("r"), F.greatest(F.lit(0.15), F.least(F.lit(0.97), F.col("x"))).alias("c"))
-
-
-@derived("fn_64_year_in_text", "SELECT o_orderkey AS k, '20 Mar ' || year(o_orderdate) || '; ok' AS s, o_orderdate AS d FROM {orders}", "SELECT k, year(d)::INT AS y FROM i")
-def year_in_text(i):
-    return i.select("k", F.regexp_extract("s", rf"\b{ct.YEAR}\b", 0).cast("int").alias("y"))
-
-
 @derived("fn_50_starts_lowercase", "SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN '-da' WHEN 1 THEN 'Rui' WHEN 2 THEN '12' ELSE 'été' END AS s FROM {customer}", "SELECT k, k % 4 IN (0, 3) AS low FROM i")
 def starts_lowercase(i):
     return i.select("k", F.coalesce(ct._starts_lower(F.col("s")), F.lit(False)).alias("low"))
 
 
-@query("snk_02_document_record", "SELECT o_custkey AS doc_id, count(*) AS n_blocks, CASE WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN 1 ELSE 0 END::INT AS n_streams FROM orders GROUP BY o_custkey")
-def document_record(spark, sf_dir):
-    """A document's record drops streams without entries."""
-    o = table(spark, sf_dir, "orders")
-    empty = F.array().cast("array<string>")
-    g = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.count("*").alias("n_blocks"), F.collect_list(F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))).alias("f"))
-    streams = F.map_filter(F.create_map(F.lit("headers"), F.col("f"), F.lit("footers"), empty), lambda _, v: F.size(v) > 0)
-    return g.select("doc_id", "n_blocks", F.size(streams).alias("n_streams"))
+@derived("fn_64_year_in_text", "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN '20 Mar ' || year(o_orderdate) WHEN 1 THEN year(o_orderdate) || '' WHEN 2 THEN '3020 May' ELSE 'May' END AS y, o_orderdate AS d FROM {orders}",
+         "SELECT k, CASE WHEN k % 4 < 2 THEN year(d) || ';7' ELSE CASE k % 4 WHEN 2 THEN 'None;7' ELSE 'May;7' END END AS shown FROM i")
+def year_in_text(i):
+    """A year of more than four characters is cut to its four digits, or becomes None."""
+    none = F.lit("").cast("string")
+    return i.select("k", ct.format_numbers(F.struct(F.col("y").alias("year"), F.lit("7").alias("volume"), none.alias("issue"), none.alias("pages"), none.alias("article_number"))).alias("shown"))
+
+
+@derived("set_05_present_sections", _ORDERED, """, n AS (SELECT DISTINCT doc_id, upper(name) AS n FROM i) SELECT doc_id, concat_ws('|', CASE WHEN bool_or(n = 'INTRODUCTION') THEN 'contains_introduction' END, CASE WHEN bool_or(n = 'METHODS') THEN 'contains_methods' END,
+  CASE WHEN bool_or(n = 'RESULTS') THEN 'contains_results' END) AS present, concat_ws('|', CASE WHEN NOT bool_or(n = 'INTRODUCTION') THEN 'INTRODUCTION' END, CASE WHEN NOT bool_or(n = 'METHODS') THEN 'METHODS' END, CASE WHEN NOT bool_or(n = 'RESULTS') THEN 'RESULTS' END, 'DISCUSSION', 'CONCLUSIONS') AS missing,
+  bool_or(n = 'ODD ONE') AS odd FROM n GROUP BY doc_id""")
+def present_sections(i):
+    o = sr.check_order(i)
+    has = F.filter("followed", lambda x: x.startswith("contains_"))
+    missing = F.transform(F.filter("issues", lambda x: x.startswith("Missing")), lambda x: F.regexp_extract(x, "'([^']*)'", 1))
+    return o.select("doc_id", F.array_join(has, "|").alias("present"), F.array_join(missing, "|").alias("missing"), F.exists("issues", lambda x: x.startswith("Unexpected")).alias("odd"))
+
+
+# Documents of three pages: their records hold the sections and the excluded lines by stream.
+@derived("snk_02_document_record", PAGED, """SELECT doc_id, 2::INT AS n_sections, CASE WHEN doc_id % 2 = 0 THEN 'headers_footers|page_numbers' ELSE 'page_numbers' END AS streams, CASE WHEN doc_id % 2 = 0 THEN 3 END::INT AS n_heads, '2|page 1 of 3' AS numbers FROM i""")
+def document_record(i):
+    docs = sections.sections_in_documents(reader.read_blocks(i), text_mode=True)
+    r = sections.document_records(docs, reader.split_streams(reader.text_lines(i))[1].unionByName(i.select("doc_id", F.lit("footnotes").alias("stream"), F.lit(0).alias("page"), F.lit(0).alias("line"), F.lit("").alias("text"))))
+    m = F.col("excluded_streams")
+    heads = F.try_element_at(m, F.lit("headers_footers"))
+    return r.select("doc_id", F.size("sections").alias("n_sections"), F.array_join(F.array_sort(F.map_keys(m)), "|").alias("streams"), F.when(heads.isNotNull(), F.size(heads)).alias("n_heads"), F.array_join(F.try_element_at(m, F.lit("page_numbers")), "|").alias("numbers"))

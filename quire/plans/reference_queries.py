@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import citations as ct
@@ -119,18 +118,18 @@ _RECORD = "'JrId: ' || id || chr(10) || 'JournalTitle: ' || title || chr(10) ||
 
 
 def _records(i):
-    text = i.select("ord", F.expr(_RECORD.replace("chr(10)", "'\\n'")).alias("r"))
-    files = text.groupBy(F.lit("list").alias("file")).agg(F.array_sort(F.collect_list(F.struct("ord", "r"))).alias("x"))
-    return rf.parse_journals(files.select("file", F.array_join("x.r", "\n" + "-" * 56 + "\n").alias("content")))
+    """Records as files of one record each, parsed as rows; ord is the place in the list."""
+    files = i.select(F.col("ord").alias("place"), F.expr(_RECORD.replace("chr(10)", "'\\n'")).alias("content"))
+    return rf.parse_journals(files, keep=("place",)).select(F.col("place").alias("ord"), "record")
 
 
-@derived("src_07_parse_journals", JOURNALS, "SELECT (row_number() OVER (ORDER BY ord) - 1)::INT AS ord, id || '' AS jrid, title, 'Ann Part ' || id AS med_abbr, 3::INT AS n FROM i")
+@derived("src_07_parse_journals", JOURNALS, "SELECT ord, id || '' AS jrid, title, 'Ann Part ' || id AS med_abbr, 3::INT AS n FROM i")
 def parse_journals(i):
     m = F.col("record")
     return _records(i).select("ord", m["JrId"].alias("jrid"), m["JournalTitle"].alias("title"), m["MedAbbr"].alias("med_abbr"), F.size("record").alias("n"))
 
 
-@derived("agg_14_journal_dimension", JOURNALS, "SELECT lower(replace(title, '.', '')) AS title_key, (min(ord) - (SELECT min(ord) FROM i))::INT AS ord, 'Ann Part ' || max(id) AS med_abbr FROM i GROUP BY title")
+@derived("agg_14_journal_dimension", JOURNALS, "SELECT lower(replace(title, '.', '')) AS title_key, min(ord) AS ord, 'Ann Part ' || max(id) AS med_abbr FROM i GROUP BY title")
 def journal_dimension(i):
     return rf.journal_dimension(_records(i)).select("title_key", "ord", "med_abbr")
 
@@ -160,13 +159,6 @@ def cache_merge(i):
     return merged.groupBy("doi").agg(F.count("*").alias("n"), F.max("updated_at").alias("updated_at"))
 
 
-@query("join_04_cached_metadata", f"WITH i AS ({CITED}) SELECT i.k, i.n, i.p, o_orderpriority AS metadata FROM i LEFT JOIN orders ON o_orderkey = i.k AND i.n = 1")
-def cached_metadata(spark, sf_dir):
-    refs = source(spark, sf_dir, CITED).select("k", "n", "p", ct.doi_key(ct.first_doi(F.col("ref"))).alias("key"))
-    cache = table(spark, sf_dir, "orders").select(F.concat(F.lit("10.1000/"), F.col("o_orderkey").cast("string"), F.lit(".1")).alias("key"), F.col("o_orderpriority").alias("metadata"))
-    return refs.join(cache, "key", "left").select("k", "n", "p", "metadata")
-
-
 STATUS = "SELECT event_id AS k, CAST(CASE event_id % 8 WHEN 0 THEN 200 WHEN 1 THEN 200 WHEN 2 THEN 404 WHEN 3 THEN 429 WHEN 4 THEN 503 WHEN 5 THEN 500 WHEN 6 THEN 418 ELSE 504 END AS INT) AS status, CASE WHEN event_id % 8 = 3 THEN '7' END AS retry_after, CAST(event_id % 5 AS INT) AS attempt, event_id % 8 <> 1 AS ok FROM {events}"
 
 
@@ -178,19 +170,19 @@ def http_outcome(i):
 
 # Metadata in both layouts, and citations without DOI or metadata.
 META = """SELECT o_orderkey AS k, o_orderkey % 4 AS kind, CASE o_orderkey % 4 WHEN 0 THEN 'openalex' WHEN 1 THEN 'crossref' END AS source,
-  CASE o_orderkey % 4 WHEN 0 THEN '{"title": "GREAT Part ' || o_orderkey || '. a view", "authorships": [{"author": {"display_name": "Ana da Costa"}}, {"author": {"display_name": ""}}, {"author": {"display_name": "Rui Pinto"}}], "locations": [{"raw_source_name": null}, {"raw_source_name": " Annals of part 3. "}]}'
-   WHEN 1 THEN '{"title": ["Small PART ' || o_orderkey || '"], "author": [{"given": "Mary Ann", "family": "Lee"}, {"given": "X"}], "container-title": ["Unknown Weekly"]}' END AS metadata,
+  CASE o_orderkey % 4 WHEN 0 THEN '{"title": "GREAT Part n' || o_orderkey || '. a view", "authorships": [{"author": {"display_name": "Ana da Costa"}}, {"author": {"display_name": ""}}, {"author": {"display_name": "Rui Pinto"}}], "locations": [{"raw_source_name": null}, {"raw_source_name": " Annals of part 3. "}]}'
+   WHEN 1 THEN '{"title": ["Small PART n' || o_orderkey || '"], "author": [{"given": "Mary Ann", "family": "Lee"}, {"given": "X"}], "container-title": ["Unknown Weekly"]}' END AS metadata,
   'Doe J. A part. J Test. 2020;5(2):11-19.' || CASE WHEN o_orderkey % 4 < 3 THEN ' doi:10.1000/X' || o_orderkey ELSE '' END AS ref FROM {orders}"""
 
 
-@derived("fn_51_metadata_fields", META, """SELECT k, CASE kind WHEN 0 THEN 'GREAT Part ' || k || '. a view' WHEN 1 THEN 'Small PART ' || k ELSE '' END AS title, CASE kind WHEN 0 THEN 'Ana da Costa|Rui Pinto' WHEN 1 THEN 'Mary Ann Lee' ELSE '' END AS authors,
+@derived("fn_51_metadata_fields", META, """SELECT k, CASE kind WHEN 0 THEN 'GREAT Part n' || k || '. a view' WHEN 1 THEN 'Small PART n' || k ELSE '' END AS title, CASE kind WHEN 0 THEN 'Ana da Costa|Rui Pinto' WHEN 1 THEN 'Mary Ann Lee' ELSE '' END AS authors,
   CASE kind WHEN 0 THEN 'Annals of part 3.' WHEN 1 THEN 'Unknown Weekly' ELSE '' END AS journals FROM i""")
 def metadata_fields(i):
     return rf.with_metadata_fields(i).select("k", "title", F.array_join("author_names", "|").alias("authors"), F.array_join("journal_names", "|").alias("journals"))
 
 
-@query("rule_22_rebuilt_references", f"""WITH i AS ({META}) SELECT k AS doc_id, CASE kind WHEN 0 THEN '1. da Costa A, Pinto R. Great part ' || k || '. A view. Ann Part 3. 2020;5(2):11-19. https://doi.org/10.1000/X' || k || '.'
-  WHEN 1 THEN '1. Lee MA. Small part ' || k || '. Unknown Weekly. 2020;5(2):11-19. https://doi.org/10.1000/X' || k || '.' ELSE '' END AS edited, CASE kind WHEN 3 THEN 'DOI' ELSE '' END AS missing, CASE kind WHEN 2 THEN '{rf.NO_METADATA}' ELSE '' END AS warnings FROM i""")
+@query("rule_22_rebuilt_references", f"""WITH i AS ({META}) SELECT k AS doc_id, CASE kind WHEN 0 THEN '1. da Costa A, Pinto R. Great part n' || k || '. A view. Ann Part 3. 2020;5(2):11-19. https://doi.org/10.1000/X' || k || '.'
+  WHEN 1 THEN '1. Lee MA. Small part n' || k || '. Unknown Weekly. 2020;5(2):11-19. https://doi.org/10.1000/X' || k || '.' ELSE '' END AS edited, CASE kind WHEN 3 THEN 'DOI' ELSE '' END AS missing, CASE kind WHEN 2 THEN '{rf.NO_METADATA}' ELSE '' END AS warnings FROM i""")
 def rebuilt_references(spark, sf_dir):
     i = source(spark, sf_dir, META)
     out = _rebuilt(spark, sf_dir, i, with_edits=False)
@@ -212,19 +204,67 @@ def text_edits(spark, sf_dir):
     return out.select("doc_id", ((F.size("text_edits") > 0) & fits).alias("changed"))
 
 
-@query("snk_09_reference_report", f"WITH i AS ({META}) SELECT k AS doc_id, CASE kind WHEN 2 THEN 'Warning' ELSE 'Incomplete Component' END AS kind, CASE kind WHEN 2 THEN '{rf.NO_METADATA}' ELSE 'DOI' END AS detail FROM i WHERE kind >= 2")
+@derived("sort_07_first_doi_of_many", "SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, 'see 10.1000/b' || l_partkey || '; and doi:10.2000/a' || l_suppkey || '.' AS s FROM {lineitem}", "SELECT k, n, p, '10.1000/b' || p AS doi FROM i")
+def first_of_many(i):
+    return i.select("k", "n", "p", ct.first_doi(F.col("s")).alias("doi"))
+
+
+@derived("src_07_journal_file", "SELECT n_nationkey AS k, n_name AS name FROM {nation}", "SELECT k, r::INT AS ord, CASE r WHEN 0 THEN name ELSE 'Second' END AS title, CASE r WHEN 0 THEN 3 ELSE 1 END::INT AS n FROM i, range(2) AS t(r)")
+def journal_file(i):
+    """Several records in a file: lines of dashes part them; empty values, lines without a colon and brackets go; the last key counts."""
+    line = F.lit("\n" + "-" * 30 + "\n")
+    content = F.concat(F.lit("JrId: 1\nJrId: 2\nJournalTitle: "), "name", F.lit(" (Online)\nMedAbbr: a: b\nNlmId:\nno colon"), line, F.lit("JournalTitle: Second"), line, F.lit(" \n"))
+    rows = rf.parse_journals(i.select("k", content.alias("content")), keep=("k",))
+    return rows.select("k", "ord", F.col("record")["JournalTitle"].alias("title"), F.size("record").alias("n"))
+
+
+@query("join_04_cached_metadata", f"WITH i AS ({CITED}) SELECT i.k, i.n, i.p, CASE WHEN o_orderkey % 3 < 2 THEN o_orderpriority END AS metadata FROM i LEFT JOIN orders ON o_orderkey = i.k AND i.n = 1")
+def cached_metadata(spark, sf_dir):
+    refs = source(spark, sf_dir, CITED).select("k", "n", "p", ct.first_doi(F.col("ref")).alias("doi"))
+    cache = table(spark, sf_dir, "orders").select(F.concat(F.lit("https://doi.org/10.1000/"), F.col("o_orderkey").cast("string"), F.lit(".1")).alias("doi"), F.col("o_orderpriority").alias("metadata"), F.lit("openalex").alias("source"), (F.col("o_orderkey") % 3 < 2).alias("success"))
+    return rf.with_metadata(refs, cache).select("k", "n", "p", "metadata")
+
+
+@derived("win_19_reference_ordinals", REF_TEXTS, "SELECT doc_id, '1. 1. First of ' || c_name AS shown FROM i JOIN customer ON doc_id = c_custkey UNION ALL SELECT doc_id, '2. 3. Third' FROM i")
+def reference_ordinals(i):
+    return rf.numbered(rf.reference_lines(i, "doc_id", "text")).select("doc_id", "shown")
+
+
+# The edits of the two kinds of rebuilt references, in order, in SQL; their words are the same in every document but for its number.
+REPORT_0 = ["'Doe J to 1. da Costa A, Pinto R. Great part n' || k", "' part to  view'", "' J Test to  Ann Part 3'", "'  to  https://'", "': to .org/'", "' to .'"]
+REPORT_1 = ["'Doe J to 1'", "' A to  Lee MA. Small'", "' to n' || k", "' J Test to  Unknown Weekly'", "'  to  https://'", "': to .org/'", "' to .'"]
+EDITS_OF = {0: REPORT_0, 1: REPORT_1}
+_EDITED = " UNION ALL ".join(f"SELECT k AS doc_id, {p}::INT AS pos, 'Text Edit' AS kind, {d} AS detail FROM i WHERE kind = {kind}" for kind, rows in EDITS_OF.items() for p, d in enumerate(rows))
+
+
+@query("snk_09_reference_report", f"WITH i AS ({META}) {_EDITED} UNION ALL SELECT k, 0, CASE kind WHEN 2 THEN 'Warning' ELSE 'Incomplete Component' END, CASE kind WHEN 2 THEN '{rf.NO_METADATA}' ELSE 'DOI' END FROM i WHERE kind >= 2")
 def reference_report(spark, sf_dir):
     rows = rf.report_rows(_rebuilt(spark, sf_dir, source(spark, sf_dir, META), with_edits=True))
-    return rows.filter("kind <> 'Text Edit'").select("doc_id", "kind", "detail")
+    return rows.select("doc_id", "pos", "kind", "detail")
 
 
-@derived("sort_07_first_doi_of_many", "SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, 'see 10.1000/b' || l_partkey || '; and doi:10.2000/a' || l_suppkey || '.' AS s FROM {lineitem}", "SELECT k, n, p, '10.1000/b' || p AS doi FROM i")
-def first_of_many(i):
-    return i.select("k", "n", "p", ct.first_doi(F.col("s")).alias("doi"))
+_LINES = " UNION ALL ".join(f"SELECT k AS doc_id, {p}::INT AS pos, {p} = 0 AS original, {d} AS detail FROM i WHERE kind = {kind}" for kind, rows in EDITS_OF.items() for p, d in enumerate(rows))
+
+
+@query("snk_10_edit_rows", f"WITH i AS ({META}) {_LINES} UNION ALL SELECT k, 0, true, '' FROM i WHERE kind >= 2 UNION ALL SELECT k, {rf.LAST}, false, '' FROM i")
+def edit_rows(spark, sf_dir):
+    rows = rf.edit_rows(_rebuilt(spark, sf_dir, source(spark, sf_dir, META), with_edits=True))
+    return rows.select("doc_id", "pos", (F.col("original") != "").alias("original"), "detail")
+
+
+@query("set_01_report_union", f"WITH i AS ({META}) SELECT kind_ord::INT AS kind_ord, k % 4 AS kind, count(*) AS n FROM (SELECT k, 0 AS kind_ord FROM i, range({len(REPORT_0)}) WHERE kind = 0 UNION ALL SELECT k, 0 FROM i, range({len(REPORT_1)}) WHERE kind = 1 UNION ALL SELECT k, 1 FROM i WHERE kind = 2 UNION ALL SELECT k, 2 FROM i WHERE kind = 3) GROUP BY ALL")
+def report_union(spark, sf_dir):
+    rows = rf.report_rows(_rebuilt(spark, sf_dir, source(spark, sf_dir, META), with_edits=True))
+    return rows.groupBy("kind_ord", (F.col("doc_id") % 4).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@derived("sort_08_first_lines", REF_TEXTS, "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(range(2)) AS r FROM i) GROUP BY doc_id")
+def first_lines(i):
+    return rf.reference_lines(i, "doc_id", "text", max_refs=5).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("win_19_reference_ordinals", "SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) || '. ' || l_partkey AS shown FROM lineitem")
-def reference_ordinals(spark, sf_dir):
-    i = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return i.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.row_number().over(w).cast("string"), F.lit(". "), F.col("l_partkey").cast("string")).alias("shown"))
+@derived("prj_05_field_access", META, "SELECT k, CASE kind WHEN 0 THEN '|Annals of part 3.' WHEN 1 THEN '|Unknown Weekly' ELSE '' END AS shown FROM i")
+def field_access(i):
+    """Fields of either layout, of missing metadata and of missing arrays."""
+    f = rf.with_metadata_fields(i)
+    return f.select("k", F.array_join(F.transform("journal_names", lambda x: F.concat(F.lit("|"), x)), "").alias("shown"))
