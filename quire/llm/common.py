@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,19 +23,27 @@ def ascii_lower(c: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names a shared folder in spark.checkpoint.dir; only where that is unset (tests) a local one is made."""
+    """The cluster names a shared folder in spark.checkpoint.dir. Where that is unset, a local one is made in local mode only (tests):
+    executors elsewhere could not read it."""
     sc = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().isDefined():
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
         return
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="quire-checkpoints-"))
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage in the shared checkpoint folder, so that lost executors cost no recomputation."""
+    """Computes df once and cuts its lineage in the shared checkpoint folder, so that lost executors cost no recomputation.
+
+    The driver's collector runs afterwards: shuffles and checkpoints that nothing refers to any more are then deleted."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
 
 
 def unit_hash(*cols: Column) -> Column:

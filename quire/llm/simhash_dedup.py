@@ -3,7 +3,8 @@
 A fingerprint has 8 bytes. Two fingerprints that differ in at most d = 2 bits differ in at most 2 bytes, so they share at least
 8 - d = 6 positional bytes. The index lists fingerprints under combinations of positional bytes: the 8 positions form 4 groups
 of 2, at most 2 groups can differ, so such a pair meets under at least one of the 6 pairs of groups. For every pair that meets,
-the shared positional bytes are tallied; pairs below the guaranteed minimum go, the rest are verified by their differing bits.
+the shared positional bytes are tallied from the two values (a tally of postings of single bytes would give the same number; such
+postings would hold 1/256 of the corpus each); pairs below the guaranteed minimum go, the rest are verified by their differing bits.
 
 Postings longer than MAX_POSTING are not paired: their fingerprints are linked through all values one bit away in the unshared
 bytes (two fingerprints differ in at most 2 bits if and only if some value is at most one bit from either). That is linear in the
@@ -12,17 +13,15 @@ alternating large-star and small-star steps on the links.
 
 SimHash within 2 bits finds close copies only: of 48 pairs of sf0.1 with a Jaccard similarity of 0.8 or more over five-word shingles, 1
 is within 2 bits, and no guaranteed number of shared bytes holds at the 11 bits that would be needed. So keep_one(), which the
-pipeline uses, also links texts of that similarity: the same index with count filtering over bands of min-hashes instead of bytes, and
-exact verification.
+pipeline uses, also links texts of that similarity; see quire.llm.similar_texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,10 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.common import settle
+from quire.llm.components import components
+from quire.llm.similar_texts import BAND_FIELDS, band_arrays, by_block, similar_links, text_sets
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
+#: Postings up to this length are paired.
 MAX_POSTING = 64
 #: Shingles hashed at a time, so that long texts need no more memory than short ones.
 BLOCK = 1 << 16
@@ -41,7 +43,11 @@ BLOCK = 1 << 16
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64-bit fingerprint of a text, unsigned."""
-    words = (text or "").encode().lower().split()  # bytes: lower-cases A-Z, splits at \x20 and \x09-\x0D
+    return fingerprint_of((text or "").encode(), shingle)
+
+
+def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
+    words = text.lower().split()  # bytes: lower-cases A-Z, splits at \x20 and \x09-\x0D
     if not words:
         return 0
     size = min(shingle, len(words))
@@ -112,30 +118,6 @@ def links(nodes: DataFrame, max_posting: int = MAX_POSTING) -> DataFrame:
     return near.unionByName(star).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """edges: a, b. Returns node, root (the smallest node of its component) for every node that has an edge."""
-    edges = settle(edges.select("a", "b").distinct())
-    before = None
-    for _ in range(max_rounds):
-        # large star: larger neighbours of u go to the smallest of u and its neighbours
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-        # small star: u and its smaller neighbours go to the smallest of them
-        small_least = large.groupBy("b").agg(F.min("a").alias("m"))
-        down = large.join(small_least, "b")
-        small = down.filter("a <> m").select("m", F.col("a").alias("v")).unionByName(small_least.select("m", F.col("b").alias("v")))
-        edges = settle(small.select(F.col("m").alias("a"), F.col("v").alias("b")).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    nodes = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
-    return nodes.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-
-
 def linked(prints: DataFrame) -> DataFrame:
     """prints: fp, and a column ``first`` that orders rows. Returns fp, root and component_first (the smallest of the component,
     nulls last), one row per distinct fingerprint."""
@@ -158,229 +140,50 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without near-duplicates: of each component the row of smallest doc_id (nulls last; ties: smallest text hash) stays,
-    with all its columns. Rows that are repeated in every column count once.
+    """docs without near-duplicates: of each component the row of smallest doc_id (nulls last; ties: smallest text hash) stays, with
+    all its columns. Of rows that share doc_id and text one stays, the one whose columns have the smallest hash.
 
     Components are those of one graph over the distinct texts: its links are fingerprints within MAX_BITS, and similarities of
-    SIMILARITY or more."""
-    h = F.xxhash64(F.col(text))
-    prints = settle(fingerprints(docs, doc_id, text, keep=(f"xxhash64(`{text}`) AS h", f"`{doc_id}` IS NULL AS no_id")))
-    # One row per distinct text; root is the smallest text hash of its SimHash component.
-    texts = settle(prints.groupBy("h").agg(F.first("fp").alias("fp"), F.min(F.struct("no_id", "doc_id")).alias("f")).select("h", "fp", "f.*"))
-    groups = linked(texts.select("fp", F.col("h").alias("first"))).select("fp", F.col("component_first").alias("root"))
-    roots = settle(texts.join(groups, "fp").select("h", "root"))
-    # Rows are met by id and text hash: a text that many rows share is no hot key, and bands are made before the shuffle.
-    rows = docs.select(F.col(doc_id).alias("doc_id"), h.alias("h"), F.col(text).alias("__text"))
-
-    def of(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
-        return left.join(right, left["doc_id"].eqNullSafe(right["__id"]) & (left["h"] == right["__h"]), "left_semi")
-
-    bands = settle(of(text_bands(rows), texts).select("h", "bands").dropDuplicates(["h"]).join(roots, "h"))
-    sets_of = lambda wanted: text_sets(of(rows, texts.join(wanted, "h"))).select("h", "s").dropDuplicates(["h"])
-    edges = similar_links(bands, sets_of).unionByName(roots.filter("root <> h").select(F.col("root").alias("a"), F.col("h").alias("b")))
-    comp = settle(components(edges))
-    linked_rows = comp.join(texts.withColumnRenamed("h", "node"), "node")
-    firsts = linked_rows.groupBy("root").agg(F.min(F.struct("no_id", "doc_id", "node")).alias("first"))
+    similar_texts.SIMILARITY or more. Texts are known by 128 bits of hashes. Texts are shuffled twice: those with candidates, to be
+    compared, and all, to be kept."""
+    hashes = F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text))
+    names = ("__h", "__g")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_id).isNull().alias("no_id"), *[x.alias(n) for x, n in zip(hashes, names)], F.col(text).alias("__text"))
+    prints = settle(_prints_and_bands(rows))
+    # One row per distinct text, with a number of its own. It is settled, so that the numbers stay.
+    texts = prints.groupBy(*names).agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("n").alias("n"), F.min(F.struct("no_id", "doc_id")).alias("f"))
+    texts = settle(texts.select(F.monotonically_increasing_id().alias("h"), *names, "fp", "bands", "n", "f.*"))
+    groups = settle(texts.groupBy("fp").agg(F.min("h").alias("first")))
+    same = texts.join(groups, "fp").filter("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b"))
+    near = links(groups.select("fp"))
+    near = near.join(groups.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(groups.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        chosen = texts.join(wanted, "h").select("h", "root", *[F.col(n).alias(f"{n}t") for n in names], F.col("doc_id").alias("__id"))
+        met = rows["doc_id"].eqNullSafe(chosen["__id"]) & (rows["__h"] == chosen["__ht"]) & (rows["__g"] == chosen["__gt"])
+        return text_sets(rows.join(chosen, met).select("h", "root", "__text"))
+
+    edges = similar_links(texts.select("h", "bands", "n"), sets_of).unionByName(same).unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    comp = components(edges)
+    linked_rows = settle(comp.join(texts.select(F.col("h").alias("node"), "no_id", "doc_id", *names), "node"))
+    firsts = linked_rows.groupBy("root").agg(F.min(F.struct("no_id", "doc_id", *names, "node")).alias("first"))
     losers = linked_rows.join(firsts, "root").filter(F.col("node") != F.col("first.node")).select(F.col("node").alias("h"))
-    chosen = settle(texts.join(losers, "h", "left_anti")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
-    stay = docs.join(chosen, docs[doc_id].eqNullSafe(chosen["__id"]) & (F.xxhash64(docs[text]) == chosen["__h"]), "left_semi")
-    repeated = prints.groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    chosen = settle(texts.join(losers, "h", "left_anti").select(F.col("doc_id").alias("__id"), *names))
+    stay = docs.join(chosen, docs[doc_id].eqNullSafe(chosen["__id"]) & (hashes[0] == chosen["__h"]) & (hashes[1] == chosen["__g"]), "left_semi")
+    repeated = prints.groupBy("doc_id", *names).agg(F.count("*").alias("m")).filter("m > 1").limit(1).count()
     if not repeated:
         return stay
-    # Rows with the same id and text: one of each stays.
-    columns = docs.columns
-    return stay.withColumn("__h", F.xxhash64(text)).dropDuplicates([doc_id, "__h"]).select(*[F.col(f"`{c}`") for c in columns])
-
-
-#: Similar texts: words of a shingle, least similarity, bands of min-hashes and their rows, and bands that a pair must share. A pair at
-#: the least similarity shares so many bands with probability 0.997.
-WIDE_SHINGLE, SIMILARITY, BANDS, ROWS, SHARED = 5, 0.8, 16, 4, 2
-#: Postings of bands up to this length are compared within one task; also the texts of a block of longer ones. Texts that are compared
-#: with all others of such a posting before the blocks are.
-MAX_WHOLE, PIVOTS = 256, 2
-_MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-
-
-def shingle_hashes(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
-    """The distinct hashes of a text's shingles, sorted; none for a text without words."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    size = min(shingle, len(words))
-    digest = xxhash.xxh64_intdigest
-    n = len(words) - size + 1
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + size]), SEED) for i in range(n)), np.uint64, n))
-
-
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """One signed 64-bit key per band of min-hashes; none for a text without words."""
-    if not len(hashes):
-        return []
-    mins = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max)
-    for a in range(0, len(hashes), BLOCK):
-        part = hashes[a : a + BLOCK]
-        mixed = part ^ (part >> np.uint64(31))
-        for i, m in enumerate(_MULTIPLIERS):
-            low = (mixed * m).min()
-            if low < mins[i]:
-                mins[i] = low
-    rows = mins.reshape(BANDS, ROWS)
-    return [int.from_bytes(xxhash.xxh64_digest(r.tobytes(), k), "little", signed=True) for k, r in enumerate(rows)]
-
-
-def _mapped(rows: DataFrame, name: str, of) -> DataFrame:
-    """Replaces the column __text by an array of 64-bit numbers."""
-    at = rows.columns.index("__text")
-    schema = T.StructType([*rows.drop("__text").schema.fields, T.StructField(name, T.ArrayType(T.LongType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                values = pa.array([of(t.as_py()) for t in part.column(at)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns) if i != at), values], schema.names)
-
-    return rows.mapInArrow(run, schema)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    least = F.min_by(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)]), F.xxhash64(*columns)).alias("r")
+    one = stay.groupBy(F.col(doc_id).alias("__id"), hashes[0].alias("__h"), hashes[1].alias("__g")).agg(least)
+    return one.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
-def text_bands(rows: DataFrame) -> DataFrame:
-    """rows with a column __text: their other columns and bands."""
-    return _mapped(rows, "bands", lambda t: band_keys(shingle_hashes(t)))
-
-
-def text_sets(rows: DataFrame) -> DataFrame:
-    """rows with a column __text: their other columns and s, the hashes of the shingles."""
-    return _mapped(rows, "s", lambda t: shingle_hashes(t).view(np.int64))
-
-
-def _near(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Links between the texts of one task (side 0), or of its side 1 with its side 2. rows: h, lab, s, cs and ks (the text's long
-    postings), c, side and whole. Only pairs of different lab are compared; if not whole, linked labs become one, so that the links
-    are a forest. A pair is compared under the first of its common long postings only, and must have SHARED of them."""
-    rows = rows.sort_values("h")
-    h, lab, side = (rows[x].to_numpy(copy=True) for x in ("h", "lab", "side"))
-    c, whole = int(rows.c.iloc[0]), bool(rows.whole.iloc[0])
-    keys, has = np.zeros((len(h), BANDS), np.int64), np.zeros((len(h), BANDS), bool)
-    for i, (cs, ks) in enumerate(zip(rows.cs, rows.ks)):
-        keys[i, cs], has[i, cs] = ks, True
-    sizes = np.fromiter(map(len, rows.s), np.int64, len(h))
-    ids = np.unique(np.concatenate(list(rows.s)), return_inverse=True)[1].ravel()
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    present = np.zeros(int(ids.max()) + 1, bool)
-    right = side != 1
-    out: list[tuple[int, int]] = []
-    for i in np.flatnonzero(side != 2):
-        same = (keys == keys[i]) & has & has[i]
-        fit = right & (lab != lab[i]) & same[:, c] & ~same[:, :c].any(axis=1) & (same.sum(axis=1) >= SHARED)
-        fit &= np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i])
-        if side[i] == 0:
-            fit[: i + 1] = False
-        if not fit.any():
-            continue
-        own = ids[starts[i] : starts[i] + sizes[i]]
-        present[own] = True
-        common = np.add.reduceat(present[ids], starts, dtype=np.int64)
-        present[own] = False
-        for j in np.flatnonzero(fit & (common >= similarity * (sizes + sizes[i] - common))):
-            if lab[i] != lab[j]:
-                out.append((min(h[i], h[j]), max(h[i], h[j])))
-                if not whole:
-                    lab[lab == lab[j]] = lab[i]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-
-def similar_links(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], max_posting: int = MAX_POSTING, similarity: float = SIMILARITY,
-                  max_whole: int = MAX_WHOLE) -> DataFrame:
-    """bands: h (one row per text), bands, and, if known, root (the smallest h of the texts that it is linked to anyway). sets_of: from
-    distinct h to h and s. Links a < b between texts of at least the similarity. With the links to the roots, their components are those of
-    all such pairs that share SHARED bands, whatever the lengths of the postings.
-
-    Postings up to max_posting are paired by a join and verified, with the bands counted that a pair shares in longer ones. Postings up to
-    max_whole are compared within one task each. In those beyond, the texts that have most band mates are compared with all others,
-    and what is in different components then is compared pair by pair, in blocks; a posting of one component is finished."""
-    if "root" not in bands.columns:
-        bands = bands.withColumn("root", F.col("h"))
-    index = bands.filter(F.size("bands") > 0).select("h", "root", F.posexplode("bands").alias("c", "key"))
-    sizes = index.groupBy("c", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    posting = settle(index.join(sizes, ["c", "key"]))
-    own = F.array_sort(F.collect_list(F.struct("c", "key")))
-    long = posting.filter(F.col("n") > max_posting)
-    long = settle(long.groupBy("h", "root").agg(own.alias("o"), F.sum("n").alias("mates")).select("h", "root", "mates", F.col("o.c").alias("cs"), F.col("o.key").alias("ks")))
-    any_long = bool(long.limit(1).count())
-
-    short = posting.filter(F.col("n") <= max_posting).select("h", "root", "c", "key")
-    shared = F.lit(0)
-    if any_long:
-        short = short.join(long.select("h", F.arrays_zip("cs", "ks").alias("o")), "h", "left")
-        shared = F.coalesce(F.size(F.array_intersect("oa", "ob")), F.lit(0))
-        shared = F.when(F.col("oa").isNull() | F.col("ob").isNull(), F.lit(0)).otherwise(shared)
-    side = lambda x: short.select("c", "key", *[F.col(k).alias(v) for k, v in {"h": x, "root": f"r{x}", "o": f"o{x}"}.items() if k in short.columns])
-    met = side("a").join(side("b"), ["c", "key"]).filter("a < b AND ra <> rb").select("a", "b", shared.alias("m"))
-    pairs = settle(met.groupBy("a", "b").agg((F.count("*") + F.first("m")).alias("n")).filter(F.col("n") >= SHARED).select("a", "b"))
-    # A text with one long posting shares at most one with any other: its pairs have met in short ones, or have too few.
-    long = long.filter(F.size("cs") >= SHARED)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h"))
-    sets = settle(sets_of((wanted.unionByName(long.select("h")) if any_long else wanted).distinct()))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-    if not any_long:
-        return verified(pairs)
-    compared = lambda tasks: tasks.groupBy("task").applyInPandas(lambda rows: _near(rows, similarity), "a bigint, b bigint")
-    parts = ["h", "lab", "cs", "ks", "c", "key"]
-    entries = settle(long.select("*", F.explode(F.arrays_zip("cs", "ks")).alias("e")).select("h", "root", "mates", "cs", "ks", F.col("e.cs").alias("c"), F.col("e.ks").alias("key")))
-    lengths = entries.groupBy("c", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    middle = entries.join(lengths.filter(F.col("n") <= max_whole).select("c", "key"), ["c", "key"]).withColumn("lab", F.col("root"))
-    middle = middle.select(*parts).join(sets, "h").withColumns({"side": F.lit(0), "whole": F.lit(True), "task": F.struct("c", "key")})
-    edges = settle(verified(pairs).unionByName(compared(middle)).distinct())
-    huge = entries.join(lengths.filter(F.col("n") > max_whole).select("c", "key"), ["c", "key"])
-    if not huge.limit(1).count():
-        return edges
-    huge = settle(huge)
-    rooted = bands.filter("root <> h").select(F.col("root").alias("a"), F.col("h").alias("b"))
-
-    def unfinished() -> DataFrame:
-        """The entries of the huge postings that have several components, with the component as lab."""
-        comp = components(edges.unionByName(rooted)).select(F.col("node").alias("h"), F.col("root").alias("lab"))
-        rows = huge.join(comp, "h", "left").withColumn("lab", F.coalesce("lab", "h"))
-        several = rows.groupBy("c", "key").agg(F.min("lab").alias("x"), F.max("lab").alias("y")).filter("x < y").select("c", "key")
-        return settle(rows.join(several, ["c", "key"]))
-
-    rows = unfinished()
-    used = None
-    for _ in range(PIVOTS):
-        if not rows.limit(1).count():
-            return edges
-        free = rows.groupBy("c", "key", "lab").agg(F.max(F.struct("mates", "h")).alias("top"))
-        if used is not None:  # not the component of an earlier pivot
-            free = free.join(rows.join(used, ["c", "key", "h"]).select("c", "key", "lab"), ["c", "key", "lab"], "left_anti")
-        pivots = settle(free.groupBy("c", "key").agg(F.max(F.struct("top", "lab")).alias("p")).select("c", "key", F.col("p.top.h").alias("p"), F.col("p.lab").alias("plab")))
-        star = rows.join(pivots, ["c", "key"]).filter("lab <> plab").select(F.least("h", "p").alias("a"), F.greatest("h", "p").alias("b")).distinct()
-        edges = settle(edges.unionByName(verified(star)).distinct())
-        chosen = pivots.select("c", "key", F.col("p").alias("h"))
-        used = chosen if used is None else used.unionByName(chosen)
-        rows = unfinished()
-    if not rows.limit(1).count():
-        return edges
-    # What is left: blocks of large components and blocks of all others. Two blocks of one component need no comparison.
-    counts = rows.groupBy("c", "key", "lab").agg(F.count("*").alias("m"))
-    pool = counts.filter(F.col("m") < max_whole).groupBy("c", "key").agg(F.sum("m").alias("pool"))
-    big = F.col("m") >= max_whole
-    blocked = rows.join(counts, ["c", "key", "lab"]).join(pool, ["c", "key"], "left")
-    blocked = blocked.withColumn("one", F.when(big, F.col("lab"))).withColumn("blk", F.xxhash64("one", F.pmod(F.xxhash64("h", F.lit("block")), F.ceil(F.when(big, F.col("m")).otherwise(F.col("pool")) / max_whole))))
-    blocked = settle(blocked.select(*parts, "one", "blk"))
-    blocks = blocked.select("c", "key", "one", "blk").distinct()
-    other = blocks.select("c", "key", F.col("one").alias("one2"), F.col("blk").alias("blk2"))
-    tasks = blocks.join(other, ["c", "key"]).filter("blk <= blk2 AND NOT coalesce(one = one2, false)").select("c", "key", "blk", "blk2")
-    sides = F.when(F.col("blk") == F.col("blk2"), F.array(F.struct(F.col("blk").alias("at"), F.lit(0).alias("side")))).otherwise(
-        F.array(F.struct(F.col("blk").alias("at"), F.lit(1).alias("side")), F.struct(F.col("blk2").alias("at"), F.lit(2).alias("side"))))
-    tasks = tasks.select("c", "key", F.struct("c", "key", "blk", "blk2").alias("task"), F.explode(sides).alias("e")).select("c", "key", "task", F.col("e.at").alias("blk"), "e.side")
-    left = blocked.join(sets, "h").join(tasks, ["c", "key", "blk"]).withColumn("whole", F.lit(False))
-    return edges.unionByName(compared(left)).distinct()
+def _prints_and_bands(rows: DataFrame) -> DataFrame:
+    """rows with a column __text: their other columns, fp, bands and n, in one pass over the texts."""
+    added = [T.StructField("fp", T.LongType()), *BAND_FIELDS]
+    prints = lambda block: pa.array(np.fromiter(map(fingerprint_of, block), np.uint64, len(block)).view(np.int64), pa.int64())
+    return by_block(rows, added, lambda block: [prints(block), *band_arrays(block)])
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,8 +12,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, decontaminate, html_extract, jpeg, license_scan, media, mixing, quality, sharding, simhash_dedup, url_filter
+from quire.llm import chat_format, decontaminate, html_extract, jpeg, license_scan, media, mixing, quality, sharding, simhash_dedup, similar_texts, url_filter
 
+SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, size bigint, score double, k string"  # extra columns whose names operators use inside
 LONG = "word " * 60_000
 
@@ -70,6 +72,25 @@ def test_urls_without_a_host_have_no_rule(spark):
     assert {(r.rule, r.verdict) for r in got.collect()} == {(None, "allow")}
 
 
+@pytest.mark.parametrize("max_bits", [url_filter.MAX_FILTER_BITS, 8])
+def test_rules_of_one_length_and_urls_without_a_host(spark, max_bits):
+    rules = [("a.com", "/", "block"), ("com", "/ab", "allow"), ("b.com", "/x", "allow"), ("com", "/xyzz", "block"), *((f"h{i}.com", "/" + "x" * (i % 5), "block") for i in range(200))]
+    urls = [f"file:///lt{i}" for i in range(20_000)] + ["http://a.com/ab", "http://b.com/xyzz", "http://h7.com/xx", *(f"http://h{i % 300}.com/{'x' * (i % 7)}{i}" for i in range(20_000))]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r.page_id: tuple(r)[1:] for r in url_filter.url_filter(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), max_filter_bits=max_bits).collect()}
+    by_key = {h + p: v for h, p, v in rules}
+
+    def brute(url):
+        host, path, *_ = judge(url, [])
+        parts = host.split(".")
+        fit = [k for n in range(len(parts)) for m in range(len(path) + 1) if (k := ".".join(parts[n:]) + path[:m]) in by_key]
+        rule = min(fit, key=lambda k: (-len(k), k), default=None)
+        return host, path, rule, by_key.get(rule, "allow")
+
+    assert got == {i: brute(u) for i, u in enumerate(urls)}
+    assert got[20_000][2:] == ("a.com/", "block")
+
+
 # 2: media columns
 
 
@@ -121,6 +142,35 @@ def test_media_columns(spark):
     assert media.store_texts(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_damaged_jpegs_have_no_features(spark):
+    good = jpeg.encode_payloads([bytes(range(256))])[0]
+    at = good.index(b"\xff\xc0")
+    files = {
+        "cut frame header": good[:at] + b"\xff\xc0\x00\x05\x08\x00\x08" + good[at + 13 :], "zero sampling": good[: at + 11] + b"\x00" + good[at + 12 :], "huge": good[: at + 5] + b"\xff\xff\xff\xff" + good[at + 9 :],
+        "no tables": good.replace(b"\xff\xc4", b"\xff\xe1"), "wrong length": good.replace(b"payload-bytes=256", b"payload-bytes=-56"), "cut": good[:-40],
+    }
+    rng = random.Random(6)
+    for k in range(300):
+        x = bytearray(good)
+        for _ in range(rng.randint(1, 4)):
+            x[rng.randrange(len(x))] = rng.randrange(256)
+        files[f"random {k}"] = bytes(x[: rng.choice((len(x), rng.randrange(len(x))))])
+    out = {r.k: r for r in media.media_features(spark.createDataFrame([*files.items(), ("good", good)], "k string, media binary"), with_payload=True).collect()}
+    assert len(out) == len(files) + 1 and bytes(out["good"].payload) == bytes(range(256))
+    for k in list(files)[:6]:
+        assert out[k].features is None and out[k].features_error, k
+
+
+def test_media_query_on_the_driver_table(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = media.op2_media_columns(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        data = texts[r.doc_id].encode()
+        stored = data + bytes(-len(data) % 64 or 64 * (not data))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-64:]))
+
+
 # 3: decontamination
 
 
@@ -195,6 +245,35 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), model, out="s").count() == 0
 
 
+@pytest.mark.parametrize("text", ["", "a", "word and word. " * 300, "x" * 9000 + " y", "a\n\tb  c é " * 2000])
+def test_block_size_changes_no_count(text):
+    whole = quality.count_terms([text.encode()])
+    for size in (5, 64, 1000):
+        assert (quality.count_terms([text.encode()], size) == whole).all()
+
+
+def test_terms_of_a_text_of_three_megabytes():
+    rng = random.Random(17)
+    text = random_text(rng, [f"wörd{i}" for i in range(3000)] + ["x\n"], 400_000).encode()
+    assert len(text) > 3_000_000 and (quality.count_terms([text]) == quality.count_terms([text], len(text) + 1)).all()
+
+
+def test_repeated_ids_are_learnt_once(spark):
+    texts = [f"text number {i} of many" for i in range(100)]
+    docs = docs_of(spark, texts * 32, list(range(100)) * 32)
+    labels = spark.createDataFrame([(i, q) for i in range(100) for q in (1, i % 2)], "doc_id bigint, quality int")
+    model = quality.fit(docs, labels, fit_rows=40)
+    once = quality.fit(docs_of(spark, texts), labels.groupBy("doc_id").agg(F.min("quality").alias("quality")), fit_rows=40)
+    assert len(model.labels) == 40 and (model.labels == once.labels).all() and (model.vectors == once.vectors).all()
+
+
+def test_quality_query_on_held_out_rows(spark):
+    rows = {r.doc_id: r for r in quality.op4_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
+    known = [(rows[r.doc_id], r.quality) for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert all(r.held_out for r, _ in known) and sum(r.predicted == q for r, q in known) >= 0.95 * len(known)
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for d, r in rows.items())
+
+
 def test_quality_vote_is_exact():
     rng = np.random.default_rng(2)
     z = rng.standard_normal((40, 4))
@@ -254,6 +333,25 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), labelled, {"clean": 0.9, "toxic": 0.1}).count() == 0
 
 
+def test_targets_out_of_reach(spark):
+    docs = docs_of(spark, [f"calm river stone {i}" for i in range(200)] * 2, list(range(200)) * 2)
+    labelled = spark.createDataFrame([(i, "clean") for i in range(100)] * 2, "doc_id bigint, domain string")
+    targets = {"clean": 0.1, "toxic": 0.9}
+    with pytest.raises(ValueError, match="not reached"):
+        mixing.mix(docs, labelled, targets, strict=True)
+    rates = [r.rate for r in mixing.mix(docs, labelled, targets).collect()]
+    assert len(rates) == 400 and 0 <= min(rates) <= max(rates) <= mixing.MAX_RATE
+    assert mixing.resample(docs, labelled, targets).count() <= 400 * (mixing.MAX_RATE + 1)
+
+
+def test_mixing_query_meets_its_targets(spark):
+    rows = mixing.op5_source_mixing(spark, "/root/testdata/sf0.01").collect()
+    total = sum(r.n_tokens for r in rows)
+    assert len(rows) == 1000 and all(r.rate >= 0 and r.copies in (int(r.rate), int(r.rate) + 1) for r in rows)
+    for d, share in mixing.TARGETS.items():
+        assert sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in rows) / total == pytest.approx(share, abs=1e-5)
+
+
 # 6: SimHash
 
 
@@ -328,11 +426,34 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 5, 8]
 
 
+def test_keep_one_of_rows_that_differ_in_other_columns(spark):
+    rows = spark.createDataFrame([(1, "same text of words", k) for k in "abc"] * 2, "doc_id bigint, text string, h string")
+    got = [simhash_dedup.keep_one(x).collect() for x in (rows, rows.orderBy(F.desc("h")))]
+    assert got[0] == got[1] and len(got[0]) == 1
+
+
+def shingle_set(text, size=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
 def jaccard(a, b):
-    x, y = (set(simhash_dedup.shingle_hashes(t).tolist()) for t in (a, b))
+    x, y = shingle_set(a), shingle_set(b)
     return len(x & y) / len(x | y) if x | y else 0.0
 
 
+def test_shingle_blocks():
+    texts = ["", "a", "A b  c", "a b c d e", "a b c d e f\x0ba b c d e", "é\u00a0x y z w v u " * 40, LONG]
+    hashes, at = similar_texts.shingle_block([t.encode() for t in texts])
+    found = [set(hashes[a:b].tolist()) for a, b in zip(at[:-1], at[1:])]
+    assert [len(x) for x in found] == [len(shingle_set(t)) for t in texts]
+    for i, t in enumerate(texts):
+        assert found[i] == set(similar_texts.shingle_hashes(t).tolist())
+        for j, u in enumerate(texts):
+            assert len(found[i] & found[j]) == len(shingle_set(t) & shingle_set(u))
+    assert (similar_texts.band_block(hashes, at)[4] == similar_texts.band_block(*similar_texts.shingle_block([texts[4].encode()]))[0]).all()
+
+
 def near_copy(rng, text, edits):
     w = text.split()
     for i in rng.sample(range(len(w)), edits):
@@ -340,28 +461,28 @@ def near_copy(rng, text, edits):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("max_posting", [3, 64])
-def test_similar_links(spark, max_posting):
+SIZES = [{}, {"max_posting": 3, "max_work": 10_000}, {"max_posting": 3, "max_whole": 8, "max_work": 1}]
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_similar_links(spark, sizes):
     rng = random.Random(13)
     words = [f"w{i}" for i in range(500)]
     texts = []
     for _ in range(25):
         base = random_text(rng, words, 150)
         texts += [base, *(near_copy(rng, base, e) for e in (1, 2, 3, 8, 20))]
-    texts += ["", "a b", "short text of few words here"]
-    keyed = {i: t for i, t in enumerate(texts)}
-    rows = spark.createDataFrame(list(keyed.items()), "h bigint, __text string")
-    links = simhash_dedup.similar_links(simhash_dedup.text_bands(rows), lambda wanted: simhash_dedup.text_sets(rows.join(wanted, "h")), max_posting)
-    got = {(r.a, r.b) for r in links.collect()}
-    want = {(i, j) for i in keyed for j in keyed if i < j and jaccard(keyed[i], keyed[j]) >= 0.8}
-    assert got <= want and len(got) >= 0.97 * len(want) > 40
+    base = random_text(rng, words, 150)  # a cluster that is beyond max_work beside those that are not
+    texts += ["", "a b", "short text of few words here", base, *(near_copy(rng, base, 2) for _ in range(40))]
+    got, want = similar_groups(spark, texts, **sizes)
+    assert got == want and 40 < len(want) < len(texts)
 
 
 def similar_groups(spark, texts, **sizes):
     """The components of similar_links, as sorted lists of places; and those of all pairs at 0.8."""
     rows = spark.createDataFrame(list(enumerate(texts)), "h bigint, __text string")
-    found = simhash_dedup.similar_links(simhash_dedup.text_bands(rows), lambda wanted: simhash_dedup.text_sets(rows.join(wanted, "h")), **sizes)
-    sets = [set(simhash_dedup.shingle_hashes(t).tolist()) for t in texts]
+    found = similar_texts.similar_links(similar_texts.text_bands(rows), lambda wanted: similar_texts.text_sets(rows.join(wanted, "h")), **sizes)
+    sets = [shingle_set(t) for t in texts]
     near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
     every = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if near(sets[i], sets[j])]
     out = []
@@ -382,8 +503,9 @@ def test_large_hub_group_is_one_component(spark):
     base = random_text(rng, [f"w{i}" for i in range(5000)], 200)
     texts = [near_copy(rng, base, 3) for _ in range(1100)]
     texts.insert(700, base)
-    got, want = similar_groups(spark, texts)
-    assert got == want == [list(range(1101))]
+    for sizes in ({}, {"max_work": 10_000}):
+        got, want = similar_groups(spark, texts, **sizes)
+        assert got == want == [list(range(1101))]
 
 
 def test_long_postings_keep_components(spark):
@@ -396,7 +518,7 @@ def test_long_postings_keep_components(spark):
         texts += [hub, *(near_copy(rng, hub, 3) for _ in range(12))]
         for _ in range(6):
             texts.append(near_copy(rng, texts[-1], 3))
-    for sizes in ({"max_posting": 3, "max_whole": 8}, {"max_posting": 3}, {}):
+    for sizes in SIZES:
         got, want = similar_groups(spark, texts, **sizes)
         assert got == want and len(want) > 1, sizes
 
@@ -432,10 +554,41 @@ def test_html_templates(spark):
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string, host string")
     for most in (0, 1000):
         out = {r.page_id: r.text for r in html_extract.extract(df, max_broadcast=most).collect()}
-        assert out == {**{i: f"Shared banner Title {i} Body text {i} & more" for i in range(6)}, 100: "", 101: "", 102: "Shared banner Menu one Title 9 Body text 9 & more Copyright line"}
+        assert out == {**{i: f"Title {i} Body text {i} & more" for i in range(6)}, 100: "", 101: "", 102: "Shared banner Menu one Title 9 Body text 9 & more Copyright line"}
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_templates_decide(spark):
+    pages = spark.createDataFrame([(i, f"http://h.com/{i}", PAGE.replace("{i}", str(i))) for i in range(6)], "page_id bigint, url string, html string")
+    with_, without = ({r.page_id: r.text for r in html_extract.extract(pages, min_pages=n).collect()} for n in (3, 7))
+    assert with_ == {i: f"Title {i} Body text {i} & more" for i in range(6)}
+    assert without == {i: f"Shared banner Menu one Title {i} Body text {i} & more Copyright line" for i in range(6)}
+
+
+def test_template_counts(spark):
+    rng = random.Random(19)
+    part = lambda: f"<div class='c{rng.randrange(9)}'><p>{rng.choice('abcd')}</p><ul><li>{rng.choice('xyz')}</ul></div>"
+    rows = [(f"http://h{i % 3}.com/", "<nav>" + rng.choice("mn") + "</nav>" + part() + part() + f"<p>page {rng.randrange(30)}</p>") for i in range(120)]
+    got = {(r.host, r.h) for r in html_extract.host_templates(spark.createDataFrame(rows, "url string, html string"), min_pages=4, min_share=0.2).collect()}
+    texts, pages = defaultdict(set), defaultdict(set)
+    for url, page in rows:
+        host, (hashes, text) = url[7:-1], html_extract.page_hashes(page)
+        texts[host].add(text)
+        for h in hashes:
+            pages[host, h].add(text)
+    want = {(host, html_extract._signed(h)) for (host, h), of in pages.items() if len(of) >= max(4, 0.2 * len(texts[host]))}
+    assert got == want and want
+
+
+@pytest.mark.parametrize("page, text", [
+    ("x<a " * 100_000, "x"), ("x<a b=\"" * 100_000, "x"), ("<b>" * 100_000 + "x" + "</i>" * 100_000, "x"), ("<i><div>" + "<b>" * 100_000 + "x" + "</i>" * 100_000, "x"), ("x<!--" * 200_000, "x"), ("<div>" * 200_000 + "x", "x"),
+    ("<p title='a>b'>x<a href=\"y>z</a> w</p>", "xz w"), ("<p>a < b <3 c</p>", "a < b <3 c"),
+], ids=range(8))
+def test_malformed_pages_are_read_in_one_pass(page, text):
+    began = time.time()
+    assert html_extract.main_text(page) == text and time.time() - began < 20
+
+
 @pytest.mark.parametrize("page, text", [
     ("<article><h1>A</h1><p>b <b>c</b>d<p>e<br>f<ul><li>1<li>2</ul></article><footer>x</footer>", "A b cd e f 1 2"),
     ("<nav>n</nav><header>h</header><main>m<aside>a</aside><form>f</form><script>if (a<b) '</p>'</script><style>s</style></main>", "m"),
@@ -529,6 +682,20 @@ def test_sharding(spark):
     assert sharding.shard_by_bytes(docs.limit(0)).count() == 0
 
 
+def test_rows_with_one_key_are_sampled_as_one(spark):
+    keys = sharding.settle(sharding.keyed(docs_of(spark, ["hot text"] * 5000 + [f"t{i}" for i in range(500)], [7] * 5000 + list(range(500)))))
+    drawn, weights = sharding.sample(keys, 50_000, 64)
+    assert len(drawn) <= 501 and len(set(drawn)) == len(drawn)
+    check_shards(sharding.shard_by_bytes(docs_of(spark, ["hot"] * 3000, [7] * 3000)).collect(), ["hot"] * 3000, 16)
+
+
+def test_sharding_query_on_the_driver_table(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = sharding.op8_sharding(spark, SF).collect()
+    assert {r.doc_id: (r["size"], r.text_crc32, r.law, r.grown_shard) for r in rows} == {d: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "bytes", None) for d, t in texts.items()}
+    check_shards(rows, list(texts.values()), 16)
+
+
 def test_overfull_ranges_are_divided(spark):
     keys = sharding.settle(sharding.keyed(docs_of(spark, ["hot"] * 3000 + [f"t{i}" for i in range(1000)])))
     _, sizes = sharding.find_splitters(keys, 4)

@@ -4,8 +4,8 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from quire.llm import decontaminate, mixing, quality, simhash_dedup
-from tests.llm.test_operators import brute_components, brute_print
+from quire.llm import decontaminate, mixing, quality
+from tests.llm.test_operators import brute_components, brute_print, shingle_set
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
@@ -39,7 +39,7 @@ def cut(text, items, window=10):
 
 def without_similar(texts, least=0.8):
     """Of each component of texts with that Jaccard similarity over five-word shingles, the smallest id."""
-    sets = {d: set(simhash_dedup.shingle_hashes(t).tolist()) for d, t in texts.items()}
+    sets = {d: shingle_set(t or "") for d, t in texts.items()}
     ids = sorted(texts)
     first = {d: d for d in ids}
 
