@@ -36,7 +36,7 @@ def ratio(a: str, b: str, least: float = 0.0) -> float:
     return 0.0 if least and (m.real_quick_ratio() < least or m.quick_ratio() < least) else m.ratio()
 
 
-def _ratios(pairs: Column) -> Column:
+def ratios(pairs: Column) -> Column:
     """pairs: array of structs with x, y and least, or null where a document has none. One similarity each."""
     @F.arrow_udf("array<double>")
     def ratios(batch: pa.Array) -> pa.Array:
@@ -128,10 +128,10 @@ def settle_duplicates(docs: DataFrame) -> DataFrame:
 
     df = docs.select("doc_id", "sections", F.when(again, F.transform(wanted, reduced)).alias("s"))
     df = df.withColumn("pairs", _pairs(F.filter("s", lambda x: x["section_type"].isin(COMPARED_TYPES))))
-    df = df.withColumn("r", _ratios(F.col("pairs")))
+    df = df.withColumn("r", ratios(F.col("pairs")))
     df = df.select("doc_id", "sections", "s", F.coalesce(_flags(F.col("pairs"), F.col("r")), F.array().cast(FLAG)).alias("found"))
     df = df.withColumn("again", F.when(F.col("s").isNotNull(), _restated(F.col("s"), F.col("found"))))
-    df = df.withColumn("r", _ratios(F.col("again")))
+    df = df.withColumn("r", ratios(F.col("again")))
     df = df.select("doc_id", "sections", F.concat("found", F.coalesce(_more_flags(F.col("again"), F.col("r")), F.array().cast(FLAG))).alias("found"))
 
     def settled(s: Column) -> Column:

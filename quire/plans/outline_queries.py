@@ -229,6 +229,14 @@ DOCS: dict[str, list[tuple[list[str], str]]] = {
         ([TITLE, "ABSTRACT", PROSE, OTHER, "Keywords: size", BYLINE, *BODY],
          "title 1 0-0 0.6; abstract 1 1-3 0.9; keywords 1 4-4 0.85; authors 1 5-5 0.85; introduction 1 6-7 0.9; methods 1 8-9 0.9"),
     ],
+    "sort_09_candidate_picks": [
+        ([TITLE, *BODY, "REFERENCES", REF1, REF2, "DISCUSSION", PROSE, "REFERENCES", REF1, REF3, "REFERENCES", PROSE],  # the last heading with entries
+         "title 1 0-0 0.6; introduction 1 1-2 0.95; methods 1 3-4 0.95; references 1 5-7 0.9; discussion 1 8-9 0.95; references 1 10-12 0.95; unlabeled 1 13-14 0.3"),
+        ([TITLE, "Introduction", PROSE, "METHODS", OTHER],  # the first strong heading starts the body
+         "title 1 0-0 0.6; front_other 1 1-2 0.4; methods 1 3-4 0.9"),
+        ([TITLE, "Introduction", PROSE, "Methods", OTHER],  # without a strong one, the first
+         "title 1 0-0 0.6; introduction 1 1-2 0.75; methods 1 3-4 0.75"),
+    ],
     "set_04_families_left": [
         ([TITLE, "ABSTRACT", "METHODS: WE ASKED MANY PEOPLE ABOUT MANY THINGS HERE.", "Methods: we asked very many people about these many things.", "Results: they knew some of it but by far not all of these.", *BODY],
          "title 1 0-0 0.6; abstract 1 1-4 0.9; abstract_methods 2 2-4 0.7 in 2; introduction 1 5-6 0.9; methods 1 7-8 0.9"),

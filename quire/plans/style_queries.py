@@ -242,3 +242,54 @@ def payload(i):
 def merged_ranges(i):
     r = i.select("doc_id", F.lit(0).alias("span_start"), F.lit(999).alias("span_end"), F.lit(0).alias("idx"), "run", (F.col("run") * 3 - 3).alias("start_char"), (F.col("run") * 3).alias("end_char"), F.lit("abc").alias("text"), F.struct(F.col("style").alias("font_name")).alias("style"))
     return merge_ranges(r).select("doc_id", "range", "start_char", "end_char", "text", F.col("style.font_name").alias("style"))
+
+
+# Sections of one document each: a heading level that has its rules, and where a style that is wrong shows.
+@derived("rule_18_validated_sections", COMPLETE, "SELECT doc_id, id, f = 0 AS style_valid, true AS text_valid, true AS hierarchy_valid, f = 0 AS valid, CASE WHEN f = 2 THEN 'h1_font_name|h1_not_italic' ELSE '' END AS style_issues FROM i")
+def validated_sections(i):
+    keyed = i.withColumn("look", F.col("id") * 10 + F.col("f"))
+    looks = _styled(keyed.select(F.col("look").alias("id"), "name", "level", "f").distinct().withColumns({"z": F.lit(0), "b": F.lit(1)}))
+    s = sr.validate_sections(keyed.join(looks.select(F.col("id").alias("look"), "ranges", "extracted_text"), "look"))
+    return s.select("doc_id", "id", "style_valid", "text_valid", "hierarchy_valid", "valid", F.array_join("style_issues", "|").alias("style_issues"))
+
+
+@derived("rule_20_validated_documents", TREES, "SELECT DISTINCT doc_id, false AS valid, 5::BIGINT AS n FROM i")
+def validated_documents(i):
+    """No region has all five sections; each has its five nations."""
+    validated, order = _validated(i)
+    return sr.validate_documents(validated, order).join(validated.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id").select("doc_id", "valid", "n")
+
+
+# Two sections METHODS and a subsection below the first: the last of a name is the expected parent.
+TWINS = "SELECT c_custkey AS doc_id, CAST(j AS BIGINT) AS id, CASE WHEN j = 2 THEN 'Study Sample' ELSE 'Methods' END AS name, CAST(CASE WHEN j = 2 THEN 2 ELSE 1 END AS INT) AS level, CAST(CASE WHEN j = 2 THEN 1 END AS BIGINT) AS parent_id FROM {customer} CROSS JOIN (SELECT r_regionkey + 1 AS j FROM {region} WHERE r_regionkey < 3) AS r WHERE c_custkey % 2 = 0 OR j < 3"
+
+
+@derived("join_06_last_parent_of_a_name", TWINS, "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Expected parent_id=3 (''METHODS''), found parent_id=1 (''Methods'')' ELSE '' END AS issues FROM i WHERE id = 2")
+def last_parent(i):
+    return sr.check_hierarchy(i).filter("id = 2").select("doc_id", F.array_join("hierarchy_issues", "|").alias("issues"))
+
+
+@derived("join_05_hierarchy_of_sections", TWINS, "SELECT doc_id, id, CASE WHEN id = 2 AND doc_id % 2 = 0 THEN 'correct_level' ELSE 'correct_level|correct_parent' END AS followed FROM i")
+def hierarchy_of_sections(i):
+    none = F.array().cast(f"array<{sr.RANGE}>")
+    s = sr.validate_sections(i.withColumns({"ranges": none, "extracted_text": F.col("name")}))
+    return s.select("doc_id", "id", F.array_join("hierarchy_followed", "|").alias("followed"))
+
+
+SHUFFLED = "SELECT c_custkey AS doc_id, CAST(j AS BIGINT) AS id, CAST(NULL AS BIGINT) AS parent_id, 1 AS level, CASE j WHEN 1 THEN 'Results' WHEN 2 THEN 'Odd One' WHEN 3 THEN 'Methods' ELSE 'Other' END AS name, CAST(100 - j * 10 AS INT) AS start_position FROM {customer} CROSS JOIN (SELECT r_regionkey + 1 AS j FROM {region} WHERE r_regionkey < 4) AS r"
+
+
+@derived("sort_05_by_start_position", SHUFFLED, "SELECT DISTINCT doc_id, 'OTHER|METHODS|ODD ONE|RESULTS' AS names FROM i")
+def by_start_position(i):
+    return sr.check_order(i).select("doc_id", F.array_join("actual_order", "|").alias("names"))
+
+
+@derived("join_19_unexpected_sections", SHUFFLED, "SELECT DISTINCT doc_id, 'Missing top-level section ''INTRODUCTION''|Missing top-level section ''DISCUSSION''|Missing top-level section ''CONCLUSIONS''|Unexpected top-level sections: OTHER, ODD ONE' AS issues FROM i")
+def unexpected_sections(i):
+    return sr.check_order(i).select("doc_id", F.array_join("issues", "|").alias("issues"))
+
+
+@derived("flt_09_first_and_body_style", STYLED, "SELECT id, CASE WHEN z < 6 THEN CASE f WHEN 0 THEN ' franklin  Gothic MEDIUM' WHEN 1 THEN 'Arial' END END AS first_font, CASE WHEN z <= 4 THEN 12.0 END::DOUBLE AS body_size FROM i")
+def first_and_body_style(i):
+    s = _styled(i)
+    return s.select("id", F.get(sr.text_runs(F.col("ranges")), F.lit(0))["style"]["font_name"].alias("first_font"), sr.body_style(F.col("ranges"))["font_size"].alias("body_size"))

@@ -350,3 +350,65 @@ def span_blocks(i):
     blocks = i.select("doc_id", "idx", "start", F.col("stop").alias("end"), run.alias("runs"))
     spans = i.select("doc_id").distinct().select("doc_id", F.lit(50).alias("span_start"), F.lit(90).alias("span_end"))
     return sections.span_styles(blocks, spans).select("doc_id", "idx", "start_char", "end_char")
+
+
+PEELED = "SELECT p_partkey AS doc_id, CASE p_partkey % 6 WHEN 0 THEN 'METHODS' || chr(10) || 'we asked ' || p_size WHEN 1 THEN 'METHODS' || chr(10) || 'RESULTS' WHEN 2 THEN 'Figure 1. Parts' || chr(10) || 'Methods' || chr(10) || 'SIZES' || chr(10) || 'text' || chr(10) || 'RESULTS' WHEN 3 THEN 'text' || chr(10) || 'METHODS' WHEN 4 THEN 'ABC' || chr(10) || 'text' ELSE repeat('LONG WORDS ', 8) || chr(10) || 'text' END AS raw FROM {part}"
+
+
+@derived("win_05_peeled_heads", PEELED, "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'METHODS|we asked ' || p_size WHEN 1 THEN 'METHODS|RESULTS' WHEN 2 THEN 'Figure 1. Parts|Methods|SIZES|text RESULTS' WHEN 3 THEN 'text METHODS' WHEN 4 THEN 'ABC text' ELSE repeat('LONG WORDS ', 8) || 'text' END AS blocks FROM i JOIN part ON doc_id = p_partkey")
+def peeled_heads(i):
+    g = reader.read_blocks(i).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("b"))
+    return g.select("doc_id", F.array_join("b.text", "|").alias("blocks"))
+
+
+@derived("win_01_running_offsets", PEELED, "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '0-7|8-' || (17 + length(p_size || '')) WHEN 1 THEN '0-7|8-15' WHEN 2 THEN '0-15|16-23|24-29|30-42' WHEN 3 THEN '0-12' WHEN 4 THEN '0-8' ELSE '0-92' END AS spans FROM i JOIN part ON doc_id = p_partkey")
+def running_offsets(i):
+    g = reader.read_blocks(i).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "start", "end"))).alias("b"))
+    return g.select("doc_id", F.array_join(F.transform("b", lambda x: F.concat_ws("-", x["start"], x["end"])), "|").alias("spans"))
+
+
+RATIOS = "SELECT p_partkey AS k, p_name AS name FROM {part}"
+
+
+@derived("agg_04_form_ratios", RATIOS, "SELECT k, length(replace(name, ' ', '')) AS b, (length(replace(name, ' ', '')) / (length(replace(name, ' ', '')) + 6.0))::DOUBLE AS bold_ratio, (3 / (length(replace(name, ' ', '')) + 6.0))::DOUBLE AS italic_ratio, ((length(regexp_replace(name, '[^a-z]', '', 'g')) + 3.0) / (length(regexp_replace(name, '[^a-z]', '', 'g')) + 6))::DOUBLE AS caps_ratio FROM i".replace("length(replace(name, ' ', '')) AS b, ", ""))
+def form_ratios(i):
+    """A bold run in capitals, an italic one of three letters and a plain one of three capitals. Blanks count for neither."""
+    run = lambda t, b, i_, c: F.struct(t.alias("text"), F.lit(b).alias("bold"), F.lit(i_).alias("italic"), F.lit(c).alias("caps"), *[F.lit(None).cast(k).alias(n) for n, k in (("font_name", "string"), ("font_size", "double"), ("underline", "string"))],
+                                  F.lit(False).alias("strike"), *[F.lit(None).cast("string").alias(n) for n in ("color", "highlight", "vert_align")])
+    runs = F.array(run(F.col("name"), True, False, True), run(F.lit(" abc "), False, True, False), run(F.lit("XYZ"), False, False, False)).cast(f"array<{reader.RUN}>")
+    b = i.select("k", F.concat("name", F.lit(" abc XYZ")).alias("text"), runs.alias("runs"), F.lit(None).cast("string").alias("style"), F.lit(None).cast("int").alias("outline"))
+    return reader.features(b).select("k", F.col("bold_ratio").cast("double").alias("bold_ratio"), F.col("italic_ratio").cast("double").alias("italic_ratio"), F.col("caps_ratio").cast("double").alias("caps_ratio"))
+
+
+@query("src_03_text_documents", f"WITH {_LINES} SELECT doc_id, 0::INT AS first, max(start + length(text))::INT AS last, true AS joined FROM x GROUP BY doc_id")
+def text_documents(spark, sf_dir):
+    """The top-level sections of every document cover its text without gaps, and hold what their spans say."""
+    s = sections.sections_in_documents(_documents(spark, sf_dir), text_mode=True)
+    top = F.filter("sections", lambda x: x["level"] == 1)
+    steps = F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.element_at("t", i)["start_position"] == F.when(i > 1, F.element_at("t", F.greatest(i - 1, F.lit(1)))["end_position"] + 1).otherwise(0))
+    fits = F.forall("sections", lambda x: F.length(x["extracted_text"]) == x["end_position"] - x["start_position"])
+    return s.withColumn("t", top).select("doc_id", F.get("t", F.lit(0))["start_position"].alias("first"), F.element_at("t", -1)["end_position"].alias("last"), (fits & F.forall(steps, lambda x: x)).alias("joined"))
+
+
+@query("prj_04_section_records", _outline_sql() + " SELECT doc_id, id::INT AS id, CASE section_type WHEN 'title' THEN 'Title' WHEN 'authors' THEN 'Authors'' names' WHEN 'abstract' THEN 'Abstract' WHEN 'acknowledgments' THEN 'Acknowledgments' WHEN 'references' THEN 'References' WHEN 'figure_legends' THEN 'Figure legends' ELSE 'Text' END AS standard_element, confidence, 1::INT AS level FROM o")
+def section_records(spark, sf_dir):
+    s = sections.section_records(sections.extract_sections(source(spark, sf_dir, RAW)))
+    return s.select("doc_id", "id", "standard_element", "confidence", "level")
+
+
+SAME_PLACE = "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS idx, CAST(3 - j AS INT) AS level, 'x' AS section_type FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM {lineitem}) AS l CROSS JOIN (SELECT r_regionkey + 1 AS j FROM {region} WHERE r_regionkey < 2) AS r"
+
+
+@derived("sort_01_place_and_level", SAME_PLACE, "SELECT doc_id, idx, level, row_number() OVER (PARTITION BY doc_id ORDER BY idx, level)::INT AS id, CASE WHEN level = 2 THEN row_number() OVER (PARTITION BY doc_id ORDER BY idx, level) - 1 END::INT AS parent_id FROM i")
+def place_and_level(i):
+    return sections.tree(i).select("doc_id", "idx", "level", "id", "parent_id")
+
+
+PARTS_OUT_OF_ORDER = "SELECT c_custkey AS doc_id, CAST(j AS INT) AS id, CAST(100 - j AS INT) AS start_position, CAST(101 - j AS INT) AS end_position, CAST(CASE WHEN j = 3 THEN 2 ELSE 1 END AS INT) AS level, CAST(CASE WHEN j = 4 THEN 1 END AS INT) AS duplicate_of, CASE WHEN j = 2 THEN 'methods' ELSE 'results' END AS section_type, 'part ' || j AS extracted_text FROM {customer} CROSS JOIN (SELECT r_regionkey + 1 AS j FROM {region}) AS r"
+
+
+@derived("sort_02_elements_in_order", PARTS_OUT_OF_ORDER, "SELECT DISTINCT doc_id, 'part 5' || chr(10) || chr(10) || 'part 2' || chr(10) || chr(10) || 'part 1' AS text, '4' AS duplicates, '95-96|98-99|99-100' AS spans FROM i")
+def elements_in_order(i):
+    d = sections.standard_documents(i)
+    spans = F.transform(F.col("element_spans")["Text"], lambda x: F.array_join(x.cast("array<string>"), "-"))
+    return d.select("doc_id", F.col("Text").alias("text"), F.array_join(F.transform("duplicates", lambda x: x["id"].cast("string")), "|").alias("duplicates"), F.array_join(spans, "|").alias("spans"))
