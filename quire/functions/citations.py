@@ -46,9 +46,13 @@ def doi_key(c: Column) -> Column:
 def page_info(c: Column) -> Column:
     """year, volume, issue and pages of the first place with ; and : ; null where absent.
 
-    The text is searched once; the groups come from the match, which matches itself in the same way."""
+    Only texts that have both are searched, from the words before the first ; on: what is before them cannot be part of a match. One
+    replacement brings all groups."""
     names = ("year", "volume", "issue", "pages")
-    return let(F.regexp_extract(c, PAGE_INFO, 0), lambda m: F.struct(*[_none(strip(F.regexp_extract(m, PAGE_INFO, i + 1))).alias(n) for i, n in enumerate(names)]))
+    near = F.regexp_replace(c, r"(?U)\A[^;]*[^\w\s;](?=[\w\s]*;)", "")
+    groups = F.regexp_replace(near, rf"(?s)\A.*?(?:{PAGE_INFO}).*\z", "\x01$1\x01$2\x01$3\x01$4")
+    found = F.when(F.contains(c, F.lit(";")) & F.contains(c, F.lit(":")), groups)
+    return let(F.split(found, "\x01"), lambda g: F.struct(*[F.when(F.size(g) == 5, _none(strip(F.get(g, F.lit(i))))).alias(n) for i, n in enumerate(names, 1)]))
 
 
 def separate_numbers(c: Column) -> Column:

@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same as characters.
+WS_CHARS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 #: Spaces and zero-width characters that count as a blank.
@@ -26,11 +28,11 @@ def let(c: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+\\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{WS}]+\\z", "")
+    return F.rtrim(c, F.lit(WS_CHARS))
 
 
 def squeeze(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import sections
-from quire.plans.registry import derived, query, source
+from quire.plans.registry import derived
 from quire.sources import docx
 
 STYLES = """<w:styles XMLNS><w:docDefaults><w:rPrDefault><w:rPr><w:rFonts w:ascii="Times"/><w:sz w:val="24"/></w:rPr></w:rPrDefault></w:docDefaults>
@@ -64,10 +64,10 @@ def span_styles(i):
     return sections.span_styles(b, spans).select(F.col("doc_id").alias("k"), "idx", "run", "start_char", "end_char")
 
 
-@query("rule_13_docx_section_tree")
-def docx_section_tree(spark, sf_dir):
+@derived("rule_13_docx_section_tree", NATIONS, "SELECT k AS doc_id, 1::INT AS id, 'methods' AS section_type, 'METHODS' AS name, 0::INT AS start_position, (length('METHODS' || 'People of ' || name || ' new' || 'left' || 'right' || 'joined up' || 'a b') + 5)::INT AS end_position FROM i")
+def docx_section_tree(i):
     """Sections of the made files, from formatting: a heading style opens the methods."""
-    b = docx.docx_blocks(docx.read_docx(_files(source(spark, sf_dir, NATIONS)), "k"))
+    b = docx.docx_blocks(docx.read_docx(_files(i), "k"))
     return sections.section_records(sections.sections_of_blocks(b, text_mode=False)).select("doc_id", "id", "section_type", "name", "start_position", "end_position")
 
 

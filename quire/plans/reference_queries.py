@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import citations as ct
 from quire.operators import references as rf
-from quire.plans.registry import derived, query, source, table
+from quire.plans.registry import derived, query, source, spread, table
 
 # Citations whose parts are columns.
 CITES = """SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, CAST(1990 + l_orderkey % 30 AS STRING) AS y, CAST(l_partkey % 90 + 1 AS STRING) AS vol, CAST(l_suppkey % 12 + 1 AS STRING) AS iss,
@@ -14,12 +14,12 @@ CITES = """SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, CAST(1990
 CITED = "SELECT *, n || '. Doe J, Roe K. Study of part ' || p || '. J Test. ' || y || ';' || vol || '(' || iss || '):' || p1 || '-' || p2 || '. doi:' || doi || '.' AS ref FROM (" + CITES + ") AS c"
 
 
-@derived("fn_43_page_info", CITED, "SELECT k, n, p, y AS year, vol AS volume, iss AS issue, p1 || '-' || p2 AS pages FROM i")
+@derived("fn_43_page_info", CITED, "SELECT k, n, p, y AS year, vol AS volume, iss AS issue, p1 || '-' || p2 AS pages FROM i", heavy=True)
 def page_info(i):
     return i.select("k", "n", "p", ct.page_info(F.col("ref")).alias("x")).select("k", "n", "p", "x.*")
 
 
-@derived("fn_42_first_doi", CITED, "SELECT k, n, p, 'doi:' || doi AS found, doi AS bare, lower(doi) AS key FROM i")
+@derived("fn_42_first_doi", CITED, "SELECT k, n, p, 'doi:' || doi AS found, doi AS bare, lower(doi) AS key FROM i", heavy=True)
 def first_doi(i):
     found = ct.first_doi(F.col("ref"))
     return i.select("k", "n", "p", found.alias("found"), ct.normalize_doi(found).alias("bare"), ct.doi_key(found).alias("key"))
@@ -31,12 +31,12 @@ def normalize_doi(i):
     return i.select("k", ct.normalize_doi(F.col("doi")).alias("doi"), ct.doi_key(F.col("doi")).alias("key"))
 
 
-@derived("fn_40_parse_reference", CITED, "SELECT k, n, p, '' AS author, '' AS title, 'Doe J, Roe K. Study of part ' || p || '. J Test. ' || y || ';' || vol || '(' || iss || '):' || p1 || '-' || p2 AS numbers, doi FROM i")
+@derived("fn_40_parse_reference", CITED, "SELECT k, n, p, '' AS author, '' AS title, 'Doe J, Roe K. Study of part ' || p || '. J Test. ' || y || ';' || vol || '(' || iss || '):' || p1 || '-' || p2 AS numbers, doi FROM i", heavy=True)
 def parse_reference(i):
     return i.select("k", "n", "p", ct.parse_reference(F.col("ref")).alias("x")).select("k", "n", "p", "x.author", "x.title", "x.numbers", "x.doi")
 
 
-@derived("fn_40_parse_reference_split", CITED, "SELECT k, n, p, 'Doe J, Roe K' AS author, 'Study of part ' || p || '.' AS title, 'J Test. ' || y || ';' || vol || '(' || iss || '):' || p1 || '-' || p2 AS numbers, doi FROM i")
+@derived("fn_40_parse_reference_split", CITED, "SELECT k, n, p, 'Doe J, Roe K' AS author, 'Study of part ' || p || '.' AS title, 'J Test. ' || y || ';' || vol || '(' || iss || '):' || p1 || '-' || p2 AS numbers, doi FROM i", heavy=True)
 def parse_reference_split(i):
     return i.select("k", "n", "p", ct.parse_reference(F.col("ref"), compat=False).alias("x")).select("k", "n", "p", "x.author", "x.title", "x.numbers", "x.doi")
 
@@ -45,7 +45,7 @@ NUMBER_FORMS = "SELECT *, CASE p % 5 WHEN 0 THEN 'J Test. ' || y || ';' || vol |
 
 
 @derived("fn_41_parse_numbers", NUMBER_FORMS, """SELECT k, n, p, CASE WHEN p % 5 = 4 THEN '' ELSE y END AS year, CASE WHEN p % 5 = 4 THEN '' ELSE vol END AS volume, CASE p % 5 WHEN 0 THEN iss WHEN 1 THEN iss || ' suppl 1' ELSE '' END AS issue,
-  CASE p % 5 WHEN 0 THEN p1 || '-' || p2 WHEN 1 THEN p1 || '-' || p2 WHEN 3 THEN p1 ELSE '' END AS pages, CASE p % 5 WHEN 2 THEN 'e' || p1 ELSE '' END AS article_number FROM i""")
+  CASE p % 5 WHEN 0 THEN p1 || '-' || p2 WHEN 1 THEN p1 || '-' || p2 WHEN 3 THEN p1 ELSE '' END AS pages, CASE p % 5 WHEN 2 THEN 'e' || p1 ELSE '' END AS article_number FROM i""", heavy=True)
 def parse_numbers(i):
     return i.select("k", "n", "p", ct.parse_numbers(F.col("s")).alias("x")).select("k", "n", "p", "x.*")
 
@@ -184,7 +184,7 @@ def metadata_fields(i):
 @query("rule_22_rebuilt_references", f"""WITH i AS ({META}) SELECT k AS doc_id, CASE kind WHEN 0 THEN '1. da Costa A, Pinto R. Great part n' || k || '. A view. Ann Part 3. 2020;5(2):11-19. https://doi.org/10.1000/X' || k || '.'
   WHEN 1 THEN '1. Lee MA. Small part n' || k || '. Unknown Weekly. 2020;5(2):11-19. https://doi.org/10.1000/X' || k || '.' ELSE '' END AS edited, CASE kind WHEN 3 THEN 'DOI' ELSE '' END AS missing, CASE kind WHEN 2 THEN '{rf.NO_METADATA}' ELSE '' END AS warnings FROM i""")
 def rebuilt_references(spark, sf_dir):
-    i = source(spark, sf_dir, META)
+    i = spread(source(spark, sf_dir, META))
     out = _rebuilt(spark, sf_dir, i, with_edits=False)
     return out.select("doc_id", "edited", F.array_join("missing_components", "|").alias("missing"), F.array_join("warnings", "|").alias("warnings"))
 

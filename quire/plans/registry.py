@@ -52,9 +52,21 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def derived(name: str, input_sql: str, oracle: str) -> Callable[[Callable[[DataFrame], DataFrame]], Query]:
-    """Registers a query that transforms the result of ``input_sql``. Its SQL is ``oracle`` with ``input_sql`` as the relation i."""
+#: Bytes for which one task is enough.
+TASK_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows out to all cores if they are few enough to have come in fewer row groups. Large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * TASK_BYTES else df
+
+
+def derived(name: str, input_sql: str, oracle: str, heavy: bool = False) -> Callable[[Callable[[DataFrame], DataFrame]], Query]:
+    """Registers a query that transforms the result of ``input_sql``. Its SQL is ``oracle`` with ``input_sql`` as the relation i. The rows of
+    a heavy one, whose work is in each row, are spread first."""
     def add(f: Callable[[DataFrame], DataFrame]) -> Query:
-        return query(name, f"WITH i AS ({input_sql}) {oracle}")(lambda spark, sf_dir: f(source(spark, sf_dir, input_sql)))
+        return query(name, f"WITH i AS ({input_sql}) {oracle}")(lambda spark, sf_dir: f(spread(source(spark, sf_dir, input_sql)) if heavy else source(spark, sf_dir, input_sql)))
 
     return add
