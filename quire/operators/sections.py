@@ -131,7 +131,13 @@ def section_records(sections: DataFrame) -> DataFrame:
     return sections.select("*", standard_element(F.col("section_type")).alias("standard_element")).withColumn("confidence", F.bround("confidence", 3))
 
 
-ROLLED = ("start_position", "id", "level", "section_type", "end_position", "extracted_text", "duplicate_of")
+ROLLED = ("start_position", "id", "level", "section_type", "end_position", "extracted_text", "duplicate_of", "evidence")
+
+
+def similarity_of(evidence: Column) -> Column:
+    """The similarity that a section's evidence tells, of the last comparison; null without one."""
+    said = F.filter(evidence, lambda e: e.contains("similarity="))
+    return F.regexp_extract(F.try_element_at(said, F.lit(-1)), r"similarity=([\d.]+)", 1).try_cast("double")
 
 
 def standard_documents(sections: DataFrame) -> DataFrame:
@@ -147,9 +153,9 @@ def extract_documents(docs: DataFrame, doc_id: str = "doc_id", raw: str = "raw")
 def document_elements(docs: DataFrame) -> DataFrame:
     """docs: doc_id and sections. One row per document with every standard element: texts of its top-level sections that are no
     duplicates, in order, with a blank line between; '' if there are none. Also the spans of each element and the list of duplicates."""
-    picked = lambda on, names: F.array_sort(F.transform(F.filter("sections", on), lambda s: F.struct(*[(standard_element(s["section_type"]) if n == "element" else s[n]).alias(n) for n in names])))
+    picked = lambda on, names: F.array_sort(F.transform(F.filter("sections", on), lambda s: F.struct(*[(standard_element(s["section_type"]) if n == "element" else similarity_of(s["evidence"]) if n == "similarity" else s[n]).alias(n) for n in names])))
     kept = picked(lambda s: (s["level"] == 1) & s["duplicate_of"].isNull(), ("start_position", "id", "element", "end_position", "extracted_text"))
-    dup = picked(lambda s: s["duplicate_of"].isNotNull(), ("id", "element", "section_type", "start_position", "end_position", "duplicate_of"))
+    dup = picked(lambda s: s["duplicate_of"].isNotNull(), ("id", "element", "section_type", "start_position", "end_position", "duplicate_of", "similarity"))
     g = docs.select("doc_id", kept.alias("k"), dup.alias("duplicates"))
     parts = lambda e: F.filter("k", lambda x: x["element"] == e)
     texts = [F.array_join(F.transform(parts(e), lambda x: x["extracted_text"]), "\n\n").alias(e) for e in ELEMENTS]

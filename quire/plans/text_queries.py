@@ -409,6 +409,6 @@ PARTS_OUT_OF_ORDER = "SELECT c_custkey AS doc_id, CAST(j AS INT) AS id, CAST(100
 
 @derived("sort_02_elements_in_order", PARTS_OUT_OF_ORDER, "SELECT DISTINCT doc_id, 'part 5' || chr(10) || chr(10) || 'part 2' || chr(10) || chr(10) || 'part 1' AS text, '4' AS duplicates, '95-96|98-99|99-100' AS spans FROM i")
 def elements_in_order(i):
-    d = sections.standard_documents(i)
+    d = sections.standard_documents(i.withColumn("evidence", F.array(F.lit("none"))))
     spans = F.transform(F.col("element_spans")["Text"], lambda x: F.array_join(x.cast("array<string>"), "-"))
     return d.select("doc_id", F.col("Text").alias("text"), F.array_join(F.transform("duplicates", lambda x: x["id"].cast("string")), "|").alias("duplicates"), F.array_join(spans, "|").alias("spans"))
