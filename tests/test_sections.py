@@ -9,7 +9,8 @@ from quire.functions import citations, lexicon, titles
 from quire.functions import text as tx
 from quire.operators import references, sections, sequences
 from quire.operators.marks import indel_ratio
-from quire.sources import docx, text_reader, writers
+from quire.functions import prompts
+from quire.sources import docx, providers, text_reader, workbook, writers
 from quire.streaming.sections import stream_sections
 
 WORDS = "METHODS|Results|Abstract|Introduction: we saw many things here and there in the land|REFERENCES|1. Doe J. A. 2019|Figure 1. x|Keywords: a; b; c|Funding: None.|plain words in a line|TABLE|Jane Doe, PhD, John Roe, MPH, Ann Poe|x@y.edu|ACKNOWLEDGMENTS|Highlights|- a bullet|2. Roe K. B. 2020 https://x.org|Title: A Study of the Long Name Here|\f|".split("|")
@@ -143,3 +144,58 @@ def test_cache_table(spark):
     writers.upsert_cache(spark, "quire_cache", changes(row("b", "9", 3)))
     assert {r.doi: r.metadata for r in spark.table("quire_cache").collect()} == {"a": "2", "b": "9"}
     spark.sql("DROP TABLE quire_cache")
+
+
+def test_list_is_fetched_once(spark, tmp_path):
+    path, calls = str(tmp_path / "list.txt"), []
+
+    def fetch(where):
+        calls.append(where)
+        (tmp_path / "list.txt").write_text("JrId: 1\nJournalTitle: A")
+
+    with pytest.raises(FileNotFoundError):
+        providers.list_file(spark, path)
+    for _ in range(2):
+        files = providers.list_file(spark, path, fetch)
+        assert [r.record["JournalTitle"] for r in references.parse_journals(files).collect()] == ["A"]
+    assert calls == [path]
+
+
+def test_retries_and_polling():
+    waits = []
+    answers = iter([(429, {"Retry-After": "99"}, ""), (503, {}, ""), (200, {}, '{"a": 1}')])
+    assert providers.ask("k", "openalex", lambda _: next(answers), sleep=waits.append) == ({"a": 1}, None) and waits == [30.0, 2.0]
+    broken = iter([ConnectionError(), ConnectionError(), TimeoutError()])
+
+    def call(_):
+        raise next(broken)
+
+    assert providers.ask("k", "crossref", call, sleep=lambda _: None) == (None, "crossref_timeout")
+    states = iter([("RUNNING", None), ("done", "r")])
+    assert providers.poll(lambda p: "job", lambda j: next(states), "p", sleep=lambda _: None) == ("done", "r")
+    assert providers.poll(lambda p: None, lambda j: ("done", "r"), "p") == ("no_job", None)
+    clock = iter([0, 1, 400])
+    assert providers.poll(lambda p: "job", lambda j: ("?", None), "p", clock=lambda: next(clock), sleep=lambda _: None) == ("timeout", None)
+
+
+def test_workbooks(spark):
+    rows = spark.createDataFrame([(1, "S&1", 1, "a <b> \x01", None), (1, "S&1", 0, None, "z"), (2, None, 0, "", " two ")], "book int, sheet string, n int, x string, y string")
+    books = workbook.workbooks(rows, "book", "sheet", ["n"], ["x", "y"])
+    cells = {(r.book, r.sheet, r.row, r.column): r.text for r in workbook.workbook_cells(books).collect()}
+    assert cells == {(1, "S&1", 1, 0): "x", (1, "S&1", 1, 1): "y", (1, "S&1", 2, 1): "z", (1, "S&1", 3, 0): "a <b> ", (2, "Sheet", 1, 0): "x", (2, "Sheet", 1, 1): "y", (2, "Sheet", 2, 0): "", (2, "Sheet", 2, 1): " two "}
+    assert workbook.workbooks(rows.limit(0), "book", "sheet", ["n"], ["x"]).count() == 0
+    assert [workbook.column_name(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"] and workbook.read_cells(None) == []
+
+
+def test_prompts():
+    text = prompts.prompt("title", {"a": "b"}, {"x": "y"})
+    assert "- a: b" in text and "- x -> y" in text and '"edit_score": double' in text and len(prompts.TASKS) == 9
+
+
+def test_cache_is_put_back(spark):
+    spark.sql("DROP TABLE IF EXISTS quire_lost")
+    writers.create_cache(spark, "quire_lost")
+    spark.sql("ALTER TABLE quire_lost RENAME TO quire_lost__old")
+    writers.upsert_cache(spark, "quire_lost", spark.table("quire_lost__old"))
+    assert spark.table("quire_lost").count() == 0 and not spark.catalog.tableExists("quire_lost__old")
+    spark.sql("DROP TABLE quire_lost")
