@@ -59,7 +59,7 @@ TASK_BYTES = 32 << 20
 def spread(df: DataFrame) -> DataFrame:
     """Deals rows out to all cores if they are few enough to have come in fewer row groups. Large tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * TASK_BYTES else df
 
 
