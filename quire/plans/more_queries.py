@@ -101,7 +101,7 @@ def top_level_sections(spark, sf_dir):
 
 @query("snk_03_document_json", f"{_M} SELECT doc_id, title, 'REFERENCES' || chr(10) || ref1 || chr(10) || ref2 AS refs, 14::INT AS n FROM m")
 def document_json(spark, sf_dir):
-    d = sections.standard_documents(sections.extract_sections(source(spark, sf_dir, RAW)))
+    d = sections.extract_documents(source(spark, sf_dir, RAW))
     j = d.select("doc_id", F.to_json(F.struct(*[F.col(f"`{e}`") for e in sections.ELEMENTS])).alias("j"))
     m = F.from_json("j", "map<string,string>")
     return j.select("doc_id", m.alias("m")).select("doc_id", F.col("m")["Title"].alias("title"), F.col("m")["References"].alias("refs"), F.size("m").alias("n"))

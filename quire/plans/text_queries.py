@@ -253,7 +253,7 @@ def standard_elements(spark, sf_dir):
 @query("agg_02_element_spans", _outline_sql() + """ SELECT doc_id, min(start_position) FILTER (section_type IN ('introduction', 'methods', 'results', 'discussion')) AS text_start,
   max((start_position + length(extracted_text))::INT) FILTER (section_type IN ('introduction', 'methods', 'results', 'discussion')) AS text_end, 4::INT AS n_parts FROM o GROUP BY doc_id""")
 def element_spans(spark, sf_dir):
-    d = sections.standard_documents(sections.extract_sections(spread(source(spark, sf_dir, RAW))))
+    d = sections.extract_documents(spread(source(spark, sf_dir, RAW)))
     spans = F.col("element_spans")["Text"]
     return d.select("doc_id", F.get(F.get(spans, F.lit(0)), F.lit(0)).alias("text_start"), F.get(F.element_at(spans, -1), F.lit(1)).alias("text_end"), F.size(spans).alias("n_parts"))
 
