@@ -85,7 +85,7 @@ def text_edit(i):
 
 
 @derived("win_16_merge_spans", "SELECT l_orderkey AS k, CAST(l_partkey % 50 AS INT) AS a, CAST(l_partkey % 50 + 1 + l_suppkey % 9 AS INT) AS z FROM {lineitem}",
-         """, o AS (SELECT *, max(z) OVER (PARTITION BY k ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i),
+         """, o AS (SELECT *, max(z) OVER (PARTITION BY k ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT DISTINCT k, a, z FROM i)),
   g AS (SELECT *, sum(CASE WHEN before IS NULL OR a >= before THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS grp FROM o)
   SELECT k, min(a) AS "start", max(z) AS "end" FROM g GROUP BY k, grp""")
 def merged_spans(i):
