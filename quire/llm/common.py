@@ -30,19 +30,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
         return
-    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+    if not _is_local(spark):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="quire-checkpoints-"))
 
 
+def _is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return bool(re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Computes df once and cuts its lineage in the shared checkpoint folder, so that lost executors cost no recomputation.
 
-    The driver's collector runs afterwards: shuffles and checkpoints that nothing refers to any more are then deleted."""
+    On a cluster the driver's collector runs afterwards: shuffles that nothing refers to any more are then deleted from the executors'
+    disks, and so are checkpoints if Spark is told to clean them."""
     ensure_checkpoint_dir(df.sparkSession)
     out = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    if not _is_local(df.sparkSession):
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
     return out
 
 
