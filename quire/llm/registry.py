@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import chat_format, decontaminate, html_extract, license_scan, media, mixing, quality, sharding, simhash_dedup, url_filter
+from quire.llm import byte_bpe, chat_format, decontaminate, html_extract, license_scan, media, mixing, periodic_runs, quality, sharding, simhash_dedup, token_alignment, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_byte_bpe": byte_bpe.op11_byte_bpe,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 
 ORACLE_SQL = {
