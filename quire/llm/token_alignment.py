@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark import TaskContext
@@ -126,7 +127,8 @@ def align(a_ends: np.ndarray, b_ends: np.ndarray, links: str = "end") -> tuple[n
     Returns the group number of each token of either side, counted from 0, and the links as two arrays of token numbers, in order."""
     if links not in LINKS:
         raise ValueError(f"links are one of {LINKS}")
-    cuts = np.union1d(a_ends, b_ends)  # between two cuts lies one token of each side: an edge
+    cuts = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")  # two sorted stretches: merged, not sorted anew
+    cuts = cuts[np.append(cuts[1:] != cuts[:-1], True)[: len(cuts)]]  # between two cuts lies one token of each side: an edge
     a, b = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
     root = components(len(a_ends) + len(b_ends), a, b + len(a_ends))
     a_group, b_group = root[: len(a_ends)], root[len(a_ends) :]  # the smallest member is always one of the first side
@@ -186,7 +188,8 @@ def _part(sides: Sides, packed: list[tuple[bytes, bytes]], links: str, with_grou
 
 def _block(rows: list[dict], own: list[np.ndarray]) -> dict:
     """Gives the documents of a block their places in the block's list of pairs, and returns that list with its counts."""
-    pairs, inverse, counts = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    inverse, pairs = pd.factorize(np.concatenate(own))  # by hash, in the order of occurrence
+    counts = np.bincount(inverse, minlength=len(pairs))
     order = np.argsort(-counts, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
