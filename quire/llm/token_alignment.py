@@ -68,12 +68,13 @@ class Pieces(dict):
         self.model, self.older = sentencepiece.SentencePieceProcessor(model_proto=model), {}
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes_of = [bytes([int(m[1], 16)]) if (m := _BYTE_PIECE.fullmatch(p)) else p.replace(_MARK, " ").encode() for p in pieces]
+        self.space = self.model.piece_to_id(_MARK)
         self.apart = not any(_MARK in p.lstrip(_MARK) for p in pieces)
 
     def __missing__(self, chunk: str) -> bytes | None:
         ids = self.older.get(chunk, ())
         if ids == ():
-            found = self.model.encode(chunk[1:], num_threads=1)
+            found = self.model.encode(chunk[1:], num_threads=1) if len(chunk) > 1 else [self.space]  # nothing is put before nothing
             ids = np.array(found, "<u4").tobytes() if b"".join(map(self.bytes_of.__getitem__, found)) == chunk.encode() else None
         if len(self) >= REMEMBERED:
             self.older = dict(self)
