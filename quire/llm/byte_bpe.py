@@ -147,11 +147,11 @@ class ByteBpe:
 
 
 class Encoder(dict):
-    """Of a pre-token, its ids as little-endian unsigned 32-bit integers. Remembers them: when REMEMBERED are held, these become the
-    older half, of which those that are met again stay."""
+    """Of a pre-token, its ids as little-endian unsigned 32-bit integers. Remembers them: when as many as ``most`` (REMEMBERED) are held,
+    these become the older half, of which those that are met again stay."""
 
-    def __init__(self, bpe: ByteBpe) -> None:
-        self.bpe, self.split, self.older = bpe, regex.compile(bpe.pattern).findall, {}
+    def __init__(self, bpe: ByteBpe, most: int | None = None) -> None:
+        self.bpe, self.split, self.older, self.most = bpe, regex.compile(bpe.pattern).findall, {}, most or REMEMBERED
 
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
@@ -159,7 +159,7 @@ class Encoder(dict):
             data = word.encode()
             i = self.bpe.whole(data)
             ids = np.array(self.bpe.merged(data) if i is None else [i], "<u4").tobytes()
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[word] = ids

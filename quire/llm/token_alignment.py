@@ -25,17 +25,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.byte_bpe import REMEMBERED, ByteBpe, Encoder
+from quire.llm.byte_bpe import ByteBpe, Encoder
 from quire.llm.common import settle
 
 #: Bytes of text that one block holds, and that are compared at a time; a longer text is alone.
 BLOCK_BYTES, PART_BYTES = 1 << 23, 1 << 20
 
+#: Pre-tokens that either half of a worker's memory holds.
+WORDS = 700_000
+
 #: Which of a component's pairs of tokens are links: those that end together, or all that overlap.
 LINKS = ("end", "overlap")
 
 _MARK = "▁"
-_CHUNK = re.compile(f"[ {_MARK}]+[^ {_MARK}]*")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -58,45 +60,25 @@ def read_byte_level(path: str) -> dict[bytes, int]:
     return {t: i for t, i in plain.items() if len(t) == 1 or i >= results[0]}
 
 
-class Pieces(dict):
-    """Of a stretch of spaces and the characters after them, its ids as packed integers, or None if the pieces' bytes are not the
-    stretch's. Remembers them like Encoder.
-
-    A text is cut before spaces. That changes nothing as long as no piece has a space after another character, which is checked."""
+class Pieces:
+    """The piece model: the pieces' bytes, and the ids of texts."""
 
     def __init__(self, model: bytes) -> None:
-        self.model, self.older = sentencepiece.SentencePieceProcessor(model_proto=model), {}
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes_of = [bytes([int(m[1], 16)]) if (m := _BYTE_PIECE.fullmatch(p)) else p.replace(_MARK, " ").encode() for p in pieces]
-        self.space = self.model.piece_to_id(_MARK)
-        self.apart = not any(_MARK in p.lstrip(_MARK) for p in pieces)
-
-    def __missing__(self, chunk: str) -> bytes | None:
-        ids = self.older.get(chunk, ())
-        if ids == ():
-            found = self.model.encode(chunk[1:], num_threads=1) if len(chunk) > 1 else [self.space]  # nothing is put before nothing
-            ids = np.array(found, "<u4").tobytes() if b"".join(map(self.bytes_of.__getitem__, found)) == chunk.encode() else None
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self[chunk] = ids
-        return ids
 
     def encode(self, text: str) -> bytes | None:
-        """Of a text that begins with a space."""
-        if not self.apart:
-            return self.__missing__(text)
-        try:
-            return b"".join(map(self.__getitem__, _CHUNK.findall(text)))
-        except TypeError:  # some stretch has None
-            return None
+        """The packed ids of a text, or None if the pieces' bytes are not those of a space and the text."""
+        ids = self.model.encode(text, num_threads=1)
+        return np.array(ids, "<u4").tobytes() if b"".join(map(self.bytes_of.__getitem__, ids)) == b" " + text.encode() else None
 
 
 class Sides:
     """Both tokenizers, and of each id its number of bytes and its decimal digits with what may follow it in a description of groups."""
 
     def __init__(self, bpe: ByteBpe, pieces: bytes) -> None:
-        self.a, self.b = Encoder(bpe), Pieces(pieces)
+        self.a, self.b = Encoder(bpe, WORDS), Pieces(pieces)
         size = max(bpe.bytes_of) + 1
         self.a_bytes = np.array([len(bpe.bytes_of.get(i, b"")) for i in range(size)], np.int64)
         self.b_bytes = np.array([len(x) for x in self.b.bytes_of], np.int64)
@@ -245,7 +227,7 @@ def _aligned(docs: DataFrame, text: str, make: Callable[[], Sides], links: str,
             columns = [batch.column(batch.schema.get_field_index(c)) for c in rest]
             for k, value in enumerate(batch.column(at)):
                 t = value.as_py()
-                b = sides.b.encode(" " + t) if t else None
+                b = sides.b.encode(t) if t else None
                 rows.append(_NONE)
                 if b is not None:
                     waiting.append((len(rows) - 1, sides.a.encode(" " + t), b))
