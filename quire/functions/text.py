@@ -27,6 +27,12 @@ def let(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
+def leading(a: Column, fits: Callable[[Column, Column], Column]) -> Column:
+    """The first elements of an array, up to one that does not fit; fits gets an element and its number."""
+    stop = F.array_position(F.transform(a, fits), False)
+    return F.when(stop == 0, a).otherwise(F.slice(a, F.lit(1), (stop - 1).cast("int")))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WS_CHARS))
 

@@ -116,7 +116,7 @@ NAMES = ("id", "parent_id", "section_type", "name", "level", "start_block", "end
 
 
 def settle_duplicates(docs: DataFrame) -> DataFrame:
-    """docs: doc_id and sections (an array, in order). Sections get duplicate_of (the end of a chain of duplicates); duplicates lose
+    """docs: doc_id, sections (an array, in order) and any other columns, which stay. Sections get duplicate_of (the end of a chain of duplicates); duplicates lose
     confidence; uncertain follows from it. Only documents in which a type occurs again are compared."""
     wanted = F.filter("sections", lambda s: s["section_type"].isin(sorted({*COMPARED_TYPES, *SINGLE_TYPES})))
     again = F.size(F.array_distinct(F.transform(wanted, lambda s: s["section_type"]))) < F.size(wanted)
@@ -126,13 +126,14 @@ def settle_duplicates(docs: DataFrame) -> DataFrame:
         return F.struct(*[s[n].alias(n) for n in ("id", "parent_id", "section_type", "start_position", "end_position")], F.length(s["extracted_text"]).alias("n"), F.length(whole).alias("whole"),
                         F.substring(whole, 1, COMPARED).alias("t"), count_of(s["extracted_text"], f"[{CHECKBOXES}]").alias("boxes"))
 
-    df = docs.select("doc_id", "sections", F.when(again, F.transform(wanted, reduced)).alias("s"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "sections")]
+    df = docs.select("doc_id", *rest, "sections", F.when(again, F.transform(wanted, reduced)).alias("s"))
     df = df.withColumn("pairs", _pairs(F.filter("s", lambda x: x["section_type"].isin(COMPARED_TYPES))))
     df = df.withColumn("r", ratios(F.col("pairs")))
-    df = df.select("doc_id", "sections", "s", F.coalesce(_flags(F.col("pairs"), F.col("r")), F.array().cast(FLAG)).alias("found"))
+    df = df.select("doc_id", *rest, "sections", "s", F.coalesce(_flags(F.col("pairs"), F.col("r")), F.array().cast(FLAG)).alias("found"))
     df = df.withColumn("again", F.when(F.col("s").isNotNull(), _restated(F.col("s"), F.col("found"))))
     df = df.withColumn("r", ratios(F.col("again")))
-    df = df.select("doc_id", "sections", F.concat("found", F.coalesce(_more_flags(F.col("again"), F.col("r")), F.array().cast(FLAG))).alias("found"))
+    df = df.select("doc_id", *rest, "sections", F.concat("found", F.coalesce(_more_flags(F.col("again"), F.col("r")), F.array().cast(FLAG))).alias("found"))
 
     def settled(s: Column) -> Column:
         own = F.filter("found", lambda f: f["dup"] == s["id"])
@@ -148,4 +149,4 @@ def settle_duplicates(docs: DataFrame) -> DataFrame:
         sure = F.greatest(F.lit(0.15), F.least(F.lit(0.97), s["confidence"]))
         return F.struct(*[sure.alias(n) if n == "confidence" else s[n].alias(n) for n in NAMES], F.lit(None).cast("int").alias("duplicate_of"), (sure < 0.7).alias("uncertain"))
 
-    return df.select("doc_id", F.when(F.size("found") > 0, F.transform("sections", settled)).otherwise(F.transform("sections", untouched)).alias("sections"))
+    return df.select("doc_id", F.when(F.size("found") > 0, F.transform("sections", settled)).otherwise(F.transform("sections", untouched)).alias("sections"), *rest)

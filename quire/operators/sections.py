@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import let
 from quire.operators.duplicates import settle_duplicates
 from quire.operators.headings import screened
-from quire.operators.marks import with_marks
+from quire.operators.marks import WARNING, with_marks
 from quire.sources.text_reader import read_blocks
 
 # Fixed values.
@@ -23,6 +23,9 @@ ELEMENT_OF = {
     "Acknowledgments": "acknowledgments funding declaration_of_interest disclaimer presented_at", "CRediT Author Statement": "credit_statement", "References": "references",
     "Figure legends": "figure_legends", "Tables": "tables_section", "Appendixes": "appendix supplementary",
 }
+UNLABELED = ("unlabeled", "front_other")
+#: Codes of warnings: of reading, of the marks, and of the finished tree.
+WARNINGS = ("repeated-headers", "references-without-entries", "weak-label-ignored", "no-title", "no-references", "unlabeled-spans")
 IMRAD_ORDER = {"introduction": 0.0, "objectives": 1.0, "methods": 2.0, "results": 3.0, "results_and_discussion": 3.5, "discussion": 4.0, "limitations": 5.0, "conclusions": 6.0}
 
 
@@ -95,7 +98,7 @@ def section_arrays(marked: DataFrame) -> DataFrame:
                         start.alias("start_position"), end.alias("end_position"), F.substr(d["full_text"], start + 1, end - start).alias("extracted_text"), sure.alias("confidence"), m["evidence"].alias("evidence"), m["flags"].alias("flags"))
 
     made = let(doc, lambda d: F.transform(d["tree"], lambda x: section(d, x)))
-    return marked.select("doc_id", made.alias("sections"))
+    return marked.select("doc_id", made.alias("sections"), *[c for c in ("warnings",) if c in marked.columns])
 
 
 def add_duplicates(sections: DataFrame) -> DataFrame:
@@ -117,9 +120,32 @@ def extract_sections(docs: DataFrame, doc_id: str = "doc_id", raw: str = "raw")
 
 
 def sections_in_documents(blocks: DataFrame, text_mode: bool) -> DataFrame:
-    """Blocks to doc_id and sections. Blocks meet once by document; the tree, its texts and its duplicates are made within that row."""
-    marked = with_marks(screened(blocks, text_mode), text_mode, keep=("text", "start", "end"))
-    return settle_duplicates(section_arrays(marked))
+    """Blocks to doc_id, sections and warnings (array of WARNING). Blocks meet once by document; the tree, its texts and its duplicates are
+    made within that row.
+
+    Warnings tell of a references heading without entries, of weak labels that were passed over, of a missing title or missing references,
+    and of how many sections were left unlabeled."""
+    marked = with_marks(screened(blocks, text_mode), keep=("text", "start", "end"))
+    return with_unlabeled(settle_duplicates(section_arrays(marked)))
+
+
+def with_unlabeled(docs: DataFrame) -> DataFrame:
+    """Adds to the warnings how many sections have no type, if any."""
+    n = F.size(F.filter("sections", lambda s: s["section_type"].isin(*UNLABELED)))
+    return docs.withColumn("warnings", F.concat("warnings", F.when(n > 0, F.array(warning("unlabeled-spans", n))).otherwise(F.array().cast(f"array<{WARNING}>"))))
+
+
+def warning(code: str, count: Column) -> Column:
+    """A warning of the whole document."""
+    return F.struct(F.lit(code), F.lit(None).cast("int"), count.cast("int")).cast(WARNING)
+
+
+def observed(docs: DataFrame) -> tuple[DataFrame, Observation]:
+    """docs (with warnings) and what is counted of them while an action computes them: documents, documents with warnings, and for each code
+    the sum of its counts. It costs no pass of its own, and no shuffle."""
+    seen = Observation()
+    total = lambda code: F.coalesce(F.sum(F.aggregate(F.filter("warnings", lambda w: w["code"] == code), F.lit(0).cast("bigint"), lambda a, w: a + w["count"])), F.lit(0))
+    return docs.observe(seen, F.count(F.lit(1)).alias("documents"), F.count(F.when(F.size("warnings") > 0, 1)).alias("with-warnings"), *[total(c).alias(c) for c in WARNINGS]), seen
 
 
 def sections_of_blocks(blocks: DataFrame, text_mode: bool) -> DataFrame:
@@ -164,11 +190,14 @@ def document_elements(docs: DataFrame) -> DataFrame:
 
 
 def document_records(docs: DataFrame, streams: DataFrame) -> DataFrame:
-    """docs: doc_id and sections (an array). streams: doc_id, stream, text. One row per document with both: excluded_streams is a map from
-    stream to its texts, in order of text, without streams that have none."""
+    """docs: doc_id, sections and warnings. streams: doc_id, stream, text. One row per document with both: excluded_streams is a map from
+    stream to its texts, in order of text, without streams that have none. Lines that were left out as repeated headers and footers are
+    told as the first warning."""
     per = streams.groupBy("doc_id", "stream").agg(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.col("text")))).alias("texts")).filter(F.size("texts") > 0)
     maps = per.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("stream", "texts"))).alias("excluded_streams"))
-    return docs.join(maps, "doc_id", "left").withColumn("excluded_streams", F.coalesce("excluded_streams", F.create_map().cast("map<string,array<string>>")))
+    out = docs.join(maps, "doc_id", "left").withColumn("excluded_streams", F.coalesce("excluded_streams", F.create_map().cast("map<string,array<string>>")))
+    n = F.size(F.try_element_at("excluded_streams", F.lit("headers_footers")))
+    return out.withColumn("warnings", F.when(n > 0, F.concat(F.array(warning("repeated-headers", n)), F.col("warnings"))).otherwise(F.col("warnings")))
 
 
 def span_styles(blocks: DataFrame, spans: DataFrame) -> DataFrame:

@@ -5,36 +5,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import leading
 from quire.lineage import settle
 
 
+MARK = "struct<idx:int,level:int,section_type:string,name:string,conf:double,evidence:array<string>,flags:map<string,string>>"
+
+
+def merged(marks: Column) -> Column:
+    """One mark of an array of marks (MARK or null) of a block and level, in order: a surer one gives type and name, and its evidence stands
+    first."""
+    def surer(a: Column, b: Column) -> Column:
+        flags = F.map_concat(F.map_filter(a["flags"], lambda k, _: ~F.map_contains_key(b["flags"], k)), b["flags"])
+        both = F.struct(a["idx"], a["level"], b["section_type"], b["name"], b["conf"], F.concat(b["evidence"], a["evidence"]), flags).cast(MARK)
+        return F.when(a.isNull(), b).when(b["conf"] > a["conf"], both).otherwise(a)
+
+    return F.reduce(F.array_compact(marks), F.lit(None).cast(MARK), surer)
+
+
 def upsert_marks(marks: DataFrame) -> DataFrame:
-    """doc_id, idx, level, seq, section_type, conf: of each place the surest mark; of equals the earliest."""
-    g = marks.groupBy("doc_id", "idx", "level").agg(F.max_by(F.struct("section_type", "conf"), F.struct(F.col("conf"), -F.col("seq"))).alias("m"), F.min("seq").alias("seq"))
-    return g.select("doc_id", "idx", "level", "seq", "m.*")
+    """doc_id, idx, level, seq, section_type, conf, ...: of each place the surest mark; of equals the earliest. seq is that of the first."""
+    fields = [F.col(c) if c in marks.columns else F.lit(None).alias(c) for c in ("idx", "level", "section_type", "name", "conf")]
+    mark = F.struct(*fields, F.array().cast("array<string>").alias("evidence"), F.create_map().cast("map<string,string>").alias("flags")).cast(MARK)
+    g = marks.groupBy("doc_id", "idx", "level").agg(F.min("seq").alias("seq"), F.transform(F.array_sort(F.collect_list(F.struct("seq", F.to_json(mark).alias("m")))), lambda x: F.from_json(x["m"], MARK)).alias("m"))
+    return g.select("doc_id", "idx", "level", "seq", merged(F.col("m")).alias("m")).select("doc_id", "idx", "level", "seq", "m.section_type", "m.conf")
+
+
+def last_before(on: Column, value: Column, window) -> Column:
+    """The value of the last row of the window that has a property."""
+    return F.last(F.when(on, value), ignorenulls=True).over(window)
+
+
+def islands(rows: DataFrame, flag: str, out: str, of: Column | None = None) -> DataFrame:
+    """Adds struct(start, last): of the run of consecutive rows with the flag that a row is in, the first row that also has ``of`` and the
+    last row. Rows without the flag have that of the run that follows them."""
+    on = F.coalesce(F.col(flag), F.lit(False))
+    before = F.max(F.when(~on, F.col("idx"))).over(Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+    run = Window.partitionBy("doc_id", "__before")
+    start, last = F.min(F.when(on if of is None else on & of, F.col("idx"))).over(run), F.max(F.when(on, F.col("idx"))).over(run)
+    return rows.withColumn("__before", before).withColumn(out, F.struct(start.alias("start"), last.alias("last"))).drop("__before")
 
 
 def longest_run(rows: DataFrame, flag: str) -> DataFrame:
     """doc_id, start, length: the longest run of consecutive idx with the flag; the first of equals."""
-    on = rows.filter(F.col(flag))
-    island = on.withColumn("__g", F.col("idx") - F.row_number().over(Window.partitionBy("doc_id").orderBy("idx")))
-    runs = island.groupBy("doc_id", "__g").agg(F.min("idx").alias("start"), F.count("*").alias("length"))
+    runs = islands(rows, flag, "r").filter(F.col(flag)).select("doc_id", F.col("r.start").alias("start"), (F.col("r.last") - F.col("r.start") + 1).alias("length"))
     return runs.groupBy("doc_id").agg(F.max_by(F.struct("start", "length"), F.struct(F.col("length"), -F.col("start"))).alias("r")).select("doc_id", "r.*")
 
 
 def leading_run(rows: DataFrame, flag: str, most: int) -> DataFrame:
     """doc_id, length: rows from the first on that have the flag, up to ``most``."""
     w = Window.partitionBy("doc_id").orderBy("idx")
-    ranked = rows.select("doc_id", flag, F.row_number().over(w).alias("k"))
-    stop = ranked.groupBy("doc_id").agg(F.min(F.when(~F.col(flag), F.col("k"))).alias("stop"), F.max("k").alias("n"))
-    return stop.select("doc_id", F.least(F.coalesce(F.col("stop") - 1, F.col("n")), F.lit(most)).alias("length"))
+    first = rows.select("doc_id", F.row_number().over(w).alias("k"), F.collect_list(flag).over(w.rowsBetween(0, most - 1)).alias("a")).filter("k = 1")
+    return first.select("doc_id", F.size(leading(F.col("a"), lambda x, _: x)).alias("length"))
+
+
+def new_group(kind: Column, idx: Column, window) -> Column:
+    """Whether a row begins a group: the row before is not its neighbour (idx one apart) or of another kind."""
+    return F.coalesce((F.lag(kind).over(window) != kind) | (F.lag(idx).over(window) != idx - 1), F.lit(True))
 
 
 def type_groups(rows: DataFrame, kind: str) -> DataFrame:
     """doc_id, grp, first, last, kind: neighbours (idx one apart) of one kind."""
     w = Window.partitionBy("doc_id").orderBy("idx")
-    new = F.coalesce((F.lag(kind).over(w) != F.col(kind)) | (F.lag("idx").over(w) != F.col("idx") - 1), F.lit(True))
-    marked = rows.withColumn("__n", new.cast("int")).withColumn("grp", F.sum("__n").over(w))
+    marked = rows.withColumn("__n", new_group(F.col(kind), F.col("idx"), w).cast("int")).withColumn("grp", F.sum("__n").over(w))
     return marked.groupBy("doc_id", "grp").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.first(kind).alias(kind))
 
 
@@ -50,10 +83,11 @@ def without_overlaps(spans: Column) -> Column:
     return F.aggregate(F.array_sort(order), first, step, lambda a: a["kept"])
 
 
-def stronger_later(rows: DataFrame) -> DataFrame:
-    """Adds later: a row of the same document and type follows that is stronger."""
-    w = Window.partitionBy("doc_id", "type").orderBy("idx").rangeBetween(1, Window.unboundedFollowing)
-    return rows.withColumn("later", F.coalesce(F.max("strength").over(w) > F.col("strength"), F.lit(False)))
+def stronger_later(rows: DataFrame, kind: str = "type", strength: Column | None = None, out: str = "later") -> DataFrame:
+    """Adds out: whether a row of the same document and kind follows that is stronger. Read from the end, so that each row is one step."""
+    strength = F.col("strength") if strength is None else strength
+    w = Window.partitionBy("doc_id", kind).orderBy(F.desc("idx")).rangeBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(out, F.coalesce(F.max(strength).over(w) > strength, F.lit(False)))
 
 
 def _rounds(rows: DataFrame) -> int:

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import prompts
+from quire.functions import similarity as similarity_of_names
 from quire.operators import duplicates
 from quire.operators import element_checks as ec
-from quire.plans.registry import derived
+from quire.plans.registry import derived, query, source
 from quire.sources import docx, providers, workbook
 
 NATIONS = "SELECT n_nationkey AS k, n_name AS name FROM {nation}"
@@ -262,3 +263,17 @@ def similarity(i):
     """Long texts of few characters are compared as far as they agree from the start: frequent characters count as junk there."""
     pair = F.array(F.struct(F.col("x"), F.col("y"), F.lit(0.0).alias("least")))
     return i.select("k", F.get(duplicates.ratios(pair), F.lit(0)).alias("ratio"))
+
+
+#: Neighbouring parts' names, and by brute force their longest common subsequence: a row of the table for each character.
+NAME_PAIRS = "SELECT a.p_partkey AS k, lower(a.p_name) AS x, lower(b.p_name) AS y FROM {part} AS a JOIN {part} AS b ON b.p_partkey = a.p_partkey + 1"
+
+
+@query("fn_61_name_similarity", f"""WITH RECURSIVE i AS ({NAME_PAIRS}), r AS (
+    SELECT k, x, y, 0 AS n, list_transform(range(length(y) + 1), lambda j: 0) AS line FROM i
+    UNION ALL SELECT k, x, y, n + 1, list_transform(range(length(y) + 1), lambda j: list_max(list_transform(range(j + 1), lambda q: greatest(line[q + 1], CASE WHEN q > 0 AND substring(y, q::INT, 1) = substring(x, n + 1, 1) THEN line[q] + 1 ELSE 0 END)))) FROM r WHERE n < length(x))
+  SELECT k, round(200.0::DOUBLE * line[length(y) + 1] / (length(x) + length(y)), 6) AS similarity, round(200.0::DOUBLE * line[length(y) + 1] / (length(x) + length(y)), 6) >= 60 AS alike FROM r WHERE n = length(x)""")
+def name_similarity_of_parts(spark, sf_dir):
+    i = source(spark, sf_dir, NAME_PAIRS)
+    x, y = F.col("x"), F.col("y")
+    return i.select("k", F.round(similarity_of_names.name_similarity(x, y), 6).alias("similarity"), (similarity_of_names.name_similarity(x, y, 60.0) > 0).alias("alike"))

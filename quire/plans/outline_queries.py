@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import sections
 from quire.plans.registry import derived
+from quire.sources.text_reader import read_blocks
 
 TITLE = "'The Long Study of Nation ' || n_name"
 PROSE = "'We asked ' || n_nationkey || ' people about it, and they told us what they knew in some detail.'"
@@ -273,3 +274,26 @@ DOCS: dict[str, list[tuple[list[str], str]]] = {
 
 for _name, _documents in DOCS.items():
     outlines(_name, _documents)
+
+
+# What a document's record warns of: code, block where there is one, and count. Every part has a document.
+WARNED: list[tuple[list[str], str]] = [
+    (["no structure here at all", "nor here"], "no-references::1|unlabeled-spans::1"),
+    ([TITLE, *BODY], "no-references::1"),
+    ([TITLE, *BODY, "REFERENCES", "no entries here, but a line of words"], "references-without-entries:5:1|unlabeled-spans::1"),
+    ([TITLE, *BODY, "REFERENCES", REF1, REF2], ""),
+    (["a plain line at the start of it all", LONG, *BODY, "REFERENCES", REF1, REF2, "and here is a line after them that nothing names"], "unlabeled-spans::2"),
+    ([BYLINE, *BODY], "no-references::1|no-title::1"),
+    ([TITLE, "INTRODUCTION", PROSE, "Results: they knew some of it but by far not all of these.", "METHODS", OTHER, "RESULTS", PROSE], "no-references::1|weak-label-ignored:3:1"),
+]
+_WARNED_SQL = "SELECT p_partkey AS doc_id, CASE p_partkey % " + str(len(WARNED)) + " " + " ".join(
+    f"WHEN {k} THEN " + " || chr(10) || chr(10) || ".join((b if "||" in b or b.startswith("'") else "'" + b + "'").replace("n_name", "p_name").replace("n_nationkey", "p_partkey") for b in blocks) for k, (blocks, _) in enumerate(WARNED)) + " END AS raw FROM {part}"
+
+
+@derived("agg_09_unlabeled_warnings", _WARNED_SQL, f"""SELECT doc_id, w AS warnings, coalesce(nullif(regexp_extract(w, 'unlabeled-spans::([0-9]+)', 1), ''), '0')::INT AS unlabeled
+  FROM i JOIN (VALUES {", ".join(f"({k}, '{w}')" for k, (_, w) in enumerate(WARNED))}) AS e(v, w) ON doc_id % {len(WARNED)} = v""")
+def unlabeled_warnings(i):
+    docs = sections.sections_in_documents(read_blocks(i), text_mode=True)
+    said = F.transform("warnings", lambda w: F.concat(w["code"], F.lit(":"), F.coalesce(w["block"].cast("string"), F.lit("")), F.lit(":"), w["count"].cast("string")))
+    unlabeled = F.aggregate(F.filter("warnings", lambda w: w["code"] == "unlabeled-spans"), F.lit(0), lambda a, w: a + w["count"])
+    return docs.select("doc_id", F.array_join(F.array_sort(said), "|").alias("warnings"), unlabeled.alias("unlabeled"))

@@ -5,9 +5,6 @@ Each case is a line in SQL (n is a number of the part, so that lines differ) and
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from quire.functions import citations as ct
@@ -40,14 +37,9 @@ def fits(pattern: str):
     return lambda c: F.coalesce(c.rlike(pattern), F.lit(False))
 
 
-def _python(pattern: re.Pattern, search: bool = False, group: int | None = None):
-    """A pattern that is used within documents, where Python reads their blocks."""
-    def found(s: pd.Series) -> pd.Series:
-        matches = [(pattern.search if search else pattern.match)(x) for x in s]
-        return pd.Series([bool(m) if group is None else m and m.group(group) for m in matches])
-
-    found.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return lambda c: F.pandas_udf(found, "string" if group is not None else "boolean")(c)
+def group(pattern: str, k: int):
+    """A group of a pattern, null where the pattern does not fit."""
+    return lambda c: F.when(c.rlike(pattern), F.regexp_extract(c, pattern, k))
 
 
 cases("rx_01_caption", [("'Table ' || (p_size % 90 + 1) || '. Of parts'", True), ("'Figure ' || (p_size % 90 + 1) || ': parts'", True), ("'Supplementary Table ' || (p_size % 9 + 1) || '.'", True), ("'Fig. IV. parts'", True), ("'Appendix Figure A. parts'", True),
@@ -73,12 +65,12 @@ cases("rx_15_normalisation", [("'**Methods:**'", "methods"), ("'# 1.2. Methods;'
 cases("rx_16_addresses", [("'12 Main Street, Town'", "street"), ("p_size + 10 || ' Great North Rd.'", "street"), ("'Madison, WI, USA'", "usa"), ("'Town, U.S.A.'", "usa"), ("'a. University'", "listed"), ("'12) Hospital'", "listed"), ("'3. Present address: Town'", "listed|present"), ("'4 Present address'", "present"), ("'1 Main Street'", ""), ("'no address ' || p_size", "")],
       "kinds", "VARCHAR", lambda c: F.concat_ws("|", F.when(c.rlike(rx.STREET), "street"), F.when(c.rlike(rx.USA), "usa"), F.when(c.rlike(rx.ENUMERATED), "listed"), F.when(c.rlike(rx.PRESENT_ADDRESS), "present")))
 cases("rx_17_title_label", [("'Title: The Study of Size ' || p_size", "The Study of Size"), ("'full title. A Long Enough One'", "A Long Enough One"), ("'Manuscript  Title : Nine chars'", "Nine chars"), ("'Title: short'", None), ("'Titles: The Study of Size'", None), ("'The title: The Study of Size'", None)],
-      "title", "VARCHAR", lambda c: F.regexp_replace(_python(marks.TITLE_LABEL, group=2)(c), r"(?<=Size) \d+$", ""))
-cases("rx_18_abstract_label", [("'Introduction: we ' || p_size", "introduction"), ("' METHODS'", "methods"), ("'Materials and methods:'", "materials and methods"), ("'Aim'", "aim"), ("'Aimless'", None), ("'Results of it'", None), ("'Our methods: x'", None)], "label", "VARCHAR", lambda c: F.lower(_python(marks.LABEL, group=1)(c)))
-cases("rx_18_glued_label", [("'MethodsWe asked ' || p_size", True), ("'Results We saw'", True), ("'Conclusion. So it is'", True), ("'Background– it is'", True), ("'Background – it is'", False), ("'Methods'", True), ("'Methodsof'", True), ("'Findings'", False)], "hit", "BOOLEAN", _python(marks.GLUED_LABEL))
-cases("rx_18_mid_label", [("'as known.Introduction: we ' || p_size", None), ("'knownIntroduction: we see'", "Introduction"), ("'size ' || p_size || 'Aims: to see'", "Aims"), ("'the Aims: to see'", None), ("'knownMethods: we'", None)], "label", "VARCHAR", _python(marks.MID_LABEL, search=True, group=1))
+      "title", "VARCHAR", lambda c: F.regexp_replace(group(marks.TITLE_LABEL, 2)(c), r"(?<=Size) \d+$", ""))
+cases("rx_18_abstract_label", [("'Introduction: we ' || p_size", "introduction"), ("' METHODS'", "methods"), ("'Materials and methods:'", "materials and methods"), ("'Aim'", "aim"), ("'Aimless'", None), ("'Results of it'", None), ("'Our methods: x'", None)], "label", "VARCHAR", lambda c: F.lower(group(marks.LABEL, 1)(c)))
+cases("rx_18_glued_label", [("'MethodsWe asked ' || p_size", True), ("'Results We saw'", True), ("'Conclusion. So it is'", True), ("'Background– it is'", True), ("'Background – it is'", False), ("'Methods'", True), ("'Methodsof'", True), ("'Findings'", False)], "hit", "BOOLEAN", fits(marks.GLUED_LABEL))
+cases("rx_18_mid_label", [("'as known.Introduction: we ' || p_size", None), ("'knownIntroduction: we see'", "Introduction"), ("'size ' || p_size || 'Aims: to see'", "Aims"), ("'the Aims: to see'", None), ("'knownMethods: we'", None)], "label", "VARCHAR", group(marks.MID_LABEL, 1))
 cases("rx_19_bare_entry", [("'9 Deng S'", True), ("'123 Hager'", True), ("'1234 Hager'", False), ("'9 deng'", False), ("' 9 Deng'", False), ("'9. Deng ' || p_size", False)], "hit", "BOOLEAN", fits(rx.BARE_REFERENCE))
-cases("rx_19_form_field", [("'Journal: x'", True), ("'Author List : ' || p_size", True), ("'Running head:'", True), ("'running head:'", False), ("'The Title: x'", False), ("'Manuscript x'", False)], "hit", "BOOLEAN", _python(marks.FORM_FIELD))
+cases("rx_19_form_field", [("'Journal: x'", True), ("'Author List : ' || p_size", True), ("'Running head:'", True), ("'running head:'", False), ("'The Title: x'", False), ("'Manuscript x'", False)], "hit", "BOOLEAN", fits(marks.FORM_FIELD))
 cases("rx_20_page_number", [("'Page ' || (p_size % 90)", True), ("' 3 of 12 '", True), ("'12345'", False), ("'page'", False), ("'3 of'", False), ("'PAGE 1 of ' || (p_size % 90)", True)], "hit", "BOOLEAN", fits(rx.PAGE_NUMBER))
 cases("rx_21_doi", [("'see doi:10.1000/Ab.' || p_size || ').'", "'doi:10.1000/Ab.' || n || ')'"), ("'https://doi.org/10.12345/x_y;z,'", "https://doi.org/10.12345/x_y;z"), ("'10.123/x'", None), ("'doi: 10.1000/a b'", "doi: 10.1000/a"), ("'x10.1000/a'", None)], "doi", "VARCHAR", ct.first_doi)
 cases("rx_22_numbers_at_end", [("'A. B. J Test. 2020;5(2):11-19.'", True), ("'J. 1999; 12A (suppl) : S1 - S9'", True), ("'J. 2020;5'", True), ("'J. 2020;5(2):11-19. More'", False), ("'J 2020;5'", False), ("'J. 3020;5'", False)], "hit", "BOOLEAN", fits(rf"(?i){ct.NUMBERS}"))

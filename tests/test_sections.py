@@ -1,6 +1,8 @@
 """Invariants of section trees and goldens of single functions."""
 
+import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,9 +10,10 @@ from pyspark.sql import functions as F
 from quire.functions import citations, lexicon, titles
 from quire.functions import text as tx
 from quire.operators import references, sections, sequences
-from quire.operators.marks import indel_ratio
 from quire.functions import prompts
-from quire.sources import docx, providers, text_reader, workbook, writers
+from quire.functions.similarity import best_name, name_similarity
+from quire.sources import docx, providers, services, text_reader, workbook, writers
+from quire.streaming import jobs
 from quire.streaming.sections import stream_sections
 
 WORDS = "METHODS|Results|Abstract|Introduction: we saw many things here and there in the land|REFERENCES|1. Doe J. A. 2019|Figure 1. x|Keywords: a; b; c|Funding: None.|plain words in a line|TABLE|Jane Doe, PhD, John Roe, MPH, Ann Poe|x@y.edu|ACKNOWLEDGMENTS|Highlights|- a bullet|2. Roe K. B. 2020 https://x.org|Title: A Study of the Long Name Here|\f|".split("|")
@@ -84,8 +87,31 @@ def test_text_edits_rebuild_positions():
         assert "A quick brown fox"[o["start"] : o["end"]] == e["original_text"] and "A slow brown  fox jumps"[n["start"] : n["end"]] == e["edited_text"]
 
 
-def test_indel():
-    assert indel_ratio("ist of figures", "list of figures") == pytest.approx(200 * 14 / 29) and indel_ratio("", "") == 100.0
+def test_name_similarity(spark):
+    def by_table(a, b):
+        line = [0] * (len(b) + 1)
+        for x in a:
+            before = line[:]
+            for j, y in enumerate(b, 1):
+                line[j] = before[j - 1] + 1 if x == y else max(before[j], line[j - 1])
+        return 200.0 * line[-1] / (len(a) + len(b)) if a or b else 100.0
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
+    pairs = [(word(rng.randint(0, 70)), word(rng.randint(0, 62))) for _ in range(200)] + [("", ""), ("ist of figures", "list of figures"), ("a" * 62, "a" * 62), (None, "a")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", name_similarity(F.col("a"), F.col("b")).alias("s"), name_similarity(F.col("a"), F.col("b"), 70.0).alias("t")).collect()
+    for r in rows:
+        expected = None if r.a is None or r.b is None else by_table(r.a, r.b)
+        assert r.s == (expected if expected is None else pytest.approx(expected)) and r.t == (None if expected is None else pytest.approx(expected if expected >= 70 else 0.0))
+    near = one(spark, "list of figurs", lambda c: best_name(c, {"x": ["figure", "list of figures"], "y": ["list of figures", "tables"]}, 88))
+    assert near.kind == "x" and near.score == pytest.approx(200 * 14 / 29) and one(spark, "elsewhere", lambda c: best_name(c, {"x": ["figure"]}, 88)) is None
+
+
+def test_warnings_are_observed(spark):
+    docs = spark.createDataFrame([(1, "A Title of Some Length\n\nINTRODUCTION\n\nSome words here."), (2, "REFERENCES\n\n1. Doe J. A part. J Test. 2019;5(2):1-9.\n\n2. Roe K. A part. J Test. 2020;6(1):2-9.")], "doc_id bigint, raw string")
+    told, seen = sections.observed(sections.sections_in_documents(text_reader.read_blocks(docs), text_mode=True))
+    assert {r.doc_id: [w.code for w in r.warnings] for r in told.collect()} == {1: ["no-references"], 2: []}
+    assert {k: v for k, v in seen.get.items() if v} == {"documents": 2, "with-warnings": 1, "no-references": 1}
 
 
 def test_docx_modes_and_errors():
@@ -134,18 +160,83 @@ def test_sinks_and_files(spark, tmp_path):
     assert {r.section_type for r in spark.read.parquet(str(tmp_path / "out")).collect()} & {"methods"}
 
 
-def test_cache_table(spark):
+def test_cache_table(spark, tmp_path):
     spark.sql("DROP TABLE IF EXISTS quire_cache")
-    writers.create_cache(spark, "quire_cache")
+    writers.create_cache(spark, "quire_cache", buckets=8, path=str(tmp_path / "cache"))
     row = lambda doi, meta, day: (doi, meta, True, None, "openalex", f"2020-01-{day:02d} 00:00:00", f"2020-01-{day:02d} 00:00:00")
     schema = "doi string, metadata string, success boolean, error string, source string, created_at string, updated_at string"
     changes = lambda *rows: spark.createDataFrame(rows, schema).withColumn("created_at", F.col("created_at").cast("timestamp")).withColumn("updated_at", F.col("updated_at").cast("timestamp"))
-    writers.upsert_cache(spark, "quire_cache", changes(row("a", "1", 1), row("a", "2", 2), row("b", "1", 1)))
-    writers.upsert_cache(spark, "quire_cache", changes(row("b", "9", 3)))
-    assert {r.doi: r.metadata for r in spark.table("quire_cache").collect()} == {"a": "2", "b": "9"}
+    files = lambda: {f.relative_to(tmp_path).parts[1]: f.name for f in (tmp_path / "cache").rglob("part-*")}
+    assert writers.upsert_cache(spark, "quire_cache", changes(row("a", "1", 1), row("a", "2", 2), *(row(f"k{i}", "1", 1) for i in range(60)))) == 8
+    before = files()
+    assert len(before) == 8 and writers.upsert_cache(spark, "quire_cache", changes(row("k7", "9", 3))) == 1  # one bucket is written, seven stay
+    assert sum(before[k] != name for k, name in files().items()) == 1
+    assert {r.doi: r.metadata for r in spark.table("quire_cache").collect()} == {"a": "2", **{f"k{i}": "9" if i == 7 else "1" for i in range(60)}}
+    assert writers.upsert_cache(spark, "quire_cache", changes(row("k7", "9", 3)).limit(0)) == 0
+    asked = writers.lookup_cache(spark, "quire_cache", spark.createDataFrame([(1, "k7"), (2, "none"), (3, None), (4, "k7")], "n int, doi string"))
+    assert {r.n: r.metadata for r in asked.collect()} == {1: "9", 2: None, 3: None, 4: "9"}
+    few = writers.cached_rows(spark, "quire_cache", ["k7"])
+    assert [r.metadata for r in few.collect()] == ["9"] and writers.cached_rows(spark, "quire_cache", []).count() == 0
+    assert len(few.inputFiles()) == 1  # of eight
     spark.sql("DROP TABLE quire_cache")
 
 
+def test_metadata_source(spark, tmp_path):
+    services.register(spark)
+    spark.createDataFrame([("10.1/0",), ("10.1/2",), ("10.1/3",), (None,), ("",)], "key string").coalesce(1).write.parquet(str(tmp_path / "keys"))
+    asked = json.dumps([["openalex", "quire.plans.storage_queries:stand_in_open"], ["crossref", "quire.plans.storage_queries:stand_in_second"]])
+    read = lambda **o: spark.read.format("quire_metadata").options(services=asked, wait="0", **o).load(str(tmp_path / "keys"))
+    assert {(r.key, r.source, r.success, r.error) for r in read().collect()} == {("10.1/0", "openalex", True, None), ("10.1/2", "crossref", True, None), ("10.1/3", None, False, "crossref_http_418"), (None, None, False, None), ("", None, False, None)}
+    began = time.monotonic()
+    assert read(rate="4").count() == 5 and time.monotonic() - began >= 1.0  # five calls, the first at once
+
+
+def test_workbook_sink(spark, tmp_path):
+    services.register(spark)
+    books = spark.createDataFrame([("a/b", b"1"), ("c", b"2"), ("d", None)], "book string, content binary").repartition(3)
+    save = lambda df, mode="append": df.write.format("quire_workbooks").mode(mode).save(str(tmp_path / "out"))
+    held = lambda: {f.name: f.read_bytes() for f in (tmp_path / "out").iterdir() if not f.name.startswith("_")}
+    save(books)
+    assert held() == {"a_b.xlsx": b"1", "c.xlsx": b"2", "d.xlsx": b""}
+    broken = F.udf(lambda b: b if b != "c" else 1 / 0)("book")
+    for bad in (books.withColumn("book", broken), books.withColumn("book", F.lit("same"))):  # a task fails, and two files of one name
+        with pytest.raises(Exception):
+            save(bad)
+        assert held() == {"a_b.xlsx": b"1", "c.xlsx": b"2", "d.xlsx": b""}
+    save(books.filter("book = 'c'").withColumn("content", F.lit(b"3")), "overwrite")
+    assert held() == {"c.xlsx": b"3"}
+
+
+def test_a_thousand_jobs_pend_at_once(spark, tmp_path):
+    folder = tmp_path / "marks"
+    folder.mkdir()
+
+    def submit(payload):
+        (folder / payload).touch(exist_ok=False)  # each is submitted once, whatever happens later
+        return payload
+
+    def state(job):
+        kind, waited = int(job) % 4, time.time() - (folder / job).stat().st_mtime
+        return ("RUNNING", None) if kind == 3 or waited < 2 else ("failed", "no") if kind == 2 else ("Done", "r" + job)
+
+    requests = spark.createDataFrame([(str(i), str(i)) for i in range(1000)] + [("n", None)], "key string, payload string")
+    began = time.monotonic()
+    stream = None
+    where = str(tmp_path / "jobs")
+    requests.write.parquet(f"{where}/requests")
+    first = jobs.job_outcomes(spark.readStream.schema("key string, payload string").parquet(f"{where}/requests"), submit, state, timeout=8, interval=0.5)
+    stream = first.writeStream.format("parquet").option("path", f"{where}/outcomes").option("checkpointLocation", f"{where}/state").trigger(processingTime="200 milliseconds").start()
+    while not (stream.lastProgress and stream.lastProgress["stateOperators"][0]["numRowsTotal"] == 1000):  # all of them, on four cores
+        assert stream.isActive and time.monotonic() - began < 120
+        time.sleep(0.1)
+    stream.stop()
+    out = jobs.run_jobs(spark, requests, where, submit, state, timeout=8, interval=0.5)  # goes on after the stop
+    got = {r.key: (r.outcome, r.response) for r in out.collect()}
+    assert len(got) == out.count() == 1001 and got["n"] == (None, None)
+    assert all(got[str(i)] == (("done", f"r{i}"), ("done", f"r{i}"), ("failed", None), ("timeout", None))[i % 4] or i % 4 == 2 and got[str(i)] == ("failed", "no") for i in range(1000))
+    assert time.monotonic() - began < 250  # one after the other, the jobs alone would wait 1,000 times
+
+
 def test_list_is_fetched_once(spark, tmp_path):
     path, calls = str(tmp_path / "list.txt"), []
 
@@ -190,12 +281,3 @@ def test_workbooks(spark):
 def test_prompts():
     text = prompts.prompt("title", {"a": "b"}, {"x": "y"})
     assert "- a: b" in text and "- x -> y" in text and '"edit_score": double' in text and len(prompts.TASKS) == 9
-
-
-def test_cache_is_put_back(spark):
-    spark.sql("DROP TABLE IF EXISTS quire_lost")
-    writers.create_cache(spark, "quire_lost")
-    spark.sql("ALTER TABLE quire_lost RENAME TO quire_lost__old")
-    writers.upsert_cache(spark, "quire_lost", spark.table("quire_lost__old"))
-    assert spark.table("quire_lost").count() == 0 and not spark.catalog.tableExists("quire_lost__old")
-    spark.sql("DROP TABLE quire_lost")
