@@ -284,17 +284,19 @@ def without(text: bytes, hits: Hits, max_share: float) -> bytes | None:
     return b"".join([*out, text[at:]])
 
 
-def load_indexes(benchmark: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text", max_words: int = MAX_ITEM_WORDS) -> list[Index]:
-    """Automata of at most max_words words each, from items fetched one partition at a time."""
-    out, held, n = [], [], 0
+def item_groups(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", max_words: int = MAX_ITEM_WORDS) -> Iterator[list[tuple]]:
+    """Items (id and text) whose texts have at most max_words words together, a larger item alone; fetched one partition at a time."""
+    held: list[tuple] = []
+    n = 0
     for r in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).toLocalIterator():
         size = len(words_of(r.t))
         if held and n + size > max_words:
-            out.append(build_index(held, window))
+            yield held
             held, n = [], 0
         held.append((r.i, r.t))
         n += size
-    return [*out, build_index(held, window)] if held or not out else out
+    if held:
+        yield held
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_share: float = 0.5, doc_id: str = "doc_id", text: str = "text",
@@ -304,15 +306,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     Null and empty texts have no words and no hits. A null item id can hit but is in no list. Ties and repeated rows are judged
     alike. Without benchmark rows nothing is hit. One pass over the texts per automaton, no shuffle; a benchmark over max_words words
-    has several, and what each has found is settled before the next is sent, so that executors hold one at a time.
+    has several: each is built, sent, and dropped once what it has found is settled, so that driver and executors hold one at a time.
     """
-    indexes = load_indexes(benchmark, window, max_words=max_words)
+    groups = item_groups(benchmark, max_words=max_words)
+    group = next(groups, [])
     rows = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(f"`{k}`") for k in keep], F.col(text).alias("__text"))
-    for index in indexes[:-1]:
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    for following in groups:
+        sent = docs.sparkSession.sparkContext.broadcast(build_index(group, window))
         rows = settle(_one_pass(rows, sent, None, False))
-        sent.unpersist()
-    return _one_pass(rows, docs.sparkSession.sparkContext.broadcast(indexes[-1]), max_share, want_text)
+        sent.destroy()
+        group = following
+    return _one_pass(rows, docs.sparkSession.sparkContext.broadcast(build_index(group, window)), max_share, want_text)
 
 
 def _one_pass(rows: DataFrame, sent: Broadcast, max_share: float | None, want_text: bool) -> DataFrame:

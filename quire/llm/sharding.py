@@ -1,6 +1,7 @@
 """Sharding by sampled splitters.
 
-1. Keys: a hash of the text, then hashes of the id and of the row's repeats, so that groups of equal texts can be divided too.
+1. Keys: a hash of the text, then one of the id, so that groups of equal texts can be divided too. Rows that are equal in both, or have
+   no id and equal texts, stay in one range.
 2. A size-weighted sample of the keys gives splitters at its quantiles; records are range-partitioned by them.
 3. Ranges that hold more than their share are subdivided at the quantiles of their own keys until none is overfull.
 4. Within its range every record has an exact running size, so shard boundaries fall on exact fractions of all bytes, and running

@@ -203,6 +203,26 @@ def test_decontamination(spark):
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_one_automaton_is_alive_at_a_time(spark, monkeypatch):
+    import gc
+    import weakref
+
+    alive, most, build = [], [], decontaminate.build_index
+
+    def counted(*args):
+        gc.collect()
+        most.append(sum(a() is not None for a in alive))
+        index = build(*args)
+        alive.append(weakref.ref(index))
+        return index
+
+    monkeypatch.setattr(decontaminate, "build_index", counted)
+    bench = spark.createDataFrame([(i, f"w{i} x{i} y{i} z{i}") for i in range(5)], "item_id bigint, text string")
+    docs = docs_of(spark, [f"so w{i} x{i} y{i} z{i} it is" for i in range(5)])
+    assert sorted(tuple(r["items"]) for r in decontaminate.decontaminate(docs, bench, 4, max_words=4).collect()) == [(str(i),) for i in range(5)]
+    assert len(most) == 5 and max(most) == 0
+
+
 def test_decontamination_cuts_spans(spark):
     bench = spark.createDataFrame([(1, "one two three four")], "item_id bigint, text string")
     docs = docs_of(spark, ["say: One, two three four! and many other words follow here", "one two three four", "clean", None, ""])
