@@ -37,13 +37,15 @@ def last_before(on: Column, value: Column, window) -> Column:
 
 
 def islands(rows: DataFrame, flag: str, out: str, of: Column | None = None) -> DataFrame:
-    """Adds struct(start, last): of the run of consecutive rows with the flag that a row is in, the first row that also has ``of`` and the
+    """Adds struct(start, last): of the run of rows with the flag and consecutive idx that a row is in, the first row that also has ``of`` and the
     last row. Rows without the flag have that of the run that follows them."""
     on = F.coalesce(F.col(flag), F.lit(False))
-    before = F.max(F.when(~on, F.col("idx"))).over(Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-    run = Window.partitionBy("doc_id", "__before")
+    order = Window.partitionBy("doc_id").orderBy("idx")
+    parted = ~on | F.coalesce(F.lag("idx").over(order) != F.col("idx") - 1, F.lit(False))
+    run = Window.partitionBy("doc_id", "__run_number")
     start, last = F.min(F.when(on if of is None else on & of, F.col("idx"))).over(run), F.max(F.when(on, F.col("idx"))).over(run)
-    return rows.withColumn("__before", before).withColumn(out, F.struct(start.alias("start"), last.alias("last"))).drop("__before")
+    numbered = rows.withColumn("__parted", parted.cast("int")).withColumn("__run_number", F.sum("__parted").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.withColumn(out, F.struct(start.alias("start"), last.alias("last"))).drop("__parted", "__run_number")
 
 
 def longest_run(rows: DataFrame, flag: str) -> DataFrame:
