@@ -6,7 +6,11 @@ main text in Spark, so that copies of a page count as one; a subtree that recurs
 before anything else is judged, unless it is a text block of the article or holds most of its text. Then what recurs too seldom to be
 known as template goes by kind (navigation, forms, scripts ...) or by role and class names. What remains are the article's blocks.
 
-Parsing is one pass forward: time grows with a page's length whatever its markup.
+Names that articles use for their own parts, too (discussion, notice, related ...), delete nothing inside an article by themselves: there,
+such an element goes only if its structure (its name and its tags, without texts) recurs on the host, and it is neither a text block nor
+has a heading of its own. Articles that share their parent with the longest one are all kept.
+
+Parsing is one pass forward, and every step on the tree is one pass, too: time grows with a page's length whatever its markup and depth.
 """
 
 from __future__ import annotations
@@ -49,9 +53,14 @@ BOILERPLATE = frozenset(
     "share sharing social related recommended recommendations comment comments commentlist usercomments feedback reply replies discussion disqus respond pagination pager toolbar skip "
     "complementary contentinfo".split()
 )
-#: The same, as whole values (without digits, words joined by -) whose last word says nothing.
+#: Those of them that also name parts of an article: inside one they need to recur on their host.
+DOUBTFUL = frozenset(
+    "discussion privacy notice notices announcement alert alerts search related social recommended recommendations comment reply replies feedback respond side aside banner header "
+    "footer overlay modal popup popups consent subscription login signup skip promotion share sharing toolbar".split()
+)
+#: The same, as whole values (without digits, words joined by -), which are never doubtful.
 BOILERPLATE_NAMES = frozenset(
-    "ad-box ad-container ad-slot ad-unit ad-wrapper banner-ad-container comment-list comments-area comments-list comments-section cookie-bar cookie-banner-container "
+    "cookie-notice privacy-notice site-notice site-header site-footer page-header page-footer comment-reply reader-comment user-comment ad-box ad-container ad-slot ad-unit ad-wrapper banner-ad-container comment-list comments-area comments-list comments-section cookie-bar cookie-banner-container "
     "footer-bottom footer-links footer-widgets nav-bar nav-links nav-list menu-items newsletter-form related-articles related-content related-links related-posts "
     "share-bar share-buttons share-links sidebar-left sidebar-right sidebar-primary sidebar-secondary social-links social-media-links sponsored-content widget-area".split()
 )
@@ -68,8 +77,9 @@ MANY_PAGES = 100
 
 #: Elements that never show, so that their recurrence says nothing.
 UNSEEN = frozenset("head script style noscript template".split())
-#: Elements inside more open ones than this are not opened, so that closing one costs a bounded number of steps.
-MAX_DEPTH = 512
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What an element's kind and names say of it.
+KEPT, IN_DOUBT, NAMED, NO_TEXT = range(4)
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 STOP = re.compile(r">|=\s*([\"'])")
@@ -84,6 +94,54 @@ class Node:
     attributes: str = ""
     children: list[Node | str] = field(default_factory=list)
     hash: int = 0
+    #: Hash of name and structure of an element in doubt, else 0.
+    mark: int = 0
+    state: int = KEPT
+    #: Characters of text without and with what kinds and names would drop.
+    size: int = 0
+    full: int = 0
+
+
+class _Open:
+    """The open elements. Where the last one of a tag, block or scope is, is known without a walk, so that closing costs what it closes."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes = [root]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+
+    def last(self, tag: str) -> int:
+        """The place of the last open element of the tag; 0 (the root's) if there is none."""
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+    def push(self, node: Node) -> None:
+        n = len(self.nodes)
+        self.nodes.append(node)
+        self.at.setdefault(node.tag, []).append(n)
+        if node.tag in BLOCK:
+            self.blocks.append(n)
+        if node.tag in SCOPE:
+            self.scopes.append(n)
+
+    def cut(self, place: int) -> None:
+        while len(self.nodes) > place:
+            self.at[self.nodes.pop().tag].pop()
+        for places in (self.blocks, self.scopes):
+            while places and places[-1] >= place:
+                places.pop()
+
+    def imply(self, ends: set[str]) -> None:
+        place = max(map(self.last, ends))
+        if place and place >= (self.scopes[-1] if self.scopes else 0):
+            self.cut(place)
+
+    def close(self, tag: str) -> None:
+        place = self.last(tag)
+        limit = self.blocks if tag in FORMATTING else self.scopes if tag == "p" else ()  # formatting does not close blocks
+        if place and not (limit and limit[-1] > place):
+            self.cut(place)
 
 
 class _Tags:
@@ -110,7 +168,7 @@ def parse(page: str) -> Node:
     """A tree from any markup: unclosed and stray tags never fail, and elements close as HTML closes them. A tag that the page's end cuts
     off is dropped."""
     root = Node("html")
-    stack = [root]
+    stack = _Open(root)
     tags = _Tags(page)
     at = shown = 0
     while (at := page.find("<", at)) >= 0:
@@ -126,7 +184,7 @@ def parse(page: str) -> Node:
         else:
             stop = tags.end(name.end())
         if at > shown:
-            stack[-1].children.append(page[shown:at])
+            stack.nodes[-1].children.append(page[shown:at])
         at = stop + 1
         if stop < 0:
             return root
@@ -135,16 +193,16 @@ def parse(page: str) -> Node:
             continue
         tag, attributes = name[0].lower(), page[name.end() : stop]
         if closing:
-            _close(stack, tag)
+            stack.close(tag)
             continue
-        if tag == "html" or tag == "body" and any(n.tag == "body" for n in stack):
+        if tag == "html" or tag == "body" and stack.last("body"):
             continue
-        if tag == "body" or tag in BLOCK and stack[-1].tag == "head" and tag != "title":
-            _close(stack, "head")
+        if tag == "body" or tag in BLOCK and stack.nodes[-1].tag == "head" and tag != "title":
+            stack.close("head")
         if (ends := CLOSES.get(tag)) is not None:
-            _imply(stack, ends)
+            stack.imply(ends)
         node = Node(tag, attributes)
-        stack[-1].children.append(node)
+        stack.nodes[-1].children.append(node)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK and tag not in FORMATTING and tag not in RAW:
             continue
         if tag in RAW:
@@ -153,133 +211,123 @@ def parse(page: str) -> Node:
             node.children.append(page[at:stop])
             at = shown = end.end() if end else len(page)
             continue
-        if len(stack) < MAX_DEPTH:
-            stack.append(node)
+        stack.push(node)
     if shown < len(page):
-        stack[-1].children.append(page[shown:])
+        stack.nodes[-1].children.append(page[shown:])
     return root
 
 
-def _imply(stack: list[Node], ends: set[str]) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        tag = stack[i].tag
-        if tag in ends:
-            del stack[i:]
-            return
-        if tag in SCOPE and not tag == "li":
-            return
-
-
-def _close(stack: list[Node], tag: str) -> None:
-    if tag in FORMATTING:  # does not close blocks
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == tag:
-                del stack[i:]
-                return
-            if stack[i].tag in BLOCK:
-                return
-        return
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag:
-            del stack[i:]
-            return
-        if tag == "p" and stack[i].tag in SCOPE:
-            return
-
-
-def named_boilerplate(attributes: str, names: bool = True) -> bool:
-    """Whether an element is hidden, or (with names) its class, id or role says that it is no main text."""
-    if not attributes or attributes.isspace():
-        return False
+def judged(tag: str, attributes: str) -> tuple[int, str]:
+    """What kind and names say of an element, and the name that puts it in doubt."""
+    if tag in DROP:
+        return NO_TEXT, ""
+    if tag in ("html", "body", "article", "main") or not attributes or attributes.isspace():
+        return KEPT, ""
+    state, doubt = KEPT, ""
     for name, *values in ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name in ("class", "id", "role"):
-            for token in "".join(values).lower().split() if names else ():
+            for token in "".join(values).lower().split():
                 if LAYOUT.match(token) or not (words := WORDS.findall(token)):
                     continue
-                if words[-1] in BOILERPLATE or "-".join(words) in BOILERPLATE_NAMES:
-                    return True
+                if "-".join(words) in BOILERPLATE_NAMES or words[-1] in BOILERPLATE - DOUBTFUL:
+                    state = NAMED
+                elif words[-1] in DOUBTFUL:
+                    state, doubt = max(state, IN_DOUBT), doubt or "-".join(words)
         elif name == "hidden" or name == "aria-hidden" and "".join(values).lower() == "true" or name == "style" and HIDDEN.search("".join(values)):
-            return True
-    return False
+            return NO_TEXT, ""
+    return state, doubt
 
 
 def hash_tree(root: Node) -> None:
-    """Sets the hash of every element: its tag and its children; white space is one space. No recursion."""
+    """Sets hash, mark, state and sizes of every element, from the leaves up; white space is one space. No recursion.
+
+    The hash is of the tag and the children; the mark is of the name in doubt and of the tags alone, where equal ones in a row are one."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += [c for c in node.children if isinstance(c, Node)]
+    shapes: dict[int, int] = {}
     for node in reversed(order):
-        h = xxhash.xxh64(node.tag.encode())
+        h, shape, last = xxhash.xxh64(node.tag.encode()), xxhash.xxh64(node.tag.encode(), seed=1), None
+        node.state, doubt = judged(node.tag, node.attributes)
         for c in node.children:
             if isinstance(c, Node):
                 h.update(c.hash.to_bytes(8, "little"))
-            elif t := SPACE.sub(" ", c).strip():
+                if (own := shapes.pop(id(c))) != last:
+                    shape.update(own.to_bytes(8, "little"))
+                    last = own
+                if c.state != NO_TEXT:
+                    node.full += c.full
+                    node.size += c.size if c.state == KEPT else 0
+                continue
+            if t := SPACE.sub(" ", c).strip():
                 h.update(b"\0" + t.encode("utf-8", "surrogatepass"))
+            node.size += len(c)
+            node.full += len(c)
         node.hash = h.intdigest()
+        shapes[id(node)] = shape.intdigest()
+        if node.state == IN_DOUBT and node.tag in BLOCK and node.tag not in TEXT_BLOCKS and not any(isinstance(c, Node) and c.tag in HEADINGS for c in node.children):
+            node.mark = xxhash.xxh64_intdigest(doubt.encode() + shape.digest(), seed=2)
 
 
 def dropped(node: Node, names: bool = True) -> bool:
-    return node.tag in DROP or node.tag not in ("html", "body", "article", "main") and named_boilerplate(node.attributes, names)
+    """Whether an element is no main text by kind, or (with names) by what its class, id or role says. For elements outside an article."""
+    return node.state >= (IN_DOUBT if names else NO_TEXT)
 
 
-def article_of(root: Node) -> Node:
-    """The main or article element with most text, else the whole page. One inside an element that its name would drop counts if there
-    is no other and it holds most of the page's text: then the name is that of a wrapper."""
-    best, _ = _longest_article(root, True)
-    if best is root:
-        wrapped, size = _longest_article(root, False)
-        if wrapped is not root and 2 * size > _text_size(root, False):
+def articles_of(root: Node) -> list[Node]:
+    """The main or article element with most text, and with an article those that share its parent; else the whole page. One inside an
+    element that its name would drop counts if there is no other and it holds most of the page's text: then the name is that of a wrapper."""
+    best, size = _longest_articles(root, True)
+    if best[0] is root:
+        wrapped, size = _longest_articles(root, False)
+        if wrapped[0] is not root and 2 * size > root.full:
             return wrapped
     return best
 
 
-def _longest_article(root: Node, names: bool) -> tuple[Node, int]:
-    best, size = root, 0
+def _longest_articles(root: Node, names: bool) -> tuple[list[Node], int]:
+    best, parent, size = root, root, 0
     todo = [root]
     while todo:
         node = todo.pop()
-        if node is not root and dropped(node, names):
-            continue
-        if node.tag in ("article", "main"):
-            n = _text_size(node)
-            if n > size:
-                best, size = node, n
-            if node.tag == "article":
-                continue  # an article inside an article is a comment or a teaser of it
-        todo += [c for c in node.children if isinstance(c, Node)]
-    return best, size
-
-
-def _text_size(node: Node, names: bool = True) -> int:
-    n, todo = 0, [node]
-    while todo:
-        x = todo.pop()
-        for c in x.children:
-            if isinstance(c, str):
-                n += len(c)
-            elif not dropped(c, names):
+        for c in node.children:
+            if isinstance(c, str) or dropped(c, names):
+                continue
+            if c.tag in ("article", "main") and c.size > size:
+                best, parent, size = c, node, c.size
+            if c.tag != "article":  # an article inside an article is a comment or a teaser of it
                 todo.append(c)
-    return n
+    if best.tag != "article":
+        return [best], size
+    beside = [c for c in parent.children if isinstance(c, Node) and c.tag == "article" and (c is best or judged("div", c.attributes)[0] == KEPT)]
+    return beside, sum(c.size for c in beside)
 
 
-def candidates(root: Node, article: Node) -> set[int]:
-    """Hashes of the block elements that could be template: all outside the article, and the article's own that are no text."""
+def candidates(root: Node, articles: list[Node]) -> set[int]:
+    """Hashes of the block elements that could be template: all outside the articles, and the articles' own that are no text; marks of the
+    articles' elements in doubt."""
     found: set[int] = set()
     todo: list[tuple[Node, bool]] = [(root, False)]
+    tops = set(map(id, articles))
     while todo:
         node, inside = todo.pop()
-        inside = inside or node is article
-        if node.tag in BLOCK and node is not root and node is not article and not (inside and node.tag in TEXT_BLOCKS and article is not root):
+        top = id(node) in tops
+        inside = inside or top
+        if node.tag in BLOCK and node is not root and not top and not (inside and node.tag in TEXT_BLOCKS and articles[0] is not root):
             found.add(node.hash)
+        if inside and not top and node.mark:
+            found.add(node.mark)
         todo += [(c, inside) for c in node.children if isinstance(c, Node) and c.tag not in UNSEEN]
     return found
 
 
-def text_blocks(article: Node, template: frozenset[int] | set[int]) -> Iterator[str]:
-    """The blocks of an element in page order: white space is one space, references are decoded."""
+def text_blocks(article: Node, template: frozenset[int] | set[int], whole_page: bool = False) -> Iterator[str]:
+    """The blocks of an element in page order: white space is one space, references are decoded. On a page without an article
+    (whole_page) names in doubt drop by themselves."""
+    limit = IN_DOUBT if whole_page else NAMED
     parts: list[str] = []
     # entries: a node to visit, a text, or None for the end of a block
     todo: list[Node | str | None] = [article]
@@ -288,7 +336,7 @@ def text_blocks(article: Node, template: frozenset[int] | set[int]) -> Iterator[
         if isinstance(x, str):
             parts.append(x)
             continue
-        if x is not None and x is not article and (x.hash in template or dropped(x)):
+        if x is not None and x is not article and (x.hash in template or x.mark in template or x.state >= limit):
             if x.tag in BLOCK:
                 x = None
             else:
@@ -307,59 +355,68 @@ def text_blocks(article: Node, template: frozenset[int] | set[int]) -> Iterator[
         yield text
 
 
-def kept_text(root: Node, article: Node, template: frozenset[int]) -> set[int]:
-    """Hashes of recurring subtrees that are no template, since they hold most of the article's text: all of them together in an article
+def kept_text(root: Node, articles: list[Node], template: frozenset[int]) -> set[int]:
+    """Hashes of recurring subtrees that are no template, since they hold most of the articles' text: all of them together in an article
     or main element (the article itself recurs), each on its own on a page without one. Their parts are kept, too."""
-    total, found, todo = _text_size(article), [], [article]
+    total, found, todo = sum(a.size for a in articles), [], list(articles)
+    tops = set(map(id, articles))
+    limit = IN_DOUBT if articles[0] is root else NAMED
     while todo:
         node = todo.pop()
-        if node is not article and node.hash in template:
-            n = _text_size(node)
-            if article is not root or 2 * n > total:
+        if id(node) not in tops and (node.hash in template or node.mark in template):
+            n = node.size
+            if articles[0] is not root or 2 * n > total:
                 found.append((node, n))
                 continue
-        todo += [c for c in node.children if isinstance(c, Node) and not dropped(c)]
+        todo += [c for c in node.children if isinstance(c, Node) and c.state < limit]
+    # Elements in doubt are not in the articles' sizes.
+    total += sum(n for node, n in found if node.state == IN_DOUBT)
     if 2 * sum(n for _, n in found) <= total:
         return set()
     kept, todo = set(), [node for node, _ in found]
     while todo:
         node = todo.pop()
-        kept.add(node.hash)
+        kept |= {node.hash, node.mark}
         todo += [c for c in node.children if isinstance(c, Node)]
     return kept
 
 
-def page_hashes(page: str | None) -> tuple[set[int], int]:
-    """The hashes that could be template, and the hash of the page's main text."""
+def _read(page: str | None) -> tuple[Node, list[Node]]:
     root = parse(page or "")
     hash_tree(root)
-    article = article_of(root)
-    text = " ".join(text_blocks(article, frozenset()))
-    return candidates(root, article), xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return root, articles_of(root)
+
+
+def _joined(root: Node, articles: list[Node], template: frozenset[int]) -> str:
+    return " ".join(t for a in articles for t in text_blocks(a, template, a is root))
+
+
+def page_hashes(page: str | None) -> tuple[set[int], int]:
+    """The hashes that could be template, and the hash of the page's main text."""
+    root, articles = _read(page)
+    text = _joined(root, articles, frozenset())
+    return candidates(root, articles), xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
 def main_text(page: str | None, template: Iterable[int] = ()) -> str:
-    root = parse(page or "")
-    hash_tree(root)
-    article = article_of(root)
-    template = frozenset(template) & candidates(root, article)  # so that no text block of the article can go
+    root, articles = _read(page)
+    template = frozenset(template) & candidates(root, articles)  # so that no text block of the article can go
     if template:
-        template -= kept_text(root, article, template)
-    return " ".join(text_blocks(article, template))
+        template -= kept_text(root, articles, template)
+    return _joined(root, articles, template)
 
 
 def template_share(page: str | None, template: Iterable[int] = ()) -> tuple[int, int]:
     """Of a page's elements that are no main text by kind, by name or as template, outermost ones with text: how many there are, and how
     many of them are template. It tells how far counting alone goes."""
-    root = parse(page or "")
-    hash_tree(root)
-    article = article_of(root)
-    template = frozenset(template) & candidates(root, article)
+    root, articles = _read(page)
+    tops = {id(root), *map(id, articles)}
+    template = frozenset(template) & candidates(root, articles)
     every = known = 0
     todo = [root]
     while todo:
         node = todo.pop()
-        if node is not root and node is not article and node.tag not in UNSEEN and (node.hash in template or dropped(node)) and _text_size(node, False):
+        if id(node) not in tops and node.tag not in UNSEEN and (node.hash in template or dropped(node)) and node.full:
             every, known = every + 1, known + (node.hash in template)
             continue
         todo += [c for c in node.children if isinstance(c, Node) and c.tag not in UNSEEN]

@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -671,6 +672,67 @@ def test_template_of_a_part_of_a_large_host(spark):
     assert {out[i] for i in range(110)} == {f"Body {i} of a page" for i in range(110)}
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><h1>T</h1><p>Intro text.</p><section id='discussion'><p>Main finding</p></section></article>", "T Intro text. Main finding"),
+    ("<article>t<p class='privacy'>p</p><section class='chapter alert'>c</section><div class='panel-discussion'>d</div><i>x <span class='search'>s</span></i></article>", "t p c d x s"),
+    ("<article><p>first text</p></article><div>between</div><article><p>second</p></article><article class='comment'>c</article>", "first text second"),
+    ("<div>" * 600 + "<nav>MENU</nav>text", "text"),
+    ("<div><span>" * 600 + "<nav>MENU</nav><p>text" + "</span></div>" * 600 + "<nav>m</nav>", "text"),
+])
+def test_parts_of_articles_and_depth(page, text):
+    assert html_extract.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<div>", "<main>", "<div class='notice'>", "<b>", "<li>", "<ul><li>"])
+def test_any_depth_takes_one_pass(part):
+    began = time.time()
+    assert html_extract.main_text(part * 100_000 + "t" + "</p></i></q>" * 100_000) in ("t", "")
+    assert time.time() - began < 30
+
+
+def test_structure_that_recurs_in_articles(spark):
+    """A notice in an article goes where its structure recurs on the host, whatever its text; a discussion with a heading is text."""
+    page = "<article><p>Body {i}</p><div class='notice'><b>N{i}</b></div><div class='discussion'><h2>D</h2><p>found {i}</p></div></article>"
+    rows = [(i, f"http://{'h' if i < 6 else i}.com/", page.replace("{i}", str(i))) for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for most in (0, 1000):
+        out = {r.page_id: r.text for r in html_extract.extract(df, max_broadcast=most).collect()}
+        assert out == {i: f"Body {i} D found {i}" if i < 6 else f"Body {i} N{i} D found {i}" for i in range(8)}
+    without = {r.page_id: r.text for r in html_extract.extract(df, min_pages=100).collect()}
+    assert without == {i: f"Body {i} N{i} D found {i}" for i in range(8)}
+
+
+class ArticleText(HTMLParser):
+    """Another reader of the same pages: everything inside article elements, with white space at block tags."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.parts = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.parts += [" "] * (tag in html_extract.BLOCK)
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.parts += [" "] * (tag in html_extract.BLOCK)
+
+    def handle_data(self, data):
+        self.parts += [data] * (self.depth > 0)
+
+
+def test_extracted_pages_by_another_parser(spark):
+    got = {r.page_id: r for r in html_extract.op7_html_extraction(spark, SF).collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for r in pages:
+        reader = ArticleText()
+        reader.feed(r.html or "")
+        reader.close()
+        want = " ".join("".join(reader.parts).split())
+        assert (got[r.page_id].text, got[r.page_id].n_chars, got[r.page_id].url) == (want, len(want), r.url)
+
+
 # 8: sharding
 
 
