@@ -1,13 +1,13 @@
 """Sharding by sampled splitters.
 
-1. Keys: a hash of the text, then one of the id, so that groups of equal texts can be divided too. Rows that are equal in both, or have
-   no id and equal texts, stay in one range.
+1. Keys: a hash of the text, then one of the id, then one of the row's number, so that groups of equal texts, and of rows equal in both,
+   can be divided too. Numbers are given once and kept in the shared checkpoint folder, so that all later passes see the same.
 2. A size-weighted sample of the keys gives splitters at its quantiles; records are range-partitioned by them.
 3. Ranges that hold more than their share are subdivided at the quantiles of their own keys until none is overfull.
 4. Within its range every record has an exact running size, so shard boundaries fall on exact fractions of all bytes, and running
    numbers give every record its slot in the shard.
 
-Only thin rows (id, size, checksum, key) are shuffled, once; the texts are not.
+Only thin rows (id, size, checksum, key) are shuffled, once; the texts are not, unless they are kept columns.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.lineage import shared_folder
 from quire.llm.common import settle, unit_hash
 
 SHARDS = 16
@@ -33,31 +34,35 @@ def utf8(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, size, text_crc32, __k1, __k2 and kept columns: a record's key is (k1, k2), k1 from the text alone, k2 from the id."""
+    """doc_id, size, text_crc32, __k1, __k2, __k3 and kept columns: a record's key is (k1, k2, k3), k1 from the text alone, k2 from the id,
+    k3 from the row's number. Those numbers may differ when this is computed again: it is stored before it is used."""
     t = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
         F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 1).cast("bigint").alias("size"), F.crc32(F.encode(t, "UTF-8")).alias("text_crc32"),
-        F.xxhash64(t).alias("__k1"), F.xxhash64(F.col(doc_id), F.lit("id")).alias("__k2"), *[F.col(f"`{c}`") for c in keep],
+        F.xxhash64(t).alias("__k1"), F.xxhash64(F.col(doc_id), F.lit("id")).alias("__k2"),
+        F.xxhash64(F.monotonically_increasing_id(), F.lit("row")).alias("__k3"), *[F.col(f"`{c}`") for c in keep],
     )
 
 
-def _join_key(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
-    """Keys as 16-byte strings that sort like (k1, k2)."""
-    out = np.empty((len(k1), 2), ">u8")
-    for i, k in enumerate((k1, k2)):
+KEY = ("__k1", "__k2", "__k3")
+
+
+def _join_key(*parts: np.ndarray) -> np.ndarray:
+    """Keys as 24-byte strings that sort like (k1, k2, k3)."""
+    out = np.empty((len(parts[0]), len(parts)), ">u8")
+    for i, k in enumerate(parts):
         out[:, i] = k.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
-    return out.view("S16").ravel()
+    return out.view(f"S{8 * len(parts)}").ravel()
 
 
 def sample(keys: DataFrame, total: int, count: int, where: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
     """About count keys, drawn with probability in proportion to size, in order, with weights. The hash decides, so a rerun draws
-    the same. Rows with one key are drawn together and come as one row, so that the expected number is bounded by count whatever the
-    input."""
+    the same; the expected number is bounded by count whatever the input."""
     rate = F.col("size") * (count / max(total, 1))
     rows = keys if where is None else keys.filter(where)
-    drawn = rows.filter(unit_hash(F.col("__k1"), F.col("__k2"), F.lit("sample")) < rate)
-    got = drawn.groupBy("__k1", "__k2").agg(F.sum(F.greatest(F.col("size").cast("double"), F.lit(total / count))).alias("w")).toPandas()
-    k = _join_key(got["__k1"].to_numpy(), got["__k2"].to_numpy())
+    drawn = rows.filter(unit_hash(*map(F.col, KEY), F.lit("sample")) < rate)
+    got = drawn.groupBy(*KEY).agg(F.sum(F.greatest(F.col("size").cast("double"), F.lit(total / count))).alias("w")).toPandas()
+    k = _join_key(*(got[c].to_numpy() for c in KEY))
     order = np.argsort(k)
     return k[order], got.w.to_numpy(dtype=float)[order]
 
@@ -75,15 +80,15 @@ def ranged(keys: DataFrame, splitters: np.ndarray) -> DataFrame:
     """keys and rng: the number of splitters at or below the key."""
 
     @F.pandas_udf("int")
-    def place(k1: pd.Series, k2: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(splitters, _join_key(k1.to_numpy(), k2.to_numpy()), side="right").astype(np.int32))
+    def place(k1: pd.Series, k2: pd.Series, k3: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(splitters, _join_key(k1.to_numpy(), k2.to_numpy(), k3.to_numpy()), side="right").astype(np.int32))
 
-    return keys.withColumn("__rng", place("__k1", "__k2"))
+    return keys.withColumn("__rng", place(*KEY))
 
 
 def find_splitters(keys: DataFrame, shards: int = SHARDS) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
-    """Splitters whose ranges are not overfull, and rows and bytes by range. One record larger than a range stays whole, and so do
-    rows that share their key (text and id): a range that no sampled key divides any more is left."""
+    """Splitters whose ranges are not overfull, and rows and bytes by range. One record larger than a range stays whole:
+    a range that no sampled key divides any more is left."""
     first = keys.agg(F.sum("size").alias("s"), F.max("size").alias("m")).first()
     total, largest = int(first.s or 0), int(first.m or 0)
     parts = max(shards * RANGES_PER_SHARD, total // RANGE_BYTES)
@@ -112,14 +117,21 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id"
     """doc_id, size, text_crc32, kept columns, shard and slot, one row per input row. Shards have equal bytes up to one record; slots
     count from 0 in each shard.
 
-    Null texts have size 1; null ids and repeated rows are records like others; a text that many rows share is divided by id (rows
-    that also share the id stay in one range, which may still cross shards). Columns of docs that are not kept are ignored. Fewer
-    records than shards leave shards empty; an empty table gives no rows. keep names none of the result's own columns. Kept columns are shuffled along, once.
+    Null texts have size 1; null ids and repeated rows are records like others; a text that many rows share is divided by id, and
+    rows that also share the id by their numbers. Columns of docs that are not kept are ignored. Fewer
+    records than shards leave shards empty; an empty table gives no rows. keep names none of the result's own columns. Kept columns are written to the shared checkpoint
+    folder with the keys, so that each pass reads only its columns, and shuffled along, once.
     """
-    keys = settle(keyed(docs, doc_id, text))
+    rows = keyed(docs, doc_id, text, keep)
+    if keep:
+        folder = shared_folder(docs.sparkSession, "shard-keys")
+        rows.write.parquet(folder)
+        keys = docs.sparkSession.read.parquet(folder)
+    else:
+        keys = settle(rows)
     splitters, sizes = find_splitters(keys, shards)
     if not sizes:
-        return keyed(docs, doc_id, text, keep).drop("__k1", "__k2").select("*", F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("slot"))
+        return rows.drop(*KEY).select("*", F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("slot"))
     total = sum(s for _, s in sizes.values())
     ranges = range(max(sizes) + 1)
     offset = list(accumulate((sizes.get(r, (0, 0))[1] for r in ranges), initial=0))
@@ -129,14 +141,13 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id"
 
     def placed(rows: DataFrame) -> DataFrame:
         """Before and within the range: the exact bytes in front of each record. Its middle decides the shard."""
-        order = Window.partitionBy("__rng").orderBy("__k1", "__k2")
+        order = Window.partitionBy("__rng").orderBy(*KEY)
         rows = ranged(rows, splitters)
         before = F.get(literal(offset), F.col("__rng")) + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
         middle = (before * 2 + F.col("size")).cast("decimal(38,0)") * shards
         return rows.select("*", F.row_number().over(order).alias("__k"), F.least(F.lit(shards - 1), F.floor(middle / (2 * total)).cast("int")).alias("shard"))
 
     # A shard's part of a range is contiguous: slots need, for each part, its first number and the records of the shard before it.
-    # Rows that tie in the order have equal texts, so the parts are the same however ties fall.
     thin = settle(placed(keys).select("doc_id", "size", "text_crc32", "__rng", "__k", "shard"))
     parts = sorted((r["__rng"], r.shard, r.n, r.k) for r in thin.groupBy("__rng", "shard").agg(F.count("*").alias("n"), F.min("__k").alias("k")).collect())
     seen: dict[int, int] = {}
@@ -149,7 +160,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id"
     width = max(s - low[rng] for rng, s in start) + 1
     flat = literal([start.get((rng, low.get(rng, 0) + j), 0) for rng in ranges for j in range(width)])
     at = F.col("__rng") * width + F.col("shard") - F.get(literal([low.get(rng, 0) for rng in ranges]), F.col("__rng")).cast("int")
-    rows = placed(keyed(docs, doc_id, text, keep)) if keep else thin
+    rows = placed(keys) if keep else thin
     return rows.select("doc_id", "size", "text_crc32", *[F.col(f"`{c}`") for c in keep], "shard", (F.col("__k") + F.get(flat, at)).cast("bigint").alias("slot"))
 
 

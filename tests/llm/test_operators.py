@@ -758,15 +758,22 @@ def test_sharding(spark):
     wide = sharding.shard_by_bytes(docs, keep=("text", "k")).collect()
     check_shards(wide, texts, 16)
     assert Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in wide) == Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in rows)
+    assert Counter((r.doc_id, zlib.crc32((r.text or "").encode()), r.k) for r in wide) == Counter((i, zlib.crc32((t or "").encode()), "x") for i, t in zip(ids, texts))
+    assert all(r.text_crc32 == zlib.crc32((r.text or "").encode()) for r in wide)
     check_shards(sharding.shard_by_bytes(docs_of(spark, ["same"] * 500)).collect(), ["same"] * 500, 16)
     assert len(sharding.shard_by_bytes(docs_of(spark, ["one", None])).collect()) == 2
     assert sharding.shard_by_bytes(docs.limit(0)).count() == 0
 
 
-def test_rows_with_one_key_are_sampled_as_one(spark):
+def test_rows_with_one_text_and_id_are_divided(spark):
     keys = sharding.settle(sharding.keyed(docs_of(spark, ["hot text"] * 5000 + [f"t{i}" for i in range(500)], [7] * 5000 + list(range(500)))))
     drawn, weights = sharding.sample(keys, 50_000, 64)
     assert len(drawn) <= 501 and len(set(drawn)) == len(drawn)
+    splitters, sizes = sharding.find_splitters(keys, 4)
+    hot = sharding.ranged(keys.filter("doc_id = 7 and size = 9"), splitters).groupBy("__rng").count().collect()
+    assert len(hot) > 20 and max(r["count"] for r in hot) < 500 and sum(r["count"] for r in hot) == 5000
+    equal = docs_of(spark, ["hot"] * 3000, [None] * 3000)
+    check_shards(sharding.shard_by_bytes(equal, keep=("text", "k")).collect(), ["hot"] * 3000, 16)
     check_shards(sharding.shard_by_bytes(docs_of(spark, ["hot"] * 3000, [7] * 3000)).collect(), ["hot"] * 3000, 16)
 
 
