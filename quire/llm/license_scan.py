@@ -3,6 +3,10 @@
 Lower-cased runs of a-z and 0-9 are words. The coefficient of two texts with word bigrams A and B (repeats counted) is
 ``2 |A and B| / (|A| + |B|)``. It can only reach t if ``t / (2 - t) <= |A| / |B| <= (2 - t) / t``; so a text is only compared with
 templates whose size is in that range, and texts that fit no template never get bigrams at all.
+
+What is compared are units (lines, paragraphs, whole texts) and windows: all stretches of as many words as a template has, so that a header
+above code and a notice inside a sentence are found. Of a text's windows only those that begin with a bigram of the template, and the
+text's last, can be best, and of these only those with enough of its bigrams are compared.
 """
 
 from __future__ import annotations
@@ -115,10 +119,11 @@ def telling_words(template: Counter, threshold: float) -> set[str]:
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Compares every line, every paragraph between blank lines and the whole of every text with the templates.
+    """Compares every line, every paragraph between blank lines, the whole of every text, and every window with the templates.
 
-    Returns one row per input row: doc_id, n_units (distinct units that match some template), licenses (their distinct
-    identifiers, sorted), best_license and best_dice (null if none matches; ties go to the first identifier). Notices that differ in a few
+    Returns one row per input row: doc_id, n_units (distinct units that match some template), windows (name, start, dice: for each
+    template that some window matches, the best one, ties to the first; start is the number of its first word), licenses (the distinct
+    identifiers of both, sorted), best_license and best_dice (null if none matches; ties go to the first identifier). Notices that differ in a few
     words only (those of the GNU licences) are each told when they are at the threshold; the best is the one that is meant. Null and empty
     texts match nothing; repeated rows are each scanned; other columns are ignored. It is one projection: no shuffle.
     """
@@ -138,20 +143,45 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TE
     rows = rows.select("doc_id", "lines", F.split(F.array_join("lines", "\n"), "\n\n+").alias("blocks"))
     flat = lambda b: F.trim(F.regexp_replace(b, "\n+", " "))
     units = F.concat("lines", F.transform("blocks", flat), F.array(flat(F.array_join("blocks", "\n"))))
-    rows = rows.select("doc_id", F.array_distinct(F.filter(units, lambda u: has_one(u) & sized(u))).alias("units"))
-    words = F.transform("units", lambda u: F.split(u, " "))
-    bigrams = F.transform(words, lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    rows = rows.select("doc_id", F.coalesce(bigrams, F.array().cast("array<array<string>>")).alias("units"))
+    rows = rows.select("doc_id", F.array_distinct(F.filter(units, lambda u: has_one(u) & sized(u))).alias("units"), F.split(flat(F.array_join("blocks", "\n")), " ").alias("words"))
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    no_texts = F.array().cast("array<string>")
+    rows = rows.select(
+        "doc_id", F.coalesce(F.transform("units", lambda u: pairs(F.split(u, " "))), F.array().cast("array<array<string>>")).alias("units"),
+        F.coalesce(F.when(F.size("words") > 1, pairs(F.col("words"))), no_texts).alias("grams"),
+    )
+    every = sorted(set().union(*(c for _, c, _, _ in known)))
+    placed = F.transform("grams", lambda g, i: F.struct(i.alias("at"), g.alias("gram")))
+    rows = rows.select("doc_id", "units", "grams", F.filter(placed, lambda x: x["gram"].isin(every)).alias("hits"))
 
     def found(u: Column) -> Column:
         scores = [F.when(F.size(u).between(a, b), F.struct(_against(u, c).alias("dice"), F.lit(name).alias("name"))) for name, c, a, b in known]
         return F.filter(F.array(*scores), lambda s: s["dice"] >= threshold)
 
-    rows = rows.select("doc_id", F.filter(F.transform("units", found), lambda m: F.size(m) > 0).alias("units"))
-    rows = rows.select("doc_id", F.size("units").alias("n_units"), F.flatten("units").alias("found"))
+    def window(name: str, template: Counter) -> Column:
+        """The best window of a text, or null."""
+        m = sum(template.values())
+        k = math.ceil(m * threshold - 1e-9)  # of the template's bigrams a window has at least so many
+        last = F.size("grams") - m
+
+        def best_of(at: Column) -> Column:
+            starts = F.filter(at, lambda p, i: (p <= last) & (F.get(at, i + (k - 1)) < p + m))
+            at_end = F.when((last >= 0) & (F.size(F.filter(at, lambda p: p >= last)) >= k), F.array(last)).otherwise(F.array().cast("array<int>"))
+            scores = F.transform(F.concat(starts, at_end), lambda p: F.struct(_against(F.slice(F.col("grams"), p + 1, m), template).alias("dice"), (-p).alias("before")))
+            return F.array_max(F.filter(scores, lambda x: x["dice"] >= threshold))
+
+        at = F.transform(F.filter("hits", lambda x: x["gram"].isin(sorted(template))), lambda x: x["at"])
+        best = F.get(F.transform(F.array(at), best_of), F.lit(0))  # bound once, not once a use
+        return F.transform(F.filter(F.array(best), lambda x: x.isNotNull()), lambda x: F.struct(F.lit(name).alias("name"), (-x["before"]).alias("start"), x["dice"].alias("dice")))
+
+    windows = F.when(F.size("hits") > 0, F.concat(*[window(name, c) for name, c, _, _ in known]))
+    no_windows = F.array().cast("array<struct<name: string, start: int, dice: double>>")
+    rows = rows.select("doc_id", F.filter(F.transform("units", found), lambda m: F.size(m) > 0).alias("units"), F.coalesce(windows, no_windows).alias("windows"))
+    of_windows = F.transform("windows", lambda w: F.struct(w["dice"].alias("dice"), w["name"].alias("name")))
+    rows = rows.select("doc_id", "windows", F.size("units").alias("n_units"), F.concat(F.flatten("units"), of_windows).alias("found"))
     best = F.array_max(F.transform("found", lambda s: s["dice"]))
     return rows.select(
-        "doc_id", F.col("n_units").cast("bigint").alias("n_units"),
+        "doc_id", F.col("n_units").cast("bigint").alias("n_units"), "windows",
         F.array_sort(F.array_distinct(F.transform("found", lambda s: s["name"]))).alias("licenses"),
         F.array_min(F.transform(F.filter("found", lambda s: s["dice"] == best), lambda s: s["name"])).alias("best_license"),
         best.alias("best_dice"),
@@ -167,7 +197,7 @@ def _any(conditions) -> Column:
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_units", F.array_join("licenses", ",").alias("licenses"), "best_license", "best_dice")
+    return out.select("doc_id", "n_units", F.size("windows").cast("bigint").alias("n_windows"), F.array_join("licenses", ",").alias("licenses"), "best_license", "best_dice")
 
 
 def _sql() -> str:
@@ -195,9 +225,17 @@ c AS (SELECT uid, rid, n, bigram, count(*) AS k FROM g GROUP BY ALL),
 s AS (SELECT c.uid, c.rid, tb.name, tb.tid, 2.0::DOUBLE * sum(least(c.k, tb.k)) / (any_value(c.n) + any_value(tn.n)) AS dice
       FROM c JOIN tb USING (bigram) JOIN tn USING (tid) GROUP BY c.uid, c.rid, tb.name, tb.tid),
 m AS (SELECT * FROM s WHERE dice >= {THRESHOLD}),
-r AS (SELECT rid, count(DISTINCT uid) AS n_units, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, max(dice) AS best_dice FROM m GROUP BY rid),
-x AS (SELECT m.rid, min(name) AS best_license FROM m JOIN r ON m.rid = r.rid AND m.dice = r.best_dice GROUP BY m.rid)
-SELECT doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(licenses, '') AS licenses, best_license, best_dice
+f AS (SELECT rid, string_split(trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM d),
+a AS (SELECT rid, len(words) - 1 AS size, unnest(range(1, len(words))) AS i, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS bigram FROM f),
+h AS (SELECT a.rid, a.size, a.i, a.bigram, tb.name, tb.tid, tb.k, tn.n FROM a JOIN tb USING (bigram) JOIN tn USING (tid)),
+o AS (SELECT DISTINCT rid, tid, i FROM h WHERE i + n - 1 <= size UNION SELECT DISTINCT rid, tid, size - n + 1 FROM h WHERE n <= size),
+q AS (SELECT o.rid, o.tid, o.i, h.name, h.n, h.bigram, least(count(*), h.k) AS shared
+      FROM o JOIN h ON h.rid = o.rid AND h.tid = o.tid AND h.i BETWEEN o.i AND o.i + h.n - 1 GROUP BY o.rid, o.tid, o.i, h.name, h.n, h.bigram, h.k),
+v AS (SELECT rid, tid, i, name, 2.0::DOUBLE * sum(shared) / (n + n) AS dice FROM q GROUP BY rid, tid, i, name, n HAVING sum(shared) >= {THRESHOLD} * n - 1e-9),
+e AS (SELECT rid, name, dice, uid, NULL AS tid FROM m UNION ALL SELECT rid, name, dice, NULL, tid FROM v),
+r AS (SELECT rid, count(DISTINCT uid) AS n_units, count(DISTINCT tid) AS n_windows, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, max(dice) AS best_dice FROM e GROUP BY rid),
+x AS (SELECT e.rid, min(name) AS best_license FROM e JOIN r ON e.rid = r.rid AND e.dice = r.best_dice GROUP BY e.rid)
+SELECT doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_windows, 0)::BIGINT AS n_windows, coalesce(licenses, '') AS licenses, best_license, best_dice
 FROM d LEFT JOIN r USING (rid) LEFT JOIN x USING (rid)
 """
 

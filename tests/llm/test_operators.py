@@ -838,8 +838,18 @@ def brute_licenses(text, threshold=license_scan.THRESHOLD):
         hits = [h for h in hits if h[0] >= threshold]
         found += hits
         n += bool(hits)
+    words = " ".join(x for x in normal if x).split()
+    grams, windows = [f"{a} {b}" for a, b in zip(words, words[1:])], 0
+    for name, ts in license_scan.TEMPLATES.items():
+        for t in ts:
+            of = license_scan.bigram_counts(t)
+            m = sum(of.values())
+            every = range(len(grams) - m + 1) if not of.keys().isdisjoint(grams) else ()
+            hits = [(d, name) for i in every if (d := dice(Counter(grams[i : i + m]), of)) >= threshold]
+            found += hits
+            windows += bool(hits)
     best = max((d for d, _ in found), default=None)
-    return n, sorted({name for _, name in found}), min((name for d, name in found if d == best), default=None), best
+    return n, windows, sorted({name for _, name in found}), min((name for d, name in found if d == best), default=None), best
 
 
 def test_license_scan(spark):
@@ -853,11 +863,27 @@ def test_license_scan(spark):
                 texts.append(" ".join(w if rng.random() > rate else "zzz" for w in words))
             texts.append(" ".join(words + words[:6]))
     docs = docs_of(spark, texts + texts[:8])
-    got = {r.doc_id: tuple(r)[1:] for r in license_scan.scan_licenses(docs).collect()}
+    got = {r.doc_id: (r.n_units, len(r.windows), r.licenses, r.best_license, r.best_dice) for r in license_scan.scan_licenses(docs).collect()}
     want = {i: brute_licenses(t) for i, t in enumerate(texts + texts[:8])}
     assert got == want and sum(w[0] > 0 for w in want.values()) > 30
     assert license_scan.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_notices_inside_other_text(spark):
+    """A header in three paragraphs above code, a notice inside a sentence, two notices in one text, one at its very end."""
+    mit, isc = license_scan.TEMPLATES["MIT"][1], license_scan.TEMPLATES["ISC"][0]
+    header = "\n".join("# " + x for x in mit.replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS").split("\n"))
+    code = "\n".join(f"    value_{i} = call(value_{i - 1}, {i})" for i in range(120))
+    texts = [
+        f"# Copyright (c) 2020 A. Person\n#\n{header}\n\nimport x\n{code}", "Written by A. Person and many contributors. Released under the MIT License. See the site.",
+        f"{code} {mit} {code} {isc}", code,
+    ] + [f"{code}\n/* {t} */\n{code}" for ts in license_scan.TEMPLATES.values() for t in ts]
+    rows = {r.doc_id: r for r in license_scan.scan_licenses(docs_of(spark, texts)).collect()}
+    assert [rows[i].licenses for i in range(4)] == [["MIT"], ["MIT"], ["ISC", "MIT"], []]
+    assert rows[1].windows[0].asDict() == {"name": "MIT", "start": 7, "dice": 1.0} and [w.dice for w in rows[2].windows] == [1.0, 1.0]
+    names = [name for name, ts in license_scan.TEMPLATES.items() for _ in ts]
+    assert all(name in rows[i + 4].licenses and rows[i + 4].best_dice == 1.0 for i, name in enumerate(names))
+
+
 def test_items_digest():
     assert decontaminate.items_digest(["10", "9"]) == hashlib.sha256(b"10,9").hexdigest()
