@@ -1,7 +1,9 @@
-"""The fixed lists of the engine as rows, against lists that are stated here on their own."""
+"""The fixed lists of the engine, applied to the documents, against lists that are stated here on their own."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,21 +14,50 @@ from quire.functions.citations import format_numbers
 from quire.operators import duplicates, element_checks, marks, sections
 from quire.plans.pattern_queries import cases
 from quire.plans.registry import derived, query
+from quire.plans.text_queries import HEADINGS
 from quire.sources import docx
 
 
+#: What is no word of a list, after A-Z are lower-cased.
+BETWEEN = "[^a-z0-9☐☑☒]+"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+DOCUMENTS = f"d AS (SELECT ' ' || regexp_replace(translate(text, '{UPPER}', '{UPPER.lower()}'), '{BETWEEN}', ' ', 'g') || ' ' AS t FROM documents)"
+
+
+def phrase(word: str) -> str:
+    """A word, name or type as it stands in a document's normal form."""
+    return f" {re.sub(BETWEEN, ' ', word.lower())} "
+
+
+def counted(spark: SparkSession, sf_dir: str, words: list[str]) -> DataFrame:
+    """word, documents: in how many documents each of a list's words is. One pass and one row, whatever the number of documents."""
+    text = F.concat(F.lit(" "), F.regexp_replace(F.translate("text", UPPER, UPPER.lower()), BETWEEN, " "), F.lit(" ")).alias("t")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(text)
+    sums = [F.count_if(F.col("t").contains(phrase(w))).alias(f"n{k}") for k, w in enumerate(words)]
+    pairs = [F.struct(F.lit(w).alias("word"), F.col(f"n{k}").alias("documents")) for k, w in enumerate(words)]
+    return rows.agg(*sums).select(F.inline(F.array(*pairs)))
+
+
 def listed(name: str, expected: str, of) -> None:
-    """Registers a query of (list, word) pairs. expected: "list: word, word. list: ..."; of(): a dict of lists."""
+    """Registers a query of (list, word, documents): which lists there are, and in how many documents each word is.
+    expected: "list: word, word. list: ..."; of(): a dict of lists."""
     pairs = [(part.split(":")[0].strip(), w.strip()) for part in expected.split(".") if ":" in part for w in part.split(":")[1].split(",")]
 
-    @query(name, "SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in pairs) + ") AS t(list, word)")
+    values = ", ".join("('{}', '{}', '{}')".format(a, *(x.replace("'", "''") for x in (b, phrase(b)))) for a, b in pairs)
+
+    @query(name, f"WITH {DOCUMENTS} SELECT list, word, count(t) AS documents FROM (VALUES {values}) AS v(list, word, phrase) LEFT JOIN d ON contains(t, phrase) GROUP BY list, word")
     def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.createDataFrame([(a, str(w)) for a, words in of().items() for w in words], "list string, word string")
+        lists = {a: [str(w) for w in words] for a, words in of().items()}
+        lists_of = spark.createDataFrame([(a, w) for a, words in lists.items() for w in words], "list string, word string")
+        return lists_of.join(counted(spark, sf_dir, sorted({w for words in lists.values() for w in words})), "word").select("list", "word", "documents")
 
 
-@query("dim_01_vocabulary", "SELECT * FROM (VALUES (false, 274::BIGINT, 37::BIGINT), (true, 49::BIGINT, 5::BIGINT)) AS t(is_subsection, names, types)")
-def vocabulary(spark, sf_dir):
-    return lx.lexicon(spark).groupBy("is_subsection").agg(F.countDistinct("variant").alias("names"), F.countDistinct("section_type").alias("types"))
+@derived("dim_01_vocabulary", HEADINGS, "SELECT is_subsection, names, types, (SELECT count(*) FROM i WHERE k % 11 < 10 AND (k % 11 = 4) = is_subsection) AS headings FROM (VALUES (false, 274::BIGINT, 37::BIGINT), (true, 49::BIGINT, 5::BIGINT)) AS t(is_subsection, names, types)")
+def vocabulary(i):
+    """Names and types of sections and subsections, and how many headings have one of the names."""
+    found = lx.add_match(i, F.col("heading"), "m").groupBy(F.col("m.variant").alias("variant")).agg(F.count("*").alias("n"))
+    return lx.lexicon(i.sparkSession).join(found, "variant", "left").groupBy("is_subsection").agg(
+        F.countDistinct("variant").alias("names"), F.countDistinct("section_type").alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("headings"))
 
 
 # Fixed values, stated apart from the code that holds them.
@@ -62,9 +93,10 @@ listed("dim_15_response_fields", """
 """, lambda: {n: [f.split()[0] for f in s.split(", ")] for n, s in (("edit", prompts.EDIT), ("term", prompts.TERM), ("part", prompts.PART))})
 
 
-@query("dim_09_order_numbers", "SELECT * FROM (VALUES ('introduction', 0.0), ('objectives', 1.0), ('methods', 2.0), ('results', 3.0), ('results_and_discussion', 3.5), ('discussion', 4.0), ('limitations', 5.0), ('conclusions', 6.0)) AS t(section_type, place)".replace("SELECT *", "SELECT section_type, place::DOUBLE AS place"))
+@query("dim_09_order_numbers", "SELECT * FROM (VALUES ('introduction', 0.0), ('objectives', 1.0), ('methods', 2.0), ('results', 3.0), ('results_and_discussion', 3.5), ('discussion', 4.0), ('limitations', 5.0), ('conclusions', 6.0)) AS t(section_type, place)".replace("SELECT *", f"WITH {DOCUMENTS} SELECT section_type, place::DOUBLE AS place, (SELECT count(*) FROM d WHERE contains(t, ' ' || replace(section_type, '_', ' ') || ' ')) AS documents"))
 def order_numbers(spark, sf_dir):
-    return spark.createDataFrame(list(sections.IMRAD_ORDER.items()), "section_type string, place double")
+    places = spark.createDataFrame(list(sections.IMRAD_ORDER.items()), "section_type string, place double")
+    return places.join(counted(spark, sf_dir, list(sections.IMRAD_ORDER)).withColumnRenamed("word", "section_type"), "section_type")
 
 
 STATEMENTS = "SELECT c_custkey AS k, 'credit' AS element, 'CRediT Author Statement' || chr(10) || 'Jane Doe: ' || CASE c_custkey % 4 WHEN 0 THEN 'Software, Writing - review & editing.' WHEN 1 THEN 'Formal analysis, Resources' WHEN 2 THEN 'software' ELSE 'Coffee, Supervision' END AS text FROM {customer} UNION ALL SELECT c_custkey, 'acknowledgments', 'ACKNOWLEDGMENTS' || chr(10) || CASE c_custkey % 3 WHEN 0 THEN 'Disclaimers: x Funding: y Declaration of interest: z' WHEN 1 THEN 'Funding: y Disclaimers: x Declaration of interest: z' ELSE 'Presented at: a' END FROM {customer}"

@@ -127,17 +127,21 @@ FAMILIES = "('H1', 5), ('H2', 5), ('H3', 6), ('H4', 6), ('HIER', 2), ('ORD', 7)"
 _G = "g(ord, key, gid, guideline, reason) AS (VALUES " + ", ".join(f"({k}, " + ", ".join("'" + x.replace("'", "''") + "'" for x in g) + ")" for k, g in enumerate(sr.GUIDELINES)) + ")"
 
 
-@derived("join_07_guideline_lookup", "SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'h4_bold' WHEN 1 THEN ' font MUST be bold ' WHEN 2 THEN 'Font is italic' ELSE p_name END AS key FROM {part}",
+KEYS = "SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'h4_bold' WHEN 1 THEN ' font MUST be bold ' WHEN 2 THEN 'Font is italic' ELSE p_name END AS key FROM {part}"
+
+
+@derived("join_07_guideline_lookup", KEYS,
          "SELECT k, CASE k % 4 WHEN 0 THEN 'H4-05' WHEN 1 THEN 'H1-04' WHEN 2 THEN 'H1-05' ELSE '' END AS guideline_id, CASE k % 4 WHEN 0 THEN 'Font is not bold' WHEN 1 THEN 'Font is not bold' WHEN 2 THEN 'Font is italic' ELSE key END AS reason FROM i")
 def guideline_lookup(i):
     return sr.resolve_guidelines(i).select("k", "guideline_id", "reason")
 
 
-@query("dim_10_guidelines", f"SELECT family, n::BIGINT AS n, n::BIGINT AS numbers, n::BIGINT AS keys, family || '-' || lpad(n || '', 2, '0') AS last FROM (VALUES {FAMILIES}) AS t(family, n)")
-def guidelines(spark, sf_dir):
-    """Each family is numbered from 1 without gaps, and no key is used twice."""
-    g = sr.guidelines(spark).withColumn("family", F.substring_index("id", "-", 1))
-    return g.groupBy("family").agg(F.count("*").alias("n"), F.countDistinct("id").alias("numbers"), F.countDistinct("key").alias("keys"), F.max("id").alias("last"))
+@derived("dim_10_guidelines", KEYS, f"SELECT (SELECT count(*) FROM i WHERE CASE k % 4 WHEN 0 THEN 'H4' WHEN 1 THEN 'H1' WHEN 2 THEN 'H1' END = family) AS reasons, family, n::BIGINT AS n, n::BIGINT AS numbers, n::BIGINT AS keys, family || '-' || lpad(n || '', 2, '0') AS last FROM (VALUES {FAMILIES}) AS t(family, n)")
+def guidelines(i):
+    """Each family is numbered from 1 without gaps, and no key is used twice; reasons are the keys of the input that are of the family."""
+    used = sr.resolve_guidelines(i).groupBy(F.substring_index("guideline_id", "-", 1).alias("family")).agg(F.count("*").alias("reasons"))
+    g = sr.guidelines(i.sparkSession).withColumn("family", F.substring_index("id", "-", 1))
+    return g.groupBy("family").agg(F.count("*").alias("n"), F.countDistinct("id").alias("numbers"), F.countDistinct("key").alias("keys"), F.max("id").alias("last")).join(used, "family", "left").fillna(0, "reasons")
 
 
 @derived("prj_06_guideline_rows", TREES, _HIER + f""", {_G}, o AS (SELECT doc_id, id, unnest(list_filter([CASE WHEN lv THEN 'correct_level' END, CASE WHEN pa THEN 'correct_parent' END], lambda x: x IS NOT NULL)) AS key FROM r)

@@ -164,15 +164,21 @@ NAMES_OF_TYPE = """
 """
 
 
-@query("join_18_lexicon_dimension", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {n}::BIGINT)" for t, n in (x.split() for x in NAMES_OF_TYPE.split(","))) + ") AS t(section_type, n)")
-def lexicon_dimension(spark, sf_dir):
-    return lx.lexicon(spark).groupBy("section_type").agg(F.countDistinct("variant").alias("n"))
-
-
-@query("set_03_type_families", "SELECT * FROM (VALUES (8::BIGINT, 23::BIGINT, 12::BIGINT, 9::BIGINT, 4::BIGINT)) AS t(imrad, run_in, body, back, tail)")
-def type_families(spark, sf_dir):
+@derived("join_18_lexicon_dimension", HEADINGS, f"SELECT section_type, n, (SELECT count(*) FROM i WHERE {_TYPE} = section_type) AS headings FROM (VALUES " + ", ".join(f"('{t}', {n}::BIGINT)" for t, n in (x.split() for x in NAMES_OF_TYPE.split(","))) + ") AS t(section_type, n)")
+def lexicon_dimension(i):
+    """Names of each type, and how many headings are of the type."""
+    found = lx.add_match(i, F.col("heading"), "m").groupBy(F.col("m.type").alias("section_type")).agg(F.count("*").alias("headings"))
+    names = lx.lexicon(i.sparkSession).groupBy("section_type").agg(F.countDistinct("variant").alias("n"))
+    return names.join(found, "section_type", "left").fillna(0, "headings")
+
+
+@derived("set_03_type_families", HEADINGS, "SELECT *, (SELECT count(*) FROM i WHERE k % 11 IN (0, 1)) AS imrad_headings, (SELECT count(*) FROM i WHERE k % 11 IN (6, 7)) AS tail_headings FROM (VALUES (8::BIGINT, 23::BIGINT, 12::BIGINT, 9::BIGINT, 4::BIGINT)) AS t(imrad, run_in, body, back, tail)")
+def type_families(i):
+    """Types of each family, and how many headings are of a family's types."""
+    found = lx.add_match(i, F.col("heading"), "m").groupBy(F.col("m.variant").alias("variant")).agg(F.count("*").alias("n"))
+    lines = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("n"))), F.lit(0)).alias(f"{c}_headings")
     one = lambda c: F.countDistinct(F.when(F.col(c), F.col("section_type"))).alias(c)
-    return lx.lexicon(spark).agg(*[one(c) for c in ("imrad", "run_in", "body", "back", "tail")])
+    return lx.lexicon(i.sparkSession).join(found, "variant", "left").agg(*[one(c) for c in ("imrad", "run_in", "body", "back", "tail")], lines("imrad"), lines("tail"))
 
 
 TITLES = "SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'The Effect of ' || c_name || ' on a Market' WHEN 1 THEN 'the effect of Care on market' WHEN 2 THEN 'of the and' ELSE '12 34' END AS s FROM {customer}"
