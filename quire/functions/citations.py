@@ -146,22 +146,28 @@ def _initials(parts: Column, separator: str) -> Column:
 
 def format_author(author: Column) -> Column:
     """Surname and initials. Lower-case particles right before the last name belong to it; others stay among the initials."""
-    parts = F.filter(F.split(author, f"[{WS}]+"), lambda p: p != "")
-    n = F.size(parts)
-    # particles before the last part: the length of the run of lower-case parts at the end of the others
-    run = F.aggregate(F.slice(parts, 1, F.greatest(n - 1, F.lit(0))), F.lit(0), lambda a, p: F.when(_starts_lower(p), a + 1).otherwise(0))
-    surname = F.array_join(F.slice(parts, n - run, run + 1), " ")
-    plain = strip(F.concat_ws(" ", surname, _initials(F.slice(parts, F.lit(1), F.greatest(n - 1 - run, F.lit(0))), "")))
+    words = lambda c: F.filter(F.split(c, f"[{WS}]+"), lambda p: p != "")
+
+    def plain(x: Column) -> Column:
+        """x: parts, n and run (the length of the run of lower-case parts at the end of those before the last)."""
+        parts, n, run = x["parts"], x["n"], x["run"]
+        return strip(F.concat_ws(" ", F.array_join(F.slice(parts, n - run, run + 1), " "), _initials(F.slice(parts, F.lit(1), F.greatest(n - 1 - run, F.lit(0))), "")))
+
+    def of(parts: Column) -> Column:
+        n = F.size(parts)
+        run = F.aggregate(F.slice(parts, 1, F.greatest(n - 1, F.lit(0))), F.lit(0), lambda a, p: F.when(_starts_lower(p), a + 1).otherwise(0))
+        return F.when(n == 0, "").when(author.contains(","), comma).otherwise(let(F.struct(parts.alias("parts"), n.alias("n"), run.alias("run")), plain))
+
     given = strip(F.substr(author, F.instr(author, ",") + 1))
-    comma = strip(F.concat_ws(" ", strip(F.substring_index(author, ",", 1)), _initials(F.filter(F.split(given, f"[{WS}]+"), lambda p: p != ""), " ")))
-    return F.when(n == 0, "").when(author.contains(","), comma).otherwise(plain)
+    comma = strip(F.concat_ws(" ", strip(F.substring_index(author, ",", 1)), _initials(words(given), " ")))
+    return let(words(author), of)
 
 
 def format_authors(authors: Column) -> Column:
     """All names and a full stop, or the first three and et al. of more than six; '' for none."""
     names = F.filter(F.transform(authors, lambda a: F.regexp_replace(squeeze(a), "[‐-‒–—]", "-")), lambda a: a.isNotNull() & (a != ""))
-    shown = F.transform(names, format_author)
-    text = F.when(F.size(shown) > 6, F.concat(F.array_join(F.slice(shown, 1, 3), ", "), F.lit(", et al."))).otherwise(F.concat(F.array_join(shown, ", "), F.lit(".")))
+    shown = lambda some: F.array_join(F.transform(some, format_author), ", ")
+    text = let(names, lambda a: F.when(F.size(a) > 6, F.concat(shown(F.slice(a, 1, 3)), F.lit(", et al."))).otherwise(F.concat(shown(a), F.lit("."))))
     return F.when(F.coalesce(F.size(authors), F.lit(0)) <= 0, "").otherwise(text)
 
 
