@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterator
+from collections.abc import Sequence
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.citations import clean, doi_key, first_doi, format_authors, format_numbers, normalize_doi, page_info
 from quire.functions.text import let, lines, normalize_journal_name, sentence_case, strip
+from quire.partitions import tasks_of
 
 # Fixed values.
 OPENALEX = "title string, authorships array<struct<author:struct<display_name:string>>>, locations array<struct<raw_source_name:string>>"
@@ -54,17 +56,19 @@ def journal_dimension(records: DataFrame) -> DataFrame:
     return rows.groupBy("title_key").agg(F.min("ord").alias("ord"), F.max_by("f", "ord").alias("f")).select("title_key", "ord", "f.*")
 
 
-def find_journals(names: DataFrame, journals: DataFrame, key: list[str]) -> DataFrame:
+def find_journals(names: DataFrame, journals: DataFrame, key: list[str], tasks: int | None = None) -> DataFrame:
     """names: key columns, pos, name. For each key the journal of the first name that is known: an exact title, else the first title
-    that is the name and at most two characters around it.
+    that is the name and at most two characters around it. With ``tasks`` the result is dealt by key to that many.
 
     The near match is an equi-join too: titles without one or two of their outer characters."""
     wanted = names.select(*key, "pos", normalize_journal_name(strip(F.col("name"))).alias("n")).filter("n <> ''")
-    exact = journals.select(F.col("title_key").alias("n"), F.lit(0).alias("near"), F.lit(-1).cast("bigint").alias("rank"), "med_abbr", "title_key")
     cut = [(a, b) for a in range(3) for b in range(3) if 0 < a + b < 3]
     trimmed = F.array_distinct(F.array(*[F.substr("title_key", F.lit(a + 1), F.greatest(F.length("title_key") - (a + b), F.lit(0))) for a, b in cut]))
-    near = journals.select(F.explode(trimmed).alias("n"), F.lit(1).alias("near"), F.col("ord").cast("bigint").alias("rank"), "med_abbr", "title_key").filter("n <> ''")
-    found = wanted.join(exact.unionByName(near), "n")
+    form = lambda n, near, rank: F.struct(n.alias("n"), F.lit(near).alias("near"), rank.cast("bigint").alias("rank"))
+    forms = F.concat(F.array(form(F.col("title_key"), 0, F.lit(-1))), F.transform(trimmed, lambda n: form(n, 1, F.col("ord"))))
+    titles = journals.select(F.explode(forms).alias("x"), "med_abbr", "title_key").select("x.*", "med_abbr", "title_key").filter("n <> ''")
+    found = wanted.join(titles, "n")
+    found = found if tasks is None else found.repartition(tasks, *key)
     return found.groupBy(*key).agg(F.min_by(F.struct("title_key", "med_abbr"), F.struct("pos", "near", "rank")).alias("j")).select(*key, "j.title_key", "j.med_abbr")
 
 
@@ -117,53 +121,96 @@ def with_metadata_fields(df: DataFrame) -> DataFrame:
     ).drop("__a", "__b")
 
 
-def text_edits(original: str, edited: str) -> list[dict]:
-    """What changes from one text to the other: runs of words and punctuation, with character spans. R: replaced, M: missing before,
-    U: unnecessary before."""
-    a, b = ([(m.start(), m.end()) for m in re.finditer(r"\w+|[^\w\s]", t)] for t in (original, edited))
-    words = [[t[i:j] for i, j in at] for t, at in ((original, a), (edited, b))]
-
-    def span(at: list[tuple[int, int]], i: int, j: int, n: int) -> tuple[int, int]:
+def opcodes(a: Sequence, b: Sequence) -> list[tuple[str, int, int, int, int]]:
+    """The steps from one sequence to the other that difflib finds without junk; equal stretches are left out."""
+    m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+    return [o for o in m.get_opcodes() if o[0] != "equal"]
+
+
+#: Steps depend only on which words are equal. Those of patterns that came lately are kept.
+_steps = lru_cache(maxsize=20_000)(opcodes)
+_WORD = re.compile(r"\w+|[^\w\s]")
+_TYPES = {"replace": "R", "delete": "U", "insert": "M"}
+
+
+def edit_spans(original: str, edited: str) -> list[tuple[int, int, int, int, str]]:
+    """What changes from one text to the other: runs of words and punctuation, as start and end in both texts and a type. R: replaced,
+    M: missing before, U: unnecessary before."""
+    words = [_WORD.findall(t) for t in (original, edited)]
+    numbers: dict[str, int] = {}
+    steps = _steps(*(tuple([numbers.setdefault(w, len(numbers)) for w in some]) for some in words))
+    if not steps:
+        return []
+    starts: list[list[int]] = []
+    for t, some in zip((original, edited), words):
+        at, place = 0, []
+        for w in some:  # only white space is between words
+            at = t.index(w, at)
+            place.append(at)
+            at += len(w)
+        starts.append(place)
+
+    def span(k: int, i: int, j: int, n: int) -> tuple[int, int]:
+        at = starts[k]
         if i < j:
-            return at[i][0], at[j - 1][1]
-        return (at[i][0],) * 2 if i < len(at) else (n, n)
+            return at[i], at[j - 1] + len(words[k][j - 1])
+        return (at[i],) * 2 if i < len(at) else (n, n)
 
     out = []
-    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, *words, autojunk=False).get_opcodes():
-        if tag == "equal":
-            continue
-        (s, e), (u, v) = span(a, i1, i2, len(original)), span(b, j1, j2, len(edited))
+    for tag, i1, i2, j1, j2 in steps:
+        (s, e), (u, v) = span(0, i1, i2, len(original)), span(1, j1, j2, len(edited))
         while s > 0 and u > 0 and original[s - 1].isspace() and original[s - 1] == edited[u - 1]:
             s, u = s - 1, u - 1
-        out.append({"original_text": original[s:e], "edited_text": edited[u:v], "original_position": {"start": s, "end": e}, "edited_position": {"start": u, "end": v}, "edit_type": {"replace": "R", "delete": "U", "insert": "M"}[tag]})
+        out.append((s, e, u, v, _TYPES[tag]))
     return out
 
 
-def edits_udf() -> Column:
-    @F.pandas_udf(EDITS)
-    def edits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for original, edited in batches:
-            yield pd.Series([text_edits(o, e) if o and e else [] for o, e in zip(original, edited)])
-
-    return edits
+def text_edits(original: str, edited: str) -> list[dict]:
+    """edit_spans() with the texts."""
+    return [{"original_text": original[s:e], "edited_text": edited[u:v], "original_position": {"start": s, "end": e}, "edited_position": {"start": u, "end": v}, "edit_type": kind} for s, e, u, v, kind in edit_spans(original, edited)]
+
+
+def edits_column(original: Column, edited: Column) -> Column:
+    """text_edits() of two columns; none where either is empty. Python finds the spans; texts are cut out by Spark."""
+    @F.arrow_udf("array<struct<s:int,e:int,u:int,v:int,kind:string>>")
+    def spans(originals: pa.Array, edits: pa.Array) -> pa.Array:
+        rows, ends = [], [0]
+        for o, e in zip(originals.to_pylist(), edits.to_pylist()):
+            if o and e:
+                rows.extend(edit_spans(o, e))
+            ends.append(len(rows))
+        columns = list(zip(*rows)) or [()] * 5
+        parts = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] * 4 + [pa.string()])], names=["s", "e", "u", "v", "kind"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)
+
+    cut = lambda c, a, z: F.substr(c, a + 1, z - a)
+    place = lambda a, z: F.struct(a.alias("start"), z.alias("end"))
+    return F.transform(spans.asNondeterministic()(original, edited), lambda x: F.struct(
+        cut(original, x["s"], x["e"]).alias("original_text"), cut(edited, x["u"], x["v"]).alias("edited_text"),
+        place(x["s"], x["e"]).alias("original_position"), place(x["u"], x["v"]).alias("edited_position"), x["kind"].alias("edit_type"))).cast(EDITS)
 
 
 def rebuild(refs: DataFrame, metadata: DataFrame, journals: DataFrame, with_edits: bool = True) -> DataFrame:
     """refs: doc_id, ord, actual_ref. Returns them with doi, edited, missing_components, warnings and text_edits.
 
     A citation without a DOI or without metadata keeps an empty edited form. Others are put together again from metadata, the
-    journal list and their own numbers. Joins are on keys: the DOI, and journal titles."""
+    journal list and their own numbers. Joins are on keys: the DOI, and journal titles. References are counted first, so that a task has a
+    bounded number of them."""
+    n = tasks_of(refs.select("doc_id"))
     r = refs.select("doc_id", "ord", clean(F.col("actual_ref")).alias("original"))
     r = r.withColumn("doi", normalize_doi(first_doi(F.col("original"))))
-    r = with_metadata_fields(with_metadata(r, metadata))
+    r = with_metadata(r, metadata).repartition(n, "doc_id", "ord")
+    r = with_metadata_fields(r)
     names = r.select("doc_id", "ord", F.posexplode("journal_names").alias("pos", "name"))
-    r = r.join(find_journals(names, journals, ["doc_id", "ord"]), ["doc_id", "ord"], "left")
+    r = r.join(find_journals(names, journals, ["doc_id", "ord"], n), ["doc_id", "ord"], "left")
     authors, title = format_authors(F.col("author_names")), clean(F.col("title"))
     authors = F.when(F.size("author_names") > 0, authors).otherwise("")
     journal = F.coalesce(F.nullif(clean(F.col("med_abbr")), F.lit("")), F.get("journal_names", F.lit(0)), F.lit(""))
     five = lambda x: F.struct(*[x[n].alias(n) for n in ("year", "volume", "issue", "pages")], F.lit(None).cast("string").alias("article_number"))
     numbers = F.coalesce(let(page_info(F.col("original")), lambda x: format_numbers(five(x))), F.lit(""))
-    r = r.select("doc_id", "ord", "original", "doi", F.col("metadata").isNotNull().alias("known"), authors.alias("a"), title.alias("t"), journal.alias("j"), numbers.alias("n"))
+    known = F.col("metadata").isNotNull()
+    shown = lambda c: F.when(known & (F.col("doi") != ""), c).otherwise("")  # noqa: E731  parts of others are not asked for
+    r = r.select("doc_id", "ord", "original", "doi", known.alias("known"), shown(authors).alias("a"), shown(title).alias("t"), shown(journal).alias("j"), shown(numbers).alias("n"))
     part = lambda c, text: F.when(c != "", text)
     parts = F.array_compact(F.array(part(F.col("a"), F.col("a")), part(F.col("t"), F.concat(sentence_case(F.col("t")), F.lit("."))), part(F.col("j"), F.concat("j", F.lit("."))),
                                     part(F.col("n"), F.concat("n", F.lit("."))), F.concat(F.lit("https://doi.org/"), "doi", F.lit("."))))
@@ -172,18 +219,19 @@ def rebuild(refs: DataFrame, metadata: DataFrame, journals: DataFrame, with_edit
         F.when(F.col("a") == "", F.lit("Authors")), F.when(F.col("t") == "", F.lit("Title")), F.when(F.col("j") == "", F.lit("Journal name/abbreviation")), F.when(F.col("n") == "", F.lit("Bibliographic numbers")))))
     warnings = F.when((F.col("doi") != "") & ~F.col("known"), F.array(F.lit(NO_METADATA))).otherwise(F.array().cast("array<string>"))
     r = r.select("doc_id", "ord", "original", "doi", edited.alias("edited"), missing.alias("missing_components"), warnings.alias("warnings"))
-    return r.withColumn("text_edits", edits_udf()("original", "edited")) if with_edits else r
+    return r.withColumn("text_edits", edits_column(F.col("original"), F.col("edited"))) if with_edits else r
 
 
 def report_rows(results: DataFrame) -> DataFrame:
-    """Workbook rows: one per text edit, then warnings, then incomplete components; a row that says so where there is nothing."""
-    base = results.select("doc_id", "ord", "original", "edited", "text_edits", "missing_components", "warnings")
-    edits = base.select("doc_id", "ord", F.lit(0).alias("kind_ord"), F.posexplode("text_edits").alias("pos", "e"), "original", "edited")
-    edits = edits.select("doc_id", "ord", "kind_ord", "pos", "original", "edited", F.lit("Text Edit").alias("kind"), F.concat_ws(" to ", "e.original_text", "e.edited_text").alias("detail"))
-    rows = lambda column, kind_ord, kind: base.select("doc_id", "ord", F.lit(kind_ord).alias("kind_ord"), F.posexplode(column).alias("pos", "detail"), "original", "edited").withColumn("kind", F.lit(kind))
-    none = base.filter((F.size("text_edits") == 0) & (F.size("missing_components") == 0) & (F.size("warnings") == 0))
-    none = none.select("doc_id", "ord", F.lit(3).alias("kind_ord"), F.lit(0).alias("pos"), F.lit("No Edits").alias("detail"), "original", "edited", F.lit("No Edits").alias("kind"))
-    return edits.unionByName(rows("warnings", 1, "Warning")).unionByName(rows("missing_components", 2, "Incomplete Component")).unionByName(none)
+    """Workbook rows: one per text edit, then warnings, then incomplete components; a row that says so where there is nothing. A result's
+    rows are made together, so that it is computed once."""
+    row = lambda kind_ord, kind, detail, pos: F.struct(F.lit(kind_ord).alias("kind_ord"), pos.cast("int").alias("pos"), F.lit(kind).alias("kind"), detail.alias("detail"))
+    edits = F.transform("text_edits", lambda e, i: row(0, "Text Edit", F.concat_ws(" to ", e["original_text"], e["edited_text"]), i))
+    told = lambda c, kind_ord, kind: F.transform(c, lambda x, i: row(kind_ord, kind, x, i))
+    rows = F.concat(edits, told("warnings", 1, "Warning"), told("missing_components", 2, "Incomplete Component"))
+    none = F.array(row(3, "No Edits", F.lit("No Edits"), F.lit(0)))
+    rows = F.when((F.size("text_edits") == 0) & (F.size("missing_components") == 0) & (F.size("warnings") == 0), none).otherwise(rows)
+    return results.select("doc_id", "ord", F.explode(rows).alias("r"), "original", "edited").select("doc_id", "ord", "r.kind_ord", "r.pos", "original", "edited", "r.kind", "r.detail")
 
 
 LAST = 2147483647
@@ -192,8 +240,9 @@ LAST = 2147483647
 def edit_rows(results: DataFrame) -> DataFrame:
     """The earlier workbook: doc_id, ord, pos, original, edited and detail. A row per text edit, or one without; original and edited stand
     in the first row only, and an empty row ends each reference."""
-    rows = results.select("doc_id", "ord", "original", "edited", F.posexplode_outer("text_edits").alias("pos", "e")).withColumn("pos", F.coalesce("pos", F.lit(0)))
-    first = lambda c: F.when(F.col("pos") == 0, F.col(c)).otherwise("").alias(c)
-    shown = rows.select("doc_id", "ord", "pos", first("original"), first("edited"), F.coalesce(F.concat_ws(" to ", "e.original_text", "e.edited_text"), F.lit("")).alias("detail"))
-    empty = results.select("doc_id", "ord", F.lit(LAST).alias("pos"), *[F.lit("").alias(c) for c in ("original", "edited", "detail")])
-    return shown.unionByName(empty)
+    texts = F.transform("text_edits", lambda e: F.concat_ws(" to ", e["original_text"], e["edited_text"]))
+    shown = F.when(F.size(texts) > 0, texts).otherwise(F.array(F.lit("")))
+    row = lambda pos, original, edited, detail: F.struct(pos.cast("int").alias("pos"), original.alias("original"), edited.alias("edited"), detail.alias("detail"))
+    first = lambda i, c: F.when(i == 0, F.col(c)).otherwise("")
+    rows = let(shown, lambda s: F.concat(F.transform(s, lambda x, i: row(i, first(i, "original"), first(i, "edited"), x)), F.array(row(F.lit(LAST), F.lit(""), F.lit(""), F.lit("")))))
+    return results.select("doc_id", "ord", F.explode(rows).alias("r")).select("doc_id", "ord", "r.*")

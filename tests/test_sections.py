@@ -281,3 +281,41 @@ def test_workbooks(spark):
 def test_prompts():
     text = prompts.prompt("title", {"a": "b"}, {"x": "y"})
     assert "- a: b" in text and "- x -> y" in text and '"edit_score": double' in text and len(prompts.TASKS) == 9
+
+
+def test_report_rows_compute_results_once(spark):
+    """A union of four selections computed each result four times."""
+    docs = spark.createDataFrame([(1, 1, "a b", "a c", ["x"], []), (2, 1, "a", "", [], ["DOI"]), (3, 1, "a", "a", [], [])], "doc_id bigint, ord int, original string, edited string, warnings array<string>, missing_components array<string>")
+    results = docs.withColumn("text_edits", references.edits_column(F.col("original"), F.col("edited")))
+    for rows, want in (
+        (references.report_rows(results), {(1, 0, 0, " b to  c"), (1, 1, 0, "x"), (2, 2, 0, "DOI"), (3, 3, 0, "No Edits")}),
+        (references.edit_rows(results).withColumn("kind_ord", F.lit(0)), {(1, 0, 0, " b to  c"), (2, 0, 0, ""), (3, 0, 0, "")} | {(k, 0, references.LAST, "") for k in (1, 2, 3)}),
+    ):
+        assert {(r.doc_id, r.kind_ord, r.pos, r.detail) for r in rows.collect()} == want
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_edit_spans_are_those_of_difflib(spark):
+    import difflib
+    import re
+
+    rng = random.Random(3)
+    pairs = [tuple(" ".join(rng.choice(["a", "b", "c,", "é.", "x;y", "dd"]) for _ in range(rng.randint(1, 30))) for _ in "xy") for _ in range(200)] + [("", "a"), ("a", ""), ("x  y", "x\ty z"), ("𝔸 b", "b 𝔸 c")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "k int, a string, b string").withColumn("e", references.edits_column(F.col("a"), F.col("b")))
+    for r in df.collect():
+        words = [re.findall(r"\w+|[^\w\s]", t) for t in (r.a, r.b)]
+        tags = [t for t, *_ in difflib.SequenceMatcher(None, *words, autojunk=False).get_opcodes() if t != "equal"] if r.a and r.b else []
+        assert [e.edit_type for e in r.e] == [{"replace": "R", "delete": "U", "insert": "M"}[t] for t in tags]
+        for e in r.e:
+            assert r.a[e.original_position.start : e.original_position.end] == e.original_text and r.b[e.edited_position.start : e.edited_position.end] == e.edited_text
+
+
+def test_sentence_case_keeps_every_character(spark):
+    """Texts are cut at sentences, no longer into characters; what is between stays."""
+    import re
+
+    rng = random.Random(5)
+    for t in ["", " ab. cd", "ab.\u00a0 cd!e ?f? g", "A. B. C", ". a", "é. ñ b. c"] + ["".join(rng.choice("aB.!? \té1") for _ in range(40)) for _ in range(20)]:
+        low = t.lower()
+        want = re.sub(r"\A[a-z]|(?<=[.!?])\s+[a-z]", lambda m: m[0].upper(), low)
+        assert one(spark, t, tx.sentence_case) == want
