@@ -72,7 +72,7 @@ def format_author(i):
     return i.select("k", ct.format_authors(F.array("author")).alias("a")).select("k", F.expr("left(a, length(a) - 1)").alias("shown"))
 
 
-@derived("agg_16_format_authors", "SELECT c_custkey AS k, c_custkey % 9 AS n FROM {customer}", "SELECT k, CASE WHEN n = 0 THEN '' WHEN n > 6 THEN 'A1 G, A2 G, A3 G, et al.' ELSE array_to_string(list_transform(range(1, n + 1), lambda x: 'A' || x || ' G'), ', ') || '.' END AS authors FROM i")
+@derived("agg_16_format_authors", "SELECT c_custkey AS k, c_custkey % 9 AS n FROM {customer}", "SELECT k, CASE WHEN n = 0 THEN '' WHEN n > 6 THEN 'A1 G, A2 G, A3 G, et al.' ELSE array_to_string(list_transform(range(1, n + 1), lambda x: 'A' || x || ' G'), ', ') || '.' END AS authors FROM i", heavy=True)
 def format_authors(i):
     names = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest("n", F.lit(1))), lambda x: F.concat(F.lit("Given A"), x.cast("string")))).otherwise(F.array().cast("array<string>"))
     return i.select("k", ct.format_authors(names).alias("authors"))
@@ -142,7 +142,7 @@ def journal_lookup(spark, sf_dir):
     """First name unknown; second exact (kind 0), near (kind 1) or unknown (kind 2)."""
     i = source(spark, sf_dir, WANTED)
     names = i.select("k", F.posexplode(F.array(F.lit("Unknown Journal"), F.expr("CASE kind WHEN 0 THEN exact WHEN 1 THEN near ELSE 'Nothing' END"))).alias("pos", "name"))
-    return rf.find_journals(names, rf.journal_dimension(_records(source(spark, sf_dir, JOURNALS))), ["k"])
+    return rf.find_journals(names, rf.journal_dimension(_records(spread(source(spark, sf_dir, JOURNALS)))), ["k"])
 
 
 CACHE = "SELECT '10.1000/' || user_id AS doi, props AS metadata, event_type AS source, CAST(1 AS INT) AS success, ts AS updated_at, event_id FROM {events}"
@@ -192,7 +192,7 @@ def rebuilt_references(spark, sf_dir):
 def _rebuilt(spark, sf_dir, i, with_edits):
     refs = i.select(F.col("k").alias("doc_id"), F.lit(1).alias("ord"), F.col("ref").alias("actual_ref"))
     meta = i.filter("kind < 2").select(F.concat(F.lit("10.1000/x"), F.col("k").cast("string")).alias("doi"), "metadata", "source", F.lit(True).alias("success"))
-    return rf.rebuild(refs, meta, rf.journal_dimension(_records(source(spark, sf_dir, JOURNALS))), with_edits)
+    return rf.rebuild(refs, meta, rf.journal_dimension(_records(spread(source(spark, sf_dir, JOURNALS)))), with_edits)
 
 
 @query("fn_59_text_edits", f"WITH i AS ({META}) SELECT k AS doc_id, kind < 2 AS changed FROM i")
