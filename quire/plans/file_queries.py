@@ -241,10 +241,10 @@ def metadata_provider(i):
 
 
 @derived("src_10_job_states", "SELECT s_suppkey AS k, CASE s_suppkey % 6 WHEN 0 THEN 'completed' WHEN 1 THEN 'true' WHEN 2 THEN 'Error' WHEN 3 THEN 'RUNNING' WHEN 4 THEN 'FAILED' END AS status FROM {supplier}",
-         "SELECT k, CASE WHEN k % 6 < 2 THEN 'done' WHEN k % 6 IN (2, 4) THEN 'failed' ELSE 'pending' END AS state, CASE WHEN k % 6 < 2 THEN 'done' WHEN k % 6 IN (2, 4) THEN 'failed' WHEN k % 6 = 3 THEN 'timeout' END AS outcome, CASE WHEN k % 6 < 2 THEN upper(status) END AS response FROM i")
+         "SELECT k, CASE WHEN k % 6 < 2 THEN 'done' WHEN k % 6 IN (2, 4) THEN 'failed' ELSE 'pending' END AS state, CASE WHEN k % 6 < 2 THEN 'done' WHEN k % 6 IN (2, 4) THEN 'failed' WHEN k % 6 = 3 THEN 'timeout' END AS outcome, CASE WHEN k % 6 < 2 THEN upper(status) END AS response FROM i", heavy=True)
 def job_states(i):
     """States by column, and jobs that are submitted and asked for until they end; without a payload nothing is sent."""
-    run = providers.job_provider(lambda payload: payload, lambda job: (job, job.upper()), "status", timeout=0.02, interval=0.01)
+    run = providers.job_provider(lambda payload: payload, lambda job: (job, job.upper()), "status", timeout=0.02, interval=0.01, at_once=16)
     outcome = run(i.select("k", "status"))
     return outcome.select("k", providers.job_state(F.col("status")).alias("state"), "outcome", F.when(F.col("outcome") == "done", F.col("response")).alias("response"))
 
@@ -258,7 +258,7 @@ def structured_references(i):
 SIMILAR = "SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN p_name || ' one' WHEN 1 THEN repeat('ab', 150) || 'x' || repeat('ab', 150) WHEN 2 THEN '' ELSE 'abcd' END AS x, CASE p_partkey % 4 WHEN 0 THEN p_name || ' two' WHEN 1 THEN repeat('ab', 150) || 'y' || repeat('ab', 150) WHEN 2 THEN '' ELSE 'bcde' END AS y, p_name FROM {part}"
 
 
-@derived("fn_61_similarity", SIMILAR, "SELECT k, CASE k % 4 WHEN 0 THEN (length(p_name) + 2) / (length(p_name) + 4) WHEN 1 THEN 300 / 601 WHEN 2 THEN 1.0 ELSE 0.75 END::DOUBLE AS ratio FROM i")
+@derived("fn_61_similarity", SIMILAR, "SELECT k, CASE k % 4 WHEN 0 THEN (length(p_name) + 2) / (length(p_name) + 4) WHEN 1 THEN 300 / 601 WHEN 2 THEN 1.0 ELSE 0.75 END::DOUBLE AS ratio FROM i", heavy=True)
 def similarity(i):
     """Long texts of few characters are compared as far as they agree from the start: frequent characters count as junk there."""
     pair = F.array(F.struct(F.col("x"), F.col("y"), F.lit(0.0).alias("least")))

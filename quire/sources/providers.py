@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pyarrow as pa
@@ -121,15 +122,18 @@ def poll(submit: Callable[[str], str | None], state: Callable[[str], tuple[str,
     return "timeout", None
 
 
-def job_provider(submit: Callable[[str], str | None], state: Callable[[str], tuple[str, str | None]], payload: str = "payload", **options) -> Provider:
-    """Requests with a payload get outcome (see poll()) and response. Null payloads are not sent."""
+def job_provider(submit: Callable[[str], str | None], state: Callable[[str], tuple[str, str | None]], payload: str = "payload", at_once: int = 1, **options) -> Provider:
+    """Requests with a payload get outcome (see poll()) and response. Null payloads are not sent. A task waits for ``at_once`` jobs at a time;
+    with more than one, submit and state are called from several threads."""
     def provide(requests: DataFrame) -> DataFrame:
         schema = requests.selectExpr("*", "CAST(NULL AS STRING) AS outcome", "CAST(NULL AS STRING) AS response").schema
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = [poll(submit, state, p, **options) if p is not None else (None, None) for p in batch.column(payload).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[i] for x in out], pa.string()) for i in (0, 1))], schema.names)
+            ended = lambda p: poll(submit, state, p, **options) if p is not None else (None, None)
+            with ThreadPoolExecutor(at_once) as threads:
+                for batch in batches:
+                    out = list((threads.map if at_once > 1 else map)(ended, batch.column(payload).to_pylist()))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[i] for x in out], pa.string()) for i in (0, 1))], schema.names)
 
         return requests.mapInArrow(run, schema)
 

@@ -319,3 +319,28 @@ def test_sentence_case_keeps_every_character(spark):
         low = t.lower()
         want = re.sub(r"\A[a-z]|(?<=[.!?])\s+[a-z]", lambda m: m[0].upper(), low)
         assert one(spark, t, tx.sentence_case) == want
+
+
+def test_sections_are_dealt_by_counted_tasks(spark):
+    """Lines and blocks were shuffled into parts whose number did not follow from the texts, so that tasks grew with them."""
+    import re
+
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("METHODS\n\n"), F.repeat(F.lit("words and more "), 20_000)).alias("raw"))
+    n = text_reader.text_tasks(docs)
+    assert n == -(-40 * (9 + 300_000 + 64) // text_reader.CHARS) > 4
+    plan = sections.extract_sections(docs)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\), (\w+)", plan) == [(str(n), "REPARTITION_BY_NUM")] * 2
+
+
+def test_several_jobs_are_waited_for_at_once(spark):
+    jobs_in = spark.createDataFrame([("a",), (None,), ("b",)], "payload string").coalesce(1)
+    asked = providers.job_provider(lambda p: p, lambda job: ("RUNNING" if job == "b" else "DONE", job.upper()), timeout=0.02, interval=0.01, at_once=3)
+    assert [tuple(r) for r in asked(jobs_in).collect()] == [("a", "done", "A"), (None, None, None), ("b", "timeout", None)]
+
+
+@pytest.mark.parametrize("name", ["agg_16_format_authors", "fn_61_similarity", "src_10_job_states"])
+def test_small_files_with_heavy_rows_are_spread(spark, name):
+    """A file of one split kept one core busy."""
+    from quire.plans.registry import QUERIES
+
+    assert "Repartition" in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
