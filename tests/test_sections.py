@@ -341,6 +341,6 @@ def test_several_jobs_are_waited_for_at_once(spark):
 @pytest.mark.parametrize("name", ["agg_16_format_authors", "fn_61_similarity", "src_10_job_states"])
 def test_small_files_with_heavy_rows_are_spread(spark, name):
     """A file of one split kept one core busy."""
-    from quire.plans.registry import QUERIES
+    from quire.plans.all_queries import QUERIES
 
     assert "Repartition" in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
