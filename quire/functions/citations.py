@@ -9,7 +9,8 @@ from quire.functions.text import WS, let, squeeze, strip
 
 # Fixed values.
 YEAR = r"(?:18|19|20|21)\d{2}"
-DOI = r"(?i)\b(?:https?://doi\.org/|doi:\s*)?(10\.\d{4,9}/[-._;()/:A-Z0-9]+)"
+#: It is asked for a word's start only where a DOI can begin: that question is dear, and there are many words.
+DOI = r"(?i)(?=[hd1])\b(?:https?://doi\.org/|doi:\s*)?(10\.\d{4,9}/[-._;()/:A-Z0-9]+)"
 DOI_PREFIX = r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:)"
 NUMBERS = rf"\.\s*{YEAR}\s*;\s*\d+[A-Za-z]?(?:\s*\([^)]*\))*(?:\s*:\s*[A-Za-z]{{0,10}}?\d+(?:\s*[-–—]\s*[A-Za-z]{{0,10}}?\d+)?)?\.?\s*\z"
 PAGE_INFO = (
@@ -31,7 +32,7 @@ def clean(c: Column) -> Column:
 
 def first_doi(c: Column) -> Column:
     """The first DOI with its prefix, without closing punctuation; null if there is none."""
-    return _none(F.regexp_replace(F.regexp_extract(c, DOI, 0), r"[.,;:]+\z", ""))
+    return _none(F.rtrim(F.regexp_extract(c, DOI, 0), F.lit(".,;:")))
 
 
 def normalize_doi(c: Column) -> Column:
@@ -93,18 +94,18 @@ def parse_reference(c: Column, compat: bool = True) -> Column:
 
     With compat a citation that ends in numbers has everything before the DOI in ``numbers``; without, numbers start after the
     last sentence before the journal."""
-    et_al, plain = r"(?i)^(.+?\bet al\.?)\s+(.+)\z", r"^([^.]+?)\.\s+(.+)\z"
+    et_al = r"(?i)^(.+?(?=et al)\bet al\.?)\s+(.+)\z"
 
     def cut(text: Column) -> Column:
-        """The DOI, and the text before it."""
+        """The DOI, and the text before it. What may stand before a DOI has no 10. in it."""
         return let(F.regexp_extract(text, DOI, 0), lambda found: F.struct(
-            F.regexp_replace(F.regexp_extract(text, DOI, 1), r"[.,;)\]}]+\z", "").alias("doi"),
-            F.when(found != "", F.regexp_replace(F.substr(text, F.lit(1), F.instr(text, found) - 1), r"[ .,;]+\z", "")).otherwise(text).alias("text")))
+            F.rtrim(F.substr(found, F.instr(found, "10.")), F.lit(".,;)]}")).alias("doi"),
+            F.when(found != "", F.rtrim(F.substr(text, F.lit(1), F.instr(text, found) - 1), F.lit(" .,;"))).otherwise(text).alias("text")))
 
     def numbered(x: Column) -> Column:
         text = x["text"]
         if compat:
-            numbers = F.when(text.rlike(rf"(?i)^.+?{NUMBERS}"), strip(text)).otherwise("")
+            numbers = F.when(F.substr(text, F.lit(2)).rlike(rf"(?i){NUMBERS}"), strip(text)).otherwise("")
             rest = lambda n: F.when(n != "", "").otherwise(text)
         else:
             split = rf"(?i)^(?:.*[.?!]\s+)?([^.]+{NUMBERS})"
@@ -113,12 +114,17 @@ def parse_reference(c: Column, compat: bool = True) -> Column:
         return let(numbers, lambda n: F.struct(x["doi"].alias("doi"), n.alias("numbers"), rest(n).alias("rest")))
 
     def divided(x: Column) -> Column:
+        """At et al., or else at the first full stop, if a blank follows. There are no two blanks in a row, nor one at the end."""
         rest = x["rest"]
-        pick = lambda rx: F.struct(strip(F.regexp_extract(rest, rx, 1)).alias("author"), strip(F.regexp_extract(rest, rx, 2)).alias("title"), x["numbers"].alias("numbers"), x["doi"].alias("doi"))
-        none = F.struct(F.lit("").alias("author"), rest.alias("title"), x["numbers"].alias("numbers"), x["doi"].alias("doi"))
-        return F.when(rest.rlike(et_al), pick(et_al)).when(rest.rlike(plain), pick(plain)).otherwise(none)
-
-    text = F.regexp_replace(F.regexp_replace(squeeze(F.coalesce(c, F.lit(""))), "[‐‒–—−]", "-"), r"^\s*(?:\[\d+\]|\(\d+\)|\d+[.)])\s*", "")
+        made = lambda author, title: F.struct(strip(author).alias("author"), strip(title).alias("title"), x["numbers"].alias("numbers"), x["doi"].alias("doi"))
+        first = lambda a: F.when((a != "") & F.startswith(F.substr(rest, F.length(a) + 1), F.lit(". ")), made(a, F.substr(rest, F.length(a) + 2))).otherwise(made(F.lit(""), rest))
+        return F.when(rest == "", made(rest, rest)).when(rest.rlike(et_al), made(F.regexp_extract(rest, et_al, 1), F.regexp_extract(rest, et_al, 2))).otherwise(let(F.substring_index(rest, ".", 1), first))
+
+    raw = F.coalesce(c, F.lit(""))
+    dashes = "‐‒–—−"
+    # most texts are ASCII without blanks in a row, in which there is neither white space nor a dash to change
+    plain = F.when(raw.rlike("[^ -~]|  "), F.regexp_replace(F.regexp_replace(raw, f"[{WS}]+", " "), f"[{dashes}]", "-")).otherwise(raw)
+    text = F.regexp_replace(strip(plain), r"^\s*(?:\[\d+\]|\(\d+\)|\d+[.)])\s*", "")
     out = let(let(let(text, cut), numbered), divided)
     return let(out, lambda x: F.struct(x["author"].alias("author"), x["title"].alias("title"), x["numbers"].alias("numbers"), x["doi"].alias("doi"), c.alias("actual_ref")))
 
