@@ -378,3 +378,20 @@ def test_citations_are_searched_once_for_each_part(spark):
         for r in made.collect():
             assert tuple(r.x)[:4] == parts(r.c, compat), r.c
         assert len(re.findall(r"regexp_\w+\(|RLIKE", made._jdf.queryExecution().optimizedPlan().toString())) <= 9
+
+
+def test_workbooks_are_streamed(spark):
+    """A workbook's rows met in one array of the JVM and one list of Python, and all of its cells were read into another."""
+    rows = spark.range(20_000).select((F.col("id") % 2).alias("book"), F.when(F.col("id") % 4 < 2, "b").otherwise("a").alias("sheet"), (-F.col("id")).alias("n"), F.concat(F.lit("<é "), "id").alias("x"))
+    books = workbook.workbooks(rows, "book", "sheet", ["n"], ["n", "x"])
+    assert "collect_list" not in books._jdf.queryExecution().optimizedPlan().toString()
+    cells = workbook.workbook_cells(books).filter("column = 1").groupBy("book", "sheet", "row").agg(F.first("text").alias("t"), F.count("*").alias("k")).collect()
+    places = {(b, s): [x for x in range(19_999, -1, -1) if x % 2 == b and (x % 4 < 2) == (s == "b")] for b in (0, 1) for s in "ab"}
+    want = {(b, s, i): f"<é {x}" for (b, s), ids in places.items() for i, x in enumerate(ids, 2)} | {(b, s, 1): "x" for b, s in places}
+    assert {(r.book, r.sheet, r.row): r.t for r in cells} == want and all(r.k == 1 for r in cells)
+    file = workbook.Book()
+    file.begin("s")
+    for i in range(1000):
+        file.add([[{"text": str(i)}]])
+    runs = workbook.cells_of(file.content())
+    assert next(runs)["text"] == "0" and len(list(runs)) == 999  # one after the other
