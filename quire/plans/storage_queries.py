@@ -18,12 +18,15 @@ from quire.streaming.jobs import run_jobs
 
 @query("src_02_text_files", "SELECT doc_id, md5(coalesce(text, '')) AS content, length(coalesce(text, '')) AS n FROM documents")
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a file of its own, read back as whole texts."""
+    """Every document as a file of its own, read back as whole texts. Files are dealt to folders, each of which is a task's."""
     services.register(spark)
     folder = shared_folder(spark, "texts")
-    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("book"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
-    files.write.format("quire_workbooks").option("suffix", ".txt").mode("append").save(folder)
-    read = text_reader.read_texts(spark, folder)
+    docs = table(spark, sf_dir, "documents")
+    n = text_reader.text_tasks(docs, "text")
+    files = docs.select(F.col("doc_id").cast("string").alias("book"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    dealt = files.repartitionById(n, services.folder_number(F.concat("book", F.lit(".txt")), n))
+    dealt.write.format("quire_workbooks").option("suffix", ".txt").option("folders", n).mode("append").save(folder)
+    read = text_reader.read_texts(spark, folder, folders=True)
     return read.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("bigint").alias("doc_id"), F.md5("raw").alias("content"), F.length("raw").cast("bigint").alias("n"))
 
 

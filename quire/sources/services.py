@@ -1,6 +1,7 @@
-"""Services and workbooks as data sources of Spark: ``spark.read.format("quire_metadata")`` and ``df.write.format("quire_workbooks")``.
+"""Services, workbooks and folders of files as data sources of Spark: ``spark.read.format("quire_metadata")``,
+``df.write.format("quire_workbooks")`` and ``spark.read.format("quire_files")``.
 
-register(spark) makes both known. Their code runs in tasks: planning and committing are all that the driver does, and no row passes it.
+register(spark) makes them known. Their code runs in tasks: planning and committing are all that the driver does, and no row passes it.
 Files are reached through Arrow's file systems, so paths may be local, or in any store that Arrow knows by its scheme.
 """
 
@@ -11,6 +12,7 @@ import json
 import re
 import time
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -18,13 +20,16 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from quire.sources.providers import ask
 
 METADATA = "key string, metadata string, source string, success boolean, error string"
+#: Bytes and files of a batch that is read.
+BATCH_BYTES, BATCH_FILES = 8 << 20, 1000
 
 
 def _located(path: str) -> tuple[fs.FileSystem, str]:
@@ -38,6 +43,23 @@ def _named(place: str) -> Callable:
     return getattr(importlib.import_module(module), name)
 
 
+#: Names of the folders that files are dealt to.
+FOLDER = r"files-\d+"
+
+
+def file_name(book: object, suffix: str) -> str:
+    return re.sub(r"[^\w.-]", "_", str(book)) + suffix
+
+
+def folder_of(name: str, folders: int) -> str:
+    return f"files-{zlib.crc32(name.encode()) % folders}"
+
+
+def folder_number(name: Column, folders: int) -> Column:
+    """The number of a file's folder, for names without a character that file_name() replaces."""
+    return (F.crc32(F.encode(name, "UTF-8")) % folders).cast("int")
+
+
 @dataclass
 class KeyGroup(InputPartition):
     """A row group of a file of keys."""
@@ -114,41 +136,66 @@ class MetadataSource(DataSource):
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Names of the files that a task has staged."""
+    """Names of the files that a task has staged, or where files are dealt to folders, of those."""
 
     names: list[str]
 
 
 class WorkbookWriter(DataSourceWriter):
-    def __init__(self, path: str, overwrite: bool, suffix: str) -> None:
-        self.path, self.overwrite, self.suffix = path, overwrite, suffix
+    def __init__(self, path: str, overwrite: bool, suffix: str, folders: int) -> None:
+        self.path, self.overwrite, self.suffix, self.folders = path, overwrite, suffix, folders
         self.staged = f"{path.rstrip('/')}/_staged-{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator) -> Written:
         store, folder = _located(self.staged)
-        attempt, names = uuid.uuid4().hex, []  # attempts of one task do not meet
+        attempt = uuid.uuid4().hex  # attempts of one task do not meet
+        names: dict[str, None] = {}
+        made: set[str] = set()
         for row in rows:
-            name = re.sub(r"[^\w.-]", "_", str(row["book"])) + self.suffix
-            store.create_dir(f"{folder}/{attempt}", recursive=True)
-            with store.open_output_stream(f"{folder}/{attempt}/{name}") as out:
+            name = file_name(row["book"], self.suffix)
+            home = f"{attempt}/{folder_of(name, self.folders)}" if self.folders else attempt
+            if home not in made:
+                store.create_dir(f"{folder}/{home}", recursive=True)
+                made.add(home)
+            if f"{home}/{name}" in names:
+                self._clash([name])
+            with store.open_output_stream(f"{folder}/{home}/{name}") as out:
                 out.write(bytes(row["content"] or b""))
-            names.append(f"{attempt}/{name}")
-        return Written(names)
+            names[f"{home}/{name}"] = None
+        return Written(sorted(made) if self.folders else list(names))
+
+    @staticmethod
+    def _clash(names: list[str]) -> None:
+        raise ValueError(f"several workbooks have one file name: {sorted(names)[:5]}")
 
     def commit(self, messages: list[Written | None]) -> None:
         store, folder = _located(self.staged)
         _, target = _located(self.path)
         staged = [n for m in messages if m is not None for n in m.names]
-        again = [n for n, k in Counter(n.split("/")[1] for n in staged).items() if k > 1]
+        if self.folders:
+            tasks = Counter(n.split("/")[1] for n in staged)
+            held = {f.base_name for f in store.get_file_info(fs.FileSelector(target, allow_not_found=True)) if f.type == fs.FileType.Directory}
+            whole = [n for n in staged if tasks[home := n.split("/")[1]] == 1 and (self.overwrite or home not in held)]
+            apart = set(staged) - set(whole)
+            staged = [f"{n}/{f.base_name}" for n in sorted(apart) for f in store.get_file_info(fs.FileSelector(f"{folder}/{n}"))]
+        else:
+            whole = []
+        again = [n for n, k in Counter(n.split("/", 1)[1] for n in staged).items() if k > 1]
         if again:
-            raise ValueError(f"several workbooks have one file name: {sorted(again)[:5]}")
+            self._clash(again)
         if self.overwrite:
             old = store.get_file_info(fs.FileSelector(target, allow_not_found=True))
             for f in old:
                 if f.type == fs.FileType.File and f.path.endswith(self.suffix):
                     store.delete_file(f.path)
-        for n in staged:
+                elif self.folders and f.type == fs.FileType.Directory and re.fullmatch(FOLDER, f.base_name):
+                    store.delete_dir(f.path)
+        for n in whole:
             store.move(f"{folder}/{n}", f"{target}/{n.split('/')[1]}")
+        for home in {n.split("/")[1] for n in staged} if self.folders else ():
+            store.create_dir(f"{target}/{home}", recursive=True)
+        for n in staged:
+            store.move(f"{folder}/{n}", f"{target}/{n.split('/', 1)[1]}")
         self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -166,7 +213,11 @@ class WorkbookSink(DataSource):
     save(path): the folder. Tasks stage their files beside each other; the driver moves them when all tasks are done, by name only, and
     deletes what is staged if one fails, so that a failed job leaves the folder's workbooks as they were (a task that outlives the failure
     may leave a folder _staged-*, which Spark's readers pass over). Mode append keeps other files and replaces
-    those of the same name; overwrite deletes the folder's other workbooks. Two books whose names give one file fail the job."""
+    those of the same name; overwrite deletes the folder's other workbooks. Two books whose names give one file fail the job.
+
+    Option ``folders``: files are dealt to so many folders by their names, which is meant for millions of them. Where one task writes a folder
+    (deal rows by folder_number()) and the target does not have it yet, it is moved as a whole, so that the driver moves and knows folders and no
+    files. A folder's files should always be written with the same number."""
 
     @classmethod
     def name(cls) -> str:
@@ -176,9 +227,68 @@ class WorkbookSink(DataSource):
         return "book string, content binary"
 
     def writer(self, schema: StructType, overwrite: bool) -> WorkbookWriter:
-        return WorkbookWriter(self.options["path"], overwrite, self.options.get("suffix", ".xlsx"))
+        return WorkbookWriter(self.options["path"], overwrite, self.options.get("suffix", ".xlsx"), int(self.options.get("folders", 0)))
+
+
+@dataclass
+class Folder(InputPartition):
+    """A folder of files, with all that is below it or without."""
+
+    path: str
+    deep: bool
+
+
+class FilesReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.path, self.suffixes = options["path"].rstrip("/"), tuple(x for x in options.get("suffixes", "").lower().split(",") if x)
+
+    def partitions(self) -> Sequence[Folder]:
+        store, root = _located(self.path)
+        below = [f.path for f in store.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.Directory and f.base_name[0] not in "_."]
+        return [Folder(root, False), *(Folder(f, True) for f in sorted(below))]
+
+    def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
+        store, root = _located(self.path)
+        paths: list[str] = []
+        contents: list[bytes] = []
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+        for f in store.get_file_info(fs.FileSelector(partition.path, recursive=partition.deep)):
+            within = f.path[len(root) :]
+            if f.type != fs.FileType.File or re.search(r"/[_.]", within) or (self.suffixes and not f.path.lower().endswith(self.suffixes)):
+                continue
+            with store.open_input_stream(f.path) as data:
+                contents.append(data.read())
+            paths.append(self.path + within)
+            size += len(contents[-1])
+            if size >= BATCH_BYTES or len(paths) >= BATCH_FILES:
+                yield batch()
+                paths, contents, size = [], [], 0
+        if paths:
+            yield batch()
+
+
+class FilesSource(DataSource):
+    """Whole files: path and content.
+
+    load(path): a folder, and all below it. A task lists and reads one of its folders, so that the driver knows these and no files. Option
+    ``suffixes``: the endings to read, by commas, in any case (all). What begins with _ or . is passed over, as by Spark's readers."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "quire_files"
+
+    def schema(self) -> str:
+        return "path string, content binary"
+
+    def reader(self, schema: StructType) -> FilesReader:
+        return FilesReader(dict(self.options))
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(MetadataSource)
     spark.dataSource.register(WorkbookSink)
+    spark.dataSource.register(FilesSource)

@@ -395,3 +395,26 @@ def test_workbooks_are_streamed(spark):
         file.add([[{"text": str(i)}]])
     runs = workbook.cells_of(file.content())
     assert next(runs)["text"] == "0" and len(list(runs)) == 999  # one after the other
+
+
+def test_files_are_moved_and_read_by_folders(spark, tmp_path):
+    """The driver moved every file by itself, and Spark's reader began a task for every 32 of them."""
+    services.register(spark)
+    rows = spark.range(300).select(F.col("id").cast("string").alias("book"), F.concat(F.lit("té "), "id").cast("binary").alias("content"))
+    save = lambda df, mode="append": df.write.format("quire_workbooks").option("suffix", ".txt").option("folders", 3).mode(mode).save(str(tmp_path / "out"))
+    read = lambda: {r.path.rsplit("/", 1)[1]: r.raw for r in text_reader.read_texts(spark, str(tmp_path / "out"), folders=True).collect()}
+    want = {f"{i}.txt": f"té {i}" for i in range(300)}
+    save(rows.repartitionById(3, services.folder_number(F.concat("book", F.lit(".txt")), 3)))
+    assert sorted(f.name for f in (tmp_path / "out").iterdir()) == ["files-0", "files-1", "files-2"] and read() == want
+    assert text_reader.read_texts(spark, str(tmp_path / "out"), folders=True).rdd.getNumPartitions() == 4  # the folders, and the files beside them
+    save(rows.filter("book < 7").withColumn("content", F.lit(b"new")).repartition(3))  # several tasks to a folder that is there
+    assert read() == want | {f"{i}.txt": "new" for i in range(7)}
+    for bad in (rows.withColumn("book", F.lit("same")).coalesce(1), rows.withColumn("book", F.lit("same")).repartition(3)):
+        with pytest.raises(Exception):
+            save(bad)
+        assert len(read()) == 300
+    save(rows.filter("book = '5'"), "overwrite")
+    assert read() == {"5.txt": "té 5"}
+    (tmp_path / "out" / "b.TEXT").write_bytes(b"\xff")
+    (tmp_path / "out" / "c.pdf").write_bytes(b"x")
+    assert read() == {"5.txt": "té 5", "b.TEXT": "�"}
