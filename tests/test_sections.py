@@ -332,6 +332,33 @@ def test_sections_are_dealt_by_counted_tasks(spark):
     assert re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\), (\w+)", plan) == [(str(n), "REPARTITION_BY_NUM")] * 2
 
 
+def test_rules_share_sorts(spark):
+    """A sort holds pages of a task's memory and copies its rows: there were 25, and one window had a function for each use of a look back."""
+    import re
+
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("METHODS\n\nwords").alias("raw"))
+    plan = sections.extract_sections(docs)._jdf.queryExecution()
+    windows = re.findall(r"(?m)^.*\bWindow \[.*$", plan.optimizedPlan().toString())
+    assert len(windows) > 40 and max(w.count("windowspecdefinition(") for w in windows) <= 8
+    assert 5 < len(re.findall(r"\bSort \[", plan.executedPlan().toString())) <= 14
+
+
+def test_runs_so_far(spark):
+    """run_so_far() is islands() without a look ahead: the same start, and in a run's last row the same length."""
+    rnd = random.Random(3)
+    rows = [(d, i, rnd.random() < 0.6, rnd.random() < 0.7) for d in range(60) for i in range(12) if d % 3 or rnd.random() < 0.9]
+    df = spark.createDataFrame(rows, "doc_id int, idx int, f boolean, o boolean")
+    out = sequences.run_so_far(sequences.islands(df, "f", "run", of=F.col("f") & F.col("o")), F.col("f"), F.col("f") & F.col("o"), "since").collect()
+    assert all(r.since == (r.run.start if r.f and r.run.start is not None and r.run.start <= r.idx else None) for r in out)
+    assert {r.run.start for r in out if r.f and r.idx == r.run.last and r.run.start is not None} and len(out) == len(rows)
+
+
+def test_white_space_class(spark):
+    """The short class is the list of characters."""
+    df = spark.range(1, 0x10000).filter("id NOT BETWEEN 55296 AND 57343").select(F.udf(chr, "string")("id").alias("c"))
+    assert sorted(r.c for r in df.filter(F.col("c").rlike(rf"^[{tx.WS}]\z")).collect()) == sorted(tx.WS_CHARS)
+
+
 def test_several_jobs_are_waited_for_at_once(spark):
     jobs_in = spark.createDataFrame([("a",), (None,), ("b",)], "payload string").coalesce(1)
     asked = providers.job_provider(lambda p: p, lambda job: ("RUNNING" if job == "b" else "DONE", job.upper()), timeout=0.02, interval=0.01, at_once=3)
