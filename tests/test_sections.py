@@ -343,6 +343,15 @@ def test_rules_share_sorts(spark):
     assert 5 < len(re.findall(r"\bSort \[", plan.executedPlan().toString())) <= 14
 
 
+@pytest.mark.parametrize("name", ["flt_05_top_level_sections", "snk_01_section_json", "snk_03_document_json", "agg_09_unlabeled_warnings"])
+def test_texts_are_made_in_counted_tasks(spark, name):
+    """All texts were made in the one task that reads a small file, and held there by the shuffle's writer."""
+    from quire.plans.all_queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [c_custkey") + plan.count("RepartitionByExpression [p_partkey") == 1
+
+
 def test_runs_so_far(spark):
     """run_so_far() is islands() without a look ahead: the same start, and in a run's last row the same length."""
     rnd = random.Random(3)
