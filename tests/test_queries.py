@@ -65,3 +65,13 @@ def test_nothing_outside_llm_needs_it():
     for f in (root / "quire").rglob("*.py"):
         if "llm" not in f.relative_to(root / "quire").parts:
             assert "quire.llm" not in f.read_text(), f
+
+
+def test_blank_lines_of_odd_texts(spark, tmp_path):
+    texts = ["a\nb", "a\n", "\n", "", None, "a\r\nb\r", "a\fb\x0bc", "a b\x85c\x1cd", "\t\n \n 　\n​\nx", "a\n\n\n", " \n\x1f\n\r\n\f\n\x00"]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(1, "once\nmore\n"), (None, "a\n")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["flt_01_blank_lines"]).fetchall()
+    got = [tuple(r) for r in QUERIES["flt_01_blank_lines"](spark, str(tmp_path)).select("doc_id", "n_lines", "n_filled").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
