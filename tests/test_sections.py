@@ -454,3 +454,20 @@ def test_files_are_moved_and_read_by_folders(spark, tmp_path):
     (tmp_path / "out" / "b.TEXT").write_bytes(b"\xff")
     (tmp_path / "out" / "c.pdf").write_bytes(b"x")
     assert read() == {"5.txt": "té 5", "b.TEXT": "�"}
+
+
+def test_sections_are_compared_whole(spark):
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(rng.randint(4, 9))) for _ in range(n))
+    same, one_end, other_end, start, shared = prose(460), prose(1500), prose(1500), prose(460), prose(1500)
+    assert len(same) > 2500 and len(start) > 2500
+    cases = {1: (same + " " + one_end, same + " " + other_end), 2: (start + " " + shared, prose(460) + " " + shared), 3: (same, same + " " + one_end)}
+    rows, at = [], 0
+    for d, texts in cases.items():
+        for k, t in enumerate(texts):
+            rows.append((d, k + 1, None, "methods", "", 1, k, k, at, at + len(t), t, 0.9, [], None))
+            at += len(t) + 1
+    schema = "doc_id int, id int, parent_id int, section_type string, name string, level int, start_block int, end_block int, start_position int, end_position int, extracted_text string, confidence double, evidence array<string>, flags map<string,string>"
+    got = {(r.doc_id, r.id): r.duplicate_of for r in sections.add_duplicates(spark.createDataFrame(rows, schema)).collect()}
+    # one beginning and different rests are no copies; different beginnings and one rest are; of a text and a longer one, the longer is kept
+    assert got == {(1, 1): None, (1, 2): None, (2, 1): None, (2, 2): 1, (3, 1): 2, (3, 2): None}
