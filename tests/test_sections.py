@@ -471,3 +471,39 @@ def test_sections_are_compared_whole(spark):
     got = {(r.doc_id, r.id): r.duplicate_of for r in sections.add_duplicates(spark.createDataFrame(rows, schema)).collect()}
     # one beginning and different rests are no copies; different beginnings and one rest are; of a text and a longer one, the longer is kept
     assert got == {(1, 1): None, (1, 2): None, (2, 1): None, (2, 2): 1, (3, 1): 2, (3, 2): None}
+
+
+def test_words_are_counted_without_arrays(spark):
+    """The shares and counts are those of a test of each word, and none is tested by itself."""
+    rng = random.Random(7)
+    parts = ["The", "of", "OF", "a", "Ab", "ab", "12", "1st", "A1", "(The", "the.", "Über", "\u01c5x", "\U0001d400b", "x\U0001d400", "\U0001f600", "As", "asset", "V", "vs", "vs.", "-", "ſ", "İn", "\u00aa"]
+    rows = [("".join(rng.choice(parts) + rng.choice([" ", "\n", "\u00a0", "\x1f", "  ", "", "\u200b"]) for _ in range(rng.randint(0, 12))),) for _ in range(500)] + [("",), (None,)]
+    tokens = tx.words(F.col("s"))
+    content = F.filter(tokens, lambda w: w.rlike(r"\p{L}") & ~F.lower(w).isin(tx.STOP_WORDS))
+    upper = F.size(F.filter(content, lambda w: w.rlike(r"^\p{Lu}")))
+    want = F.when(F.size(content) > 0, upper / F.size(content)).otherwise(0.0)
+    df = spark.createDataFrame(rows, "s string").select("s", want.alias("a"), tx.title_case_ratio(F.col("s")).alias("b"), F.size(tokens).alias("m"), tx.count_of_words(F.col("s")).alias("n"))
+    assert df.filter("not (a <=> b and m <=> n)").collect() == []
+    docs = spark.createDataFrame([(1, "A Title")], "doc_id int, raw string")
+    plan = text_reader.read_blocks(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("filter(split(" in line and "tc_ratio" in line for line in plan.splitlines())
+
+
+def test_windows_of_a_document_share_an_operator(spark):
+    """A window operator copies each row twice: windows over a whole document had operators of their own."""
+    from quire.operators.marks import _doc, _order
+
+    rows = spark.createDataFrame([(d, i, i % 3) for d in range(5) for i in range(9)], "doc_id int, idx int, v int")
+    own = rows.select("*", F.max("v").over(_doc()).alias("a"), F.sum("v").over(_order()).alias("b"))
+    assert own._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    assert {r.a for r in own.collect()} == {2}
+
+
+def test_long_texts_are_not_normalised(spark):
+    longest = max(lexicon.TYPE_OF, key=len)
+    texts = [longest, "xviii. " + longest.upper() + ":", "XVIII) " + longest, "xxviiii. " + longest, "(a) " + longest, "\ufb01 " * 40, longest + " and more words", "word " * 18, "12.1 METHODS", "1 " * 90 + "methods", None, ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, s string")
+    want = [(lambda n: n in lexicon.TYPE_OF)(r.n) for r in df.select("k", lexicon.normalize(F.col("s"))["norm"].alias("n")).orderBy("k").collect()]
+    got = [r.m is not None for r in lexicon.add_match(df, F.col("s"), "m").orderBy("k").collect()]
+    assert got == want and sum(want) >= 4
+    assert one(spark, "word " * 18, lambda c: c.rlike(lexicon.TOO_MANY_LETTERS)) and not one(spark, "XVIIII) " + longest, lambda c: c.rlike(lexicon.TOO_MANY_LETTERS))
